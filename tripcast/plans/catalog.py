@@ -332,3 +332,149 @@ def sort1(spark, d):
 @query("SET1_unique_cities")
 def set1(spark, d):
     return D.unique_cities(_f(spark, d), _h(spark, d))
+
+
+# ---------------------------------------------------------------- sampling and features
+from ..functions import features as FE  # noqa: E402
+from ..functions import text as TX  # noqa: E402
+from ..operators import recommend as R  # noqa: E402
+from ..operators import sampling as S  # noqa: E402
+from ..sources import fixtures as FX  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+
+
+@query("SMP1_fixed_sample")
+def smp1(spark, d):
+    return S.fixed_sample(_f(spark, d), "travelCode", 3000).select("travelCode", "distance", "price_inr", "flightType")
+
+
+@query("SMP2_training_cap")
+def smp2(spark, d):
+    return S.fixed_sample(_f(spark, d), "travelCode", 10000).select("travelCode")
+
+
+@query("SMP3_hash_split")
+def smp3(spark, d):
+    f = _f(spark, d)
+    return f.select("travelCode", F.when(S.hash_split_flag("travelCode"), "test").otherwise("train").alias("split"))
+
+
+@query("SMP4_stratified_split")
+def smp4(spark, d):
+    u = _u(spark, d).where(F.col("gender").isNotNull())
+    return S.stratified_flag(u, "code", "gender").select("code", "gender", "is_test")
+
+
+@query("MDL7_class_weights")
+def mdl7(spark, d):
+    return S.class_weights(_u(spark, d), "gender")
+
+
+@query("FEA1_median_impute")
+def fea1(spark, d):
+    u = _u(spark, d)
+    med = FE.fit_medians(u, ["age"])
+    return FE.impute(u.select("code", "age"), med, cast_double=True)
+
+
+@query("FEA2_mode_impute")
+def fea2(spark, d):
+    u = _u(spark, d)
+    x = u.select("code", C.name_features_training("name")["first_name"].alias("first_name"))
+    return FE.impute(x, FE.fit_modes(x, ["first_name"]))
+
+
+@query("FEA3_standard_scale")
+def fea3(spark, d):
+    u = _u(spark, d)
+    (m, s), = FE.fit_standard(u, ["age"]).values()
+    return u.select("code", F.round(FE.standardize("age", m, s), 6).alias("age_z"))
+
+
+@query("FEA6_FEA7_label_codes")
+def fea6(spark, d):
+    f = _f(spark, d).select("travelCode", "to")
+    m = FE.fit_label_encoder(f, "to")
+    enc = FE.label_encode(f, "to", m, "to_enc")
+    return FE.label_decode(enc, "to_enc", m, "to_decoded")
+
+
+@query("FEA8_documents_tfidf")
+def fea8(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text")
+    w, _ = TX.tfidf(docs, "doc_id", "text")
+    return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+def _catalogue(spark, d):
+    climates = R.climate_table(spark, table(spark, d, "nation", "n_nationkey", "n_name"))
+    return R.build_catalogue(_h(spark, d), climates)
+
+
+@query("REC1_catalogue")
+def rec1(spark, d):
+    return _catalogue(spark, d)
+
+
+@query("AGG19_budget_bound")
+def agg19(spark, d):
+    return D.budget_bound(_catalogue(spark, d))
+
+
+@query("WIN1_price_rank")
+def win1(spark, d):
+    c = D.hotel_base(_h(spark, d))
+    from ..operators.ranking import global_row_number
+    return global_row_number(c, ["avg_price_per_night", "name", "place"], "price_rank", total="n_hotels") \
+        .select("name", "place", "price_rank", "n_hotels")
+
+
+@query("REC4_FEA8_catalogue_tfidf")
+def rec4(spark, d):
+    m = R.fit(_catalogue(spark, d))
+    return m.weights.select(F.col("doc_id").alias("item_id"), "term", F.round("weight", 6).alias("weight"))
+
+
+@query("FEA9_catalogue_minmax")
+def fea9(spark, d):
+    m = R.fit(_catalogue(spark, d))
+    return m.items.select("item_id", *[F.round(f"{c}_s", 9).alias(f"{c}_s") for c in R.NUM_COLUMNS])
+
+
+def _recs(spark, d):
+    cat = _catalogue(spark, d)
+    reqs = FX.hotel_requests(_f(spark, d))
+    return R.recommend(R.fit(cat), reqs), reqs, cat
+
+
+@query("REC10_recommend")
+def rec10(spark, d):
+    return _recs(spark, d)[0]
+
+
+@query("REC11_unknown_destination")
+def rec11(spark, d):
+    return R.unknown_destinations(FX.hotel_requests(_f(spark, d)), _catalogue(spark, d))
+
+
+@query("PRJ19_PRJ20_display_records")
+def prj19(spark, d):
+    recs, reqs, _ = _recs(spark, d)
+    return R.display_records(recs, reqs)
+
+
+@query("EVA6_distinct_result_sets")
+def eva6(spark, d):
+    return R.distinct_result_sets(_recs(spark, d)[0])
+
+
+@query("JOIN5_neighbour_cosine")
+def join5(spark, d):
+    cat = _catalogue(spark, d)
+    m = R.fit(cat)
+    return R.pair_similarity(m.weights, R.neighbour_pairs(cat))
+
+
+@query("SNK4_recommender_metrics")
+def snk4(spark, d):
+    return R.run_metrics(R.fit(_catalogue(spark, d)))

@@ -267,3 +267,205 @@ SELECT DISTINCT city FROM (
   SELECT from_city AS city FROM tflights UNION ALL SELECT to_city FROM tflights UNION ALL SELECT city FROM thotels
 ) WHERE city IS NOT NULL ORDER BY city
 """)
+
+# ---------------------------------------------------------------- sampling
+_H = "md5('42|' || CAST({k} AS VARCHAR))"
+sql("SMP1_fixed_sample", f"""
+SELECT travelCode, distance, price_inr, flightType FROM tflights
+ORDER BY {_H.format(k='travelCode')}, travelCode LIMIT 3000
+""")
+sql("SMP2_training_cap", f"SELECT travelCode FROM tflights ORDER BY {_H.format(k='travelCode')}, travelCode LIMIT 10000")
+sql("SMP3_hash_split", f"""
+SELECT travelCode, CASE WHEN substr({_H.format(k='travelCode')}, 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS split
+FROM tflights
+""")
+sql("SMP4_stratified_split", f"""
+SELECT code, gender,
+       row_number() OVER (PARTITION BY gender ORDER BY {_H.format(k='code')}, code) - 1
+         < ceil(count(*) OVER (PARTITION BY gender) * 0.2) AS is_test
+FROM users WHERE gender IS NOT NULL
+""")
+sql("MDL7_class_weights", """
+SELECT gender, n_c, sum(n_c) OVER () / (count(*) OVER () * n_c) AS class_weight
+FROM (SELECT gender, count(*) AS n_c FROM users WHERE gender IS NOT NULL GROUP BY gender)
+""")
+
+# ---------------------------------------------------------------- features
+sql("FEA1_median_impute", """
+SELECT code, coalesce(CAST(age AS DOUBLE), (SELECT median(age) FROM users)) AS age FROM users
+""")
+sql("FEA2_mode_impute", f"""
+, x AS (SELECT code, {_FIRST} AS first_name FROM users),
+m AS (SELECT first_name FROM x WHERE first_name IS NOT NULL GROUP BY first_name ORDER BY count(*) DESC, first_name LIMIT 1)
+SELECT code, coalesce(x.first_name, (SELECT first_name FROM m)) AS first_name FROM x
+""")
+sql("FEA3_standard_scale", """
+SELECT code, round((age - (SELECT avg(age) FROM users)) / (SELECT stddev_pop(age) FROM users), 6) AS age_z FROM users
+""")
+sql("FEA6_FEA7_label_codes", """
+, m AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS code
+        FROM (SELECT DISTINCT "to" AS value FROM tflights WHERE "to" IS NOT NULL))
+SELECT f."to", f.travelCode, coalesce(m.code, 0) AS to_enc, m2.value AS to_decoded
+FROM tflights f LEFT JOIN m ON f."to" = m.value LEFT JOIN m m2 ON coalesce(m.code, 0) = m2.code
+""")
+
+_TOKEN = r"'[\p{L}\p{N}_]{2,}'"
+
+
+def _tfidf(docs_cte: str) -> str:
+    """CTEs tf, vocab, iw over a ``docs(doc_id, txt)`` CTE."""
+    return f"""
+, docs AS ({docs_cte}),
+toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(txt, '')), {_TOKEN})) AS term FROM docs),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY doc_id, term),
+vocab AS (SELECT term, ln(CAST(1 + (SELECT count(*) FROM docs) AS DOUBLE) / CAST(df + 1 AS DOUBLE)) + 1.0 AS idf
+          FROM (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT 500)),
+iw AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight
+       FROM (SELECT doc_id, term, tf * idf AS w FROM tf JOIN vocab USING (term)))
+"""
+
+
+sql("FEA8_documents_tfidf", _tfidf("SELECT doc_id, text AS txt FROM documents")
+    + "SELECT doc_id, term, round(weight, 6) AS weight FROM iw")
+
+# ---------------------------------------------------------------- recommender
+_CAT = """
+, base AS (SELECT name, place, city, avg(price) AS ap, count(price) AS bookings FROM thotels
+           WHERE name IS NOT NULL AND place IS NOT NULL AND city IS NOT NULL GROUP BY name, place, city),
+ranked AS (SELECT *, row_number() OVER (ORDER BY ap, name, place) - 1 AS price_rank, count(*) OVER () AS n_hotels FROM base),
+clim AS (SELECT * FROM (VALUES ('Florianopolis', 'coastal'), ('Salvador', 'tropical'), ('Natal', 'tropical'),
+                               ('Aracaju', 'tropical'), ('Recife', 'tropical'), ('Sao Paulo', 'temperate'),
+                               ('Campo Grande', 'temperate'), ('Rio de Janeiro', 'coastal'), ('Brasilia', 'temperate')) t(city, climate)
+         UNION ALL SELECT replace(n_name, '_', ' '), (['coastal', 'tropical', 'temperate'])[n_nationkey % 3 + 1] FROM nation),
+t1 AS (SELECT r.*, coalesce(c.climate, 'tropical') AS climate, price_rank / greatest(1, n_hotels - 1) AS tier
+       FROM ranked r LEFT JOIN clim c ON r.city = c.city),
+t2 AS (SELECT *,
+         CASE WHEN tier >= 0.75 THEN 'luxury' WHEN tier >= 0.5 THEN 'boutique' WHEN tier >= 0.25 THEN 'business'
+              ELSE 'budget / backpacker' END AS style,
+         CASE WHEN tier >= 0.75 THEN 5 WHEN tier >= 0.25 THEN 4 ELSE 3 END AS star_rating,
+         list_slice(list_transform(list_sort(list_transform(
+             ['pool', 'spa', 'wifi', 'fine_dining', 'gym', 'bar', 'beach_access', 'business_center', 'kids_club', 'butler_service'],
+             lambda a: {'h': md5(name || '|' || a), 'a': a})), lambda s: s.a), 1, CAST(floor(tier * 5) + 3 AS INTEGER)) AS chosen,
+         CAST(CAST(('0x' || substr(md5(name || '#review'), 1, 8)) AS BIGINT) AS DOUBLE) / 4294967296.0 AS frac
+       FROM t1),
+cat AS (SELECT CAST(price_rank AS INTEGER) AS price_rank, name, city AS location, 'Brazil' AS country, style, climate,
+               star_rating, round_even(ap, 2) AS avg_price_per_night,
+               least(9.8, greatest(6.5, round_even(7.2 + tier * 2.0 + (frac * 0.6 - 0.3), 1))) AS review_score,
+               array_to_string(CASE WHEN climate = 'coastal' AND NOT list_contains(chosen, 'beach_access')
+                                    THEN list_append(chosen, 'beach_access') ELSE chosen END, ' ') AS amenities,
+               CASE WHEN style = 'business' THEN 'business leisure' WHEN climate = 'coastal' THEN 'leisure family'
+                    ELSE 'leisure' END AS travel_type,
+               bookings
+        FROM t2)
+"""
+
+sql("REC1_catalogue", _CAT + "SELECT * FROM cat")
+sql("AGG19_budget_bound", _CAT + "SELECT CAST(round_even(max(avg_price_per_night) * 83.0, 0) AS BIGINT) + 5000 AS max_budget_inr FROM cat")
+sql("WIN1_price_rank", _CAT + "SELECT name, place, price_rank, n_hotels FROM ranked")
+
+_ITEM_TFIDF = _CAT + _tfidf(
+    "SELECT price_rank AS doc_id, concat_ws(' ', coalesce(amenities, ''), coalesce(style, ''), "
+    "coalesce(climate, ''), coalesce(travel_type, '')) AS txt FROM cat")
+sql("REC4_FEA8_catalogue_tfidf", _ITEM_TFIDF + "SELECT doc_id AS item_id, term, round(weight, 6) AS weight FROM iw")
+
+_MM = """
+, mm AS (SELECT min(coalesce(avg_price_per_night, 0.0)) AS p_lo, max(coalesce(avg_price_per_night, 0.0)) AS p_hi,
+                min(coalesce(CAST(star_rating AS DOUBLE), 0.0)) AS s_lo, max(coalesce(CAST(star_rating AS DOUBLE), 0.0)) AS s_hi,
+                min(coalesce(review_score, 0.0)) AS r_lo, max(coalesce(review_score, 0.0)) AS r_hi FROM cat),
+items AS (SELECT c.*,
+            (coalesce(avg_price_per_night, 0.0) - p_lo) / CASE WHEN p_hi - p_lo = 0 THEN 1.0 ELSE p_hi - p_lo END AS avg_price_per_night_s,
+            (coalesce(CAST(star_rating AS DOUBLE), 0.0) - s_lo) / CASE WHEN s_hi - s_lo = 0 THEN 1.0 ELSE s_hi - s_lo END AS star_rating_s,
+            (coalesce(review_score, 0.0) - r_lo) / CASE WHEN r_hi - r_lo = 0 THEN 1.0 ELSE r_hi - r_lo END AS review_score_s
+          FROM cat c, mm)
+"""
+sql("FEA9_catalogue_minmax", _ITEM_TFIDF + _MM + """
+SELECT price_rank AS item_id, round(avg_price_per_night_s, 9) AS avg_price_per_night_s,
+       round(star_rating_s, 9) AS star_rating_s, round(review_score_s, 9) AS review_score_s FROM items
+""")
+
+_REQ = """
+, req AS (
+  SELECT travelCode AS request_id,
+         CASE WHEN flightType = 'economic' THEN "to" ELSE to_city END AS destination,
+         CASE WHEN flightType = 'firstClass' THEN 'luxury' WHEN flightType = 'premium' THEN 'business' ELSE 'budget' END AS style,
+         CASE WHEN agency = 'CloudFy' THEN 'coastal' WHEN agency = 'Rainbow' THEN 'temperate' END AS climate,
+         CASE WHEN agency = 'CloudFy' THEN 'leisure' WHEN agency = 'FlyingDrops' THEN 'business' END AS travel_type,
+         CASE WHEN flightType = 'firstClass' THEN ['spa', 'fine_dining'] WHEN flightType = 'premium' THEN ['wifi', 'gym']
+              ELSE ['wifi'] END AS amenities,
+         CAST(floor(price / 4) AS DOUBLE) AS budget_max,
+         CASE WHEN flightType = 'firstClass' THEN 4 WHEN flightType = 'premium' THEN 3 ELSE 0 END AS min_stars,
+         CASE WHEN flightType = 'firstClass' THEN 7.5 ELSE 0.0 END AS min_review
+  FROM tflights)
+"""
+
+_RECS = _ITEM_TFIDF + _MM + _REQ + f"""
+, qtxt AS (SELECT request_id, CASE WHEN q = '' THEN 'hotel' ELSE q END AS q FROM (
+             SELECT request_id, trim(concat_ws(' ', coalesce(array_to_string(amenities, ' '), ''), coalesce(style, ''),
+                                                coalesce(climate, ''), coalesce(travel_type, ''))) AS q FROM req)),
+qtf AS (SELECT request_id, term, count(*) AS tf
+        FROM (SELECT request_id, unnest(regexp_extract_all(lower(q), {_TOKEN})) AS term FROM qtxt)
+        WHERE term IN (SELECT term FROM vocab) GROUP BY request_id, term),
+qw AS (SELECT request_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY request_id)) AS w
+       FROM (SELECT request_id, term, tf * idf AS w FROM qtf JOIN vocab USING (term))),
+ts AS (SELECT q.request_id, i.doc_id AS price_rank, sum(q.w * i.weight) AS text_score
+       FROM qw q JOIN iw i ON q.term = i.term GROUP BY q.request_id, i.doc_id),
+pairs AS (
+  SELECT r.request_id, r.budget_max, r.min_stars, r.min_review, i.*,
+         max(i.avg_price_per_night) OVER (PARTITION BY r.request_id) AS mx
+  FROM req r JOIN items i ON
+        (r.budget_max IS NULL OR r.budget_max = 0 OR i.avg_price_per_night <= r.budget_max)
+    AND (r.min_stars IS NULL OR r.min_stars = 0 OR i.star_rating >= r.min_stars)
+    AND (r.min_review IS NULL OR r.min_review = 0 OR i.review_score >= r.min_review)
+    AND (r.destination IS NULL OR lower(trim(r.destination)) = ''
+         OR contains(lower(i.location), lower(trim(r.destination))) OR contains(lower(i.country), lower(trim(r.destination))))),
+scored AS (
+  SELECT p.*, round(0.6 * coalesce(ts.text_score, 0.0) + 0.4 * (1.0 / (sqrt(
+             (p.avg_price_per_night_s - (least(coalesce(p.budget_max, p.mx), p.mx) - mm.p_lo) / CASE WHEN mm.p_hi - mm.p_lo = 0 THEN 1.0 ELSE mm.p_hi - mm.p_lo END)
+           * (p.avg_price_per_night_s - (least(coalesce(p.budget_max, p.mx), p.mx) - mm.p_lo) / CASE WHEN mm.p_hi - mm.p_lo = 0 THEN 1.0 ELSE mm.p_hi - mm.p_lo END)
+           + (p.star_rating_s - (coalesce(CAST(p.min_stars AS DOUBLE), 4.0) - mm.s_lo) / CASE WHEN mm.s_hi - mm.s_lo = 0 THEN 1.0 ELSE mm.s_hi - mm.s_lo END)
+           * (p.star_rating_s - (coalesce(CAST(p.min_stars AS DOUBLE), 4.0) - mm.s_lo) / CASE WHEN mm.s_hi - mm.s_lo = 0 THEN 1.0 ELSE mm.s_hi - mm.s_lo END)
+           + (p.review_score_s - (coalesce(p.min_review, 8.0) - mm.r_lo) / CASE WHEN mm.r_hi - mm.r_lo = 0 THEN 1.0 ELSE mm.r_hi - mm.r_lo END)
+           * (p.review_score_s - (coalesce(p.min_review, 8.0) - mm.r_lo) / CASE WHEN mm.r_hi - mm.r_lo = 0 THEN 1.0 ELSE mm.r_hi - mm.r_lo END)
+         ) + 1.0)), 9) AS score
+  FROM pairs p CROSS JOIN mm LEFT JOIN ts ON ts.request_id = p.request_id AND ts.price_rank = p.price_rank),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, price_rank) AS rank FROM scored)
+        WHERE rank <= 5),
+recs AS (
+  SELECT request_id, CAST(rank AS INTEGER) AS rank, name, location, country, style, climate, star_rating,
+         avg_price_per_night, review_score, amenities, travel_type, bookings,
+         round_even(CASE WHEN hi > lo THEN 60.0 + 35.0 * (score - lo) / (hi - lo) ELSE 75.0 END, 1) AS match_score,
+         round_even(avg_price_per_night * 83.0, 0) AS avg_price_per_night_inr
+  FROM (SELECT *, min(score) OVER (PARTITION BY request_id) AS lo, max(score) OVER (PARTITION BY request_id) AS hi FROM top))
+"""
+sql("REC10_recommend", _RECS + "SELECT * FROM recs")
+sql("PRJ19_PRJ20_display_records", _RECS + """
+SELECT r.request_id, r.rank, r.name AS hotel_name, r.avg_price_per_night AS price_per_night,
+       coalesce(r.avg_price_per_night_inr, round_even(r.avg_price_per_night * 83.0, 0)) AS price_per_night_inr,
+       CASE WHEN r.review_score IS NOT NULL THEN round_even(r.review_score / 2, 1) ELSE CAST(r.star_rating AS DOUBLE) END AS rating,
+       CASE WHEN r.match_score > 1.0 THEN r.match_score / 100.0 ELSE r.match_score END AS match,
+       round_even(r.avg_price_per_night / q.budget_max * 100, 6) AS budget_used_pct,
+       CASE WHEN r.avg_price_per_night / q.budget_max * 100 <= 80 THEN 'within' ELSE 'close' END AS budget_band
+FROM recs r LEFT JOIN req q ON r.request_id = q.request_id
+""")
+sql("EVA6_distinct_result_sets", _RECS + """
+SELECT count(*) AS scenarios, count(DISTINCT hotels) AS distinct_sets, count(DISTINCT hotels) <= 1 AS all_same
+FROM (SELECT request_id, list_sort(list_distinct(list(name))) AS hotels FROM recs GROUP BY request_id)
+""")
+sql("REC11_unknown_destination", _CAT + _REQ + """
+SELECT request_id, destination,
+       '''' || destination || ''' not in your hotel dataset — showing best matches across all cities.' AS note
+FROM req WHERE destination IS NOT NULL AND trim(destination) <> ''
+  AND lower(trim(destination)) NOT IN (SELECT lower(location) FROM cat)
+""")
+sql("JOIN5_neighbour_cosine", _ITEM_TFIDF + """
+, pairs AS (SELECT a.price_rank AS item_a, b.price_rank AS item_b FROM cat a JOIN cat b ON b.price_rank = a.price_rank + 1),
+s AS (SELECT p.item_a, p.item_b, sum(x.weight * y.weight) AS s
+      FROM pairs p JOIN iw x ON x.doc_id = p.item_a JOIN iw y ON y.doc_id = p.item_b AND y.term = x.term
+      GROUP BY p.item_a, p.item_b)
+SELECT p.item_a, p.item_b, round(coalesce(s.s, 0.0), 9) AS cosine
+FROM pairs p LEFT JOIN s ON p.item_a = s.item_a AND p.item_b = s.item_b
+""")
+sql("SNK4_recommender_metrics", _ITEM_TFIDF + """
+SELECT (SELECT count(*) FROM cat) AS num_hotels, (SELECT count(*) FROM vocab) AS vocab_size,
+       (SELECT avg(avg_price_per_night) FROM cat) AS avg_price_per_night, (SELECT avg(review_score) FROM cat) AS avg_review_score
+""")

@@ -125,3 +125,25 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 53 == 0, F.lit(None).cast("int"))
         .otherwise(F.floor(F.abs("c_acctbal")).cast("int") % 88 + 16).alias("age"),
     )
+
+
+def hotel_requests(flights_typed: DataFrame) -> DataFrame:
+    """One hotel request per flight booking (REC10 input that grows with the data).
+
+    Economy travellers type the full place label ("NATION 3 (DA)"), which is no
+    catalogue city, so they exercise the no-survivor and unknown-destination paths.
+    """
+    ft, ag = F.col("flightType"), F.col("agency")
+    return flights_typed.select(
+        F.col("travelCode").alias("request_id"),
+        F.when(ft == "economic", F.col("to")).otherwise(F.col("to_city")).alias("destination"),
+        F.when(ft == "firstClass", "luxury").when(ft == "premium", "business").otherwise("budget").alias("style"),
+        F.when(ag == "CloudFy", "coastal").when(ag == "Rainbow", "temperate").alias("climate"),
+        F.when(ag == "CloudFy", "leisure").when(ag == "FlyingDrops", "business").alias("travel_type"),
+        F.when(ft == "firstClass", F.array(F.lit("spa"), F.lit("fine_dining")))
+        .when(ft == "premium", F.array(F.lit("wifi"), F.lit("gym")))
+        .otherwise(F.array(F.lit("wifi"))).alias("amenities"),
+        F.floor(F.col("price") / 4).cast("double").alias("budget_max"),
+        F.when(ft == "firstClass", 4).when(ft == "premium", 3).otherwise(0).alias("min_stars"),
+        F.when(ft == "firstClass", 7.5).otherwise(0.0).alias("min_review"),
+    )
