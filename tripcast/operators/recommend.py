@@ -276,3 +276,26 @@ def run_metrics(model: FittedRecommender) -> DataFrame:
     vs = model.vocab.agg(F.count(F.lit(1)).alias("vocab_size"))
     stacked = it.unionByName(vs, allowMissingColumns=True)
     return stacked.agg(*[F.max(c).alias(c) for c in ["num_hotels", "vocab_size", "avg_price_per_night", "avg_review_score"]])
+
+
+# SNK7 — persist the fitted model as tables and reload it by path
+def save(model: FittedRecommender, path: str) -> str:
+    model.items.write.mode("overwrite").parquet(f"{path}/items")
+    model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+    model.weights.write.mode("overwrite").parquet(f"{path}/weights")
+    spark = model.items.sparkSession
+    rows = [(c, float(lo), float(hi)) for c, (lo, hi) in model.bounds.items()]
+    cfg = model.config
+    spark.createDataFrame(rows, "column string, lo double, hi double").write.mode("overwrite").parquet(f"{path}/bounds")
+    spark.createDataFrame([(cfg.text_weight, cfg.num_weight, cfg.tfidf_max_features)],
+                          "text_weight double, num_weight double, tfidf_max_features int") \
+        .write.mode("overwrite").parquet(f"{path}/config")
+    return path
+
+
+def load(spark, path: str) -> FittedRecommender:
+    bounds = {r["column"]: (r["lo"], r["hi"]) for r in spark.read.parquet(f"{path}/bounds").collect()}
+    c = spark.read.parquet(f"{path}/config").first()
+    cfg = RecommenderConfig(c["text_weight"], c["num_weight"], c["tfidf_max_features"])
+    return FittedRecommender(spark.read.parquet(f"{path}/items"), spark.read.parquet(f"{path}/vocab"),
+                             bounds, spark.read.parquet(f"{path}/weights"), cfg)

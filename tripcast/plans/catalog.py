@@ -478,3 +478,259 @@ def join5(spark, d):
 @query("SNK4_recommender_metrics")
 def snk4(spark, d):
     return R.run_metrics(R.fit(_catalogue(spark, d)))
+
+
+# ---------------------------------------------------------------- evaluation (SQL form)
+import uuid  # noqa: E402
+
+from ..operators import evaluation as EV  # noqa: E402
+from ..operators import ml as ML  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..streaming import scoring as SC  # noqa: E402
+
+ROUTE_CLASS = ["from", "to", "flightType"]
+
+
+def _flight_split(spark, d):
+    return S.train_test_split(_f(spark, d), "travelCode")
+
+
+@query("EVA1_regression_metrics")
+def eva1(spark, d):
+    tr, te = _flight_split(spark, d)
+    means, overall = EV.group_mean_model(tr, ROUTE_CLASS, "price")
+    preds = EV.apply_group_mean(te, means, overall, ROUTE_CLASS)
+    return EV.rounded(EV.regression_metrics(preds, "price", "prediction"))
+
+
+def _user_split(spark, d):
+    u = _u(spark, d).withColumn("first_name", C.name_features_training("name")["first_name"])
+    return S.stratified_split(u, "code", "gender")
+
+
+@query("EVA2_classification_metrics")
+def eva2(spark, d):
+    tr, te = _user_split(spark, d)
+    best, overall = EV.majority_model(tr, "first_name", "gender")
+    preds = (te.join(best, "first_name", "left")
+             .withColumn("prediction", F.coalesce("prediction", F.lit(overall))))
+    return EV.rounded(EV.classification_metrics(preds, "gender", "prediction"))
+
+
+@query("EVA4_best_of_two")
+def eva4(spark, d):
+    tr, te = _flight_split(spark, d)
+    runs = None
+    for name, keys, base in [("route_mean", ["from", "to"], True), ("route_class_mean", ROUTE_CLASS, False)]:
+        means, overall = EV.group_mean_model(tr, keys, "price")
+        m = EV.regression_metrics(EV.apply_group_mean(te, means, overall, keys), "price", "prediction")
+        row = m.select(F.lit(name).alias("model"), F.col("r2").alias("metric"), F.lit(base).alias("is_baseline"))
+        runs = row if runs is None else runs.unionByName(row)
+    return EV.select_best(runs, "metric", "model", "is_baseline")
+
+
+# ---------------------------------------------------------------- Spark ML (rows-only checks)
+def _scratch(spark, name):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tripcast-{name}-{uuid.uuid4().hex[:8]}"
+
+
+FLIGHT_COLS = ML.FLIGHT_CATEGORICAL + ML.FLIGHT_NUMERIC
+
+
+def _flight_frames(spark, d):
+    feats = ML.flight_features(_f(spark, d))
+    flag = S.hash_split_flag("travelCode")
+    return feats.where(~flag), feats.where(flag)
+
+
+def _predictions(model, te, key):
+    return model.transform(te).select(key, "label", F.round("prediction", 6).alias("prediction"))
+
+
+@query("MDL1_linear_regression")
+def mdl1(spark, d):
+    tr, te = _flight_frames(spark, d)
+    model = ML.Pipeline(stages=ML.build_preprocessor(tr, FLIGHT_COLS) + [ML.linear_regression()]).fit(tr)
+    return _predictions(model, te, "travelCode")
+
+
+@query("MDL2_forest_regressor")
+def mdl2(spark, d):
+    tr, te = _flight_frames(spark, d)
+    model = ML.Pipeline(stages=ML.build_preprocessor(tr, FLIGHT_COLS) + [ML.forest_regressor()]).fit(tr)
+    return _predictions(model, te, "travelCode")
+
+
+def _user_frames(spark, d):
+    feats = ML.user_features(_u(spark, d)).where(F.col("label").isNotNull())
+    return S.stratified_split(feats, "code", "label")
+
+
+def _classify(spark, d, estimator_fn):
+    tr, te = _user_frames(spark, d)
+    model, metrics = ML.train_classifier(tr, te, estimator_fn(tr), ML.USER_FEATURES)
+    return model, metrics, te
+
+
+@query("MDL3_logistic_regression")
+def mdl3(spark, d):
+    model, metrics, te = _classify(spark, d, lambda tr: ML.logistic_regression(tr.count()))
+    return spark.createDataFrame([metrics])
+
+
+@query("MDL4_forest_classifier")
+def mdl4(spark, d):
+    model, metrics, te = _classify(spark, d, lambda tr: ML.forest_classifier())
+    return spark.createDataFrame([metrics])
+
+
+def _gbt_frames(spark, d):
+    """MDL5 inputs: label-encoded categories (FEA6) + numeric calendar codes (PRJ10)."""
+    f = ML.flight_features(_f(spark, d))
+    for c in ML.FLIGHT_CATEGORICAL:
+        f = FE.label_encode(f, c, FE.fit_label_encoder(f, c), c + "_enc")
+    cols = [c + "_enc" for c in ML.FLIGHT_CATEGORICAL] + ML.FLIGHT_NUMERIC
+    f = ML.VectorAssembler(inputCols=cols, outputCol=ML.FEATURES_COL).transform(f)
+    flag = S.hash_split_flag("travelCode")
+    return f.where(~flag), f.where(flag), cols
+
+
+@query("MDL5_gbt_regressor")
+def mdl5(spark, d):
+    tr, te, _ = _gbt_frames(spark, d)
+    model = ML.gbt_regressor().fit(tr)
+    return model.transform(te).select("travelCode", "label", F.round("prediction", 6).alias("prediction"))
+
+
+@query("MDL8_feature_importances")
+def mdl8(spark, d):
+    tr, te, cols = _gbt_frames(spark, d)
+    model = ML.gbt_regressor().fit(tr)
+    imp = model.featureImportances.toArray().tolist()
+    return spark.createDataFrame(list(zip(cols, [float(x) for x in imp])), "feature string, importance double") \
+        .orderBy(F.desc("importance"))
+
+
+def _gender_code_frame(spark, d):
+    """MDL6 inputs: age, company code, name codes (PRJ9), nulls -> 0."""
+    u = _u(spark, d).where(F.col("gender").isNotNull())
+    u = FE.label_encode(u, "company", FE.fit_label_encoder(u, "company"), "company_enc")
+    u = u.select("code", "gender", F.coalesce("age", F.lit(0)).alias("age"), "company_enc",
+                 *[v.alias(k) for k, v in C.name_codes("name").items()])
+    return u, ["age", "company_enc", "name_length", "first_letter_enc", "last_letter_enc"]
+
+
+@query("MDL6_MDL9_gender_forest")
+def mdl6(spark, d):
+    u, cols = _gender_code_frame(spark, d)
+    idx = ML.StringIndexer(inputCol="gender", outputCol="label_idx", stringOrderType="alphabetAsc")
+    rf = ML.forest_classifier(weight=None, trees=150, depth=8, min_leaf=1)
+    model = ML.Pipeline(stages=[idx, ML.VectorAssembler(inputCols=cols, outputCol=ML.FEATURES_COL), rf]).fit(u)
+    labels = model.stages[0].labels
+    scored = ML.probability_columns(model.transform(u), labels)
+    scored = ML.IndexToString(inputCol="prediction", outputCol="predicted_gender", labels=labels).transform(scored)
+    return scored.select("code", "gender", "predicted_gender", "confidence", "probabilities")
+
+
+@query("EVA3_EVA5_SNK1_SNK3_train_save_evaluate")
+def eva3(spark, d):
+    """Train both regressors, log runs, keep the better, save, reload, evaluate on the full table."""
+    tr, te = _flight_frames(spark, d)
+    root = _scratch(spark, "runs")
+    results = {}
+    for name, est in [("LinearRegression", ML.linear_regression()), ("RandomForest", ML.forest_regressor())]:
+        model, m = ML.train_regressor(tr, te, est, FLIGHT_COLS)
+        ML.log_run(spark, f"{root}/runs", "flight_price", name, ML.model_params(model), m)
+        results[name] = model
+    runs = spark.read.parquet(f"{root}/runs")
+    best = ML.best_run(runs, "r2", "LinearRegression").first()["selected_model"]
+    path = ML.save_model(results[best], f"{root}/model")
+    full = ML.flight_features(_f(spark, d))
+    metrics = EV.rounded(EV.regression_metrics(ML.load_model(path).transform(full)))
+    return metrics.withColumn("selected_model", F.lit(best))
+
+
+# ---------------------------------------------------------------- scoring
+def _flight_requests(spark, d):
+    raw = L.load_flights_raw(spark, d)
+    t = L.type_flights(raw.withColumn("raw_date", F.col("date")))
+    cal = C.calendar_codes("date")
+    return t.select("travelCode", *ML.FLIGHT_CATEGORICAL, "distance", "time", *[v.alias(k) for k, v in cal.items()],
+                    F.col("date").isNotNull().alias("date_ok"), "raw_date")
+
+
+def _request_bodies(spark, d):
+    flights = SC.flight_request_text(_flight_requests(spark, d)).withColumn("source", F.lit("flights"))
+    events = table(spark, d, "events", "event_id", "props").select(
+        F.col("event_id").alias("request_id"), F.col("props").alias("body"), F.lit("events").alias("source"))
+    return flights.unionByName(events)
+
+
+@query("SCR4_FLT6_SRC7_request_routing")
+def scr4(spark, d):
+    routed = SC.route_requests(_request_bodies(spark, d))
+    return routed.select("source", "request_id", "status", "message")
+
+
+@query("SCR1_price_scoring")
+def scr1(spark, d):
+    tr, _ = _flight_frames(spark, d)
+    model = ML.Pipeline(stages=ML.build_preprocessor(tr, FLIGHT_COLS) + [ML.linear_regression()]).fit(tr)
+    valid, _ = SC.split_valid(SC.route_requests(_request_bodies(spark, d)))
+    reqs = valid.select("request_id", "req.*")
+    return SC.score_prices(model, reqs)
+
+
+@query("SCR2_class_scoring")
+def scr2(spark, d):
+    tr, _ = _user_frames(spark, d)
+    weights = S.class_weights(tr, "label")
+    tr = tr.join(F.broadcast(weights.select("label", "class_weight")), "label")
+    idx = ML.StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc")
+    model = ML.Pipeline(stages=[idx] + ML.build_preprocessor(tr, ML.USER_FEATURES)
+                        + [ML.logistic_regression(tr.count())]).fit(tr)
+    labels = model.stages[0].labels
+    reqs = ML.user_features(_u(spark, d)).drop("label")
+    return SC.score_classes(model, reqs, labels, ML.USER_FEATURES)
+
+
+@query("SCR3_recommendation_responses")
+def scr3(spark, d):
+    recs, reqs, _ = _recs(spark, d)
+    best = recs.where(F.col("rank") == 1).select("request_id", F.col("name").alias("best_hotel"),
+                                                 F.col("match_score").alias("best_match"))
+    n = recs.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_results"))
+    out = reqs.select("request_id").join(n, "request_id", "left").join(best, "request_id", "left")
+    return out.select("request_id",
+                      F.when(F.col("n_results").isNull(), "no_match").otherwise("success").alias("status"),
+                      F.coalesce("n_results", F.lit(0)).alias("n_results"), "best_hotel", "best_match")
+
+
+@query("SCR5_fallback_scoring")
+def scr5(spark, d):
+    routed = SC.route_requests(_request_bodies(spark, d)).where(F.col("source") == "flights")
+    reqs = routed.select("request_id", "status", "req.*")
+    tr, _ = _flight_frames(spark, d)
+    model = ML.Pipeline(stages=ML.build_preprocessor(tr, FLIGHT_COLS) + [ML.linear_regression()]).fit(tr)
+    primary = model.transform(reqs.where(F.col("status") == "valid")).select("request_id", "prediction")
+    means = D.route_means(_f(spark, d))
+    fallback = D.route_lookup(reqs.select("request_id", "from", "to"), means) \
+        .select("request_id", (F.col("distance") / 2 + 280).alias("fallback_price"))
+    joined = reqs.select("request_id").join(primary, "request_id", "left").join(fallback, "request_id", "left")
+    fb = SC.with_fallback(F.round("prediction", 2), F.round("fallback_price", 2))
+    return joined.select("request_id", *[v.alias(k) for k, v in fb.items()])
+
+
+# ---------------------------------------------------------------- sinks
+@query("SNK5_SNK6_SNK7_persist_and_reload")
+def snk5(spark, d):
+    """Write the catalogue (CSV), the neighbour similarities (parquet) and the model tables; read them back."""
+    cat = _catalogue(spark, d)
+    m = R.fit(cat)
+    root = _scratch(spark, "recommender")
+    cat.write.mode("overwrite").option("header", True).csv(f"{root}/fitted_hotels")
+    R.pair_similarity(m.weights, R.neighbour_pairs(cat)).write.mode("overwrite").parquet(f"{root}/similarity")
+    R.save(m, f"{root}/model")
+    back = R.load(spark, f"{root}/model")
+    reqs = FX.hotel_requests(_f(spark, d))
+    return R.recommend(back, reqs)

@@ -469,3 +469,84 @@ sql("SNK4_recommender_metrics", _ITEM_TFIDF + """
 SELECT (SELECT count(*) FROM cat) AS num_hotels, (SELECT count(*) FROM vocab) AS vocab_size,
        (SELECT avg(avg_price_per_night) FROM cat) AS avg_price_per_night, (SELECT avg(review_score) FROM cat) AS avg_review_score
 """)
+
+# ---------------------------------------------------------------- evaluation
+_FSPLIT = f"""
+, sp AS (SELECT *, substr({_H.format(k='travelCode')}, 1, 8) < '33333333' AS is_test FROM tflights),
+tr AS (SELECT * FROM sp WHERE NOT is_test),
+te AS (SELECT * FROM sp WHERE is_test)
+"""
+
+
+def _gm_metrics(keys: str) -> str:
+    on = " AND ".join(f'te."{k}" = m."{k}"' for k in keys.split(","))
+    return f"""(SELECT sqrt(avg((label - prediction) * (label - prediction))) AS rmse,
+        avg(abs(label - prediction)) AS mae,
+        1.0 - sum((label - prediction) * (label - prediction)) / (var_pop(label) * count(*)) AS r2
+ FROM (SELECT te.price AS label, coalesce(m.prediction, (SELECT avg(price) FROM tr)) AS prediction
+       FROM te LEFT JOIN (SELECT {', '.join(f'"{k}"' for k in keys.split(','))}, avg(price) AS prediction
+                          FROM tr GROUP BY ALL) m ON {on}))"""
+
+
+sql("EVA1_regression_metrics", _FSPLIT + f"""
+SELECT round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(r2, 6) AS r2 FROM {_gm_metrics('from,to,flightType')}
+""")
+sql("EVA4_best_of_two", _FSPLIT + f"""
+, runs AS (SELECT 'route_mean' AS model, r2 AS metric, true AS is_baseline FROM {_gm_metrics('from,to')}
+           UNION ALL SELECT 'route_class_mean', r2, false FROM {_gm_metrics('from,to,flightType')})
+SELECT arg_max(model, (round(metric, 9), is_baseline)) AS selected_model, max(round(metric, 9)) AS selected_metric FROM runs
+""")
+sql("EVA2_classification_metrics", f"""
+, u AS (SELECT code, gender, {_FIRST} AS first_name FROM users WHERE gender IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY gender ORDER BY {_H.format(k='code')}, code) - 1
+                  < ceil(count(*) OVER (PARTITION BY gender) * 0.2) AS is_test FROM u),
+tr AS (SELECT * FROM s WHERE NOT is_test),
+te AS (SELECT * FROM s WHERE is_test),
+c AS (SELECT first_name, gender, count(*) AS n FROM tr GROUP BY first_name, gender),
+best AS (SELECT first_name, gender AS prediction
+         FROM (SELECT *, row_number() OVER (PARTITION BY first_name ORDER BY n DESC, gender) AS r FROM c) WHERE r = 1),
+overall AS (SELECT gender FROM tr GROUP BY gender ORDER BY count(*) DESC, gender LIMIT 1),
+p AS (SELECT te.gender AS y, coalesce(best.prediction, (SELECT gender FROM overall)) AS p
+      FROM te LEFT JOIN best ON te.first_name = best.first_name),
+conf AS (SELECT y, p, count(*) AS n FROM p GROUP BY y, p),
+cls AS (SELECT cls, sum(support) AS support, sum(tp) AS tp, sum(predicted) AS predicted FROM (
+          SELECT y AS cls, n AS support, CASE WHEN y = p THEN n ELSE 0 END AS tp, 0 AS predicted FROM conf
+          UNION ALL SELECT p, 0, 0, n FROM conf) GROUP BY cls),
+m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS prec,
+                CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rec FROM cls),
+m2 AS (SELECT *, CASE WHEN prec + rec > 0 THEN prec * rec * 2 / (prec + rec) ELSE 0.0 END AS f1 FROM m)
+SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(sum(prec * support) / sum(support), 6) AS "precision",
+       round(sum(rec * support) / sum(support), 6) AS recall, round(sum(f1 * support) / sum(support), 6) AS f1
+FROM m2
+""")
+
+# ---------------------------------------------------------------- scoring
+sql("SCR4_FLT6_SRC7_request_routing", """
+, bodies AS (
+  SELECT 'flights' AS source, travelCode AS request_id,
+         CASE WHEN "date" IS NOT NULL THEN CAST(to_json({'flightType': flightType, 'agency': agency, 'from': "from", 'to': "to"}) AS VARCHAR)
+              ELSE (SELECT f."date" FROM flights f WHERE f.travelCode = t.travelCode) END AS body
+  FROM tflights t
+  UNION ALL SELECT 'events', event_id, props FROM events),
+j AS (SELECT source, request_id, body, json_valid(body) AS ok FROM bodies),
+k AS (SELECT *, CASE WHEN ok THEN json_extract_string(body, '$.flightType') END AS ft,
+                CASE WHEN ok THEN json_extract_string(body, '$.agency') END AS ag,
+                CASE WHEN ok THEN json_extract_string(body, '$.from') END AS fr,
+                CASE WHEN ok THEN json_extract_string(body, '$.to') END AS dst,
+                CASE WHEN ok THEN len(json_keys(body)) END AS nkeys FROM j)
+SELECT source, request_id,
+       CASE WHEN NOT ok THEN 'error' WHEN nkeys = 0 THEN 'error'
+            WHEN ft IS NULL OR ag IS NULL OR fr IS NULL OR dst IS NULL THEN 'error'
+            WHEN fr = dst THEN 'rejected' ELSE 'valid' END AS status,
+       CASE WHEN NOT ok THEN 'Invalid JSON payload' WHEN nkeys = 0 THEN 'No input data provided'
+            WHEN ft IS NULL OR ag IS NULL OR fr IS NULL OR dst IS NULL THEN 'Missing required fields'
+            WHEN fr = dst THEN 'Origin and destination must differ' END AS message
+FROM k
+""")
+sql("SCR3_recommendation_responses", _RECS + """
+SELECT q.request_id, CASE WHEN n.n IS NULL THEN 'no_match' ELSE 'success' END AS status,
+       coalesce(n.n, 0) AS n_results, b.name AS best_hotel, b.match_score AS best_match
+FROM req q
+LEFT JOIN (SELECT request_id, count(*) AS n FROM recs GROUP BY request_id) n ON q.request_id = n.request_id
+LEFT JOIN (SELECT request_id, name, match_score FROM recs WHERE rank = 1) b ON q.request_id = b.request_id
+""")
