@@ -734,3 +734,51 @@ def snk5(spark, d):
     back = R.load(spark, f"{root}/model")
     reqs = FX.hotel_requests(_f(spark, d))
     return R.recommend(back, reqs)
+
+
+# ---------------------------------------------------------------- remaining projections and sources
+@query("PRJ11_user_features_and_label")
+def prj11(spark, d):
+    u = C.drop_ids(_u(spark, d), C.USER_ID_COLUMNS)
+    feats = C.name_features_training("name")
+    return u.select("company", "age", *[v.alias(k) for k, v in feats.items()], F.col("gender").alias("label"))
+
+
+@query("PRJ15_amenity_labels")
+def prj15(spark, d):
+    cat = _catalogue(spark, d)
+    labels = C.amenity_labels(F.split("amenities", " "))
+    return cat.select("price_rank", F.array_join(labels, ", ").alias("amenity_labels"),
+                      F.array_join(C.amenity_tokens(labels), " ").alias("round_trip"))
+
+
+@query("PRJ18_confidence_band")
+def prj18(spark, d):
+    """Majority-gender share per company as a confidence, banded."""
+    counts = D.value_counts(_u(spark, d), ["company", "gender"], "n")
+    per = counts.groupBy("company").agg((F.max("n") / F.sum("n")).alias("confidence"))
+    return per.withColumn("band", C.confidence_band("confidence"))
+
+
+@query("PRJ23_city_climate")
+def prj23(spark, d):
+    cities = _h(spark, d).select("city").where(F.col("city").isNotNull()).distinct()
+    climates = R.climate_table(spark, table(spark, d, "nation", "n_nationkey", "n_name"))
+    return (cities.join(F.broadcast(climates.dropDuplicates(["city"])), "city", "left")
+            .withColumn("climate", F.coalesce("climate", F.lit(R.DEFAULT_CLIMATE))))
+
+
+@query("SRC5_optional_sources")
+def src5(spark, d):
+    """Driver tables through the optional loader; a missing file yields no frame and a demo badge."""
+    from ..sources import schemas as SCH
+    from ..sources.tables import DRIVER_TABLES
+    found = {}
+    for name in ["orders", "customer", "lineitem", "hotels_missing"]:
+        path = f"{d.rstrip('/')}/{name}.parquet"
+        schema = spark.read.parquet(path).schema if name in DRIVER_TABLES else SCH.HOTELS
+        found[name] = L.load_optional(spark, path, schema, fmt="parquet")
+    live = D.source_badges(found)
+    missing = [n for n, df in found.items() if df is None]
+    demo = spark.createDataFrame([(n, 0, False) for n in missing], "source string, rows long, is_live boolean")
+    return live.unionByName(demo)

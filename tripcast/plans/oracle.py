@@ -550,3 +550,27 @@ FROM req q
 LEFT JOIN (SELECT request_id, count(*) AS n FROM recs GROUP BY request_id) n ON q.request_id = n.request_id
 LEFT JOIN (SELECT request_id, name, match_score FROM recs WHERE rank = 1) b ON q.request_id = b.request_id
 """)
+
+# ---------------------------------------------------------------- remaining projections
+sql("PRJ11_user_features_and_label", f"""
+SELECT company, age, first_name, CAST(length(first_name) AS INTEGER) AS name_length,
+       left(first_name, 1) AS first_letter, right(first_name, 1) AS last_letter, gender AS label
+FROM (SELECT *, {_FIRST} AS first_name FROM users)
+""")
+_TITLE = "array_to_string(list_transform(string_split(replace(a, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+sql("PRJ15_amenity_labels", _CAT + f"""
+SELECT price_rank, array_to_string(labels, ', ') AS amenity_labels,
+       array_to_string(list_transform(labels, lambda l: lower(replace(l, ' ', '_'))), ' ') AS round_trip
+FROM (SELECT price_rank, list_transform(string_split(amenities, ' '), lambda a: {_TITLE}) AS labels FROM cat)
+""")
+sql("PRJ18_confidence_band", """
+SELECT company, confidence,
+       CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'moderate' ELSE 'low' END AS band
+FROM (SELECT company, max(n) / sum(n) AS confidence
+      FROM (SELECT company, gender, count(*) AS n FROM users WHERE company IS NOT NULL AND gender IS NOT NULL
+            GROUP BY company, gender) GROUP BY company)
+""")
+sql("PRJ23_city_climate", _CAT + """
+SELECT DISTINCT h.city, coalesce(c.climate, 'tropical') AS climate
+FROM thotels h LEFT JOIN clim c ON h.city = c.city WHERE h.city IS NOT NULL
+""")
