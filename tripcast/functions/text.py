@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 # Fixed value: a token is a run of at least two word characters (letters, digits, underscore).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 MAX_FEATURES = 500
@@ -36,7 +38,8 @@ def item_text(cols: Sequence[str]) -> Column:
 
 def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, term, tf) — one row per distinct term in a document."""
-    return (docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(text)).alias("term"))
+    return (spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")))
+            .select("doc_id", F.explode(tokens("_t")).alias("term"))
             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 

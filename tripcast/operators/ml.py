@@ -26,12 +26,14 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions import features as FE
+from ..sources.tables import spread
 from . import evaluation as EV
 from . import sampling as S
 
@@ -127,9 +129,20 @@ def user_features(users: DataFrame) -> DataFrame:
     return users.select("code", "company", *[v.alias(k) for k, v in f.items()], "age", F.col("gender").alias("label"))
 
 
+def fit_pipeline(train: DataFrame, cols: Sequence[str], estimator, head: Sequence = ()) -> PipelineModel:
+    """Fit preprocessing + estimator. The training frame is persisted for the
+    duration of the fit (statistics and iterative learners make many passes);
+    a lost executor only means recomputing its blocks from lineage."""
+    train = spread(train).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=list(head) + build_preprocessor(train, cols) + [estimator]).fit(train)
+    finally:
+        train.unpersist()
+
+
 # EVA5 — train, evaluate, log
 def train_regressor(train: DataFrame, test: DataFrame, estimator, cols: Sequence[str]) -> tuple[PipelineModel, dict]:
-    model = Pipeline(stages=build_preprocessor(train, cols) + [estimator]).fit(train)
+    model = fit_pipeline(train, cols, estimator)
     m = EV.regression_metrics(model.transform(test)).first().asDict()
     return model, m
 
@@ -140,8 +153,7 @@ def train_classifier(train: DataFrame, test: DataFrame, estimator, cols: Sequenc
     tr = train.join(F.broadcast(weights.select(label, "class_weight")), label)  # one row per class
     label_idx = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc")
     to_label = IndexToString(inputCol="prediction", outputCol="predicted_label")
-    pipe = Pipeline(stages=[label_idx] + build_preprocessor(train, cols) + [estimator])
-    model = pipe.fit(tr)
+    model = fit_pipeline(tr, cols, estimator, head=[label_idx])
     to_label.setLabels(model.stages[0].labels)
     preds = to_label.transform(model.transform(test.where(F.col(label).isNotNull())))
     m = EV.classification_metrics(preds, label, "predicted_label").first().asDict()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import features as FE
 from ..functions import text as TX
-from ..session import BROADCAST_ROW_LIMIT
+from ..session import BROADCAST_ROW_LIMIT, checked_broadcast
 from .dashboard import hotel_base
 from .ranking import global_row_number
 
@@ -118,12 +118,23 @@ class FittedRecommender:
     bounds: dict              # column -> (min, max)
     weights: DataFrame        # (doc_id, term, weight) long form
     config: RecommenderConfig
+    idf: dict | None = None   # term -> idf, the vocabulary as a model parameter (<= max_features entries)
+
+    def idf_map(self) -> dict:
+        if self.idf is None:
+            self.idf = {r["term"]: r["idf"] for r in self.vocab.collect()}
+        return self.idf
 
 
 # REC4 — fit on any catalogue frame that has the expected columns
-def fit(catalogue: DataFrame, config: RecommenderConfig | None = None, id_col: str = "price_rank") -> FittedRecommender:
+def fit(catalogue: DataFrame, config: RecommenderConfig | None = None, id_col: str = "price_rank",
+        materialize: bool = True) -> FittedRecommender:
+    """The catalogue is one row per hotel; it is checkpointed (to the shared
+    checkpoint folder) so the booking joins behind it run once per fit."""
     config = config or RecommenderConfig()
     items = catalogue.withColumn("item_id", F.col(id_col)).withColumn("_text", TX.item_text(TEXT_COLUMNS))
+    if materialize:
+        items = items.checkpoint(eager=True)
     weights, vocab = TX.tfidf(items, "item_id", "_text", config.tfidf_max_features)
     vecs = (weights.groupBy("doc_id")
             .agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("vec"))
@@ -131,6 +142,8 @@ def fit(catalogue: DataFrame, config: RecommenderConfig | None = None, id_col: s
     bounds = FE.fit_minmax(items, NUM_COLUMNS)
     scaled = {f"{c}_s": FE.minmax(c, *bounds[c]) for c in NUM_COLUMNS}
     fitted_items = items.drop("_text").join(vecs, "item_id", "left").withColumns(scaled)
+    if materialize:
+        fitted_items = fitted_items.checkpoint(eager=True)
     return FittedRecommender(fitted_items, vocab, bounds, weights, config)
 
 
@@ -144,14 +157,18 @@ def query_text() -> F.Column:
     return F.when(raw == "", F.lit(EMPTY_QUERY)).otherwise(raw)
 
 
-def query_vectors(requests: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(request_id, qvec): L2-normalised tf*idf map of in-vocabulary query terms."""
-    toks = requests.select("request_id", F.explode(TX.tokens(query_text())).alias("term"))
-    tf = (toks.join(F.broadcast(vocab), "term").groupBy("request_id", "term", "idf")
+def text_vectors(requests: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(qtext, qvec): L2-normalised tf*idf map of the in-vocabulary terms of each
+    *distinct* query text. Many requests share a text, so the tokenizer runs
+    once per text; the vocabulary (<= max_features rows) is the broadcast side
+    and the norm window is bounded by the terms of one text."""
+    texts = requests.select(query_text().alias("qtext")).distinct()
+    toks = texts.select("qtext", F.explode(TX.tokens("qtext")).alias("term"))
+    tf = (toks.join(F.broadcast(vocab.select("term", "idf")), "term").groupBy("qtext", "term", "idf")
           .agg(F.count(F.lit(1)).alias("tf")))
     w = tf.withColumn("w", F.col("tf") * F.col("idf"))
-    w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("request_id"))))
-    return w.groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("qvec"))
+    w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("qtext"))))
+    return w.groupBy("qtext").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("qvec"))
 
 
 def _blank(c: str) -> F.Column:
@@ -181,9 +198,11 @@ def recommend(model: FittedRecommender, requests: DataFrame, top_n: int = TOP_N,
     cfg = model.config
     spark = requests.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keep = requests.select("request_id", "destination", "budget_max", "min_stars", "min_review")
-    reqs = (keep.repartition(parts, "request_id")
-            .join(query_vectors(requests, model.vocab), "request_id", "left"))
+    keep = requests.select("request_id", "destination", "budget_max", "min_stars", "min_review",
+                           query_text().alias("qtext"))
+    qv = checked_broadcast(text_vectors(requests, model.vocab))
+    # one shuffle of the (narrow) request rows; every later window is per request
+    reqs = keep.join(qv, "qtext", "left").drop("qtext").repartition(parts, "request_id")
     items = model.items.drop("bookings_s")
     n_items = items.limit(BROADCAST_ROW_LIMIT + 1).count()
     if n_items > BROADCAST_ROW_LIMIT:
@@ -297,5 +316,6 @@ def load(spark, path: str) -> FittedRecommender:
     bounds = {r["column"]: (r["lo"], r["hi"]) for r in spark.read.parquet(f"{path}/bounds").collect()}
     c = spark.read.parquet(f"{path}/config").first()
     cfg = RecommenderConfig(c["text_weight"], c["num_weight"], c["tfidf_max_features"])
-    return FittedRecommender(spark.read.parquet(f"{path}/items"), spark.read.parquet(f"{path}/vocab"),
-                             bounds, spark.read.parquet(f"{path}/weights"), cfg)
+    model = FittedRecommender(spark.read.parquet(f"{path}/items"), spark.read.parquet(f"{path}/vocab"),
+                              bounds, spark.read.parquet(f"{path}/weights"), cfg)
+    return model

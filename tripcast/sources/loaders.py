@@ -99,8 +99,13 @@ def fallback_catalogue(spark: SparkSession) -> DataFrame:
 
 # SRC7 — parse request JSON text; malformed text gives NULL fields, never an exception.
 def parse_requests(df: DataFrame, text_col: str, schema: T.StructType) -> DataFrame:
-    """Adds ``req`` (typed struct) and ``req_map`` (map form: NULL = malformed, {} = empty)."""
-    return df.withColumns({
-        "req": F.from_json(F.col(text_col), schema, {"mode": "PERMISSIVE"}),
-        "req_map": F.from_json(F.col(text_col), T.MapType(T.StringType(), T.StringType()), {"mode": "PERMISSIVE"}),
-    })
+    """Adds ``req`` (typed struct) and ``req_map`` (map form: NULL = malformed, {} = empty).
+
+    Both parses are produced by one generator row per input row, so a later
+    filter on fields of the parse (e.g. a routing status) is evaluated on the
+    parsed columns instead of being rewritten into repeated parses."""
+    parsed = F.struct(
+        F.from_json(F.col(text_col), schema, {"mode": "PERMISSIVE"}).alias("req"),
+        F.from_json(F.col(text_col), T.MapType(T.StringType(), T.StringType()), {"mode": "PERMISSIVE"}).alias("req_map"),
+    )
+    return df.select("*", F.inline(F.array(parsed)))

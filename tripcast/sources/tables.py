@@ -3,6 +3,12 @@
 Reads are lazy and column selection happens right after the scan, so the
 parquet reader only materialises the columns a query needs (``ReadSchema``)
 and filters written later are pushed into it (``PushedFilters``).
+
+``spread`` is for operators with heavy per-row work (tokenizing, JSON parsing,
+model scoring): when the input plans fewer partitions than the session can
+run in parallel (one large file with a single row group, as in the test
+data) it adds a round-robin repartition so that work is not serialised on
+one core. On a cluster reading many files it adds nothing.
 """
 
 from __future__ import annotations
@@ -18,3 +24,12 @@ DRIVER_TABLES = (
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    if df.isStreaming:  # micro-batches are planned per trigger
+        return df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..sources import loaders as L
 from ..sources import schemas
+from ..sources.tables import spread
 
 MODEL_VERSION = "tripcast_v1"
 FALLBACK_VERSION = "local_fallback_v1"
@@ -35,7 +36,7 @@ def flight_request_text(flights_features: DataFrame) -> DataFrame:
 
 # FLT6 / SCR4 — validation and routing; never raises
 def route_requests(requests: DataFrame, body: str = "body") -> DataFrame:
-    parsed = L.parse_requests(requests, body, schemas.FLIGHT_REQUEST)
+    parsed = L.parse_requests(spread(requests), body, schemas.FLIGHT_REQUEST)
     r, m = F.col("req"), F.col("req_map")
     missing = None
     for c in FLIGHT_REQUIRED:
@@ -57,7 +58,7 @@ def split_valid(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
 # SCR1 — price scoring
 def score_prices(model: PipelineModel, requests: DataFrame, version: str = MODEL_VERSION) -> DataFrame:
     echo = F.struct(*[F.col(f.name) for f in schemas.FLIGHT_REQUEST.fields])
-    scored = model.transform(requests.withColumn("input_received", echo))
+    scored = model.transform(spread(requests).withColumn("input_received", echo))
     return scored.select(
         *[c for c in requests.columns if c not in {f.name for f in schemas.FLIGHT_REQUEST.fields}],
         F.lit("success").alias("status"),
@@ -74,7 +75,7 @@ def score_classes(model: PipelineModel, requests: DataFrame, labels: list[str],
     from ..operators.ml import probability_columns
     from pyspark.ml.feature import IndexToString
 
-    scored = model.transform(requests.withColumn("input_received", F.struct(*[F.col(c) for c in echo_cols])))
+    scored = model.transform(spread(requests).withColumn("input_received", F.struct(*[F.col(c) for c in echo_cols])))
     scored = IndexToString(inputCol="prediction", outputCol="predicted_gender", labels=labels).transform(scored)
     scored = probability_columns(scored, labels)
     keep = [c for c in requests.columns if c not in echo_cols]
