@@ -56,15 +56,24 @@ def group_mean(df: DataFrame, keys: Sequence[str], value: str, name: str) -> Dat
 # AGG1 — KPI row (flights filtered by year; hotel KPIs unfiltered)
 def kpi_row(flights: DataFrame, hotels: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
     f = filter_years(flights, years)
-    flight_part = f.agg(F.count(F.lit(1)).alias("n_flights"), F.avg("price_inr").alias("avg_flight_inr"))
-    dest = top_value(f, "to_city", "top_destination", "top_destination_count")
+    # one pass over flights: per destination (the null group included) count and price sums;
+    # the totals and the modal destination both come from these few rows
+    per_dest = f.groupBy("to_city").agg(F.count(F.lit(1)).alias("n"), F.sum("price_inr").alias("s"),
+                                        F.count("price_inr").alias("k"))
+    named = F.col("to_city").isNotNull()
+    flight_part = per_dest.agg(
+        F.sum("n").alias("n_flights"),
+        (F.sum("s") / F.sum("k")).alias("avg_flight_inr"),
+        F.min_by(F.when(named, F.col("to_city")), F.when(named, F.struct(-F.col("n"), F.col("to_city")))).alias("top_destination"),
+        F.max(F.when(named, F.col("n"))).alias("top_destination_count"),
+    )
     hotel_part = hotels.agg(
         F.count(F.lit(1)).alias("n_hotels"),
         F.avg("price_inr").alias("avg_hotel_inr"),
         F.sum("total_inr").alias("hotel_revenue_inr"),
     )
-    # Three one-row frames stacked and folded into one row (no cross join).
-    stacked = flight_part.unionByName(dest, allowMissingColumns=True).unionByName(hotel_part, allowMissingColumns=True)
+    # Two one-row frames stacked and folded into one row (no cross join).
+    stacked = flight_part.unionByName(hotel_part, allowMissingColumns=True)
     row = stacked.agg(*[F.max(c).alias(c) for c in
                         ["n_flights", "avg_flight_inr", "top_destination", "top_destination_count",
                          "n_hotels", "avg_hotel_inr", "hotel_revenue_inr"]])

@@ -55,25 +55,27 @@ def _q(c: str) -> str:
 # FEA5 — fit the column-wise preprocessing on the training frame
 def build_preprocessor(train: DataFrame, cols: Sequence[str]) -> list:
     num, cat = feature_kinds(train, cols)
-    med = FE.fit_medians(train, num) if num else {}
+    # pass 1: medians and modes together; pass 2: mean and population std of the imputed values
+    first = train.agg(*[F.median(c).alias(f"m_{i}") for i, c in enumerate(num)],
+                      *[F.mode(c, True).alias(f"o_{i}") for i, c in enumerate(cat)]).first() if (num or cat) else None
+    med = {c: (0.0 if first[f"m_{i}"] is None else float(first[f"m_{i}"])) for i, c in enumerate(num)}
+    modes = {c: first[f"o_{i}"] for i, c in enumerate(cat)}
     filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c) for c in num]) if num else None
     std = FE.fit_standard(filled, num) if num else {}
-    modes = FE.fit_modes(train, cat) if cat else {}
     exprs = []
     for c in num:
-        m = med[c] if med[c] is not None else 0.0
         mean, sd = std[c]
-        x = f"coalesce(CAST({_q(c)} AS DOUBLE), {m!r})"
+        x = f"coalesce(CAST({_q(c)} AS DOUBLE), {med[c]!r})"
         exprs.append(f"({x} - {mean!r}) / {sd!r} AS {_q(c + '__num')}" if sd else f"0.0 AS {_q(c + '__num')}")
     for c in cat:
         mode = modes[c]
         lit = "NULL" if mode is None else "'" + str(mode).replace("'", "''") + "'"
         exprs.append(f"coalesce({_q(c)}, {lit}) AS {_q(c + '__cat')}")
     stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")]
-    for c in cat:
-        stages.append(StringIndexer(inputCol=c + "__cat", outputCol=c + "__idx", handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
     if cat:
+        # one indexer for all categorical columns: their labels are collected in a single pass
+        stages.append(StringIndexer(inputCols=[c + "__cat" for c in cat], outputCols=[c + "__idx" for c in cat],
+                                    handleInvalid="keep", stringOrderType="alphabetAsc"))
         stages.append(OneHotEncoder(inputCols=[c + "__idx" for c in cat], outputCols=[c + "__ohe" for c in cat],
                                     dropLast=True, handleInvalid="error"))
     stages.append(VectorAssembler(inputCols=[c + "__num" for c in num] + [c + "__ohe" for c in cat],
