@@ -136,3 +136,15 @@ def test_save_load_same_results(spark, tmp_path):
     back = R.load(spark, str(tmp_path / "m"))
     again = R.recommend(back, _requests(spark))
     assert recs.exceptAll(again).count() == 0 and again.exceptAll(recs).count() == 0
+
+
+def test_large_catalogue_path_equals_broadcast_path(spark):
+    cat, model, recs = _run(spark)
+    routed = R.recommend(model, _requests(spark), max_broadcast_items=3)
+    assert recs.exceptAll(routed).count() == 0 and routed.exceptAll(recs).count() == 0
+    from tripcast.sources import fixtures as FX
+    from tripcast.plans.catalog import _f
+    reqs = FX.hotel_requests(_f(spark, SF_SMALL))
+    a = R.recommend(model, reqs)
+    b = R.recommend(model, reqs, max_broadcast_items=24)
+    assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

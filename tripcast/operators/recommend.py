@@ -193,8 +193,37 @@ def _dot(q: str, v: str) -> F.Column:
                       F.lit(0.0))
 
 
+def _routed_pairs(reqs: DataFrame, items: DataFrame, regex: bool, bound: int) -> DataFrame:
+    """Candidate pairs when the catalogue is too large to broadcast.
+
+    Each *distinct* destination is matched against the *distinct* catalogue
+    locations (the same contains / regex rule), giving a destination ->
+    location map. Requests then reach their hotels through two equi-joins
+    (shuffled on destination and on location; AQE splits a hot key), so no
+    request meets a hotel its destination rules out. Requests without a
+    destination match every hotel: they are the broadcast side of their
+    nested-loop join, behind the same size check.
+    """
+    d = F.lower(F.trim(F.col("destination")))
+    has_dest = F.col("destination").isNotNull() & (d != "")
+    dests = reqs.where(has_dest).select(d.alias("_d")).distinct()
+    locs = items.select(F.lower("location").alias("_l"), F.lower("country").alias("_c")).distinct()
+    match = (F.col("_l").rlike(F.col("_d")) | F.col("_c").rlike(F.col("_d"))) if regex else \
+        (F.col("_l").contains(F.col("_d")) | F.col("_c").contains(F.col("_d")))
+    dmap = dests.join(checked_broadcast(locs, bound), match)
+    keyed_items = items.withColumns({"_l": F.lower("location"), "_c": F.lower("country")})
+    with_dest = (reqs.where(has_dest).withColumn("_d", d).join(dmap, "_d")
+                 .join(keyed_items, ["_l", "_c"]).where(candidate_predicate(regex)).drop("_d", "_l", "_c"))
+    blank = reqs.where(~has_dest)
+    if blank.limit(bound + 1).count() > bound:
+        raise ValueError("too many requests without a destination to pair with a catalogue this large")
+    no_dest = F.broadcast(blank).join(items, candidate_predicate(regex), "inner")
+    return with_dest.unionByName(no_dest)
+
+
 # REC6-10, JOIN6, TOP2, WIN2, WIN3
-def recommend(model: FittedRecommender, requests: DataFrame, top_n: int = TOP_N, regex: bool = False) -> DataFrame:
+def recommend(model: FittedRecommender, requests: DataFrame, top_n: int = TOP_N, regex: bool = False,
+              max_broadcast_items: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     cfg = model.config
     spark = requests.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -204,10 +233,11 @@ def recommend(model: FittedRecommender, requests: DataFrame, top_n: int = TOP_N,
     # one shuffle of the (narrow) request rows; every later window is per request
     reqs = keep.join(qv, "qtext", "left").drop("qtext").repartition(parts, "request_id")
     items = model.items.drop("bookings_s")
-    n_items = items.limit(BROADCAST_ROW_LIMIT + 1).count()
-    if n_items > BROADCAST_ROW_LIMIT:
-        raise ValueError(f"catalogue has more than {BROADCAST_ROW_LIMIT} hotels; score it in destination shards")
-    pairs = reqs.join(F.broadcast(items), candidate_predicate(regex), "inner")
+    n_items = items.limit(max_broadcast_items + 1).count()
+    if n_items <= max_broadcast_items:
+        pairs = reqs.join(F.broadcast(items), candidate_predicate(regex), "inner")
+    else:
+        pairs = _routed_pairs(reqs, items, regex, max_broadcast_items)
 
     per_req = Window.partitionBy("request_id")
     mx = F.max("avg_price_per_night").over(per_req)
