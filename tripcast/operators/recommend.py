@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import features as FE
 from ..functions import text as TX
-from ..session import BROADCAST_ROW_LIMIT, checked_broadcast
+from ..session import BROADCAST_ROW_LIMIT, checked_broadcast, ensure_checkpoint_dir
 from .dashboard import hotel_base
 from .ranking import global_row_number
 
@@ -134,6 +134,7 @@ def fit(catalogue: DataFrame, config: RecommenderConfig | None = None, id_col: s
     config = config or RecommenderConfig()
     items = catalogue.withColumn("item_id", F.col(id_col)).withColumn("_text", TX.item_text(TEXT_COLUMNS))
     if materialize:
+        ensure_checkpoint_dir(catalogue.sparkSession)
         items = items.checkpoint(eager=True)
     weights, vocab = TX.tfidf(items, "item_id", "_text", config.tfidf_max_features)
     vecs = (weights.groupBy("doc_id")

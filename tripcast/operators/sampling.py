@@ -22,9 +22,25 @@ def seeded_hash(key: str | Column, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), k.cast("string")))
 
 
-# SMP1 / SMP2 — fixed-size sample: the n smallest hashes (distributed top-n)
+# SMP1 / SMP2 — fixed-size sample: the n rows with the smallest hashes.
+# A plain orderBy().limit(n) sends up to n rows from every input partition to
+# one final task. Instead the hash prefix (uniform over [0, 16^8)) is cut at a
+# threshold chosen from the row count so that about 1.1 n candidates pass; the
+# threshold is doubled until at least n pass, then the exact n smallest are
+# taken from the candidates only. Same rows as the plain form.
 def fixed_sample(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
-    return df.withColumn("_h", seeded_hash(key, seed)).orderBy("_h", key).limit(n).drop("_h")
+    h = df.withColumn("_h", seeded_hash(key, seed))
+    total = df.count()
+    if total > n:
+        prefix = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")
+        cut = min(16 ** 8, int(16 ** 8 * n / total * 1.1) + 1)
+        while True:
+            cand = h.where(prefix < F.lit(cut))
+            if cut >= 16 ** 8 or cand.count() >= n:
+                h = cand
+                break
+            cut = min(16 ** 8, cut * 2)
+    return h.orderBy("_h", key).limit(n).drop("_h")
 
 
 # SMP3 — hash split: first 8 hex digits below 0.2 * 16^8 -> test
