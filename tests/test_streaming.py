@@ -31,3 +31,23 @@ def test_stream_equals_batch(spark, tmp_path):
 
     routed = SC.route_requests(spark.read.schema(SCHEMA).json(src))
     assert routed.where("status = 'error'").count() > 0  # malformed bodies and event payloads are kept, not raised
+
+
+def test_recommendation_stream_equals_batch(spark, tmp_path):
+    """SCR3 streaming form: foreachBatch runs the batch recommender per micro-batch."""
+    from tripcast.operators import recommend as R
+    from tripcast.sources import fixtures as FX
+
+    model = R.fit(Q._catalogue(spark, SF_SMALL))
+    reqs = FX.hotel_requests(Q._f(spark, SF_SMALL))
+    src = str(tmp_path / "req")
+    reqs.repartition(3).write.json(src)
+    schema = spark.read.schema("request_id long, destination string, style string, climate string, "
+                               "travel_type string, amenities array<string>, budget_max double, "
+                               "min_stars int, min_review double").json(src).schema
+    SC.run_stream_batches(spark, lambda b: R.recommend(model, b), schema, src,
+                          str(tmp_path / "out"), str(tmp_path / "ck"))
+    streamed = spark.read.parquet(str(tmp_path / "out"))
+    batch = R.recommend(model, spark.read.schema(schema).json(src))
+    assert streamed.count() == batch.count() > 0
+    assert streamed.exceptAll(batch).count() == 0

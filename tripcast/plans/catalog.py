@@ -781,3 +781,16 @@ def src5(spark, d):
     missing = [n for n, df in found.items() if df is None]
     demo = spark.createDataFrame([(n, 0, False) for n in missing], "source string, rows long, is_live boolean")
     return live.unionByName(demo)
+
+
+@query("FLT6_classify_request_routing")
+def flt6(spark, d):
+    """Classify request bodies built from users (serving name form); empty names are rejected."""
+    u = _u(spark, d)
+    first = C.name_features_training("name")["first_name"]
+    feats = C.name_features_serving(F.coalesce(first, F.lit("")))
+    body = F.to_json(F.struct(feats["first_name"].alias("first_name"), F.col("company"),
+                              feats["first_letter"].alias("first_letter"), feats["last_letter"].alias("last_letter"),
+                              feats["name_length"].alias("name_length"), F.col("age")))
+    routed = SC.route_classify_requests(u.select(F.col("code").alias("request_id"), body.alias("body")))
+    return routed.select("request_id", "status", "message")

@@ -574,3 +574,9 @@ sql("PRJ23_city_climate", _CAT + """
 SELECT DISTINCT h.city, coalesce(c.climate, 'tropical') AS climate
 FROM thotels h LEFT JOIN clim c ON h.city = c.city WHERE h.city IS NOT NULL
 """)
+sql("FLT6_classify_request_routing", f"""
+SELECT code AS request_id,
+       CASE WHEN coalesce(trim(fn), '') = '' THEN 'rejected' ELSE 'valid' END AS status,
+       CASE WHEN coalesce(trim(fn), '') = '' THEN 'Please enter a valid first name' END AS message
+FROM (SELECT code, trim(coalesce({_FIRST}, '')) AS fn FROM users)
+""")

@@ -50,6 +50,18 @@ def route_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     return parsed.withColumns({"status": status, "message": message})
 
 
+# FLT6 — classify requests: malformed / empty bodies are errors, a blank first name is rejected
+def route_classify_requests(requests: DataFrame, body: str = "body") -> DataFrame:
+    parsed = L.parse_requests(spread(requests), body, schemas.CLASSIFY_REQUEST)
+    r, m = F.col("req"), F.col("req_map")
+    blank = F.coalesce(F.trim(r["first_name"]), F.lit("")) == ""
+    status = (F.when(m.isNull(), "error").when(F.size(m) == 0, "error")
+              .when(blank, "rejected").otherwise("valid"))
+    message = (F.when(m.isNull(), "Invalid JSON payload").when(F.size(m) == 0, "No input data provided")
+               .when(blank, "Please enter a valid first name"))
+    return parsed.withColumns({"status": status, "message": message})
+
+
 def split_valid(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid requests, quarantine) — two filters over one parse."""
     return routed.where(F.col("status") == "valid"), routed.where(F.col("status") != "valid")
