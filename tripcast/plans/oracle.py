@@ -580,3 +580,13 @@ SELECT code AS request_id,
        CASE WHEN coalesce(trim(fn), '') = '' THEN 'Please enter a valid first name' END AS message
 FROM (SELECT code, trim(coalesce({_FIRST}, '')) AS fn FROM users)
 """)
+
+# ---------------------------------------------------------------- sinks and optional sources
+# A saved and reloaded recommender must give exactly the REC10 rows.
+SQL["SNK5_SNK6_SNK7_persist_and_reload"] = SQL["REC10_recommend"]
+sql("SRC5_optional_sources", """
+SELECT 'orders' AS source, count(*) AS "rows", true AS is_live FROM orders
+UNION ALL SELECT 'customer', count(*), true FROM customer
+UNION ALL SELECT 'lineitem', count(*), true FROM lineitem
+UNION ALL SELECT 'hotels_missing', 0, false
+""")
