@@ -69,8 +69,13 @@ def climate_table(spark, nation: DataFrame | None = None) -> DataFrame:
 
 
 # REC1-3 — catalogue derived from bookings
-def build_catalogue(hotels: DataFrame, climates: DataFrame) -> DataFrame:
+def build_catalogue(hotels: DataFrame, climates: DataFrame, materialize: bool = True) -> DataFrame:
     base = hotel_base(hotels)
+    if materialize:
+        # one row per hotel: written once to the shared checkpoint folder, so the
+        # ranking below (sampling + shuffle) does not re-run the booking joins
+        ensure_checkpoint_dir(hotels.sparkSession)
+        base = base.checkpoint(eager=True)
     ranked = global_row_number(base, ["avg_price_per_night", "name", "place"], "price_rank", total="n_hotels")
     tier = F.col("price_rank") / F.greatest(F.lit(1), F.col("n_hotels") - 1)
     # PRJ23 — climate lookup; the table has one row per known city.
@@ -143,8 +148,6 @@ def fit(catalogue: DataFrame, config: RecommenderConfig | None = None, id_col: s
     bounds = FE.fit_minmax(items, NUM_COLUMNS)
     scaled = {f"{c}_s": FE.minmax(c, *bounds[c]) for c in NUM_COLUMNS}
     fitted_items = items.drop("_text").join(vecs, "item_id", "left").withColumns(scaled)
-    if materialize:
-        fitted_items = fitted_items.checkpoint(eager=True)
     return FittedRecommender(fitted_items, vocab, bounds, weights, config)
 
 
@@ -176,15 +179,23 @@ def _blank(c: str) -> F.Column:
     return F.col(c).isNull() | (F.col(c) == 0)
 
 
-# FLT3 / FLT4 — hard filters as one join predicate
+# FLT3 / FLT4 — hard filters as one join predicate.
+# Expects ``_dest`` (lower-cased, trimmed destination) on the request side and
+# ``_loc`` / ``_cty`` (lower-cased location / country) on the catalogue side, so
+# the per-pair work is only the comparisons.
 def candidate_predicate(regex: bool = False) -> F.Column:
-    dest = F.lower(F.trim(F.col("destination")))
-    match = (F.lower(F.col("location")).rlike(dest) | F.lower(F.col("country")).rlike(dest)) if regex else \
-        (F.lower(F.col("location")).contains(dest) | F.lower(F.col("country")).contains(dest))
+    dest = F.col("_dest")
+    match = (F.col("_loc").rlike(dest) | F.col("_cty").rlike(dest)) if regex else \
+        (F.col("_loc").contains(dest) | F.col("_cty").contains(dest))
     return ((_blank("budget_max") | (F.col("avg_price_per_night") <= F.col("budget_max")))
             & (_blank("min_stars") | (F.col("star_rating") >= F.col("min_stars")))
             & (_blank("min_review") | (F.col("review_score") >= F.col("min_review")))
-            & (F.col("destination").isNull() | (dest == "") | match))
+            & (dest.isNull() | (dest == "") | match))
+
+
+def _with_match_keys(requests: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (requests.withColumn("_dest", F.lower(F.trim(F.col("destination")))),
+            items.withColumns({"_loc": F.lower("location"), "_cty": F.lower("country")}))
 
 
 def _dot(q: str, v: str) -> F.Column:
@@ -205,16 +216,14 @@ def _routed_pairs(reqs: DataFrame, items: DataFrame, regex: bool, bound: int) ->
     destination match every hotel: they are the broadcast side of their
     nested-loop join, behind the same size check.
     """
-    d = F.lower(F.trim(F.col("destination")))
-    has_dest = F.col("destination").isNotNull() & (d != "")
-    dests = reqs.where(has_dest).select(d.alias("_d")).distinct()
-    locs = items.select(F.lower("location").alias("_l"), F.lower("country").alias("_c")).distinct()
-    match = (F.col("_l").rlike(F.col("_d")) | F.col("_c").rlike(F.col("_d"))) if regex else \
-        (F.col("_l").contains(F.col("_d")) | F.col("_c").contains(F.col("_d")))
+    has_dest = F.col("_dest").isNotNull() & (F.col("_dest") != "")
+    dests = reqs.where(has_dest).select("_dest").distinct()
+    locs = items.select("_loc", "_cty").distinct()
+    match = (F.col("_loc").rlike(F.col("_dest")) | F.col("_cty").rlike(F.col("_dest"))) if regex else \
+        (F.col("_loc").contains(F.col("_dest")) | F.col("_cty").contains(F.col("_dest")))
     dmap = dests.join(checked_broadcast(locs, bound), match)
-    keyed_items = items.withColumns({"_l": F.lower("location"), "_c": F.lower("country")})
-    with_dest = (reqs.where(has_dest).withColumn("_d", d).join(dmap, "_d")
-                 .join(keyed_items, ["_l", "_c"]).where(candidate_predicate(regex)).drop("_d", "_l", "_c"))
+    with_dest = (reqs.where(has_dest).join(dmap, "_dest")
+                 .join(items, ["_loc", "_cty"]).where(candidate_predicate(regex)))
     blank = reqs.where(~has_dest)
     if blank.limit(bound + 1).count() > bound:
         raise ValueError("too many requests without a destination to pair with a catalogue this large")
@@ -230,10 +239,12 @@ def recommend(model: FittedRecommender, requests: DataFrame, top_n: int = TOP_N,
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keep = requests.select("request_id", "destination", "budget_max", "min_stars", "min_review",
                            query_text().alias("qtext"))
-    qv = checked_broadcast(text_vectors(requests, model.vocab))
+    # one row per distinct query text, written once; the size check and the join both read it
+    ensure_checkpoint_dir(spark)
+    qv = checked_broadcast(text_vectors(requests, model.vocab).checkpoint(eager=True))
     # one shuffle of the (narrow) request rows; every later window is per request
     reqs = keep.join(qv, "qtext", "left").drop("qtext").repartition(parts, "request_id")
-    items = model.items.drop("bookings_s")
+    reqs, items = _with_match_keys(reqs, model.items)
     n_items = items.limit(max_broadcast_items + 1).count()
     if n_items <= max_broadcast_items:
         pairs = reqs.join(F.broadcast(items), candidate_predicate(regex), "inner")
