@@ -72,3 +72,11 @@ def test_class_weights_balanced(spark):
     df = spark.createDataFrame([("a",)] * 3 + [("b",)], "y string")
     w = {r["y"]: r["class_weight"] for r in S.class_weights(df, "y").collect()}
     assert abs(w["a"] - 4 / 6) < 1e-12 and abs(w["b"] - 2.0) < 1e-12
+
+
+def test_importances_summed_to_source_columns(spark):
+    tr, te = Q._flight_frames(spark, SF_SMALL)
+    model = ML.fit_pipeline(tr, Q.FLIGHT_COLS, ML.forest_regressor(trees=10, depth=5))
+    imp = {r["feature"]: r["importance"] for r in ML.feature_importances(spark, model, te).collect()}
+    assert set(imp) <= set(Q.FLIGHT_COLS) and abs(sum(imp.values()) - 1.0) < 1e-9
+    assert max(imp, key=imp.get) in ("flightType", "distance", "time")
