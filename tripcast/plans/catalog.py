@@ -188,7 +188,7 @@ def flt2(spark, d):
 @query("FLT5_company_members")
 def flt5(spark, d):
     u = _u(spark, d)
-    known = u.select("company").where(F.col("company").isin("BUILDING", "MACHINERY", "HOUSEHOLD", "AUTOMOBILE"))
+    known = u.select("company").where(F.col("company").isNotNull())  # the encoder's company list
     return D.members(u, known, "company").select("code", "company")
 
 

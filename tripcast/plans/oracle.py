@@ -128,7 +128,7 @@ WHERE year("date") IN {YEARS_SQL} AND flightType IN {CLASSES_SQL}
 """)
 sql("FLT5_company_members", """
 SELECT code, company FROM users
-WHERE company IN (SELECT company FROM users WHERE company IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD', 'AUTOMOBILE'))
+WHERE company IN (SELECT company FROM users WHERE company IS NOT NULL)
 """)
 sql("FLT7_option_lists", """
 SELECT DISTINCT option, value FROM (

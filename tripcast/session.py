@@ -29,6 +29,10 @@ def build_session(app: str = "tripcast", cpus: str | int = "*", shuffle_partitio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # ~128 MB input splits and post-shuffle partitions: partitions stay far below
+        # executor memory at any scale; AQE merges small ones and splits skewed ones
+        .config("spark.sql.files.maxPartitionBytes", str(128 << 20))
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(128 << 20))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
