@@ -7,14 +7,26 @@ names match the DuckDB text in ``plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import features as FE
+from ..functions import text as TX
 from ..operators import dashboard as D
+from ..operators import evaluation as EV
+from ..operators import ml as ML
+from ..operators import recommend as R
+from ..operators.ranking import global_row_number
+from ..operators import sampling as S
+from ..session import ensure_checkpoint_dir
+from ..sources import fixtures as FX
 from ..sources import loaders as L
+from ..sources.tables import table
+from ..streaming import scoring as SC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -335,12 +347,6 @@ def set1(spark, d):
 
 
 # ---------------------------------------------------------------- sampling and features
-from ..functions import features as FE  # noqa: E402
-from ..functions import text as TX  # noqa: E402
-from ..operators import recommend as R  # noqa: E402
-from ..operators import sampling as S  # noqa: E402
-from ..sources import fixtures as FX  # noqa: E402
-from ..sources.tables import table  # noqa: E402
 
 
 @query("SMP1_fixed_sample")
@@ -424,7 +430,6 @@ def agg19(spark, d):
 @query("WIN1_price_rank")
 def win1(spark, d):
     c = D.hotel_base(_h(spark, d))
-    from ..operators.ranking import global_row_number
     return global_row_number(c, ["avg_price_per_night", "name", "place"], "price_rank", total="n_hotels") \
         .select("name", "place", "price_rank", "n_hotels")
 
@@ -481,12 +486,7 @@ def snk4(spark, d):
 
 
 # ---------------------------------------------------------------- evaluation (SQL form)
-import uuid  # noqa: E402
 
-from ..operators import evaluation as EV  # noqa: E402
-from ..operators import ml as ML  # noqa: E402
-from ..session import ensure_checkpoint_dir  # noqa: E402
-from ..streaming import scoring as SC  # noqa: E402
 
 ROUTE_CLASS = ["from", "to", "flightType"]
 
