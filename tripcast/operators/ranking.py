@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checked_broadcast
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -48,12 +50,13 @@ def rank_within(df: DataFrame, group: str, order: Sequence[str | Column], name:
 
     A hot group (a third of all rows) is spread over many range partitions,
     because the global order (group, order...) is split by value, not by group.
-    Group sizes and starting offsets come from a per-group count, whose size
-    is the number of groups.
+    Group sizes and starting offsets come from a per-group count, one row per
+    group: meant for class-like groups (labels, strata), whose number is small.
+    The offsets are broadcast only behind the row-bound check.
     """
     g = global_row_number(df, [group, *order], "_g")
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias(size))
     before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum(size).over(before), F.lit(0)))
-    return (g.join(F.broadcast(starts), group)
+    return (g.join(checked_broadcast(starts), group)
             .withColumn(name, F.col("_g") - F.col("_start")).drop("_g", "_start"))

@@ -79,7 +79,7 @@ def build_catalogue(hotels: DataFrame, climates: DataFrame, materialize: bool =
     ranked = global_row_number(base, ["avg_price_per_night", "name", "place"], "price_rank", total="n_hotels")
     tier = F.col("price_rank") / F.greatest(F.lit(1), F.col("n_hotels") - 1)
     # PRJ23 — climate lookup; the table has one row per known city.
-    with_climate = (ranked.join(F.broadcast(climates.dropDuplicates(["city"])), "city", "left")
+    with_climate = (ranked.join(checked_broadcast(climates.dropDuplicates(["city"])), "city", "left")
                     .withColumn("climate", F.coalesce("climate", F.lit(DEFAULT_CLIMATE)))
                     .withColumn("tier", tier))
     t = F.col("tier")
@@ -283,7 +283,7 @@ def unknown_destinations(requests: DataFrame, catalogue: DataFrame) -> DataFrame
     known = catalogue.select(F.lower("location").alias("_loc")).distinct()
     dest = F.lower(F.trim(F.col("destination")))
     r = requests.where(F.col("destination").isNotNull() & (F.trim(F.col("destination")) != ""))
-    return (r.join(F.broadcast(known), dest == F.col("_loc"), "left_anti")
+    return (r.join(checked_broadcast(known), dest == F.col("_loc"), "left_anti")
             .select("request_id", "destination",
                     F.concat(F.lit("'"), F.col("destination"),
                              F.lit("' not in your hotel dataset — showing best matches across all cities.")).alias("note")))

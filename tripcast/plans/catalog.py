@@ -22,7 +22,7 @@ from ..operators import ml as ML
 from ..operators import recommend as R
 from ..operators.ranking import global_row_number
 from ..operators import sampling as S
-from ..session import ensure_checkpoint_dir
+from ..session import checked_broadcast, ensure_checkpoint_dir
 from ..sources import fixtures as FX
 from ..sources import loaders as L
 from ..sources.tables import table
@@ -763,7 +763,7 @@ def prj18(spark, d):
 def prj23(spark, d):
     cities = _h(spark, d).select("city").where(F.col("city").isNotNull()).distinct()
     climates = R.climate_table(spark, table(spark, d, "nation", "n_nationkey", "n_name"))
-    return (cities.join(F.broadcast(climates.dropDuplicates(["city"])), "city", "left")
+    return (cities.join(checked_broadcast(climates.dropDuplicates(["city"])), "city", "left")
             .withColumn("climate", F.coalesce("climate", F.lit(R.DEFAULT_CLIMATE))))
 
 
