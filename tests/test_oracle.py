@@ -19,7 +19,7 @@ def _norm(v):
     if isinstance(v, bool):
         return (5, str(v))
     if isinstance(v, (int, float)):
-        return (1, "nan") if isinstance(v, float) and math.isnan(v) else (2, f"{float(v):.9g}")
+        return (1, "nan") if isinstance(v, float) and math.isnan(v) else (2, repr(float(v)))
     if hasattr(v, "isoformat"):
         return (4, str(v)[:19])
     if isinstance(v, (list, tuple)):

@@ -332,8 +332,8 @@ def neighbour_pairs(catalogue: DataFrame) -> DataFrame:
 # SNK4 metrics as one row
 def run_metrics(model: FittedRecommender) -> DataFrame:
     it = model.items.agg(F.count(F.lit(1)).alias("num_hotels"),
-                         F.avg("avg_price_per_night").alias("avg_price_per_night"),
-                         F.avg("review_score").alias("avg_review_score"))
+                         F.round(F.avg("avg_price_per_night"), 6).alias("avg_price_per_night"),
+                         F.round(F.avg("review_score"), 6).alias("avg_review_score"))
     vs = model.vocab.agg(F.count(F.lit(1)).alias("vocab_size"))
     stacked = it.unionByName(vs, allowMissingColumns=True)
     return stacked.agg(*[F.max(c).alias(c) for c in ["num_hotels", "vocab_size", "avg_price_per_night", "avg_review_score"]])

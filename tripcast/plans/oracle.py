@@ -467,7 +467,8 @@ FROM pairs p LEFT JOIN s ON p.item_a = s.item_a AND p.item_b = s.item_b
 """)
 sql("SNK4_recommender_metrics", _ITEM_TFIDF + """
 SELECT (SELECT count(*) FROM cat) AS num_hotels, (SELECT count(*) FROM vocab) AS vocab_size,
-       (SELECT avg(avg_price_per_night) FROM cat) AS avg_price_per_night, (SELECT avg(review_score) FROM cat) AS avg_review_score
+       (SELECT round(avg(avg_price_per_night), 6) FROM cat) AS avg_price_per_night,
+       (SELECT round(avg(review_score), 6) FROM cat) AS avg_review_score
 """)
 
 # ---------------------------------------------------------------- evaluation
