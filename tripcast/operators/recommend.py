@@ -236,14 +236,14 @@ def recommend(model: FittedRecommender, requests: DataFrame, top_n: int = TOP_N,
               max_broadcast_items: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     cfg = model.config
     spark = requests.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keep = requests.select("request_id", "destination", "budget_max", "min_stars", "min_review",
                            query_text().alias("qtext"))
     # one row per distinct query text, written once; the size check and the join both read it
     ensure_checkpoint_dir(spark)
     qv = checked_broadcast(text_vectors(requests, model.vocab).checkpoint(eager=True))
     # one shuffle of the (narrow) request rows; every later window is per request
-    reqs = keep.join(qv, "qtext", "left").drop("qtext").repartition(parts, "request_id")
+    # (no explicit count: AQE may merge small partitions of this shuffle)
+    reqs = keep.join(qv, "qtext", "left").drop("qtext").repartition("request_id")
     reqs, items = _with_match_keys(reqs, model.items)
     n_items = items.limit(max_broadcast_items + 1).count()
     if n_items <= max_broadcast_items:
