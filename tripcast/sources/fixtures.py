@@ -40,7 +40,7 @@ def place_label(name: Column, nationkey: Column, regionkey: Column) -> Column:
 
 
 def nation_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = f"{id(spark)}:{sf_dir}"
+    key = f"{spark.sparkContext.applicationId}:{sf_dir}"
     if key not in _NATION_CACHE:
         n = table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
         places = n.select("n_nationkey", place_label(F.col("n_name"), F.col("n_nationkey"), F.col("n_regionkey")).alias("place"))
