@@ -38,6 +38,9 @@ from . import evaluation as EV
 from . import sampling as S
 
 FEATURES_COL = "features"
+# Training frames smaller than this stay on their few partitions (iterative
+# learners pay a per-task cost on every pass).
+SPREAD_MIN_ROWS = 50_000
 
 
 def feature_kinds(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -135,7 +138,7 @@ def fit_pipeline(train: DataFrame, cols: Sequence[str], estimator, head: Sequenc
     """Fit preprocessing + estimator. The training frame is persisted for the
     duration of the fit (statistics and iterative learners make many passes);
     a lost executor only means recomputing its blocks from lineage."""
-    train = spread(train).persist(StorageLevel.MEMORY_AND_DISK)
+    train = spread(train, min_rows=SPREAD_MIN_ROWS).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return Pipeline(stages=list(head) + build_preprocessor(train, cols) + [estimator]).fit(train)
     finally:

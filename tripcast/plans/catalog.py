@@ -689,8 +689,11 @@ def scr2(spark, d):
     idx = ML.StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc")
     model = ML.fit_pipeline(tr, ML.USER_FEATURES, ML.logistic_regression(tr.count()), head=[idx])
     labels = model.stages[0].labels
-    reqs = ML.user_features(_u(spark, d)).drop("label")
-    return SC.score_classes(model, reqs, labels, ML.USER_FEATURES)
+    routed = SC.route_classify_requests(_classify_bodies(spark, d))
+    valid, rejected = SC.split_valid(routed)
+    scored = SC.score_classes(model, valid.select("request_id", "req.*"), labels, ML.USER_FEATURES)
+    return scored.withColumn("message", F.lit(None).cast("string")).unionByName(
+        rejected.select("request_id", "status", "message"), allowMissingColumns=True)
 
 
 @query("SCR3_recommendation_responses")
@@ -783,14 +786,19 @@ def src5(spark, d):
     return live.unionByName(demo)
 
 
-@query("FLT6_classify_request_routing")
-def flt6(spark, d):
-    """Classify request bodies built from users (serving name form); empty names are rejected."""
+def _classify_bodies(spark, d):
+    """Classify request bodies built from users (serving name form)."""
     u = _u(spark, d)
     first = C.name_features_training("name")["first_name"]
     feats = C.name_features_serving(F.coalesce(first, F.lit("")))
     body = F.to_json(F.struct(feats["first_name"].alias("first_name"), F.col("company"),
                               feats["first_letter"].alias("first_letter"), feats["last_letter"].alias("last_letter"),
                               feats["name_length"].alias("name_length"), F.col("age")))
-    routed = SC.route_classify_requests(u.select(F.col("code").alias("request_id"), body.alias("body")))
+    return u.select(F.col("code").alias("request_id"), body.alias("body"))
+
+
+@query("FLT6_classify_request_routing")
+def flt6(spark, d):
+    """Empty names are rejected; the job keeps going."""
+    routed = SC.route_classify_requests(_classify_bodies(spark, d))
     return routed.select("request_id", "status", "message")

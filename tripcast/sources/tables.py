@@ -26,10 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, min_rows: int = 0) -> DataFrame:
+    """Round-robin over the session's parallelism when the plan has fewer partitions.
+
+    ``min_rows`` > 0 first proves (bounded count) that the frame has at least that
+    many rows: iterative learners on small frames run faster on few partitions."""
     if df.isStreaming:  # micro-batches are planned per trigger
         return df
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    if min_rows and df.limit(min_rows).count() < min_rows:
+        return df
+    return df.repartition(target)
