@@ -6,6 +6,7 @@
     python -m tripcast recommend         --sf-dir D --out DIR [--requests JSON_DIR] [--top-n 5]
     python -m tripcast score-prices      --model DIR --requests JSON_DIR --out DIR [--stream --checkpoint DIR]
     python -m tripcast query             --sf-dir D --name AGG2_monthly_price_by_class [--out DIR]
+    python -m tripcast materialize       --sf-dir D --out DIR      (year-partitioned travel tables)
 
 Every command runs on the active cluster session (or a local one when started
 stand-alone) and writes its result as parquet; nothing is collected except
@@ -28,6 +29,7 @@ from .plans import catalog as Q
 from .session import build_session, ensure_checkpoint_dir
 from .sources import fixtures as FX
 from .sources import schemas
+from .sources import warehouse as W
 from .streaming import scoring as SC
 
 
@@ -137,6 +139,9 @@ def main(argv=None) -> None:
     s.add_argument("--out", required=True)
     s.add_argument("--stream", action="store_true")
     s.add_argument("--checkpoint")
+    s = sub.add_parser("materialize")
+    s.add_argument("--sf-dir", required=True)
+    s.add_argument("--out", required=True)
     s = sub.add_parser("query")
     s.add_argument("--sf-dir", required=True)
     s.add_argument("--name", required=True)
@@ -153,6 +158,8 @@ def main(argv=None) -> None:
         print(json.dumps({"rows": recommend(spark, a.sf_dir, a.out, a.requests, a.top_n)}))
     elif a.cmd == "score-prices":
         score_prices(spark, a.model, a.requests, a.out, a.stream, a.checkpoint)
+    elif a.cmd == "materialize":
+        print(json.dumps(W.materialize(spark, a.sf_dir, a.out)))
     elif a.cmd == "query":
         df = Q.QUERIES[a.name](spark, a.sf_dir)
         if a.out:
