@@ -42,7 +42,7 @@ def main() -> None:
     only = os.environ.get("BENCH_QUERIES")
     names = only.split(",") if only else HEADLINE
     spark = build_session("tripcast-bench", cpus)
-    # warm-up, not timed: JVM class loading and JIT of the shared view pipelines
+    # warm-up, not timed: JVM class loading and JIT of the shared view plans
     # (nothing is cached; every timed query recomputes from the parquet files)
     for warm in ["AGG14_company_users", "SRC3_flights_typed", "SRC4_hotels_typed"]:
         QUERIES[warm](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -76,7 +76,7 @@ def test_class_weights_balanced(spark):
 
 def test_importances_summed_to_source_columns(spark):
     tr, te = Q._flight_frames(spark, SF_SMALL)
-    model = ML.fit_pipeline(tr, Q.FLIGHT_COLS, ML.forest_regressor(trees=10, depth=5))
+    model = ML.fit_model(tr, Q.FLIGHT_COLS, ML.forest_regressor(trees=10, depth=5))
     imp = {r["feature"]: r["importance"] for r in ML.feature_importances(spark, model, te).collect()}
     assert set(imp) <= set(Q.FLIGHT_COLS) and abs(sum(imp.values()) - 1.0) < 1e-9
     assert max(imp, key=imp.get) in ("flightType", "distance", "time")

@@ -134,7 +134,7 @@ def user_features(users: DataFrame) -> DataFrame:
     return users.select("code", "company", *[v.alias(k) for k, v in f.items()], "age", F.col("gender").alias("label"))
 
 
-def fit_pipeline(train: DataFrame, cols: Sequence[str], estimator, head: Sequence = ()) -> PipelineModel:
+def fit_model(train: DataFrame, cols: Sequence[str], estimator, head: Sequence = ()) -> PipelineModel:
     """Fit preprocessing + estimator. The training frame is persisted for the
     duration of the fit (statistics and iterative learners make many passes);
     a lost executor only means recomputing its blocks from lineage."""
@@ -147,7 +147,7 @@ def fit_pipeline(train: DataFrame, cols: Sequence[str], estimator, head: Sequenc
 
 # EVA5 — train, evaluate, log
 def train_regressor(train: DataFrame, test: DataFrame, estimator, cols: Sequence[str]) -> tuple[PipelineModel, dict]:
-    model = fit_pipeline(train, cols, estimator)
+    model = fit_model(train, cols, estimator)
     m = EV.regression_metrics(model.transform(test)).first().asDict()
     return model, m
 
@@ -158,7 +158,7 @@ def train_classifier(train: DataFrame, test: DataFrame, estimator, cols: Sequenc
     tr = train.join(F.broadcast(weights.select(label, "class_weight")), label)  # one row per class
     label_idx = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc")
     to_label = IndexToString(inputCol="prediction", outputCol="predicted_label")
-    model = fit_pipeline(tr, cols, estimator, head=[label_idx])
+    model = fit_model(tr, cols, estimator, head=[label_idx])
     to_label.setLabels(model.stages[0].labels)
     preds = to_label.transform(model.transform(test.where(F.col(label).isNotNull())))
     m = EV.classification_metrics(preds, label, "predicted_label").first().asDict()

@@ -550,14 +550,14 @@ def _predictions(model, te, key):
 @query("MDL1_linear_regression")
 def mdl1(spark, d):
     tr, te = _flight_frames(spark, d)
-    model = ML.fit_pipeline(tr, FLIGHT_COLS, ML.linear_regression())
+    model = ML.fit_model(tr, FLIGHT_COLS, ML.linear_regression())
     return _predictions(model, te, "travelCode")
 
 
 @query("MDL2_forest_regressor")
 def mdl2(spark, d):
     tr, te = _flight_frames(spark, d)
-    model = ML.fit_pipeline(tr, FLIGHT_COLS, ML.forest_regressor())
+    model = ML.fit_model(tr, FLIGHT_COLS, ML.forest_regressor())
     return _predictions(model, te, "travelCode")
 
 
@@ -675,7 +675,7 @@ def scr4(spark, d):
 @query("SCR1_price_scoring")
 def scr1(spark, d):
     tr, _ = _flight_frames(spark, d)
-    model = ML.fit_pipeline(tr, FLIGHT_COLS, ML.linear_regression())
+    model = ML.fit_model(tr, FLIGHT_COLS, ML.linear_regression())
     valid, _ = SC.split_valid(SC.route_requests(_request_bodies(spark, d)))
     reqs = valid.select("request_id", "req.*")
     return SC.score_prices(model, reqs)
@@ -687,7 +687,7 @@ def scr2(spark, d):
     weights = S.class_weights(tr, "label")
     tr = tr.join(F.broadcast(weights.select("label", "class_weight")), "label")
     idx = ML.StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc")
-    model = ML.fit_pipeline(tr, ML.USER_FEATURES, ML.logistic_regression(tr.count()), head=[idx])
+    model = ML.fit_model(tr, ML.USER_FEATURES, ML.logistic_regression(tr.count()), head=[idx])
     labels = model.stages[0].labels
     routed = SC.route_classify_requests(_classify_bodies(spark, d))
     valid, rejected = SC.split_valid(routed)
@@ -713,7 +713,7 @@ def scr5(spark, d):
     routed = SC.route_requests(_request_bodies(spark, d)).where(F.col("source") == "flights")
     reqs = routed.select("request_id", "status", "req.*")
     tr, _ = _flight_frames(spark, d)
-    model = ML.fit_pipeline(tr, FLIGHT_COLS, ML.linear_regression())
+    model = ML.fit_model(tr, FLIGHT_COLS, ML.linear_regression())
     primary = model.transform(reqs.where(F.col("status") == "valid")).select("request_id", "prediction")
     means = D.route_means(_f(spark, d))
     fallback = D.route_lookup(reqs.select("request_id", "from", "to"), means) \
