@@ -216,6 +216,7 @@ def route_means(flights: DataFrame) -> DataFrame:
 
 
 # JOIN4 — route lookup with a default for unknown pairs
+# Fixed values of the source application: default distance (km) and time (h).
 ROUTE_DEFAULT_DISTANCE = 500.0
 ROUTE_DEFAULT_TIME = 1.2
 
@@ -246,6 +247,7 @@ def sort_by(df: DataFrame, metric: str, ascending: bool = True, tie: str | None
 
 
 # SET1 — distinct city names over three columns
+# Fixed values of the source application: the city list used when no data is present.
 DEFAULT_CITIES = ["Florianopolis", "Salvador", "Natal", "Aracaju", "Recife",
                   "Sao Paulo", "Campo Grande", "Rio de Janeiro", "Brasilia"]
 
