@@ -80,3 +80,18 @@ def test_importances_summed_to_source_columns(spark):
     imp = {r["feature"]: r["importance"] for r in ML.feature_importances(spark, model, te).collect()}
     assert set(imp) <= set(Q.FLIGHT_COLS) and abs(sum(imp.values()) - 1.0) < 1e-9
     assert max(imp, key=imp.get) in ("flightType", "distance", "time")
+
+
+def test_forest_regressor_r2(spark):
+    tr, te = Q._flight_frames(spark, SF_SMALL)
+    model, m = ML.train_regressor(tr, te, ML.forest_regressor(trees=20), Q.FLIGHT_COLS)
+    assert m["r2"] > 0.9
+
+
+def test_gender_forest_f1_and_probabilities(spark):
+    df = Q.QUERIES["MDL6_MDL9_gender_forest"](spark, SF_MID)
+    from tripcast.operators.evaluation import classification_metrics
+    assert classification_metrics(df, "gender", "predicted_gender").first()["f1"] > 0.7
+    sums = df.select(F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, x: a + x).alias("s"))
+    assert all(abs(r["s"] - 1.0) < 2e-3 for r in sums.collect())  # 4-decimal rounding per class
+    assert df.where(F.col("confidence") < 1.0 / 3 - 1e-3).count() == 0
