@@ -802,3 +802,31 @@ def flt6(spark, d):
     """Empty names are rejected; the job keeps going."""
     routed = SC.route_classify_requests(_classify_bodies(spark, d))
     return routed.select("request_id", "status", "message")
+
+
+# ---------------------------------------------------------------- skewed labels (documents / labels)
+def _labels(spark, d):
+    return table(spark, d, "labels", "doc_id", "quality", "toxic")
+
+
+@query("SMP4L_labels_stratified_split")
+def smp4l(spark, d):
+    """Stratified split on a skewed binary label (about one toxic document in eight)."""
+    lab = _labels(spark, d).where(F.col("toxic").isNotNull())
+    return S.stratified_flag(lab, "doc_id", "toxic").select("doc_id", "toxic", "is_test")
+
+
+@query("MDL7L_labels_class_weights")
+def mdl7l(spark, d):
+    return S.class_weights(_labels(spark, d), "toxic")
+
+
+@query("EVA2L_labels_quality_metrics")
+def eva2l(spark, d):
+    """Majority quality per document source (train split) scored on the stratified test split."""
+    docs = table(spark, d, "documents", "doc_id", "source")
+    lab = _labels(spark, d).join(docs, "doc_id", "left")
+    tr, te = S.stratified_split(lab, "doc_id", "quality")
+    best, overall = EV.majority_model(tr, "source", "quality")
+    preds = te.join(best, "source", "left").withColumn("prediction", F.coalesce("prediction", F.lit(overall)))
+    return EV.rounded(EV.classification_metrics(preds, "quality", "prediction"))

@@ -591,3 +591,39 @@ UNION ALL SELECT 'customer', count(*), true FROM customer
 UNION ALL SELECT 'lineitem', count(*), true FROM lineitem
 UNION ALL SELECT 'hotels_missing', 0, false
 """)
+
+# ---------------------------------------------------------------- skewed labels
+sql("SMP4L_labels_stratified_split", f"""
+SELECT doc_id, toxic,
+       row_number() OVER (PARTITION BY toxic ORDER BY {_H.format(k='doc_id')}, doc_id) - 1
+         < ceil(count(*) OVER (PARTITION BY toxic) * 0.2) AS is_test
+FROM labels WHERE toxic IS NOT NULL
+""")
+sql("MDL7L_labels_class_weights", """
+SELECT toxic, n_c, sum(n_c) OVER () / (count(*) OVER () * n_c) AS class_weight
+FROM (SELECT toxic, count(*) AS n_c FROM labels WHERE toxic IS NOT NULL GROUP BY toxic)
+""")
+sql("EVA2L_labels_quality_metrics", f"""
+, lab AS (SELECT l.doc_id, l.quality, d.source FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id
+          WHERE l.quality IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {_H.format(k='doc_id')}, doc_id) - 1
+                  < ceil(count(*) OVER (PARTITION BY quality) * 0.2) AS is_test FROM lab),
+tr AS (SELECT * FROM s WHERE NOT is_test),
+te AS (SELECT * FROM s WHERE is_test),
+c AS (SELECT source, quality, count(*) AS n FROM tr GROUP BY source, quality),
+best AS (SELECT source, quality AS prediction
+         FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, quality) AS r FROM c) WHERE r = 1),
+overall AS (SELECT quality FROM tr GROUP BY quality ORDER BY count(*) DESC, quality LIMIT 1),
+p AS (SELECT te.quality AS y, coalesce(best.prediction, (SELECT quality FROM overall)) AS p
+      FROM te LEFT JOIN best ON te.source = best.source),
+conf AS (SELECT y, p, count(*) AS n FROM p GROUP BY y, p),
+cls AS (SELECT cls, sum(support) AS support, sum(tp) AS tp, sum(predicted) AS predicted FROM (
+          SELECT y AS cls, n AS support, CASE WHEN y = p THEN n ELSE 0 END AS tp, 0 AS predicted FROM conf
+          UNION ALL SELECT p, 0, 0, n FROM conf) GROUP BY cls),
+m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS prec,
+                CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rec FROM cls),
+m2 AS (SELECT *, CASE WHEN prec + rec > 0 THEN prec * rec * 2 / (prec + rec) ELSE 0.0 END AS f1 FROM m)
+SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(sum(prec * support) / sum(support), 6) AS "precision",
+       round(sum(rec * support) / sum(support), 6) AS recall, round(sum(f1 * support) / sum(support), 6) AS f1
+FROM m2
+""")
