@@ -148,3 +148,14 @@ def test_large_catalogue_path_equals_broadcast_path(spark):
     a = R.recommend(model, reqs)
     b = R.recommend(model, reqs, max_broadcast_items=24)
     assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_regex_destination_mode(spark):
+    cat, model, _ = _run(spark)
+    reqs = spark.createDataFrame([(1, "nation 1$", None, None, None, [], 1000.0, 0, 0.0)],
+                                 "request_id int, destination string, style string, climate string, travel_type string, "
+                                 "amenities array<string>, budget_max double, min_stars int, min_review double")
+    literal = R.recommend(model, reqs)              # 'nation 1$' as text matches nothing
+    regex = R.recommend(model, reqs, regex=True)    # as a pattern it matches exactly NATION 1
+    assert literal.count() == 0
+    assert {r["location"] for r in regex.collect()} == {"NATION 1"}

@@ -125,3 +125,9 @@ def test_optional_source_missing_is_none(spark, tmp_path):
 
 def test_fallback_catalogue(spark):
     assert L.fallback_catalogue(spark).count() == 5
+
+
+def test_fea1_approximate_median_option(spark):
+    df = spark.range(0, 1001).withColumnRenamed("id", "x")
+    assert FE.fit_medians(df, ["x"])["x"] == 500.0
+    assert abs(FE.fit_medians(df, ["x"], approx=True)["x"] - 500.0) <= 1.0
