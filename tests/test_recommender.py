@@ -159,3 +159,5 @@ def test_regex_destination_mode(spark):
     regex = R.recommend(model, reqs, regex=True)    # as a pattern it matches exactly NATION 1
     assert literal.count() == 0
     assert {r["location"] for r in regex.collect()} == {"NATION 1"}
+    routed = R.recommend(model, reqs, regex=True, max_broadcast_items=3)
+    assert regex.exceptAll(routed).count() == 0 and routed.exceptAll(regex).count() == 0

@@ -185,7 +185,7 @@ def _blank(c: str) -> F.Column:
 # the per-pair work is only the comparisons.
 def candidate_predicate(regex: bool = False) -> F.Column:
     dest = F.col("_dest")
-    match = (F.col("_loc").rlike(dest) | F.col("_cty").rlike(dest)) if regex else \
+    match = (F.rlike(F.col("_loc"), dest) | F.rlike(F.col("_cty"), dest)) if regex else \
         (F.col("_loc").contains(dest) | F.col("_cty").contains(dest))
     return ((_blank("budget_max") | (F.col("avg_price_per_night") <= F.col("budget_max")))
             & (_blank("min_stars") | (F.col("star_rating") >= F.col("min_stars")))
@@ -219,7 +219,7 @@ def _routed_pairs(reqs: DataFrame, items: DataFrame, regex: bool, bound: int) ->
     has_dest = F.col("_dest").isNotNull() & (F.col("_dest") != "")
     dests = reqs.where(has_dest).select("_dest").distinct()
     locs = items.select("_loc", "_cty").distinct()
-    match = (F.col("_loc").rlike(F.col("_dest")) | F.col("_cty").rlike(F.col("_dest"))) if regex else \
+    match = (F.rlike(F.col("_loc"), F.col("_dest")) | F.rlike(F.col("_cty"), F.col("_dest"))) if regex else \
         (F.col("_loc").contains(F.col("_dest")) | F.col("_cty").contains(F.col("_dest")))
     dmap = dests.join(checked_broadcast(locs, bound), match)
     with_dest = (reqs.where(has_dest).join(dmap, "_dest")
