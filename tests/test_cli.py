@@ -36,3 +36,10 @@ def test_classifier_and_recommend(spark, tmp_path):
     reqs.write_text(json.dumps({"request_id": 1, "destination": "NATION 1", "amenities": ["wifi"],
                                 "budget_max": 300.0, "min_stars": 3, "min_review": 7.0}) + "\n")
     assert cli.recommend(spark, SF_SMALL, str(tmp_path / "recs2"), str(reqs)) >= 1
+
+
+def test_main_query_and_materialize(spark, tmp_path):
+    cli.main(["query", "--sf-dir", SF_SMALL, "--name", "AGG14_company_users", "--out", str(tmp_path / "q")])
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 5
+    cli.main(["materialize", "--sf-dir", SF_SMALL, "--out", str(tmp_path / "wh")])
+    assert spark.read.parquet(str(tmp_path / "wh" / "flights")).count() == 1500

@@ -43,3 +43,12 @@ def test_fixed_sample_size(spark):
     df = spark.range(0, 100).withColumnRenamed("id", "k")
     assert S.fixed_sample(df, "k", 30).count() == 30
     assert S.fixed_sample(df, "k", 300).count() == 100
+
+
+def test_fixed_sample_equals_plain_top_n(spark):
+    df = spark.range(0, 20000).withColumnRenamed("id", "k")
+    h = S.seeded_hash("k")
+    for n in (1, 2, 7, 500):  # small n exercises the threshold-doubling loop
+        got = [r["k"] for r in S.fixed_sample(df, "k", n).collect()]
+        exp = [r["k"] for r in df.withColumn("_h", h).orderBy("_h", "k").limit(n).collect()]
+        assert sorted(got) == sorted(exp) and len(got) == n
