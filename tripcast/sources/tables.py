@@ -5,10 +5,10 @@ parquet reader only materialises the columns a query needs (``ReadSchema``)
 and filters written later are pushed into it (``PushedFilters``).
 
 ``spread`` is for operators with heavy per-row work (tokenizing, JSON parsing,
-model scoring): when the input plans fewer partitions than the session can
-run in parallel (one large file with a single row group, as in the test
-data) it adds a round-robin repartition so that work is not serialised on
-one core. On a cluster reading many files it adds nothing.
+model scoring): when the inputs are fewer files than the session can run in
+parallel (one file with a single row group per table, as in the test data)
+it adds a round-robin repartition so that work is not serialised on one core.
+On a cluster reading many files it adds nothing.
 """
 
 from __future__ import annotations
@@ -27,14 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def spread(df: DataFrame, min_rows: int = 0) -> DataFrame:
-    """Round-robin over the session's parallelism when the plan has fewer partitions.
+    """Round-robin over the session's parallelism when the inputs are too few files.
 
-    ``min_rows`` > 0 first proves (bounded count) that the frame has at least that
-    many rows: iterative learners on small frames run faster on few partitions."""
+    The decision uses ``inputFiles()`` (the files behind the plan's scans, read
+    from the plan without running it): with at least one file per parallel slot
+    the scans already split the work and nothing is added. ``min_rows`` > 0 also
+    requires a bounded count proving that many rows (iterative learners on
+    small frames run faster on few partitions)."""
     if df.isStreaming:  # micro-batches are planned per trigger
         return df
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if len(df.inputFiles()) >= target:
         return df
     if min_rows and df.limit(min_rows).count() < min_rows:
         return df
