@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import global_row_number
-from ..session import checked_broadcast
+from ..session import checked_broadcast, ensure_checkpoint_dir
 
 
 # FEA1 — exact median (even counts average the middle pair); approximate on request
@@ -66,9 +66,15 @@ def minmax(c: str | Column, lo: float, hi: float) -> Column:
 
 # FEA6 — label encoding in sorted order; unseen or null -> 0
 def fit_label_encoder(df: DataFrame, col: str) -> DataFrame:
-    """Mapping table (value, code) with codes 0..k-1 in ascending value order."""
+    """Mapping table (value, code) with codes 0..k-1 in ascending value order.
+
+    The fitted mapping is written once to the checkpoint folder (it is the
+    encoder's state), so its size check and every later join read it instead
+    of re-running the distinct + ranking jobs."""
     values = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
-    return global_row_number(values, ["value"], "code").withColumn("code", F.col("code").cast("int"))
+    mapping = global_row_number(values, ["value"], "code").withColumn("code", F.col("code").cast("int"))
+    ensure_checkpoint_dir(df.sparkSession)
+    return mapping.checkpoint(eager=True)
 
 
 def label_encode(df: DataFrame, col: str, mapping: DataFrame, out: str | None = None) -> DataFrame:
