@@ -43,18 +43,40 @@ def build_session(app: str = "tripcast", cpus: str | int = "*", shuffle_partitio
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # a remote session has no local SparkContext handle
+        return None
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the cluster's shared checkpoint folder; set a local one only when unset (tests)."""
-    current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    current = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
+        if sc and not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
         return current
+    if sc is None:
+        return None
     local = tempfile.mkdtemp(prefix="tripcast-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     return local
 
 
+def parallelism(spark: SparkSession) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.default.parallelism", spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def app_id(spark: SparkSession) -> str:
+    sc = _context(spark)
+    return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", str(id(spark)))
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 

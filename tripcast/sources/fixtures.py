@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast
+from ..session import app_id, checked_broadcast
 from .tables import spread, table
 
 # Fixed values of the stand-in data (FIXTURES.md): first names cycled by key.
@@ -40,7 +40,7 @@ def place_label(name: Column, nationkey: Column, regionkey: Column) -> Column:
 
 
 def nation_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = f"{spark.sparkContext.applicationId}:{sf_dir}"
+    key = f"{app_id(spark)}:{sf_dir}"
     if key not in _NATION_CACHE:
         n = table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
         places = n.select("n_nationkey", place_label(F.col("n_name"), F.col("n_nationkey"), F.col("n_regionkey")).alias("place"))

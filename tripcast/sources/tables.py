@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import parallelism
+
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -36,7 +38,7 @@ def spread(df: DataFrame, min_rows: int = 0) -> DataFrame:
     small frames run faster on few partitions)."""
     if df.isStreaming:  # micro-batches are planned per trigger
         return df
-    target = df.sparkSession.sparkContext.defaultParallelism
+    target = parallelism(df.sparkSession)
     if len(df.inputFiles()) >= target:
         return df
     if min_rows and df.limit(min_rows).count() < min_rows:
