@@ -98,7 +98,8 @@ def score_classes(model: PipelineModel, requests: DataFrame, labels: list[str],
 # SCR5 — primary result, else the fallback model's result
 def with_fallback(primary: Column, fallback: Column) -> dict[str, Column]:
     return {"predicted_price": F.coalesce(primary, fallback),
-            "source": F.when(primary.isNotNull(), "primary").otherwise("fallback")}
+            "source": F.when(primary.isNotNull(), "primary").otherwise("fallback"),
+            "model_version": F.when(primary.isNotNull(), MODEL_VERSION).otherwise(FALLBACK_VERSION)}
 
 
 # Streaming wrapper: file source -> the same transform -> file sink
