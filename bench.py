@@ -3,7 +3,8 @@
 Each query is executed in full through the ``noop`` sink (every row is
 produced, nothing is collected to the driver); the time of a query is the
 best of ``BENCH_REPEAT`` (default 2) runs, which damps VM noise. Prints one
-JSON line.
+JSON line. ``BENCH_EVENT_LOG=<dir>`` writes Spark's event log there (stage and
+task metrics, shuffle bytes) for offline inspection.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = os.environ.get("BENCH_QUERIES")
     names = only.split(",") if only else HEADLINE
-    spark = build_session("tripcast-bench", cpus)
+    spark = build_session("tripcast-bench", cpus, event_log_dir=os.environ.get("BENCH_EVENT_LOG"))
     # warm-up, not timed: JVM class loading and JIT of the shared view plans
     # (nothing is cached; every timed query recomputes from the parquet files)
     for warm in ["AGG14_company_users", "SRC3_flights_typed", "SRC4_hotels_typed"]:

@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import spread
 
 # Fixed value: a token is a run of at least two word characters (letters, digits, underscore).
@@ -59,8 +60,13 @@ def weigh(tf: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, doc_id: str, text: str, max_features: int = MAX_FEATURES):
-    """Fit on ``docs`` and return (weights, vocabulary)."""
-    tf = term_counts(docs, doc_id, text)
+    """Fit on ``docs`` and return (weights, vocabulary).
+
+    The (doc, term, count) table feeds both the vocabulary and the weights, so
+    it is written once to the checkpoint folder: tokenizing the whole corpus
+    twice costs more than one write of its (much smaller) term counts."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    tf = term_counts(docs, doc_id, text).checkpoint(eager=True)
     n_docs = docs.count()
     vocab = fit_vocabulary(tf, n_docs, max_features)
     return weigh(tf, vocab), vocab

@@ -18,11 +18,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 200_000
 
 
-def build_session(app: str = "tripcast", cpus: str | int = "*", shuffle_partitions: int | None = None) -> SparkSession:
-    """Local session for tests and the bench; on a cluster use the provided session."""
+def build_session(app: str = "tripcast", cpus: str | int = "*", shuffle_partitions: int | None = None,
+                  event_log_dir: str | None = None) -> SparkSession:
+    """Local session for tests and the bench; on a cluster use the provided session.
+
+    ``event_log_dir`` turns on Spark's event log (stage and task metrics) in that folder."""
     parts = shuffle_partitions or (int(cpus) * 2 if str(cpus).isdigit() else 16)
+    builder = SparkSession.builder
+    if event_log_dir:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(parts))
