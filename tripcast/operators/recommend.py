@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import features as FE
 from ..functions import text as TX
-from ..session import BROADCAST_ROW_LIMIT, checked_broadcast, ensure_checkpoint_dir
+from ..session import BROADCAST_ROW_LIMIT, checked_broadcast, ensure_checkpoint_dir, literal_frame
 from .dashboard import hotel_base
 from .ranking import global_row_number
 
@@ -60,7 +60,7 @@ class RecommenderConfig:
 
 def climate_table(spark, nation: DataFrame | None = None) -> DataFrame:
     """(city, climate): the fixed city list plus the rule for the derived cities."""
-    fixed = spark.createDataFrame(list(CITY_CLIMATE.items()), "city string, climate string")
+    fixed = literal_frame(spark, list(CITY_CLIMATE.items()), ["city", "climate"])
     if nation is None:
         return fixed
     rule = F.element_at(F.array(*[F.lit(c) for c in FIXTURE_CLIMATES]), (F.col("n_nationkey") % 3 + 1).cast("int"))

@@ -22,7 +22,7 @@ from ..operators import ml as ML
 from ..operators import recommend as R
 from ..operators.ranking import global_row_number
 from ..operators import sampling as S
-from ..session import checked_broadcast, ensure_checkpoint_dir
+from ..session import checked_broadcast, ensure_checkpoint_dir, literal_frame
 from ..sources import fixtures as FX
 from ..sources import loaders as L
 from ..sources.tables import table
@@ -575,13 +575,13 @@ def _classify(spark, d, estimator_fn):
 @query("MDL3_logistic_regression")
 def mdl3(spark, d):
     model, metrics, te = _classify(spark, d, lambda tr: ML.logistic_regression(tr.count()))
-    return spark.createDataFrame([metrics])
+    return literal_frame(spark, [tuple(float(v) for v in metrics.values())], list(metrics))
 
 
 @query("MDL4_forest_classifier")
 def mdl4(spark, d):
     model, metrics, te = _classify(spark, d, lambda tr: ML.forest_classifier())
-    return spark.createDataFrame([metrics])
+    return literal_frame(spark, [tuple(float(v) for v in metrics.values())], list(metrics))
 
 
 def _gbt_frames(spark, d):
@@ -607,7 +607,7 @@ def mdl8(spark, d):
     tr, te, cols = _gbt_frames(spark, d)
     model = ML.gbt_regressor().fit(tr)
     imp = model.featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(zip(cols, [float(x) for x in imp])), "feature string, importance double") \
+    return literal_frame(spark, list(zip(cols, [float(x) for x in imp])), ["feature", "importance"]) \
         .orderBy(F.desc("importance"))
 
 
@@ -782,8 +782,10 @@ def src5(spark, d):
         found[name] = L.load_optional(spark, path, schema, fmt="parquet")
     live = D.source_badges(found)
     missing = [n for n, df in found.items() if df is None]
-    demo = spark.createDataFrame([(n, 0, False) for n in missing], "source string, rows long, is_live boolean")
-    return live.unionByName(demo)
+    if not missing:
+        return live
+    demo = literal_frame(spark, [(n, 0, False) for n in missing], ["source", "rows", "is_live"])
+    return live.unionByName(demo.withColumn("rows", F.col("rows").cast("long")))
 
 
 def _classify_bodies(spark, d):

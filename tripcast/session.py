@@ -83,6 +83,13 @@ def app_id(spark: SparkSession) -> str:
     return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", str(id(spark)))
 
 
+def literal_frame(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small fixed table built from literals inside the JVM (no Python RDD,
+    so no Python workers are started to read it)."""
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 
