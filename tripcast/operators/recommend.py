@@ -48,6 +48,10 @@ EMPTY_QUERY = "hotel"
 # Climate rule for the derived test cities ("NATION k"): by k mod 3.
 FIXTURE_CLIMATES = ["coastal", "tropical", "temperate"]
 TEXT_COLUMNS = ["amenities", "style", "climate", "travel_type"]
+# Size model of one broadcast catalogue row (attributes) and one map entry (term, weight).
+ITEM_ROW_BYTES = 512
+TERM_ENTRY_BYTES = 48
+MAX_BROADCAST_BYTES = 256 << 20
 NUM_COLUMNS = ["avg_price_per_night", "star_rating", "review_score"]
 
 
@@ -245,8 +249,10 @@ def recommend(model: FittedRecommender, requests: DataFrame, top_n: int = TOP_N,
     # (no explicit count: AQE may merge small partitions of this shuffle)
     reqs = keep.join(qv, "qtext", "left").drop("qtext").repartition("request_id")
     reqs, items = _with_match_keys(reqs, model.items)
-    n_items = items.limit(max_broadcast_items + 1).count()
-    if n_items <= max_broadcast_items:
+    # proof of size in rows *and* bytes: each hotel row carries a term -> weight map
+    n_items, n_terms = items.agg(F.count(F.lit(1)), F.sum(F.size("vec"))).first()
+    est_bytes = (n_items or 0) * ITEM_ROW_BYTES + (n_terms or 0) * TERM_ENTRY_BYTES
+    if n_items <= max_broadcast_items and est_bytes <= MAX_BROADCAST_BYTES:
         pairs = reqs.join(F.broadcast(items), candidate_predicate(regex), "inner")
     else:
         pairs = _routed_pairs(reqs, items, regex, max_broadcast_items)
