@@ -152,6 +152,9 @@ def fit(catalogue: DataFrame, config: RecommenderConfig | None = None, id_col: s
     bounds = FE.fit_minmax(items, NUM_COLUMNS)
     scaled = {f"{c}_s": FE.minmax(c, *bounds[c]) for c in NUM_COLUMNS}
     fitted_items = items.drop("_text").join(vecs, "item_id", "left").withColumns(scaled)
+    if materialize:
+        # the size check (rows and map entries) and the broadcast both read this table
+        fitted_items = fitted_items.checkpoint(eager=True)
     return FittedRecommender(fitted_items, vocab, bounds, weights, config)
 
 
