@@ -95,3 +95,11 @@ def test_gender_forest_f1_and_probabilities(spark):
     sums = df.select(F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, x: a + x).alias("s"))
     assert all(abs(r["s"] - 1.0) < 2e-3 for r in sums.collect())  # 4-decimal rounding per class
     assert df.where(F.col("confidence") < 1.0 / 3 - 1e-3).count() == 0
+
+
+def test_minimum_training_rows(spark):
+    import pytest
+    small = spark.range(0, 40).withColumnRenamed("id", "x")
+    with pytest.raises(ValueError):
+        ML.require_rows(small, ML.MIN_ROWS_NAME_FOREST, "test")
+    ML.require_rows(spark.range(0, 51), ML.MIN_ROWS_NAME_FOREST, "test")

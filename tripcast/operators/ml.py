@@ -113,6 +113,17 @@ def gbt_regressor(label: str = "label"):
     return GBTRegressor(featuresCol=FEATURES_COL, labelCol=label, maxIter=60, maxDepth=5, stepSize=0.15, seed=42)
 
 
+# Minimum training sizes of the source application (MDL5: > 500 rows, MDL6: > 50 rows).
+MIN_ROWS_GBT = 500
+MIN_ROWS_NAME_FOREST = 50
+
+
+def require_rows(df: DataFrame, more_than: int, what: str) -> None:
+    """Bounded count: fail clearly when the training frame is too small."""
+    if df.limit(more_than + 1).count() <= more_than:
+        raise ValueError(f"{what} needs more than {more_than} training rows")
+
+
 # Shared feature function for flights: identical in training and scoring
 FLIGHT_CATEGORICAL = ["flightType", "agency", "from", "to"]
 FLIGHT_NUMERIC = ["distance", "time", "day", "month", "weekday"]

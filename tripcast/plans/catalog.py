@@ -598,6 +598,7 @@ def _gbt_frames(spark, d):
 @query("MDL5_gbt_regressor")
 def mdl5(spark, d):
     tr, te, _ = _gbt_frames(spark, d)
+    ML.require_rows(tr, ML.MIN_ROWS_GBT, "the gradient-boosted price model")
     model = ML.gbt_regressor().fit(tr)
     return model.transform(te).select("travelCode", "label", F.round("prediction", 6).alias("prediction"))
 
@@ -623,6 +624,7 @@ def _gender_code_frame(spark, d):
 @query("MDL6_MDL9_gender_forest")
 def mdl6(spark, d):
     u, cols = _gender_code_frame(spark, d)
+    ML.require_rows(u, ML.MIN_ROWS_NAME_FOREST, "the name-code gender forest")
     idx = ML.StringIndexer(inputCol="gender", outputCol="label_idx", stringOrderType="alphabetAsc")
     rf = ML.forest_classifier(weight=None, trees=150, depth=8, min_leaf=1)
     model = ML.Pipeline(stages=[idx, ML.VectorAssembler(inputCols=cols, outputCol=ML.FEATURES_COL), rf]).fit(u)
