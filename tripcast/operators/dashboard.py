@@ -253,25 +253,23 @@ DEFAULT_CITIES = ["Florianopolis", "Salvador", "Natal", "Aracaju", "Recife",
 
 
 def unique_cities(flights: DataFrame, hotels: DataFrame) -> DataFrame:
-    cities = (flights.select(F.col("from_city").alias("city"))
-              .union(flights.select(F.col("to_city").alias("city")))
+    # one pass over flights (both city columns per row), one over hotels
+    cities = (flights.select(F.explode(F.array("from_city", "to_city")).alias("city"))
               .union(hotels.select("city"))
               .where(F.col("city").isNotNull()).distinct())
     return cities.orderBy("city")
 
 
-# FLT7 — option lists as one long table
+# FLT7 — option lists as one long table, one pass over each view
 def option_lists(flights: DataFrame, users: DataFrame) -> DataFrame:
-    parts = [
-        flights.select(F.lit("year").alias("option"), F.year("date").cast("string").alias("value")),
-        flights.select(F.lit("flightType").alias("option"), F.col("flightType").alias("value")),
-        flights.select(F.lit("from").alias("option"), F.col("from").alias("value")),
-        flights.select(F.lit("agency").alias("option"), F.col("agency").alias("value")),
-        users.select(F.lit("company").alias("option"), F.col("company").alias("value")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    pairs = F.array(
+        F.struct(F.lit("year").alias("option"), F.year("date").cast("string").alias("value")),
+        F.struct(F.lit("flightType").alias("option"), F.col("flightType").alias("value")),
+        F.struct(F.lit("from").alias("option"), F.col("from").alias("value")),
+        F.struct(F.lit("agency").alias("option"), F.col("agency").alias("value")),
+    )
+    out = (flights.select(F.inline(pairs))
+           .union(users.select(F.lit("company").alias("option"), F.col("company").alias("value"))))
     return out.where(F.col("value").isNotNull()).distinct().orderBy("option", "value")
 
 
