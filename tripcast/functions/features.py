@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import global_row_number
-from ..session import checked_broadcast, ensure_checkpoint_dir
+from ..session import checked_broadcast, ensure_checkpoint_dir, materialize
 
 
 # FEA1 — exact median (even counts average the middle pair); approximate on request
@@ -74,7 +74,7 @@ def fit_label_encoder(df: DataFrame, col: str) -> DataFrame:
     values = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
     mapping = global_row_number(values, ["value"], "code").withColumn("code", F.col("code").cast("int"))
     ensure_checkpoint_dir(df.sparkSession)
-    return mapping.checkpoint(eager=True)
+    return materialize(mapping)
 
 
 def label_encode(df: DataFrame, col: str, mapping: DataFrame, out: str | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources.tables import spread
 
 # Fixed value: a token is a run of at least two word characters (letters, digits, underscore).
@@ -66,7 +66,7 @@ def tfidf(docs: DataFrame, doc_id: str, text: str, max_features: int = MAX_FEATU
     it is written once to the checkpoint folder: tokenizing the whole corpus
     twice costs more than one write of its (much smaller) term counts."""
     ensure_checkpoint_dir(docs.sparkSession)
-    tf = term_counts(docs, doc_id, text).checkpoint(eager=True)
+    tf = materialize(term_counts(docs, doc_id, text))
     n_docs = docs.count()
     vocab = fit_vocabulary(tf, n_docs, max_features)
     return weigh(tf, vocab), vocab

@@ -26,6 +26,7 @@ from ..functions import columns as C
 from ..functions import features as FE
 from ..functions import text as TX
 from ..session import BROADCAST_ROW_LIMIT, checked_broadcast, ensure_checkpoint_dir, literal_frame
+from ..session import materialize as write_once
 from .dashboard import hotel_base
 from .ranking import global_row_number
 
@@ -79,7 +80,7 @@ def build_catalogue(hotels: DataFrame, climates: DataFrame, materialize: bool =
         # one row per hotel: written once to the shared checkpoint folder, so the
         # ranking below (sampling + shuffle) does not re-run the booking joins
         ensure_checkpoint_dir(hotels.sparkSession)
-        base = base.checkpoint(eager=True)
+        base = write_once(base)
     ranked = global_row_number(base, ["avg_price_per_night", "name", "place"], "price_rank", total="n_hotels")
     tier = F.col("price_rank") / F.greatest(F.lit(1), F.col("n_hotels") - 1)
     # PRJ23 — climate lookup; the table has one row per known city.
@@ -144,7 +145,7 @@ def fit(catalogue: DataFrame, config: RecommenderConfig | None = None, id_col: s
     items = catalogue.withColumn("item_id", F.col(id_col)).withColumn("_text", TX.item_text(TEXT_COLUMNS))
     if materialize:
         ensure_checkpoint_dir(catalogue.sparkSession)
-        items = items.checkpoint(eager=True)
+        items = write_once(items)
     weights, vocab = TX.tfidf(items, "item_id", "_text", config.tfidf_max_features)
     vecs = (weights.groupBy("doc_id")
             .agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("vec"))
@@ -154,7 +155,7 @@ def fit(catalogue: DataFrame, config: RecommenderConfig | None = None, id_col: s
     fitted_items = items.drop("_text").join(vecs, "item_id", "left").withColumns(scaled)
     if materialize:
         # the size check (rows and map entries) and the broadcast both read this table
-        fitted_items = fitted_items.checkpoint(eager=True)
+        fitted_items = write_once(fitted_items)
     return FittedRecommender(fitted_items, vocab, bounds, weights, config)
 
 
@@ -247,7 +248,7 @@ def recommend(model: FittedRecommender, requests: DataFrame, top_n: int = TOP_N,
                            query_text().alias("qtext"))
     # one row per distinct query text, written once; the size check and the join both read it
     ensure_checkpoint_dir(spark)
-    qv = checked_broadcast(text_vectors(requests, model.vocab).checkpoint(eager=True))
+    qv = checked_broadcast(write_once(text_vectors(requests, model.vocab)))
     # one shuffle of the (narrow) request rows; every later window is per request
     # (no explicit count: AQE may merge small partitions of this shuffle)
     reqs = keep.join(qv, "qtext", "left").drop("qtext").repartition("request_id")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +84,21 @@ def app_id(spark: SparkSession) -> str:
     return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", str(id(spark)))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the checkpoint folder and return the written table.
+
+    ``checkpoint()`` alone computes its input twice (once for the triggering
+    action, once more while writing); persisting first lets the write read the
+    first computation. The persisted copy is dropped afterwards: the returned
+    frame reads the checkpoint files and has no lineage behind it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
+
+
 def literal_frame(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     """A small fixed table built from literals inside the JVM (no Python RDD,
     so no Python workers are started to read it)."""
