@@ -131,3 +131,15 @@ def test_fea1_approximate_median_option(spark):
     df = spark.range(0, 1001).withColumnRenamed("id", "x")
     assert FE.fit_medians(df, ["x"])["x"] == 500.0
     assert abs(FE.fit_medians(df, ["x"], approx=True)["x"] - 500.0) <= 1.0
+
+
+def test_materialize_and_literal_frame(spark):
+    from tripcast.session import literal_frame, materialize
+    df = spark.range(0, 1000).withColumn("y", F.col("id") % 7).groupBy("y").count()
+    m = materialize(df)
+    assert sorted(map(tuple, m.collect())) == sorted(map(tuple, df.collect()))
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "HashAggregate" not in plan  # lineage cut: reads the written table
+    lit = literal_frame(spark, [("a", 1), ("b", 2)], ["k", "v"])
+    assert [tuple(r) for r in lit.collect()] == [("a", 1), ("b", 2)]
+    assert "PythonRDD" not in lit._jdf.queryExecution().executedPlan().toString()
