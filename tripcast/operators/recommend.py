@@ -250,8 +250,10 @@ def recommend(model: FittedRecommender, requests: DataFrame, top_n: int = TOP_N,
     ensure_checkpoint_dir(spark)
     qv = checked_broadcast(write_once(text_vectors(requests, model.vocab)))
     # one shuffle of the (narrow) request rows; every later window is per request
-    # (no explicit count: AQE may merge small partitions of this shuffle)
-    reqs = keep.join(qv, "qtext", "left").drop("qtext").repartition("request_id")
+    # explicit count: the shuffled request rows are small, but the work after them (candidate
+    # pairs, scoring, windows) is CPU-heavy, so AQE must not merge these partitions
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reqs = keep.join(qv, "qtext", "left").drop("qtext").repartition(parts, "request_id")
     reqs, items = _with_match_keys(reqs, model.items)
     # proof of size in rows *and* bytes: each hotel row carries a term -> weight map
     n_items, n_terms = items.agg(F.count(F.lit(1)), F.sum(F.size("vec"))).first()
