@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             return pd.DataFrame({"weights": [], "bias": [], "scale": [], "shift": []})
         return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias], "scale": [model.scale], "shift": [model.shift]})
 
-    found = rows.groupBy(F.lit(1)).applyInPandas(one, "weights binary, bias double, scale double, shift double").collect()
+    found = rows.withColumn("whole", F.lit("all")).groupBy("whole").applyInPandas(one, "weights binary, bias double, scale double, shift double").collect()
     if not found:
         return None
     m = found[0]

@@ -293,7 +293,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
 
     sample = (id_and_text(docs, id_col, text_col).mapInArrow(windows, "doc_id long, rank long, windows string")
               .orderBy("rank", "doc_id").limit(train_rows))
-    found = sample.groupBy(F.lit(1)).applyInPandas(one, "emit binary, trans binary").collect()
+    found = sample.withColumn("whole", F.lit("all")).groupBy("whole").applyInPandas(one, "emit binary, trans binary").collect()
     if not found:
         return None
     return Crf(np.frombuffer(bytes(found[0]["emit"]), np.float32).reshape(-1, 3), np.frombuffer(bytes(found[0]["trans"])).reshape(3, 3))
