@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, license_scan, packing, quality, secrets_scan, sharding
+from . import decontaminate, html_extract, license_scan, packing, quality, secrets_scan, sharding, suffix_dedup
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_sharding": op3_sharding,
     "op5_license_scans": op5_license_scans,
     "op6_quality_rules": op6_quality_rules,
