@@ -7,6 +7,10 @@ whole batch instead of a Python loop over rows.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +23,26 @@ BATCH_ROWS = 2_000
 BATCH_BYTES = 8 << 20
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once a session: their Python need not have it installed."""
+    sc = spark.sparkContext
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = f"{os.path.basename(top)}-modules.zip"
+    if name in sc._python_includes:
+        return
+    path = os.path.join(tempfile.mkdtemp(), name)  # the driver's own copy; executors fetch it from Spark
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(top):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(path)
+
+
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches and make sure a checkpoint folder is known."""
+    """Bound the Arrow batches, send the package and make sure a checkpoint folder is known."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ensure_checkpoint_dir(spark)
