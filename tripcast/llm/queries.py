@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, license_scan, packing, quality, secrets_scan, sharding, suffix_dedup
+from . import decontaminate, html_extract, license_scan, packing, quality, secrets_scan, sharding, substring_dedup, suffix_dedup
 from .common import read_table
 
 
@@ -22,6 +22,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_windows(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_sharding": op3_sharding,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_license_scans": op5_license_scans,
     "op6_quality_rules": op6_quality_rules,
     "op7_html_extraction": op7_html_extraction,
