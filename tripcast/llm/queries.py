@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, license_scan, packing, quality, secrets_scan, sharding, substring_dedup, suffix_dedup
+from . import decontaminate, html_extract, license_scan, ngram_join, packing, quality, secrets_scan, sharding, substring_dedup, suffix_dedup
 from .common import read_table
 
 
@@ -42,6 +42,10 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.secret_scan(read_table(spark, sf_dir, "documents"))
 
@@ -55,5 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_html_extraction": op7_html_extraction,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_secret_scans": op10_secret_scans,
 }
