@@ -98,12 +98,12 @@ def _doubled(names: np.ndarray, rounds: int) -> np.ndarray:
     """Order of the suffixes of a string of names by their first 2**rounds names."""
     rank = names.astype(np.int64)
     n, step = len(rank), 1
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank) if rounds == 0 else None
     for _ in range(rounds):
         nxt = np.zeros(n, np.int64)
         nxt[: n - step] = rank[step:] + 1
         key = rank * (int(rank.max(initial=0)) + 2) + nxt
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
         rank = np.empty(n, np.int64)
@@ -148,8 +148,9 @@ def induced_order(s: np.ndarray, symbols: int, depth: int | None = None) -> np.n
         if count <= LOOP_SYMBOLS:
             order = induced_order(reduced, count, depth)
         else:
-            rounds = 64 if depth is None else max(1, int(np.ceil(np.log2(max(2, depth)))))
-            order = _doubled(reduced, rounds)  # a name holds at least one symbol more than its neighbour
+            # leftmost-smaller positions are two or more symbols apart: depth / 2 names hold depth symbols
+            rounds = 64 if depth is None else max(1, int(np.ceil(np.log2(max(2, depth / 2)))))
+            order = _doubled(reduced, rounds)
     else:
         order = np.argsort(reduced, kind="stable")
     return _induce(s, small, lms[order], symbols)

@@ -59,8 +59,9 @@ class Stretches:
         self.ids, self.sample = ids, first
 
 
-def repeated_windows(texts: list[bytes], ids: np.ndarray, size: int) -> list[np.ndarray]:
-    """Per stretch: its windows that also start under a smaller id in another stretch, as a mask. One shard, one suffix array."""
+def repeated_windows(texts: list[bytes], ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per stretch, as bits (first window lowest): its windows that also start under a smaller id in another stretch, and
+    all its windows. One shard, one suffix array."""
     lengths = np.array([len(t) for t in texts])
     s = np.frombuffer(bytes([_BREAK]).join(texts) + bytes([_BREAK]), np.uint8)
     stop = np.cumsum(lengths + 1) - 1  # where each stretch ends
@@ -68,19 +69,15 @@ def repeated_windows(texts: list[bytes], ids: np.ndarray, size: int) -> list[np.
     sa = induced_order(s, 256, size)
     shared = permuted_common_prefixes(s, sa, stop[owner])
     group = np.cumsum(shared[sa] < size)
-    place, own = sa, owner[sa]
-    ok = stop[own] - place >= size  # a whole window starts here
-    place, own, group = place[ok], own[ok], group[ok]
+    own = owner[sa]
+    ok = stop[own] - sa >= size  # a whole window starts here
+    place, own, group = sa[ok], own[ok], group[ok]
     least = np.full(int(group.max(initial=0)) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, ids[own])
-    marked = np.zeros(len(s), bool)
-    marked[place] = least[group] < ids[own]
-    return np.split(marked, stop + 1)[:-1]
-
-
-def _mask_bits(flags: np.ndarray) -> int:
-    """Up to 64 flags as the bits of one number."""
-    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+    marked = least[group] < ids[own]
+    offset = place[marked] - (stop - lengths)[own[marked]]
+    bits = np.bincount(own[marked], np.exp2(offset), len(texts)).astype(np.uint64)  # fewer than 53 windows: exact
+    return bits, (np.uint64(1) << (lengths - size + 1).astype(np.uint64)) - np.uint64(1)
 
 
 RESULT = "sha string, rep_id long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
@@ -149,9 +146,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             members = np.array(members)
             least = np.full(len(distinct), np.iinfo(np.int64).max)
             np.minimum.at(least, members, ids[part])
-            marks = repeated_windows(list(distinct), least, size)
-            bits = np.array([_mask_bits(m) for m in marks], np.uint64)
-            whole = np.array([_mask_bits(np.ones(len(t) - size + 1, bool)) for t in distinct], np.uint64)
+            bits, whole = repeated_windows(list(distinct), least, size)
             # a stretch that a smaller id holds as it stands is removed whole
             mask = np.where(ids[part] > least[members], whole[members], bits[members])
             for i in np.flatnonzero(mask).tolist():
