@@ -9,7 +9,6 @@ over symbols, not over suffixes.
 
 Strings of names with more than ``LOOP_SYMBOLS`` symbols would need a loop as
 long as the string; there the recursion ends and ranks come from doubling.
-``depth`` bounds how many symbols of two suffixes are told apart.
 """
 
 from __future__ import annotations
@@ -94,12 +93,11 @@ def _induce(s: np.ndarray, small: np.ndarray, order: np.ndarray, symbols: int) -
     return sa
 
 
-def _doubled(names: np.ndarray, rounds: int) -> np.ndarray:
-    """Order of the suffixes of a string of names by their first 2**rounds names."""
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names: ranks by 2, 4, 8 ... names, until all differ."""
     rank = names.astype(np.int64)
     n, step = len(rank), 1
-    order = np.argsort(rank) if rounds == 0 else None
-    for _ in range(rounds):
+    while True:
         nxt = np.zeros(n, np.int64)
         nxt[: n - step] = rank[step:] + 1
         key = rank * (int(rank.max(initial=0)) + 2) + nxt
@@ -108,16 +106,13 @@ def _doubled(names: np.ndarray, rounds: int) -> np.ndarray:
         new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = new
-        if n == 0 or new[-1] == n - 1:
-            break
+        if new[-1] == n - 1:
+            return order
         step *= 2
-        if step >= n:
-            break
-    return order
 
 
-def induced_order(s: np.ndarray, symbols: int, depth: int | None = None) -> np.ndarray:
-    """Suffix array of ``s`` (symbols 0 .. symbols-1); suffixes equal in ``depth`` symbols may stand in any order."""
+def induced_order(s: np.ndarray, symbols: int) -> np.ndarray:
+    """Suffix array of ``s`` (symbols 0 .. symbols-1)."""
     n = len(s)
     if n < 2:
         return np.arange(n)
@@ -146,11 +141,9 @@ def induced_order(s: np.ndarray, symbols: int, depth: int | None = None) -> np.n
     count = int(name[-1]) + 1
     if count < len(lms):
         if count <= LOOP_SYMBOLS:
-            order = induced_order(reduced, count, depth)
+            order = induced_order(reduced, count)
         else:
-            # leftmost-smaller positions are two or more symbols apart: depth / 2 names hold depth symbols
-            rounds = 64 if depth is None else max(1, int(np.ceil(np.log2(max(2, depth / 2)))))
-            order = _doubled(reduced, rounds)
+            order = _doubled(reduced)
     else:
         order = np.argsort(reduced, kind="stable")
     return _induce(s, small, lms[order], symbols)

@@ -66,7 +66,7 @@ def repeated_windows(texts: list[bytes], ids: np.ndarray, size: int) -> tuple[np
     s = np.frombuffer(bytes([_BREAK]).join(texts) + bytes([_BREAK]), np.uint8)
     stop = np.cumsum(lengths + 1) - 1  # where each stretch ends
     owner = np.repeat(np.arange(len(texts)), lengths + 1)
-    sa = induced_order(s, 256, size)
+    sa = induced_order(s, 256)
     shared = permuted_common_prefixes(s, sa, stop[owner])
     group = np.cumsum(shared[sa] < size)
     own = owner[sa]
