@@ -36,7 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as bl
@@ -303,3 +303,14 @@ def _alone(batches, n: int):
         size = [len(s) for s in shingle_sets(*utf8(batch.column(1)), n)]
         none = pa.array([None] * len(size), pa.int64())
         yield pa.RecordBatch.from_arrays([none, pa.array(size, pa.int64()), none], ["doc_id", "n_shingles", "component_id"])
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with all their columns; one row for each id (of
+    the smallest text hash). Rows without an id stay."""
+    found = similar_documents(docs, id_col, text_col, **options)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    known = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    known = known.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
+    return known.unionByName(docs.where(F.col(id_col).isNull()))

@@ -194,17 +194,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(np.frombuffer(bytes(m["weights"]), np.float32).reshape(FAMILIES, -1), m["bias"], m["scale"], m["shift"])
 
 
+def verdicts(column: pa.Array, model: Model | None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """(counts, base rule failed, probability of good quality) of every text."""
+    raw, bounds = utf8(column)
+    c = counts(raw, bounds)
+    n = len(bounds) - 1
+    failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+    return c, failed, model.probability(families(raw, bounds, c["_word_hash"], c["_words"]), n) if model else np.ones(n)
+
+
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Counts, base verdict, probability and final verdict of every row."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, bounds = utf8(batch.column(1))
-            c = counts(raw, bounds)
-            n = len(bounds) - 1
-            failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
-            p = model.probability(families(raw, bounds, c["_word_hash"], c["_words"]), n) if model else np.ones(n)
+            c, failed, p = verdicts(batch.column(1), model)
             cols = [batch.column(0), *(pa.array(c[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
                     pa.array(failed), pa.array(~failed & (p >= threshold)), pa.array(p)]
             yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in SCHEMA.split(", ")])
@@ -215,3 +220,17 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     prepare(docs.sparkSession)
     return score(docs, train(docs, labels, **options))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and the classifier, with all their columns."""
+    prepare(docs.sparkSession)
+    model = train(docs, labels, text_col=text_col, **options)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, failed, p = verdicts(batch.column(at), model)
+            yield batch.filter(pa.array(~failed & (p >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
