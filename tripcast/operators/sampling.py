@@ -11,8 +11,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import rank_within
-
 SEED = 42
 TEST_FRACTION = 0.2
 
@@ -57,12 +55,28 @@ def train_test_split(df: DataFrame, key: str, fraction: float = TEST_FRACTION, s
     return df.where(~flag), df.where(flag)
 
 
-# SMP4 — stratified: per label the ceil(fraction * n_label) smallest hashes are test
+# SMP4 — stratified: per label the ceil(fraction * n_label) smallest hashes are test.
+# Counts by (label, hash prefix) tell in which prefix cell a label's last test row
+# lies and how many of the cell are test rows; only that cell's rows (one in
+# 65,536 of a label) are ranked. The flag is then a comparison with one threshold
+# per label: no raw row is ranked or moved.
 def stratified_flag(df: DataFrame, key: str, label: str, fraction: float = TEST_FRACTION,
                     seed: int = SEED) -> DataFrame:
-    ranked = rank_within(df.withColumn("_h", seeded_hash(key, seed)), label, ["_h", key], "_r", "_n")
-    k = F.ceil(F.col("_n") * F.lit(fraction))
-    return ranked.withColumn("is_test", F.col("_r") < k).drop("_h", "_r", "_n")
+    hashed = df.where(F.col(label).isNotNull()).withColumn("_h", seeded_hash(key, seed))
+    cell = F.substring("_h", 1, 4)
+    cells = hashed.groupBy(label, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(label).orderBy("_cell")
+    cells = cells.withColumns({
+        "_before": F.coalesce(F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_k": F.ceil(F.sum("_n").over(Window.partitionBy(label)) * F.lit(fraction)),
+    })
+    last = cells.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_n"))) \
+        .select(F.col(label).alias("_label"), F.col("_cell"), (F.col("_k") - F.col("_before")).alias("_need"))
+    near = hashed.select(F.col(label).alias("_label"), cell.alias("_cell"), "_h", F.col(key).alias("_key")).join(last, ["_label", "_cell"])
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("_label").orderBy("_h", "_key")))
+    limits = ranked.where(F.col("_r") == F.col("_need")).select(F.col("_label").alias(label), F.struct("_h", "_key").alias("_limit"))
+    flag = F.coalesce(F.struct(F.col("_h"), F.col(key).alias("_key")) <= F.col("_limit"), F.lit(False))
+    return hashed.join(limits, label, "left").withColumn("is_test", flag).select(*df.columns, "is_test")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, fraction: float = TEST_FRACTION, seed: int = SEED):
