@@ -289,8 +289,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         more = _links(pairs, max(slots, bl.LEAST), percent)
         labels = components(links.unionAll(more))
 
-    placed = (sets.select("sha", "n", "class", "doc_id").join(classes, "class", "left").withColumn("node", F.coalesce("node", "doc_id"))
-              .join(labels, "node", "left").select("sha", "n", F.coalesce("component", "node").alias("component")))
+    shared = sets.where("class is not null").select("sha", "n", "class").join(classes, "class").join(labels, "node", "left")
+    placed = (shared.select("sha", "n", F.coalesce("component", "node").alias("component"))
+              .unionAll(sets.where("class is null").select("sha", "n", F.col("doc_id").alias("component"))))
     with_id = base.where("doc_id is not null").select("doc_id", "sha").join(placed, "sha").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
     without = base.where("doc_id is null").select("doc_id", "text").mapInArrow(lambda it: _alone(it, n), "doc_id long, n_shingles long, component_id long")
