@@ -138,16 +138,23 @@ def test_save_load_same_results(spark, tmp_path):
     assert recs.exceptAll(again).count() == 0 and again.exceptAll(recs).count() == 0
 
 
-def test_large_catalogue_path_equals_broadcast_path(spark):
-    cat, model, recs = _run(spark)
-    routed = R.recommend(model, _requests(spark), max_broadcast_items=3)
-    assert recs.exceptAll(routed).count() == 0 and routed.exceptAll(recs).count() == 0
-    from tripcast.sources import fixtures as FX
-    from tripcast.plans.catalog import _f
-    reqs = FX.hotel_requests(_f(spark, SF_SMALL))
-    a = R.recommend(model, reqs)
-    b = R.recommend(model, reqs, max_broadcast_items=24)
-    assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def test_many_blank_destinations_and_repeated_profiles(spark):
+    """One plan at every size: requests without a destination see all hotels, equal requests get equal rows."""
+    cat, model, _ = _run(spark)
+    reqs = spark.range(0, 3000).select(
+        F.col("id").alias("request_id"), F.lit(None).cast("string").alias("destination"), F.lit("luxury").alias("style"),
+        F.lit(None).cast("string").alias("climate"), F.lit(None).cast("string").alias("travel_type"),
+        F.array(F.lit("pool")).alias("amenities"), (F.col("id") % 3 * 400.0 + 200).alias("budget_max"),
+        F.lit(0).alias("min_stars"), F.lit(0.0).alias("min_review"))
+    got = R.recommend(model, reqs)
+    per = got.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("x"))
+    assert per.groupBy((F.col("request_id") % 3).alias("b")).agg(F.count_distinct("x").alias("n")).where("n > 1").count() == 0
+    rows = sorted(cat.collect(), key=lambda r: r["price_rank"])
+    first = {r["request_id"]: [x["name"] for x in r["x"]] for r in per.where("request_id < 3").collect()}
+    for i in range(3):
+        assert first.get(i, []) == _brute_force(rows, (None, "luxury", None, None, ["pool"], i * 400.0 + 200, 0, 0.0))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_regex_destination_mode(spark):
@@ -159,5 +166,3 @@ def test_regex_destination_mode(spark):
     regex = R.recommend(model, reqs, regex=True)    # as a pattern it matches exactly NATION 1
     assert literal.count() == 0
     assert {r["location"] for r in regex.collect()} == {"NATION 1"}
-    routed = R.recommend(model, reqs, regex=True, max_broadcast_items=3)
-    assert regex.exceptAll(routed).count() == 0 and routed.exceptAll(regex).count() == 0

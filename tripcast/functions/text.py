@@ -5,11 +5,12 @@ more word characters, a vocabulary of the ``max_features`` most frequent
 terms over the corpus (ties by term), idf = ln((1 + n) / (1 + df)) + 1,
 weight = count * idf, then L2 normalisation per document.
 
-Scale notes: term counting is a grouped count with map-side combine, so a
-term present in a third of all tokens costs one partial row per task. The
-vocabulary is a distributed top-k of bounded size (``max_features``) and is
-the only broadcast side. Per-document norms use a window partitioned by
-document, whose size is bounded by the vocabulary.
+Scale notes: terms are counted inside a document's row, over its sorted terms.
+Corpus counts are grouped by term with map-side combine, so a term present in a
+third of all texts costs one partial row per task. The vocabulary is a
+distributed top-k of bounded size (``max_features``) and is the only broadcast
+side. Per-document norms use a window partitioned by document, whose size is
+bounded by the vocabulary.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, materialize
-from ..sources.tables import spread
 
 # Fixed value: a token is a run of at least two word characters (letters, digits, underscore).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -37,11 +37,18 @@ def item_text(cols: Sequence[str]) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in cols])
 
 
+def _runs(sorted_terms: Column) -> Column:
+    """(term, tf) structs of an array of sorted terms: a term's count is the length of its run."""
+    n = F.size(sorted_terms)
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(sorted_terms, i) != F.get(sorted_terms, i - 1)))
+    end = F.concat(F.slice(first, F.lit(2), n), F.array(n))
+    return F.when(n > 0, F.zip_with(first, end, lambda a, b: F.struct(F.get(sorted_terms, a).alias("term"), (b - a).cast("long").alias("tf"))))
+
+
 def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, term, tf) — one row per distinct term in a document."""
-    return (spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")))
-            .select("doc_id", F.explode(tokens("_t")).alias("term"))
-            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    """(doc_id, term, tf) — one row per distinct term in a document, counted inside its row (no shuffle)."""
+    return (docs.select(F.col(doc_id).alias("doc_id"), F.array_sort(tokens(text)).alias("_s"))
+            .select("doc_id", F.inline(_runs(F.col("_s")))))
 
 
 def fit_vocabulary(tf: DataFrame, n_docs: int, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -62,11 +69,10 @@ def weigh(tf: DataFrame, vocab: DataFrame) -> DataFrame:
 def tfidf(docs: DataFrame, doc_id: str, text: str, max_features: int = MAX_FEATURES):
     """Fit on ``docs`` and return (weights, vocabulary).
 
-    The (doc, term, count) table feeds both the vocabulary and the weights, so
-    it is written once to the checkpoint folder: tokenizing the whole corpus
-    twice costs more than one write of its (much smaller) term counts."""
+    Only the vocabulary (at most ``max_features`` rows) is written: its fit moves one
+    partial row per term and task. The weights count terms again inside each row, drop
+    those outside the vocabulary, and move what is left once, for the norm."""
     ensure_checkpoint_dir(docs.sparkSession)
-    tf = materialize(term_counts(docs, doc_id, text))
-    n_docs = docs.count()
-    vocab = fit_vocabulary(tf, n_docs, max_features)
+    tf = term_counts(docs, doc_id, text)
+    vocab = materialize(fit_vocabulary(tf, docs.count(), max_features))
     return weigh(tf, vocab), vocab

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..session import checked_broadcast
+from ..session import literal_frame
 
 
 def _all():
@@ -178,16 +178,16 @@ def age_histogram(users: DataFrame, bins: int = 20) -> DataFrame:
                     (F.col("bin") * width + lo + width).alias("bin_end"), "users"))
 
 
-# JOIN1 — flights LEFT JOIN users (users is broadcast only after a row-bound check)
+# JOIN1 — flights LEFT JOIN users (Spark picks the join by the sizes it meets at run time)
 def flights_with_users(flights: DataFrame, users: DataFrame) -> DataFrame:
     u = users.withColumnRenamed("code", "userCode").withColumnRenamed("name", "name_user")
-    return flights.join(checked_broadcast(u), "userCode", "left")
+    return flights.join(u, "userCode", "left")
 
 
 # JOIN2 — hotels LEFT JOIN users, clashing ``name`` suffixed ``_user``
 def hotels_with_users(hotels: DataFrame, users: DataFrame) -> DataFrame:
     u = users.withColumnRenamed("code", "userCode").withColumnRenamed("name", "name_user")
-    return hotels.join(checked_broadcast(u), "userCode", "left")
+    return hotels.join(u, "userCode", "left")
 
 
 # AGG16 — mean flight price by gender over JOIN1.
@@ -197,7 +197,7 @@ def spend_by_gender(flights: DataFrame, users: DataFrame) -> DataFrame:
     per_user = (flights.where(F.col("price_inr").isNotNull()).groupBy("userCode")
                 .agg(F.sum("price_inr").alias("s"), F.count(F.lit(1)).alias("n")))
     u = users.select(F.col("code").alias("userCode"), "gender")
-    joined = per_user.join(checked_broadcast(u), "userCode", "left")
+    joined = per_user.join(u, "userCode", "left")
     return (joined.where(F.col("gender").isNotNull()).groupBy("gender")
             .agg((F.sum("s") / F.sum("n")).alias("avg_price_inr")))
 
@@ -223,7 +223,7 @@ ROUTE_DEFAULT_TIME = 1.2
 
 def route_lookup(requests: DataFrame, means: DataFrame) -> DataFrame:
     m = means.select("from", "to", "avg_distance", "avg_time")
-    return (requests.join(checked_broadcast(m), ["from", "to"], "left")
+    return (requests.join(m, ["from", "to"], "left")
             .withColumns({"distance": F.coalesce("avg_distance", F.lit(ROUTE_DEFAULT_DISTANCE)),
                           "time": F.coalesce("avg_time", F.lit(ROUTE_DEFAULT_TIME)),
                           "route_known": F.col("avg_distance").isNotNull()})
@@ -253,11 +253,15 @@ DEFAULT_CITIES = ["Florianopolis", "Salvador", "Natal", "Aracaju", "Recife",
 
 
 def unique_cities(flights: DataFrame, hotels: DataFrame) -> DataFrame:
-    # one pass over flights (both city columns per row), one over hotels
+    # one pass over flights (both city columns per row), one over hotels; with no city
+    # at all the fixed list stands in (a left join from one row tells whether there is any)
     cities = (flights.select(F.explode(F.array("from_city", "to_city")).alias("city"))
               .union(hotels.select("city"))
               .where(F.col("city").isNotNull()).distinct())
-    return cities.orderBy("city")
+    spark = flights.sparkSession
+    found = cities.agg(F.count(F.lit(1)).alias("n"))
+    stand_in = literal_frame(spark, [(c,) for c in DEFAULT_CITIES], ["city"]).where(found.scalar() == 0)
+    return cities.unionByName(stand_in).orderBy("city")
 
 
 # FLT7 — option lists as one long table, one pass over each view
@@ -282,13 +286,9 @@ def members(df: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
 def table_summary(df: DataFrame, name: str) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("__rows")] + [F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]
     wide = df.agg(*aggs)
-    pairs = ", ".join(f"'{c}', n{i}" for i, c in enumerate(df.columns))
+    pairs = ", ".join(f"'{c}', '{t}', n{i}" for i, (c, t) in enumerate(df.dtypes))
     return wide.selectExpr(f"'{name}' AS table_name", "__rows AS row_count",
-                           f"stack({len(df.columns)}, {pairs}) AS (column_name, null_count)")
-
-
-def table_dtypes(df: DataFrame) -> list[tuple[str, str]]:
-    return df.dtypes
+                           f"stack({len(df.columns)}, {pairs}) AS (column_name, dtype, null_count)")
 
 
 # PRF2 — target distribution

@@ -9,11 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast
-
 
 # EVA1 — RMSE, MAE, R^2 (R^2 from the population variance of the label)
 def regression_metrics(preds: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -50,24 +48,25 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) for c in df.columns])
 
 
-# Deterministic predictors (so that DuckDB can check the metric jobs)
-def group_mean_model(train: DataFrame, keys: Sequence[str], label: str) -> tuple[DataFrame, float]:
-    means = train.groupBy(*keys).agg(F.avg(label).alias("prediction"))
-    overall = train.agg(F.avg(label)).first()[0]
-    return means, overall
+# Deterministic predictors (so that DuckDB can check the metric jobs). The training rows are
+# reduced once to sums and counts per group; the overall value comes from those few rows.
+def group_mean_model(train: DataFrame, keys: Sequence[str], label: str) -> tuple[DataFrame, Column]:
+    groups = train.groupBy(*keys).agg(F.sum(label).alias("_s"), F.count(label).alias("_n"))
+    overall = groups.agg(F.sum("_s") / F.sum("_n"))
+    return groups.select(*keys, (F.col("_s") / F.col("_n")).alias("prediction")), overall.scalar()
 
 
-def apply_group_mean(test: DataFrame, means: DataFrame, overall: float, keys: Sequence[str]) -> DataFrame:
-    return (test.join(checked_broadcast(means), list(keys), "left")
-            .withColumn("prediction", F.coalesce("prediction", F.lit(overall))))
+def apply_group_mean(test: DataFrame, means: DataFrame, overall: Column, keys: Sequence[str]) -> DataFrame:
+    return (test.join(means, list(keys), "left")
+            .withColumn("prediction", F.coalesce("prediction", overall)))
 
 
-def majority_model(train: DataFrame, key: str, label: str) -> tuple[DataFrame, object]:
+def majority_model(train: DataFrame, key: str, label: str) -> tuple[DataFrame, Column]:
     """Most frequent label per key value (smallest label on ties) and overall."""
     counts = train.groupBy(key, label).agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy(key).agg(F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias("prediction"))
-    overall = train.agg(F.mode(label, True)).first()[0]
-    return best, overall
+    totals = counts.where(F.col(label).isNotNull()).groupBy(label).agg(F.sum("n").alias("n"))
+    return best, totals.agg(F.min_by(label, F.struct(-F.col("n"), F.col(label)))).scalar()
 
 
 # EVA4 — keep the candidate only when strictly better than the baseline

@@ -2,17 +2,17 @@
 
 Design
 * The catalogue is one row per hotel (``hotel_base`` + a global price rank).
-  Its attributes are column expressions; the price rank uses the
-  range-partitioned ``global_row_number``, not an unpartitioned window.
+  Its attributes are column expressions; the price rank uses the bucketed
+  ``global_row_number``, not an unpartitioned window.
 * ``fit`` turns the catalogue into a model: per-item TF-IDF maps, scaled
   numeric columns, the vocabulary (at most ``max_features`` rows) and six
   min/max numbers.
-* ``recommend`` scores every request against the catalogue. Requests are
-  hash-partitioned by ``request_id`` once; the catalogue (checked row bound)
-  is broadcast into a nested-loop join under the hard-filter predicates, so
-  candidate pairs are built and scored inside the request's task, and the
-  per-request windows (ideal price, top-n, rescale) need no further shuffle.
-  The text score is a JVM-side dot product of two maps.
+* ``recommend`` scores every distinct request profile (destination, bounds and
+  query text) once and joins the best hotels back to the requests. Profiles
+  reach their hotels through equi-joins: destination to the locations that
+  contain it, location to hotels. One plan serves every catalogue size; Spark
+  picks the joins by the sizes it meets and splits a hot destination. The text
+  score is a JVM-side dot product of two maps.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import features as FE
 from ..functions import text as TX
-from ..session import BROADCAST_ROW_LIMIT, checked_broadcast, ensure_checkpoint_dir, literal_frame
+from ..session import ensure_checkpoint_dir, literal_frame
 from ..session import materialize as write_once
 from .dashboard import hotel_base
 from .ranking import global_row_number
@@ -37,6 +37,11 @@ CITY_CLIMATE = {
     "Campo Grande": "temperate", "Rio de Janeiro": "coastal", "Brasilia": "temperate",
 }
 DEFAULT_CLIMATE = "tropical"
+LUXURY_TIER, BOUTIQUE_TIER, BUSINESS_TIER = 0.75, 0.5, 0.25
+TOP_STARS, MIDDLE_STARS, BASE_STARS = 5, 4, 3
+BASE_AMENITIES, TIER_AMENITIES = 3, 5
+REVIEW_BASE, REVIEW_TIER, REVIEW_NOISE, REVIEW_LOW, REVIEW_HIGH = 7.2, 2.0, 0.3, 6.5, 9.8
+MATCH_LOW, MATCH_SPAN, MATCH_EVEN = 60.0, 35.0, 75.0
 AMENITY_POOL = ["pool", "spa", "wifi", "fine_dining", "gym", "bar",
                 "beach_access", "business_center", "kids_club", "butler_service"]
 COUNTRY = "Brazil"
@@ -49,10 +54,6 @@ EMPTY_QUERY = "hotel"
 # Climate rule for the derived test cities ("NATION k"): by k mod 3.
 FIXTURE_CLIMATES = ["coastal", "tropical", "temperate"]
 TEXT_COLUMNS = ["amenities", "style", "climate", "travel_type"]
-# Size model of one broadcast catalogue row (attributes) and one map entry (term, weight).
-ITEM_ROW_BYTES = 512
-TERM_ENTRY_BYTES = 48
-MAX_BROADCAST_BYTES = 256 << 20
 NUM_COLUMNS = ["avg_price_per_night", "star_rating", "review_score"]
 
 
@@ -84,25 +85,25 @@ def build_catalogue(hotels: DataFrame, climates: DataFrame, materialize: bool =
     ranked = global_row_number(base, ["avg_price_per_night", "name", "place"], "price_rank", total="n_hotels")
     tier = F.col("price_rank") / F.greatest(F.lit(1), F.col("n_hotels") - 1)
     # PRJ23 — climate lookup; the table has one row per known city.
-    with_climate = (ranked.join(checked_broadcast(climates.dropDuplicates(["city"])), "city", "left")
+    with_climate = (ranked.join(climates.dropDuplicates(["city"]), "city", "left")
                     .withColumn("climate", F.coalesce("climate", F.lit(DEFAULT_CLIMATE)))
                     .withColumn("tier", tier))
     t = F.col("tier")
-    style = (F.when(t >= 0.75, "luxury").when(t >= 0.5, "boutique")
-             .when(t >= 0.25, "business").otherwise("budget / backpacker"))
-    stars = F.when(t >= 0.75, 5).when(t >= 0.25, 4).otherwise(3)
+    style = (F.when(t >= LUXURY_TIER, "luxury").when(t >= BOUTIQUE_TIER, "boutique")
+             .when(t >= BUSINESS_TIER, "business").otherwise("budget / backpacker"))
+    stars = F.when(t >= LUXURY_TIER, TOP_STARS).when(t >= BUSINESS_TIER, MIDDLE_STARS).otherwise(BASE_STARS)
     coastal = F.col("climate") == "coastal"
     # REC2 — amenities: the pool ordered by md5(name|amenity), first 3 + int(5 * tier)
     keyed = F.transform(F.array(*[F.lit(a) for a in AMENITY_POOL]),
                         lambda a: F.struct(F.md5(F.concat(F.col("name"), F.lit("|"), a)).alias("h"), a.alias("a")))
     chosen = F.slice(F.transform(F.array_sort(keyed), lambda s: s["a"]), F.lit(1),
-                     (F.floor(t * 5) + 3).cast("int"))
+                     (F.floor(t * TIER_AMENITIES) + BASE_AMENITIES).cast("int"))
     amenities = F.when(coastal & ~F.array_contains(chosen, "beach_access"),
                        F.array_append(chosen, F.lit("beach_access"))).otherwise(chosen)
     # REC3 — review score with a name-seeded offset in [-0.3, 0.3)
     frac = F.conv(F.substring(F.md5(F.concat(F.col("name"), F.lit("#review"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    review = F.bround(F.lit(7.2) + t * 2.0 + (frac * 0.6 - 0.3), 1)
-    review = F.least(F.lit(9.8), F.greatest(F.lit(6.5), review))
+    review = F.bround(F.lit(REVIEW_BASE) + t * REVIEW_TIER + (frac * (2 * REVIEW_NOISE) - REVIEW_NOISE), 1)
+    review = F.least(F.lit(REVIEW_HIGH), F.greatest(F.lit(REVIEW_LOW), review))
     travel = (F.when(style == "business", "business leisure")
               .when(coastal, "leisure family").otherwise("leisure"))
     return with_climate.select(
@@ -128,12 +129,6 @@ class FittedRecommender:
     bounds: dict              # column -> (min, max)
     weights: DataFrame        # (doc_id, term, weight) long form
     config: RecommenderConfig
-    idf: dict | None = None   # term -> idf, the vocabulary as a model parameter (<= max_features entries)
-
-    def idf_map(self) -> dict:
-        if self.idf is None:
-            self.idf = {r["term"]: r["idf"] for r in self.vocab.collect()}
-        return self.idf
 
 
 # REC4 — fit on any catalogue frame that has the expected columns
@@ -187,23 +182,11 @@ def _blank(c: str) -> F.Column:
     return F.col(c).isNull() | (F.col(c) == 0)
 
 
-# FLT3 / FLT4 — hard filters as one join predicate.
-# Expects ``_dest`` (lower-cased, trimmed destination) on the request side and
-# ``_loc`` / ``_cty`` (lower-cased location / country) on the catalogue side, so
-# the per-pair work is only the comparisons.
-def candidate_predicate(regex: bool = False) -> F.Column:
-    dest = F.col("_dest")
-    match = (F.rlike(F.col("_loc"), dest) | F.rlike(F.col("_cty"), dest)) if regex else \
-        (F.col("_loc").contains(dest) | F.col("_cty").contains(dest))
+# FLT3 / FLT4 — hard filters on the numbers of a profile and a hotel
+def within_bounds() -> F.Column:
     return ((_blank("budget_max") | (F.col("avg_price_per_night") <= F.col("budget_max")))
             & (_blank("min_stars") | (F.col("star_rating") >= F.col("min_stars")))
-            & (_blank("min_review") | (F.col("review_score") >= F.col("min_review")))
-            & (dest.isNull() | (dest == "") | match))
-
-
-def _with_match_keys(requests: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return (requests.withColumn("_dest", F.lower(F.trim(F.col("destination")))),
-            items.withColumns({"_loc": F.lower("location"), "_cty": F.lower("country")}))
+            & (_blank("min_review") | (F.col("review_score") >= F.col("min_review"))))
 
 
 def _dot(q: str, v: str) -> F.Column:
@@ -213,58 +196,47 @@ def _dot(q: str, v: str) -> F.Column:
                       F.lit(0.0))
 
 
-def _routed_pairs(reqs: DataFrame, items: DataFrame, regex: bool, bound: int) -> DataFrame:
-    """Candidate pairs when the catalogue is too large to broadcast.
-
-    Each *distinct* destination is matched against the *distinct* catalogue
-    locations (the same contains / regex rule), giving a destination ->
-    location map. Requests then reach their hotels through two equi-joins
-    (shuffled on destination and on location; AQE splits a hot key), so no
-    request meets a hotel its destination rules out. Requests without a
-    destination match every hotel: they are the broadcast side of their
-    nested-loop join, behind the same size check.
-    """
-    has_dest = F.col("_dest").isNotNull() & (F.col("_dest") != "")
-    dests = reqs.where(has_dest).select("_dest").distinct()
-    locs = items.select("_loc", "_cty").distinct()
-    match = (F.rlike(F.col("_loc"), F.col("_dest")) | F.rlike(F.col("_cty"), F.col("_dest"))) if regex else \
-        (F.col("_loc").contains(F.col("_dest")) | F.col("_cty").contains(F.col("_dest")))
-    dmap = dests.join(checked_broadcast(locs, bound), match)
-    with_dest = (reqs.where(has_dest).join(dmap, "_dest")
-                 .join(items, ["_loc", "_cty"]).where(candidate_predicate(regex)))
-    blank = reqs.where(~has_dest)
-    if blank.limit(bound + 1).count() > bound:
-        raise ValueError("too many requests without a destination to pair with a catalogue this large")
-    no_dest = F.broadcast(blank).join(items, candidate_predicate(regex), "inner")
-    return with_dest.unionByName(no_dest)
+def _substrings(c: str) -> F.Column:
+    """All distinct substrings of a short text, and the empty one."""
+    n = F.length(c)
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(
+        F.sequence(F.lit(1), F.greatest(n - i + 1, F.lit(1))), lambda k: F.substring(F.col(c), i, k))))
+    return F.array_distinct(F.array_append(F.coalesce(every, F.array().cast("array<string>")), F.lit("")))
+
+
+def destination_map(profiles: DataFrame, items: DataFrame, regex: bool = False) -> DataFrame:
+    """(_dest, _loc, _cty): the catalogue locations that each distinct destination selects.
+
+    A destination selects a place whose location or country contains it, so the
+    distinct places are listed under each of their substrings and met by an
+    equi-join; the empty destination is a substring of all of them. A regular
+    expression has no such key: that form compares the distinct destinations with
+    the distinct places."""
+    dests = profiles.select("_dest").distinct()
+    places = items.select("_loc", "_cty").distinct()
+    if regex:
+        hit = (F.col("_dest") == "") | F.rlike(F.col("_loc"), F.col("_dest")) | F.rlike(F.col("_cty"), F.col("_dest"))
+        return dests.join(places, hit)
+    keys = F.array_union(_substrings("_loc"), _substrings("_cty"))
+    return places.withColumn("_dest", F.explode(keys)).join(dests, "_dest")
 
 
 # REC6-10, JOIN6, TOP2, WIN2, WIN3
-def recommend(model: FittedRecommender, requests: DataFrame, top_n: int = TOP_N, regex: bool = False,
-              max_broadcast_items: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+def recommend(model: FittedRecommender, requests: DataFrame, top_n: int = TOP_N, regex: bool = False) -> DataFrame:
     cfg = model.config
-    spark = requests.sparkSession
-    keep = requests.select("request_id", "destination", "budget_max", "min_stars", "min_review",
-                           query_text().alias("qtext"))
-    # one row per distinct query text, written once; the size check and the join both read it
-    ensure_checkpoint_dir(spark)
-    qv = checked_broadcast(write_once(text_vectors(requests, model.vocab)))
-    # one shuffle of the (narrow) request rows; every later window is per request
-    # explicit count: the shuffled request rows are small, but the work after them (candidate
-    # pairs, scoring, windows) is CPU-heavy, so AQE must not merge these partitions
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    reqs = keep.join(qv, "qtext", "left").drop("qtext").repartition(parts, "request_id")
-    reqs, items = _with_match_keys(reqs, model.items)
-    # proof of size in rows *and* bytes: each hotel row carries a term -> weight map
-    n_items, n_terms = items.agg(F.count(F.lit(1)), F.sum(F.size("vec"))).first()
-    est_bytes = (n_items or 0) * ITEM_ROW_BYTES + (n_terms or 0) * TERM_ENTRY_BYTES
-    if n_items <= max_broadcast_items and est_bytes <= MAX_BROADCAST_BYTES:
-        pairs = reqs.join(F.broadcast(items), candidate_predicate(regex), "inner")
-    else:
-        pairs = _routed_pairs(reqs, items, regex, max_broadcast_items)
-
-    per_req = Window.partitionBy("request_id")
-    mx = F.max("avg_price_per_night").over(per_req)
+    ensure_checkpoint_dir(requests.sparkSession)
+    wants = ["_dest", "budget_max", "min_stars", "min_review", "qtext"]
+    asked = requests.withColumns({"_dest": F.coalesce(F.lower(F.trim(F.col("destination"))), F.lit("")), "qtext": query_text()})
+    asked = asked.withColumn("profile", F.md5(F.to_json(F.struct(*wants))))
+    # requests that ask for the same thing are scored once
+    profiles = asked.groupBy("profile").agg(*[F.first(c).alias(c) for c in wants])
+    profiles = profiles.join(write_once(text_vectors(requests, model.vocab)), "qtext", "left")
+    items = model.items.withColumns({"_loc": F.coalesce(F.lower("location"), F.lit("")), "_cty": F.coalesce(F.lower("country"), F.lit(""))})
+    pairs = (profiles.join(destination_map(profiles, items, regex), "_dest")
+             .join(items, ["_loc", "_cty"]).where(within_bounds()))
+
+    per_profile = Window.partitionBy("profile")
+    mx = F.max("avg_price_per_night").over(per_profile)
     b = model.bounds
     ideal = {
         "avg_price_per_night": F.least(F.coalesce(F.col("budget_max"), mx), mx),
@@ -278,16 +250,17 @@ def recommend(model: FittedRecommender, requests: DataFrame, top_n: int = TOP_N,
     num = F.lit(1.0) / (F.sqrt(sq) + 1.0)
     scored = pairs.withColumn("_score", F.round(F.lit(cfg.text_weight) * _dot("qvec", "vec") + F.lit(cfg.num_weight) * num, 9))
 
-    order = Window.partitionBy("request_id").orderBy(F.desc("_score"), F.asc("price_rank"))
+    order = Window.partitionBy("profile").orderBy(F.desc("_score"), F.asc("price_rank"))
     top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
-    lo, hi = F.min("_score").over(per_req), F.max("_score").over(per_req)
-    match = F.when(hi > lo, F.lit(60.0) + F.lit(35.0) * (F.col("_score") - lo) / (hi - lo)).otherwise(F.lit(75.0))
-    return top.select(
-        "request_id", "rank", "name", "location", "country", "style", "climate", "star_rating",
+    lo, hi = F.min("_score").over(per_profile), F.max("_score").over(per_profile)
+    match = F.when(hi > lo, F.lit(MATCH_LOW) + F.lit(MATCH_SPAN) * (F.col("_score") - lo) / (hi - lo)).otherwise(F.lit(MATCH_EVEN))
+    best = top.select(
+        "profile", "rank", "name", "location", "country", "style", "climate", "star_rating",
         "avg_price_per_night", "review_score", "amenities", "travel_type", "bookings",
         F.bround(match, 1).alias("match_score"),
         C.to_inr("avg_price_per_night").alias("avg_price_per_night_inr"),
     )
+    return asked.select("request_id", "profile").join(best, "profile").drop("profile")
 
 
 # REC11 — requests whose destination is not a catalogue city
@@ -295,10 +268,10 @@ def unknown_destinations(requests: DataFrame, catalogue: DataFrame) -> DataFrame
     known = catalogue.select(F.lower("location").alias("_loc")).distinct()
     dest = F.lower(F.trim(F.col("destination")))
     r = requests.where(F.col("destination").isNotNull() & (F.trim(F.col("destination")) != ""))
-    return (r.join(checked_broadcast(known), dest == F.col("_loc"), "left_anti")
+    return (r.join(known, dest == F.col("_loc"), "left_anti")
             .select("request_id", "destination",
                     F.concat(F.lit("'"), F.col("destination"),
-                             F.lit("' not in your hotel dataset — showing best matches across all cities.")).alias("note")))
+                             F.lit("' is no catalogue city; all cities are searched")).alias("note")))
 
 
 # PRJ19 + PRJ20 — display records
@@ -351,6 +324,13 @@ def run_metrics(model: FittedRecommender) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in ["num_hotels", "vocab_size", "avg_price_per_night", "avg_review_score"]])
 
 
+# SNK4 — the run log gets the configuration and the metrics
+def run_params(model: FittedRecommender, num_hotels: int, data_source: str = "bookings") -> dict[str, str]:
+    cfg = model.config
+    return {"text_weight": str(cfg.text_weight), "num_weight": str(cfg.num_weight), "tfidf_features": str(cfg.tfidf_max_features),
+            "num_hotels": str(num_hotels), "data_source": data_source}
+
+
 # SNK7 — persist the fitted model as tables and reload it by path
 def save(model: FittedRecommender, path: str) -> str:
     model.items.write.mode("overwrite").parquet(f"{path}/items")

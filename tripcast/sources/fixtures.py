@@ -11,7 +11,7 @@ Scale notes
   AQE splits a hot customer key if one appears.
 * ``hotels`` = lineitem JOIN orders JOIN part. lineitem/orders are joined
   on the order key (sort-merge), part on the part key. The lineitem scan is
-  ``spread`` (a no-op when the scan already has enough partitions), because
+  ``by_key`` (a no-op when the scan already has enough partitions), because
   three joins and the date formatting per row follow it.
 * ``nation`` is the only broadcast side, behind a checked row bound.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import app_id, checked_broadcast
-from .tables import spread, table
+from .tables import by_key, table
 
 # Fixed values of the stand-in data (FIXTURES.md): first names cycled by key.
 FIRST_NAMES = ["Ana", "Bruno", "Carla", "Diego", "Elisa", "Fabio"]
@@ -89,7 +89,8 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hotels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw hotels table: one booking per lineitem, hotel = part brand."""
-    li = spread(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_shipdate"))
+    # dealt out by the key of the join that follows
+    li = by_key(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_shipdate"), "l_orderkey")
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     p = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_retailprice")
     places = nation_places(spark, sf_dir).withColumnRenamed("n_nationkey", "brand_key")

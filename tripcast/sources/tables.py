@@ -4,19 +4,15 @@ Reads are lazy and column selection happens right after the scan, so the
 parquet reader only materialises the columns a query needs (``ReadSchema``)
 and filters written later are pushed into it (``PushedFilters``).
 
-``spread`` is for operators with heavy per-row work (tokenizing, JSON parsing,
-model scoring): when the inputs are fewer files than the session can run in
-parallel (one file with a single row group per table, as in the test data)
-it adds a round-robin repartition so that work is not serialised on one core.
-On a cluster reading many files it adds nothing.
+``by_key`` deals rows out by a key before heavy per-row work (JSON parsing and
+model scoring) or before a join on that key. It always does the same, whatever
+the input's size, files or the session's cores.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import parallelism
-
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -28,19 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, min_rows: int = 0) -> DataFrame:
-    """Round-robin over the session's parallelism when the inputs are too few files.
-
-    The decision uses ``inputFiles()`` (the files behind the plan's scans, read
-    from the plan without running it): with at least one file per parallel slot
-    the scans already split the work and nothing is added. ``min_rows`` > 0 also
-    requires a bounded count proving that many rows (iterative learners on
-    small frames run faster on few partitions)."""
-    if df.isStreaming:  # micro-batches are planned per trigger
-        return df
-    target = parallelism(df.sparkSession)
-    if len(df.inputFiles()) >= target:
-        return df
-    if min_rows and df.limit(min_rows).count() < min_rows:
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over the session's shuffle partitions by ``keys``; micro-batches stay as they are planned."""
+    if df.isStreaming:
         return df
-    return df.repartition(target)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -18,14 +18,18 @@ from pyspark.sql import functions as F
 
 from . import loaders as L
 
+# Rows of one file.
+MAX_RECORDS = 5_000_000
+
 
 def materialize(spark: SparkSession, sf_dir: str, out: str) -> dict[str, str]:
     """Write flights and hotels (partitioned by ``year``) and users under ``out``."""
     paths = {"flights": f"{out}/flights", "hotels": f"{out}/hotels", "users": f"{out}/users"}
     for name, df in [("flights", L.load_flights(spark, sf_dir)), ("hotels", L.load_hotels(spark, sf_dir))]:
         (df.withColumn("year", F.year("date"))
-         .repartition("year")                      # one writer per year, files sized by the data
-         .write.mode("overwrite").partitionBy("year").parquet(paths[name]))
+         # the rows of a year meet, and a year that outgrows a partition is split over several writers
+         .hint("rebalance", "year")
+         .write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS).partitionBy("year").parquet(paths[name]))
     L.load_users(spark, sf_dir).write.mode("overwrite").parquet(paths["users"])
     return paths
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..sources import loaders as L
 from ..sources import schemas
-from ..sources.tables import spread
+from ..sources.tables import by_key
 
 MODEL_VERSION = "tripcast_v1"
 FALLBACK_VERSION = "local_fallback_v1"
@@ -35,8 +35,8 @@ def flight_request_text(flights_features: DataFrame) -> DataFrame:
 
 
 # FLT6 / SCR4 — validation and routing; never raises
-def route_requests(requests: DataFrame, body: str = "body") -> DataFrame:
-    parsed = L.parse_requests(spread(requests), body, schemas.FLIGHT_REQUEST)
+def route_requests(requests: DataFrame, body: str = "body", key: str = "request_id") -> DataFrame:
+    parsed = L.parse_requests(by_key(requests, key), body, schemas.FLIGHT_REQUEST)
     r, m = F.col("req"), F.col("req_map")
     missing = None
     for c in FLIGHT_REQUIRED:
@@ -51,14 +51,14 @@ def route_requests(requests: DataFrame, body: str = "body") -> DataFrame:
 
 
 # FLT6 — classify requests: malformed / empty bodies are errors, a blank first name is rejected
-def route_classify_requests(requests: DataFrame, body: str = "body") -> DataFrame:
-    parsed = L.parse_requests(spread(requests), body, schemas.CLASSIFY_REQUEST)
+def route_classify_requests(requests: DataFrame, body: str = "body", key: str = "request_id") -> DataFrame:
+    parsed = L.parse_requests(by_key(requests, key), body, schemas.CLASSIFY_REQUEST)
     r, m = F.col("req"), F.col("req_map")
     blank = F.coalesce(F.trim(r["first_name"]), F.lit("")) == ""
     status = (F.when(m.isNull(), "error").when(F.size(m) == 0, "error")
               .when(blank, "rejected").otherwise("valid"))
     message = (F.when(m.isNull(), "Invalid JSON payload").when(F.size(m) == 0, "No input data provided")
-               .when(blank, "Please enter a valid first name"))
+               .when(blank, "The first name is blank"))
     return parsed.withColumns({"status": status, "message": message})
 
 
@@ -67,16 +67,36 @@ def split_valid(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return routed.where(F.col("status") == "valid"), routed.where(F.col("status") != "valid")
 
 
+# FLT6 — hotel requests: every field is optional, but the body must be a JSON object with some
+def route_hotel_requests(requests: DataFrame, body: str = "body", key: str = "request_id") -> DataFrame:
+    parsed = L.parse_requests(by_key(requests, key), body, schemas.HOTEL_REQUEST)
+    m = F.col("req_map")
+    status = F.when(m.isNull(), "error").when(F.size(m) == 0, "error").otherwise("valid")
+    message = F.when(m.isNull(), "Invalid JSON payload").when(F.size(m) == 0, "No input data provided")
+    return parsed.withColumns({"status": status, "message": message})
+
+
+def _answered(requests: DataFrame, fields: list[str]) -> tuple[Column, Column, list[str]]:
+    """(may be scored, status of the answer, columns that are carried). Routed requests keep their own status:
+    each gets one answer, and only valid ones get a score."""
+    carried = [c for c in requests.columns if c not in fields and c != "status"]
+    if "status" not in requests.columns:
+        return F.lit(True), F.lit("success"), carried
+    ok = F.col("status") == "valid"
+    return ok, F.when(ok, "success").otherwise(F.col("status")), carried
+
+
 # SCR1 — price scoring
 def score_prices(model: PipelineModel, requests: DataFrame, version: str = MODEL_VERSION) -> DataFrame:
-    echo = F.struct(*[F.col(f.name) for f in schemas.FLIGHT_REQUEST.fields])
-    scored = model.transform(spread(requests).withColumn("input_received", echo))
+    fields = [f.name for f in schemas.FLIGHT_REQUEST.fields]
+    ok, status, carried = _answered(requests, fields)
+    scored = model.transform(requests.withColumn("input_received", F.struct(*fields)))
     return scored.select(
-        *[c for c in requests.columns if c not in {f.name for f in schemas.FLIGHT_REQUEST.fields}],
-        F.lit("success").alias("status"),
-        F.round("prediction", 2).alias("predicted_price"),
-        F.lit("USD").alias("currency"),
-        F.lit(version).alias("model_version"),
+        *carried,
+        status.alias("status"),
+        F.when(ok, F.round("prediction", 2)).alias("predicted_price"),
+        F.when(ok, F.lit("USD")).alias("currency"),
+        F.when(ok, F.lit(version)).alias("model_version"),
         "input_received",
     )
 
@@ -87,19 +107,36 @@ def score_classes(model: PipelineModel, requests: DataFrame, labels: list[str],
     from ..operators.ml import probability_columns
     from pyspark.ml.feature import IndexToString
 
-    scored = model.transform(spread(requests).withColumn("input_received", F.struct(*[F.col(c) for c in echo_cols])))
+    ok, status, carried = _answered(requests, echo_cols)
+    scored = model.transform(requests.withColumn("input_received", F.struct(*[F.col(c) for c in echo_cols])))
     scored = IndexToString(inputCol="prediction", outputCol="predicted_gender", labels=labels).transform(scored)
     scored = probability_columns(scored, labels)
-    keep = [c for c in requests.columns if c not in echo_cols]
-    return scored.select(*keep, F.lit("success").alias("status"), "predicted_gender", "confidence",
-                         "probabilities", F.lit(version).alias("model_version"), "input_received")
-
-
-# SCR5 — primary result, else the fallback model's result
-def with_fallback(primary: Column, fallback: Column) -> dict[str, Column]:
-    return {"predicted_price": F.coalesce(primary, fallback),
-            "source": F.when(primary.isNotNull(), "primary").otherwise("fallback"),
-            "model_version": F.when(primary.isNotNull(), MODEL_VERSION).otherwise(FALLBACK_VERSION)}
+    return scored.select(*carried, status.alias("status"),
+                         *[F.when(ok, F.col(c)).alias(c) for c in ("predicted_gender", "confidence", "probabilities")],
+                         F.when(ok, F.lit(version)).alias("model_version"), "input_received")
+
+
+# SCR3 — one answer per hotel request: its recommendations as an array, or why there are none
+def recommendation_responses(routed: DataFrame, recommend: Callable[[DataFrame], DataFrame], version: str = MODEL_VERSION) -> DataFrame:
+    recs = recommend(routed.where(F.col("status") == "valid").select("request_id", "req.*"))
+    fields = [c for c in recs.columns if c != "request_id"]
+    lists = recs.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in fields if c != "rank"]))).alias("recommendations"))
+    out = routed.select("request_id", F.col("status").alias("_routed"), "message", F.col("req").alias("input_received")).join(lists, "request_id", "left")
+    ok = F.col("_routed") == "valid"
+    n = F.coalesce(F.size("recommendations"), F.lit(0))
+    return out.select(
+        "request_id", F.when(ok & (n > 0), "success").when(ok, "no_match").otherwise(F.col("_routed")).alias("status"), "message",
+        F.when(F.col("recommendations").isNull(), 0).otherwise(n).alias("n_results"), "recommendations",
+        F.when(ok, F.lit(version)).alias("model_version"), "input_received")
+
+
+# SCR5 — primary result, else the fallback model's result; requests that may not be scored get neither
+def with_fallback(primary: Column, fallback: Column, ok: Column) -> dict[str, Column]:
+    first = ok & primary.isNotNull()
+    second = ok & primary.isNull() & fallback.isNotNull()
+    return {"predicted_price": F.when(first, primary).when(second, fallback),
+            "source": F.when(first, "primary").when(second, "fallback"),
+            "model_version": F.when(first, MODEL_VERSION).when(second, FALLBACK_VERSION)}
 
 
 # Streaming wrapper: file source -> the same transform -> file sink
@@ -115,9 +152,10 @@ def run_stream(spark: SparkSession, transform: Callable[[DataFrame], DataFrame],
 
 def run_stream_batches(spark: SparkSession, batch_fn: Callable[[DataFrame], DataFrame], schema: T.StructType,
                        source_dir: str, sink_dir: str, checkpoint_dir: str, fmt: str = "json") -> None:
-    """For per-request ranking (SCR3): each micro-batch is scored as a batch and appended."""
+    """For per-request ranking (SCR3): each micro-batch is scored as a batch and written to its epoch's own
+    folder, so an epoch that runs again replaces what it wrote."""
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch_fn(batch).write.mode("append").parquet(sink_dir)
+        batch_fn(batch).write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch}")
 
     stream = spark.readStream.schema(schema).format(fmt).load(source_dir)
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
