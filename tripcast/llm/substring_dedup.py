@@ -39,7 +39,7 @@ SIZE = 50
 GRAM = 16  # words of an anchor
 DEPTH = 3  # rows of a sketch
 LOAD = 4  # counters of a row for each cell list entry of a block
-BLOCK_TEXT = 64 << 20  # anchors are few: a block stands for so much text
+BLOCK_TEXT = 16 << 20  # anchors are few: a block stands for so much text
 _ROWS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
 
 
@@ -59,15 +59,14 @@ class Words:
 
 def sketch_estimates(cells: list[np.ndarray], depth: int = DEPTH, load: int = LOAD) -> list[np.ndarray]:
     """Merge the sketches of several chunks (each a list of cell codes) and estimate every code's count."""
-    total = sum(map(len, cells))
-    bits = max(8, int(load * max(1, total) - 1).bit_length())
-    counters = []
+    every = np.concatenate(cells)
+    bits = max(8, int(load * max(1, len(every)) - 1).bit_length())
+    least = None
     for r in range(depth):
-        row = np.zeros(1 << bits, np.int64)
-        for c in cells:
-            row += np.bincount(_cell(c, r, bits), minlength=1 << bits)
-        counters.append(row)
-    return [np.minimum.reduce([row[_cell(c, r, bits)] for r, row in enumerate(counters)]) for c in cells]
+        at = _cell(every, r, bits)
+        found = np.bincount(at, minlength=1 << bits)[at]
+        least = found if least is None else np.minimum(least, found)
+    return np.split(least, np.cumsum([len(c) for c in cells])[:-1])
 
 
 def _cell(codes: np.ndarray, row: int, bits: int) -> np.ndarray:
