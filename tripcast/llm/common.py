@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 #: Bounds of an Arrow batch sent to a Python worker (rows, bytes): a worker's memory follows these, not the partition.
-BATCH_ROWS = 2_000
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 1_000
+BATCH_BYTES = 2 << 20
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -208,7 +208,7 @@ def second_pass(blocks: list[Block], labels: list[int | None]) -> list[int]:
                 # the edge of an article, of the page or of a left-out region
                 at, label, around = i - step, GOOD if blocks[i].article else BAD, blocks[i].article
             found[i] = (abs(i - at), label)
-            if labels[i] is not None:
+            if labels[i] is not None and not (blocks[i].article and labels[i] == BAD):  # a list of links in an article decides itself only
                 at, label = i, labels[i]
         return found
 

@@ -37,6 +37,7 @@ TRAIN_ROWS = 2_000
 #: A row is kept if its calibrated probability of good quality reaches this.
 THRESHOLD = 0.5
 EPOCHS = 80
+FIT_SLICE = 100
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
@@ -109,7 +110,7 @@ class Model:
     shift: float
 
     def probability(self, fams: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-        z = np.full(n, self.bias)
+        z = np.full(n, float(self.bias))
         for w, (slot, at) in zip(self.weights, fams):
             sums = np.concatenate([[0.0], np.cumsum(w[slot], dtype=np.float64)])
             size = np.diff(at)
@@ -121,17 +122,19 @@ def fit(texts: list[str], good: np.ndarray, epochs: int = EPOCHS) -> Model | Non
     """Full-batch logistic regression (Adam), then Platt scaling on every fifth row, held out."""
     if len(set(good.tolist())) < 2:
         return None
-    raw, bounds = utf8(pa.array(texts, pa.large_string()))
-    c = counts(raw, bounds)
     rows, slots, values = [], [], []
-    for f, (slot, at) in enumerate(families(raw, bounds, c["_word_hash"], c["_words"])):
-        row = np.repeat(np.arange(len(texts)), np.diff(at))
-        key, n = np.unique(row.astype(np.int64) << BITS | slot, return_counts=True)
-        r = key >> BITS
-        rows.append(r)
-        slots.append((key & ((1 << BITS) - 1)) + (f << BITS))
-        values.append(n / np.maximum(np.diff(at), 1)[r])
+    for start in range(0, len(texts), FIT_SLICE):  # texts of a slice at a time: only shares of buckets are kept
+        raw, bounds = utf8(pa.array(texts[start: start + FIT_SLICE], pa.large_string()))
+        c = counts(raw, bounds)
+        for f, (slot, at) in enumerate(families(raw, bounds, c["_word_hash"], c["_words"])):
+            row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            key, n = np.unique(row << BITS | slot, return_counts=True)
+            r = key >> BITS
+            rows.append((r + start).astype(np.int32))
+            slots.append(((key & ((1 << BITS) - 1)) + (f << BITS)).astype(np.int32))
+            values.append((n / np.maximum(np.diff(at), 1)[r]).astype(np.float32))
     row, slot, value = map(np.concatenate, (rows, slots, values))
+    del rows, slots, values
     held = np.arange(len(texts)) % 5 == 4
     share = good[~held].mean() if (~held).any() else 0.5
     if not 0 < share < 1:
@@ -142,14 +145,14 @@ def fit(texts: list[str], good: np.ndarray, epochs: int = EPOCHS) -> Model | Non
     bias, first, second, b1, b2 = 0.0, np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     n = len(texts)
     for t in range(1, epochs + 1):
-        z = bias + np.bincount(row, w[slot] * value, n)
+        z = bias + np.bincount(row, w.astype(np.float32)[slot] * value, n)
         err = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - good)
-        grad = np.bincount(slot, err[row] * value, len(w)) + 1e-7 * w
+        grad = np.bincount(slot, err.astype(np.float32)[row] * value, len(w)) + 1e-7 * w
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         w -= 1.0 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
         b1, b2 = 0.9 * b1 + 0.1 * err.sum(), 0.99 * b2 + 0.01 * err.sum() ** 2
         bias -= 0.1 * (b1 / (1 - 0.9**t)) / (np.sqrt(b2 / (1 - 0.99**t)) + 1e-8)
-    z = bias + np.bincount(row, w[slot] * value, n)
+    z = bias + np.bincount(row, w.astype(np.float32)[slot] * value, n)
     pick = held if len(set(good[held].tolist())) == 2 else ~held
     scale, shift = _platt(z[pick], good[pick])
     return Model(w.reshape(FAMILIES, -1).astype(np.float32), float(bias), scale, shift)

@@ -51,6 +51,7 @@ PER_ROW = 8  # windows of a training row
 REACH = 4  # tokens on either side of a candidate that the window holds
 SLOTS = 1 << 14
 EPOCHS = 60
+RIDGE = 1e-2  # keeps features of single windows small: weak tags are wrong at times
 
 _KEY = np.zeros(256, bool)
 _KEY[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
@@ -231,7 +232,7 @@ def fit(sequences: list[tuple[list[list[int]], list[bool], list[int]]], epochs:
             pair = np.exp(np.minimum(a[:, j - 1, :, None] + tr + (e[:, j] + b[:, j])[:, None, :] - z[:, None, None], 0))
             gt += (pair * real[:, j, None, None]).sum(0)
             np.add.at(gt, (gold[real[:, j], j - 1], gold[real[:, j], j]), -1)
-        for x, g, (m, v) in zip((emit, trans), (grad + 2e-5 * emit, gt / n + 2e-5 * trans), moments):
+        for x, g, (m, v) in zip((emit, trans), (grad + RIDGE * emit, gt / n + RIDGE * trans), moments):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
