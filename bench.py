@@ -32,6 +32,7 @@ HEADLINE = [
     "REC10_recommend",
     "EVA1_regression_metrics",
     "MDL1_linear_regression",
+    "MDL5_gbt_regressor",
     "SCR1_price_scoring",
     "SCR4_FLT6_SRC7_request_routing",
 ]

@@ -17,13 +17,53 @@ def test_linear_regression_r2(spark):
 
 
 def test_gbt_r2_and_importances(spark):
-    tr, te, cols = Q._gbt_frames(spark, SF_SMALL)
-    model = ML.gbt_regressor().fit(tr)
+    model, _, te = Q._fit_gbt(spark, SF_SMALL)
     from tripcast.operators.evaluation import regression_metrics
     assert regression_metrics(model.transform(te)).first()["r2"] > 0.9
     assert abs(sum(model.featureImportances.toArray()) - 1.0) < 1e-9
 
 
+def test_equal_data_gives_an_equal_model_on_any_partitioning(spark):
+    tr, te = Q._flight_frames(spark, SF_SMALL)
+    small = ML.forest_regressor(trees=5, depth=5)
+    a = ML.fit_model(tr.repartition(2), Q.FLIGHT_COLS, small).transform(te).select("travelCode", "prediction")
+    b = ML.fit_model(tr.repartition(13), Q.FLIGHT_COLS, small).transform(te).select("travelCode", "prediction")
+    assert a.exceptAll(b).count() == 0 and a.count() > 0
+
+
+def test_medians_and_modes_are_exact(spark, monkeypatch):
+    import statistics
+
+    import numpy as np
+
+    from tripcast.functions import features as FE
+
+    rng = np.random.default_rng(3)
+    n = 20_001
+    cols = {"u": rng.random(n), "heavy": np.exp(rng.normal(0, 9, n)), "same": np.full(n, 2.5), "ints": rng.integers(0, 7, n).astype(float)}
+    rows = [tuple(None if (i + k) % 11 == 0 else float(v[i]) for k, v in enumerate(cols.values())) + ("ab"[i % 2] if i % 5 else None, i % 4)
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "u double, heavy double, same double, ints double, s string, k int")
+    monkeypatch.setattr(FE, "EXACT_ROWS", 50)
+    got = FE.fit_medians(df, list(cols))
+    for j, c in enumerate(cols):
+        assert got[c] == statistics.median(r[j] for r in rows if r[j] is not None)
+    for c, j in (("s", 4), ("k", 5)):
+        values = [r[j] for r in rows if r[j] is not None]
+        assert FE.fit_modes(df, [c])[c] == min(set(values), key=lambda v: (-values.count(v), v))
+    assert FE.fit_medians(df.limit(0), ["u"]) == {"u": None} and FE.fit_modes(df.limit(0), ["s"]) == {"s": None}
+
+
+def test_terms_are_counted_inside_the_row(spark):
+    from collections import Counter
+
+    from tripcast.functions import text as TX
+
+    rows = [(1, "the cat the dog the"), (2, ""), (3, None), (4, "a b"), (5, "one")]
+    got = {(r["doc_id"], r["term"]): r["tf"] for r in TX.term_counts(spark.createDataFrame(rows, "id int, t string"), "id", "t").collect()}
+    assert got == {**{(1, w): n for w, n in Counter("the cat the dog the".split()).items()}, (5, "one"): 1}
+
+
 def test_classifier_f1_and_probabilities(spark):
     tr, te = Q._user_frames(spark, SF_MID)
     model, m = ML.train_classifier(tr, te, ML.logistic_regression(tr.count()), ML.USER_FEATURES)
@@ -89,7 +129,7 @@ def test_forest_regressor_r2(spark):
 
 
 def test_gender_forest_f1_and_probabilities(spark):
-    df = Q.QUERIES["MDL6_MDL9_gender_forest"](spark, SF_MID)
+    df, _ = Q._gender_forest(spark, SF_MID)
     from tripcast.operators.evaluation import classification_metrics
     assert classification_metrics(df, "gender", "predicted_gender").first()["f1"] > 0.7
     sums = df.select(F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, x: a + x).alias("s"))

@@ -47,7 +47,54 @@ def test_recommendation_stream_equals_batch(spark, tmp_path):
                                "min_stars int, min_review double").json(src).schema
     SC.run_stream_batches(spark, lambda b: R.recommend(model, b), schema, src,
                           str(tmp_path / "out"), str(tmp_path / "ck"))
-    streamed = spark.read.parquet(str(tmp_path / "out"))
+    streamed = spark.read.parquet(str(tmp_path / "out")).drop("epoch")
     batch = R.recommend(model, spark.read.schema(schema).json(src))
     assert streamed.count() == batch.count() > 0
     assert streamed.exceptAll(batch).count() == 0
+
+
+def test_replayed_epoch_leaves_no_duplicates(spark, tmp_path):
+    """A micro-batch that runs again (its commit was lost) replaces its own output."""
+    import os
+
+    bodies = Q._request_bodies(spark, SF_SMALL)
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    bodies.limit(200).write.json(src)
+    schema = spark.read.schema(SCHEMA).json(src).schema
+    SC.run_stream_batches(spark, lambda b: b.select("request_id"), schema, src, out, ck)
+    first = spark.read.parquet(out).count()
+    for f in os.listdir(f"{ck}/commits"):
+        os.remove(f"{ck}/commits/{f}")  # the epoch was written, its commit was not
+    SC.run_stream_batches(spark, lambda b: b.select("request_id"), schema, src, out, ck)
+    assert spark.read.parquet(out).count() == first == 200
+
+
+def test_hotel_requests_are_answered(spark):
+    """Malformed and empty bodies are errors, a place without hotels has no match, the others are answered in full."""
+    from tripcast.operators import recommend as R
+
+    model = R.fit(Q._catalogue(spark, SF_SMALL))
+    rows = [(1, "not json"), (2, "{}"), (3, '{"destination": "Paris", "budget_max": 500}'), (4, '{"destination": "NATION 1", "style": "any", "budget_max": 1000}'),
+            (5, None), (6, '{"min_stars": 3}')]
+    routed = SC.route_hotel_requests(spark.createDataFrame(rows, "request_id long, body string"))
+    got = {r["request_id"]: r for r in SC.recommendation_responses(routed, lambda q: R.recommend(model, q)).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {1: "error", 2: "error", 3: "no_match", 4: "success", 5: "error", 6: "success"}
+    assert got[1]["message"] == "Invalid JSON payload" and got[2]["message"] == "No input data provided"
+    assert [x["rank"] for x in got[6]["recommendations"]] == [1, 2, 3, 4, 5] and got[6]["model_version"] == SC.MODEL_VERSION
+    assert got[4]["input_received"]["destination"] == "NATION 1" and got[2]["recommendations"] is None
+
+
+def test_default_cities_stand_in_for_empty_views(spark):
+    from tripcast.operators import dashboard as D
+
+    f, h = Q._f(spark, SF_SMALL), Q._h(spark, SF_SMALL)
+    assert [r["city"] for r in D.unique_cities(f.limit(0), h.limit(0)).collect()] == sorted(D.DEFAULT_CITIES)
+    assert not set(D.DEFAULT_CITIES) & {r["city"] for r in D.unique_cities(f, h).collect()}
+
+
+def test_fallback_answers_valid_requests_only(spark):
+    got = Q.QUERIES["SCR5_fallback_scoring"](spark, SF_SMALL)
+    counts = {(r["status"], r["source"]): r["n"] for r in got.groupBy("status", "source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(counts) == {("success", "primary"), ("success", "fallback"), ("rejected", None), ("error", None)}
+    assert got.where("status <> 'success' and (price_ok is not null or model_version is not null)").count() == 0
+    assert got.where("status = 'success' and not price_ok").count() == 0

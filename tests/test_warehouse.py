@@ -1,7 +1,10 @@
 """Materialised, year-partitioned travel tables give the same answers and prune partitions."""
 
+import os
 import re
 
+from pyspark.sql import functions as F
+
 from tripcast.operators import dashboard as D
 from tripcast.plans.catalog import YEARS, _f, _h, _u
 from tripcast.sources import warehouse as W
@@ -27,3 +30,19 @@ def test_materialized_views_match_derived(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[year#\d+ IN \(1996,1998\)\]", plan)
     # unparseable dates are kept (null year partition)
     assert W.load_flights(spark, out).where("date IS NULL").count() == _f(spark, SF_SMALL).where("date IS NULL").count() > 0
+
+
+def test_a_dominant_year_is_split_over_files(spark, tmp_path, monkeypatch):
+    flights = _f(spark, SF_SMALL).withColumn("date", F.to_date(F.lit("1996-05-04")))
+    big = flights.join(spark.range(40).withColumnRenamed("id", "copy"))
+    monkeypatch.setattr(W.L, "load_flights", lambda spark, d: big)
+    monkeypatch.setattr(W, "MAX_RECORDS", 20_000)
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        out = str(tmp_path / "wh")
+        W.materialize(spark, SF_SMALL, out)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    files = [f for f in os.listdir(f"{out}/flights/year=1996") if f.endswith(".parquet")]
+    assert len(files) > 1 and spark.read.parquet(f"{out}/flights").count() == big.count()

@@ -48,7 +48,8 @@ def fit_medians(df: DataFrame, cols: Sequence[str], approx: bool = False) -> dic
     while wide := [c for c, (lo, hi, _, n) in ranges.items() if n > EXACT_ROWS and lo < hi]:
         def bin_of(c: str) -> Column:
             lo, hi = ranges[c][:2]
-            return F.least(F.lit(BINS - 1), F.floor((F.col(c) - lo) / F.lit(hi - lo) * BINS).cast("int"))
+            at = F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))  # values outside are dropped after this
+            return F.least(F.lit(BINS - 1), F.floor((at - lo) / F.lit(hi - lo) * BINS).cast("int"))
 
         bins = (inside(wide, bin_of).groupBy("c", "v")
                 .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("c", "v").collect())

@@ -660,8 +660,8 @@ def _gender_code_frame(spark, d):
     return u, ["age", "company_enc", "name_length", "first_letter_enc", "last_letter_enc"]
 
 
-@query("MDL6_MDL9_gender_forest")
-def mdl6(spark, d):
+def _gender_forest(spark, d):
+    """(scored rows with label, confidence and probabilities, labels) of the name-code forest."""
     u, cols = _gender_code_frame(spark, d)
     ML.require_rows(u, ML.MIN_ROWS_NAME_FOREST, "the name-code gender forest")
     idx = ML.StringIndexer(inputCol="gender", outputCol="label_idx", stringOrderType="alphabetAsc")
@@ -670,6 +670,12 @@ def mdl6(spark, d):
     labels = model.stages[0].labels
     scored = ML.probability_columns(model.transform(u), labels)
     scored = ML.IndexToString(inputCol="prediction", outputCol="predicted_gender", labels=labels).transform(scored)
+    return scored, labels
+
+
+@query("MDL6_MDL9_gender_forest")
+def mdl6(spark, d):
+    scored, labels = _gender_forest(spark, d)
     top = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, x: F.greatest(a, x))
     total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, x: a + x)
     return scored.select("code", "gender", F.col("predicted_gender").isin(*labels).alias("known_label"),
