@@ -46,7 +46,9 @@ from .components import components, written
 
 NGRAM = 4
 PERCENT = 85
-GROUP_SHINGLES = 1 << 20
+GROUP_SHINGLES = 1 << 18  # shingles of a tree block
+LEAST_SLOTS = 32
+SLOT_BYTES = 1 << 20  # candidate sets of a call, many small groups together
 
 
 def shingle_sets(raw: np.ndarray, bounds: np.ndarray, n: int = NGRAM) -> list[np.ndarray]:
@@ -262,7 +264,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     weight = nodes.join(groups, "node")
     sizes = weight.groupBy("component").agg((F.floor(F.sum("n") / group_shingles) + 1).cast("long").alias("parts"))
     member = written(weight.join(sizes, "component").select("component", "parts", "node", "shingles"), "candidates")
-    slots = max(bl.LEAST, empty_safe_size(member, F.octet_length("shingles").cast("long")) // (8 * group_shingles))
+    slots = max(LEAST_SLOTS, empty_safe_size(member, F.octet_length("shingles").cast("long")) // SLOT_BYTES)
 
     salts = F.explode(F.when(F.col("parts") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     dealt = member.select("*", salts.alias("salt")).select(
@@ -286,7 +288,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         as_rest = last.where("rest").select(own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), "component", "node", "shingles", "label", F.lit(True).alias("wanted"))
         pairs = as_any.unionByName(as_rest).select(F.concat_ws("|", "component", "i", "j").alias("grp"), "node", "shingles", "label", "wanted")
         pairs = pairs.groupBy("grp", "node").agg(F.max_by("shingles", "wanted").alias("shingles"), F.min("label").alias("label"), F.max("wanted").alias("wanted"))
-        more = _links(pairs, max(slots, bl.LEAST), percent)
+        more = _links(pairs, slots, percent)
         labels = components(links.unionAll(more))
 
     shared = sets.where("class is not null").select("sha", "n", "class").join(classes, "class").join(labels, "node", "left")
