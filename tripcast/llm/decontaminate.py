@@ -1,6 +1,6 @@
 """Operator 8, benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit verification.
 
-Texts are compared with A-Z lower-cased and white space as single spaces. A
+Texts are compared with ASCII and Latin-1 capitals lower-cased and white space as single spaces. A
 document leaks an item if some stretch of it is within ``max_edits(item)``
 character edits: a tenth of the item's length (and less for items so short that
 a piece would fall under eight characters).
@@ -57,7 +57,7 @@ _SPACE = ~tb.NOT_SPACE
 
 
 def normalise(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, bounds, place of every kept byte in the input): lower case, runs of white space as one space."""
+    """(bytes, bounds, place of every kept byte in the input): small letters (ASCII and Latin-1), runs of white space as one space."""
     if len(raw) == 0:
         return raw, bounds, np.zeros(0, np.int64)
     space = _SPACE[raw]
@@ -67,6 +67,9 @@ def normalise(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     keep[first] = True
     out = tb.LOWER[raw]
     out[space] = 0x20
+    # capital letters of Latin-1 (all but the multiplication sign) are C3 80 .. C3 9E, small ones 32 higher
+    capital = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    out[1:][capital] += 32
     at = np.flatnonzero(keep)
     return out[at], np.searchsorted(at, bounds), at
 
