@@ -36,7 +36,7 @@ def flight_request_text(flights_features: DataFrame) -> DataFrame:
 
 # FLT6 / SCR4 — validation and routing; never raises
 def route_requests(requests: DataFrame, body: str = "body", key: str = "request_id") -> DataFrame:
-    parsed = L.parse_requests(by_key(requests, key), body, schemas.FLIGHT_REQUEST)
+    parsed = L.parse_requests(by_key(requests, key if key in requests.columns else body), body, schemas.FLIGHT_REQUEST)
     r, m = F.col("req"), F.col("req_map")
     missing = None
     for c in FLIGHT_REQUIRED:
@@ -52,7 +52,7 @@ def route_requests(requests: DataFrame, body: str = "body", key: str = "request_
 
 # FLT6 — classify requests: malformed / empty bodies are errors, a blank first name is rejected
 def route_classify_requests(requests: DataFrame, body: str = "body", key: str = "request_id") -> DataFrame:
-    parsed = L.parse_requests(by_key(requests, key), body, schemas.CLASSIFY_REQUEST)
+    parsed = L.parse_requests(by_key(requests, key if key in requests.columns else body), body, schemas.CLASSIFY_REQUEST)
     r, m = F.col("req"), F.col("req_map")
     blank = F.coalesce(F.trim(r["first_name"]), F.lit("")) == ""
     status = (F.when(m.isNull(), "error").when(F.size(m) == 0, "error")
@@ -69,7 +69,7 @@ def split_valid(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # FLT6 — hotel requests: every field is optional, but the body must be a JSON object with some
 def route_hotel_requests(requests: DataFrame, body: str = "body", key: str = "request_id") -> DataFrame:
-    parsed = L.parse_requests(by_key(requests, key), body, schemas.HOTEL_REQUEST)
+    parsed = L.parse_requests(by_key(requests, key if key in requests.columns else body), body, schemas.HOTEL_REQUEST)
     m = F.col("req_map")
     status = F.when(m.isNull(), "error").when(F.size(m) == 0, "error").otherwise("valid")
     message = F.when(m.isNull(), "Invalid JSON payload").when(F.size(m) == 0, "No input data provided")
