@@ -24,6 +24,7 @@ ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -309,7 +310,14 @@ def spans_of(text: str, crf: Crf | None, base: bool, candidates: bool) -> tuple[
     fixed = base_spans(text) if base else []
     more = []
     if candidates and crf is not None:
-        more = [(a, 3, b) for a, b in crf.spans(text) if not any(a < e and b > s for s, _, e in fixed)]
+        starts, ends = [], []  # stretches that base spans cover, merged
+        for a, _, b in fixed:
+            if ends and a <= ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a), ends.append(b)
+        # a span is clear if the last stretch that starts before its end is over before its start
+        more = [(a, 3, b) for a, b in crf.spans(text) if not (k := bisect.bisect_left(starts, b)) or ends[k - 1] <= a]
     return fixed, sorted(fixed + more)
 
 
