@@ -137,7 +137,7 @@ class Scanner:
         h = tb.Prefix(raw).stretches(starts, ends)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         code = np.where(self.hashes[at] == h, self.codes[at], 0)
-        hit = np.flatnonzero(code)  # a hash may lie: compare the lengths, and the bytes where a pair is used
+        hit = np.flatnonzero(code)  # a hash may lie: the lengths must agree too
         size = (self.bounds[1:] - self.bounds[:-1])[code[hit] - 1]
         code[hit[size != (ends - starts)[hit]]] = 0
         return code
