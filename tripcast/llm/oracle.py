@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import ngram_join, sharding, substring_dedup, suffix_dedup
 
 #: The table is filled turn by turn: step t is the turn of shard t mod n, which claims the first free slot of its order.
 OP3_SHARDING = f"""
@@ -31,4 +31,61 @@ SELECT doc_id, slot, shard_id FROM (
   FROM documents) JOIN slots USING (slot)
 """
 
-SQL: dict[str, str] = {"op3_sharding": OP3_SHARDING}
+#: Every 50-byte string of every text with the smallest document it starts in. Marked starts make spans; what lies between
+#: the spans is kept.
+OP2_SUFFIX_ARRAY_DEDUP = f"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+w AS (SELECT doc_id, i, array_slice(h, i + 1, i + {suffix_dedup.SIZE}) AS s
+      FROM t, LATERAL (SELECT unnest(range(greatest(0, octet_length(h) - {suffix_dedup.SIZE - 1}))) AS i)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM w) WHERE first < doc_id),
+g AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + {suffix_dedup.SIZE} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span
+      FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM m)),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + {suffix_dedup.SIZE} AS b FROM g GROUP BY doc_id, span),
+cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+               list(a ORDER BY a) AS starts, list_prepend(0, list(b ORDER BY a)) AS stops FROM spans GROUP BY doc_id)
+SELECT t.doc_id, octet_length(h) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN cut.doc_id IS NULL THEN h ELSE unhex(array_to_string(list_transform(range(1, len(stops) + 1),
+         lambda k: CASE WHEN stops[k] < coalesce(starts[k], octet_length(h))
+                        THEN hex(array_slice(h, stops[k] + 1, coalesce(starts[k], octet_length(h)))) ELSE '' END), '')) END) AS kept_sha256
+FROM t LEFT JOIN cut ON t.doc_id = cut.doc_id
+"""
+
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+#: Every 50-word window with the smallest document it starts in.
+OP4_SUBSTRING_DEDUP = f"""
+WITH t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {substring_dedup.SIZE - 1}], ' ')) AS s
+        FROM t, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - {substring_dedup.SIZE - 2}))) AS i)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM win) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM m, range({substring_dedup.SIZE}) r(k)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM t),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.i) AS s, count(*) AS n
+         FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.i WHERE gone.i IS NULL GROUP BY words.doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON t.doc_id = kept.doc_id
+"""
+
+#: Overlaps of all pairs that share a shingle, and the documents reachable over the links.
+OP9_NGRAM_JACCARD_JOIN = f"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= {ngram_join.NGRAM}
+               THEN list_distinct(list_transform(range(1, len(w) - {ngram_join.NGRAM - 2}), lambda i: array_to_string(w[i:i + {ngram_join.NGRAM - 1}], ' ')))
+               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM t),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {ngram_join.PERCENT} * (a.n + b.n - count(*))),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, b AS r FROM sym UNION SELECT reach.doc_id, sym.b FROM reach JOIN sym ON reach.r = sym.a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r), s.doc_id)) AS component_id
+FROM s LEFT JOIN reach ON s.doc_id = reach.doc_id GROUP BY s.doc_id, len(sh)
+"""
+
+SQL: dict[str, str] = {
+    "op2_suffix_array_dedup": OP2_SUFFIX_ARRAY_DEDUP,
+    "op3_sharding": OP3_SHARDING,
+    "op4_substring_dedup": OP4_SUBSTRING_DEDUP,
+    "op9_ngram_jaccard_join": OP9_NGRAM_JACCARD_JOIN,
+}
