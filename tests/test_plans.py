@@ -37,10 +37,12 @@ def test_recommender_has_no_pairwise_join(spark):
 
 
 def test_tfidf_moves_terms_once_and_writes_only_the_vocabulary(spark):
-    p = plan(spark, "FEA8_documents_tfidf")
-    # the only shuffle of document rows is the one for the norm; the vocabulary is a written table
-    assert len(re.findall(r"Exchange hashpartitioning\(doc_id", p)) == 1 and "hashpartitioning(doc_id, term" not in p
-    assert "BroadcastExchange" in p and "TakeOrderedAndProject" not in p
+    df = QUERIES["FEA8_documents_tfidf"](spark, SF_MID)
+    df.collect()
+    p = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # document rows move in one exchange, which the document frequencies reuse; only the term list was written
+    assert len(re.findall(r"\+- Exchange hashpartitioning\(doc_id", p)) == 1 and "hashpartitioning(doc_id, term" not in p
+    assert "ReusedExchange" in p and "BroadcastExchange" in p and "TakeOrderedAndProject" not in p
 
 
 def test_stratified_split_ranks_one_cell_per_label(spark):

@@ -5,12 +5,12 @@ more word characters, a vocabulary of the ``max_features`` most frequent
 terms over the corpus (ties by term), idf = ln((1 + n) / (1 + df)) + 1,
 weight = count * idf, then L2 normalisation per document.
 
-Scale notes: terms are counted inside a document's row, over its sorted terms.
-Corpus counts are grouped by term with map-side combine, so a term present in a
-third of all texts costs one partial row per task. The vocabulary is a
-distributed top-k of bounded size (``max_features``) and is the only broadcast
-side. Per-document norms use a window partitioned by document, whose size is
-bounded by the vocabulary.
+Scale notes: corpus counts are grouped by term with map-side combine, so a term
+present in a third of all texts costs one partial row per task. The vocabulary is
+a distributed top-k of bounded size (``max_features``) and is the only broadcast
+side. Only its tokens move, once, by document; counts, document frequencies and
+norms are taken from that one exchange. A document's rows are bounded by the
+vocabulary.
 """
 
 from __future__ import annotations
@@ -37,25 +37,29 @@ def item_text(cols: Sequence[str]) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in cols])
 
 
-def _runs(sorted_terms: Column) -> Column:
-    """(term, tf) structs of an array of sorted terms: a term's count is the length of its run."""
-    n = F.size(sorted_terms)
-    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(sorted_terms, i) != F.get(sorted_terms, i - 1)))
-    end = F.concat(F.slice(first, F.lit(2), n), F.array(n))
-    return F.when(n > 0, F.zip_with(first, end, lambda a, b: F.struct(F.get(sorted_terms, a).alias("term"), (b - a).cast("long").alias("tf"))))
+def exploded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, term), one row per token."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(text)).alias("term"))
 
 
-def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, term, tf) — one row per distinct term in a document, counted inside its row (no shuffle)."""
-    return (docs.select(F.col(doc_id).alias("doc_id"), F.array_sort(tokens(text)).alias("_s"))
-            .select("doc_id", F.inline(_runs(F.col("_s")))))
+def top_terms(docs: DataFrame, doc_id: str, text: str, max_features: int = MAX_FEATURES) -> DataFrame:
+    """The ``max_features`` terms with the largest corpus counts (ties by term)."""
+    counts = exploded(docs, doc_id, text).groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+    return counts.orderBy(F.desc("cf"), "term").limit(max_features).select("term")
 
 
-def fit_vocabulary(tf: DataFrame, n_docs: int, max_features: int = MAX_FEATURES) -> DataFrame:
-    """(term, idf) for the ``max_features`` terms with the largest corpus counts."""
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    top = stats.orderBy(F.desc("cf"), "term").limit(max_features)
-    return top.select("term", (F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+def term_counts(docs: DataFrame, doc_id: str, text: str, terms: DataFrame) -> DataFrame:
+    """(doc_id, term, tf) of the listed terms. Tokens outside the list are dropped before anything moves;
+    the rest move once, by document, and every later step per document finds them there."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = exploded(docs, doc_id, text).join(F.broadcast(terms), "term")  # bounded by max_features
+    return known.repartition(parts, "doc_id").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def inverse_frequencies(tf: DataFrame, n_docs: int) -> DataFrame:
+    """(term, idf) of the terms in ``tf``."""
+    held = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return held.select("term", (F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 
 def weigh(tf: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -69,10 +73,11 @@ def weigh(tf: DataFrame, vocab: DataFrame) -> DataFrame:
 def tfidf(docs: DataFrame, doc_id: str, text: str, max_features: int = MAX_FEATURES):
     """Fit on ``docs`` and return (weights, vocabulary).
 
-    Only the vocabulary (at most ``max_features`` rows) is written: its fit moves one
-    partial row per term and task. The weights count terms again inside each row, drop
-    those outside the vocabulary, and move what is left once, for the norm."""
+    The term list (at most ``max_features`` rows) is found first and written; it moves one
+    partial row per term and task. The second pass counts the listed terms of each document;
+    document frequencies and weights read the same exchange, which Spark writes once."""
     ensure_checkpoint_dir(docs.sparkSession)
-    tf = term_counts(docs, doc_id, text)
-    vocab = materialize(fit_vocabulary(tf, docs.count(), max_features))
+    terms = materialize(top_terms(docs, doc_id, text, max_features))
+    tf = term_counts(docs, doc_id, text, terms)
+    vocab = inverse_frequencies(tf, docs.count())
     return weigh(tf, vocab), vocab

@@ -142,6 +142,7 @@ def fit(catalogue: DataFrame, config: RecommenderConfig | None = None, id_col: s
         ensure_checkpoint_dir(catalogue.sparkSession)
         items = write_once(items)
     weights, vocab = TX.tfidf(items, "item_id", "_text", config.tfidf_max_features)
+    vocab = write_once(vocab)
     vecs = (weights.groupBy("doc_id")
             .agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("vec"))
             .withColumnRenamed("doc_id", "item_id"))
