@@ -40,7 +40,7 @@ FEATURES_COL = "features"
 # Partitions of a training frame. Tree learners draw their row samples per partition, so the number
 # is part of the model: it is a parameter, not taken from files, cores or row counts. Raise it with
 # the training data (rows are dealt by key, so partitions stay even).
-TRAIN_PARTITIONS = 16
+TRAIN_PARTITIONS = 8
 # A trace of ridge: all one-hot levels plus an intercept are linearly dependent, so the plain normal
 # equations are singular. It moves R2 by less than 1e-10.
 RIDGE = 1e-6
