@@ -13,7 +13,7 @@
    every word they cover is removed.
 
 Scale: texts are shuffled once (the exchange is reused by all steps), then 4
-bytes for each distinct anchor of a chunk, then 28 bytes for each window that is
+bytes for each distinct anchor of a chunk, then 24 bytes for each window that is
 estimated repeated, once for each chunk. The sketch grows with the text in
 blocks of fixed load, so its precision is the same at every size, and it is never
 broadcast.
