@@ -133,6 +133,46 @@ def test_secret_base_and_model(spark):
     assert S.secret_scan(empty(spark)).count() == 0
 
 
+def test_secrets_of_any_shape_and_of_several_tokens(spark):
+    rng = random.Random(5)
+    hexes = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(120)]
+    train = [(1000 + i, f"{prose(20, i)} token = \"{h}\" {prose(9, 500 + i)} user.{i}@mail{i}.example.com {prose(3, i)}") for i, h in enumerate(hexes)]
+    body = "\n".join("".join(rng.choices(S._ALPHABETS[3], k=64)) for _ in range(3)) + "\nQk3v9w=="
+    short = [(50, "river pwd: {} stone", "Hunter2x9"), (51, "see ftp user:{}@host now", "passw0rd"), (52, "quiet passphrase: {} cloud", "river-stone-cloud"),
+             (53, "silver pwd = {} bridge", "qzkvbtrewxmnhjlpoiuy"), (54, "garden credential = {} market", "ab12!cd34$ef56"),
+             (55, "north -----BEGIN RSA PRIVATE KEY-----\n{}\n-----END RSA PRIVATE KEY----- letter", body), (56, "the password: {} of", "hunter2hunter2!more$x")]
+    rows = train + [(i, t.format(v)) for i, t, v in short] + [(60, "the river is a quiet bridge: stone and paper, 12:30"), (61, prose(3000, 9))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    crf = S.train(df)
+    texts = {r["doc_id"]: r["text"] for r in S.redact(df, crf).collect()}
+    for i, t, v in short[:-1]:
+        assert texts[i] == t.format("[SECRET]"), i
+    assert "hunter2" not in texts[56] and "more$x" not in texts[56]  # what the model finds beyond the base match
+    assert texts[60] == rows[-2][1] and texts[61] == rows[-1][1]
+    got = {r["doc_id"]: r["spans"] for r in S.scan(df, crf).collect()}
+    at = dict((i, t) for i, t, _ in short)[55].index("{")
+    assert got[55] == f"crf:{at}:{at + len(body)}" and got[56].startswith("assign:") and "crf" in got[56]
+
+
+def test_secret_tags_and_best_path():
+    text = "a pwd token = abcdefgh1!xy9$z end"
+    slots, tags = S.tagged(text, S.known_secrets(text), 0, 99, [])
+    assert tags == [0, 0, 0, 0, 1, 2, 2, 2, 2, 0] and len(slots) == 10
+    rng = np.random.default_rng(0)
+    for n in (1, 5, 64, 200):
+        e, trans = rng.normal(size=(n, 3)), rng.normal(size=(3, 3)) + S._FORBID
+        e[[0, -1], 1:] = -1e9
+        best, back = e[0], []
+        for x in e[1:]:
+            back.append((best[:, None] + trans).argmax(0))
+            best = (best[:, None] + trans).max(0) + x
+        plain = [int(best.argmax())]
+        for b in reversed(back):
+            plain.append(int(b[plain[-1]]))
+        assert S.viterbi(e, trans).tolist() == plain[::-1]
+    assert S.outside([(0, 10), (12, 15)], [(2, 0, 4), (3, 1, 5), (9, 2, 20)], "x" * 30) == [(0, 2), (5, 9)]
+
+
 def test_secret_gate_misses_nothing():
     rows = duckdb.sql(f"select text from {TABLE.format('documents')}").fetchall()
     from tripcast.llm.common import utf8

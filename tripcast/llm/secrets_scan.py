@@ -1,20 +1,21 @@
 """Operator 10, secret scans: fixed base patterns and a linear-chain conditional random field.
 
 Tokens are tagged O (outside), B (begins a secret) or I (inside one) from their
-shape, their neighbours and features of the file; Viterbi gives the best tags.
-Two hard constraints hold in training and decoding: I follows B or I, and only
-a candidate (16 or more key characters with a digit and a letter) may be B or I.
-So all tokens between candidates are O in any best path, and only the tokens
-around candidates need decoding.
+shape, length and digits, their neighbours and features of the file; Viterbi
+gives the best tags of all tokens of a text. I follows B or I; nothing else is
+ruled out, so short secrets, letters only and secrets of several tokens (signs,
+quoted words, wrapped keys) can be found anywhere. The parts of a model span that
+no base match covers are added.
 
-The model is fitted on the texts of a bounded sample: candidates in a base
-match are secrets, the others are not. Each positive window is also seen with
-its value replaced by a seeded value of another common shape.
+The model is fitted on the texts of a bounded sample: B is the first token of a
+base match's value, I the following ones, all else is O. Each window with a
+secret is also seen with seeded secrets of other shapes (short, one kind of
+characters, split by signs, logins, wrapped keys) and with seeded plain text.
 
 Scale: the scan is one map without a shuffle, bounded by an Arrow batch. The fit
-uses the ``train_rows`` documents with candidates of smallest id hash; windows of
-those rows meet in one task of bounded size, and only the weights (a fixed
-number) come back to the driver.
+uses the ``train_rows`` documents with base matches or long mixed tokens, and a
+third as many of all, of smallest id hash; windows of those rows meet in one task
+of bounded size, and only the weights (a fixed number) come back to the driver.
 
 Defined cases: null text is empty (no spans; the digest of the empty text);
 without positive or negative windows to learn from, only the base patterns count;
@@ -25,9 +26,11 @@ ignored.
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,16 +46,24 @@ KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|[^\sA-Za-z0-9+/_.=-]")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+=*|=+|[^\sA-Za-z0-9+/_.=-]")
+GAPPED = re.compile(r"\s?(?:" + TOKEN.pattern + ")")  # a token with the white space before it
+TAIL = re.compile(r"(?:[!@#$%&:~^*?]+[A-Za-z0-9+/_.=-]+)*")  # what goes on behind a base value that a sign ends
+KEY_WORD = re.compile(r"pass|pwd|secret|token|key|auth|cred|login", re.I)
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 MIN_LENGTH = 16
 TRAIN_ROWS = 1_500
 PER_ROW = 8  # windows of a training row
-REACH = 4  # tokens on either side of a candidate that the window holds
-SLOTS = 1 << 14
+PLAIN = 3  # more windows of it at any place
+SEEDED = 8  # versions of a window with a secret
+REACH = 6  # tokens on either side of the middle that a window holds
+LONGEST = 40  # tokens of a training window
+LONG_WINDOW = 4_000  # characters of a training window
+KNOWN = 200_000  # token types whose weights a task keeps
+SLOTS = 1 << 18
 EPOCHS = 60
-RIDGE = 1e-2  # keeps features of single windows small: weak tags are wrong at times
+RIDGE = 1e-3  # keeps features of single windows small: weak tags are wrong at times; a share of the mean over all windows
 
 _KEY = np.zeros(256, bool)
 _KEY[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
@@ -73,7 +84,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidate_rows(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that may hold a base match, rows with a candidate token), as masks."""
+    """(rows that may hold a base match, rows with a long mixed token to train on), as masks."""
     n = len(bounds) - 1
     some, cand = np.zeros(n, bool), np.zeros(n, bool)
     if len(raw) == 0:
@@ -97,204 +108,467 @@ def candidate_rows(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def is_candidate(token: str) -> bool:
+    """A long mixed token: rows that hold one are looked for to train on. Any token may be part of a secret."""
     return len(token) >= MIN_LENGTH and any("0" <= c <= "9" for c in token) and any("a" <= c.lower() <= "z" for c in token)
 
 
+@functools.lru_cache(1 << 16)
 def _slot(name: str) -> int:
-    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % SLOTS
+    return zlib.crc32(name.encode("utf-8", "replace")) % SLOTS
 
 
-def _shape(token: str) -> str:
-    s = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "0", token)))
-    return s[:8]
+def _word_slots(words: list[str], place: int) -> np.ndarray:
+    """Slots of words at a place beside a token (0: the token itself)."""
+    h = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+    return ((h ^ np.uint64(0x9E3779B9 * (place + 8) % (1 << 32))) * np.uint64(0x9E3779B1) % np.uint64(1 << 32) % np.uint64(SLOTS)).astype(np.int64)
 
 
-def token_features(token: str) -> list[str]:
+def word_class(token: str) -> str:
+    """What neighbours see of a token: key words, numbers and mixed tokens count as classes, other words as themselves."""
+    if len(token) >= MIN_LENGTH:
+        return "<long>"
+    if KEY_WORD.search(token):
+        return "<key=>" if token[-1] == "=" else "<key>"
+    if any("0" <= c <= "9" for c in token):
+        return "<num>" if token.isdigit() else "<mix>"
+    return token.lower()
+
+
+def shape_names(token: str) -> tuple[str, ...]:
     n = len(token)
-    out = [f"len{min(n, 40) // 4}"]
-    if n < MIN_LENGTH:
-        return [*out, "w:" + token.lower()]
+    if n < MIN_LENGTH and token.isalpha():
+        return (f"len{n // 4}", f"mix{token.islower()}{token.isupper()}", "alpha")
     digits, lower, upper = (sum(map(f, token)) for f in (str.isdigit, str.islower, str.isupper))
-    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]))
-    return [*out, f"dig{10 * digits // n}", f"mix{bool(lower)}{bool(upper)}", f"turn{min(9, 20 * turns // n)}",
-            f"kinds{min(9, 10 * len(set(token)) // n)}", f"dots{min(3, token.count('.'))}", f"seps{min(4, token.count('-') + token.count('_') + token.count('/'))}",
-            "hex" if re.fullmatch(r"[0-9a-fA-F]+", token) else "nohex", "shape:" + _shape(token)]
+    head = token[:64]
+    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(head, head[1:]))
+    shape = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "0", head)))
+    return (f"len{min(n, 40) // 4}", f"dig{10 * digits // n}", f"mix{bool(lower)}{bool(upper)}{bool(digits)}", f"turn{min(9, 20 * turns // len(head))}",
+            f"kinds{min(9, 10 * len(set(head)) // len(head))}", f"dots{min(3, token.count('.'))}",
+            f"seps{min(4, token.count('-') + token.count('_') + token.count('/'))}",
+            "hex" if re.fullmatch(r"[0-9a-fA-F]+", token) else "nohex", "shape:" + shape[:8])
+
+
+NEAR = (-3, -2, -1, 1, 2)  # neighbours whose words count
+KEY_REACH = 4  # tokens before this one that may hold a key word
+
+
+def gap(token: str) -> str:
+    return "line" if token[0] in "\r\n" else "space" if token[0].isspace() else "none"
+
+
+KEY, LONG, SEPARATOR, QUOTE, COLON, AT, GLUED = (1 << k for k in range(7))
+
+
+def flags_of(token: str) -> int:
+    core = token.strip()
+    out = GLUED * (core == token) + KEY * bool(KEY_WORD.search(core)) + LONG * is_candidate(core) + COLON * (core == ":")
+    return out + QUOTE * (core in "\"'`") + SEPARATOR * (core in (":", "=", "is", ">") or core in "\"'`" or core.strip("=") == "") + AT * (core == "@")
 
 
-def window_features(tokens: list[str], at: int, file_features: list[str]) -> list[int]:
-    """Slots of the token at ``at``: its own shape, its neighbours' words, the file."""
-    names = [*token_features(tokens[at]), "bias", *file_features]
-    for d in (-3, -2, -1, 1, 2):
-        j = at + d
-        near = "<edge>" if not 0 <= j < len(tokens) else tokens[j].lower() if len(tokens[j]) < MIN_LENGTH else "<long>"
-        names.append(f"{d}:{near}")
-    key = any(re.search(r"pass|secret|token|key|auth|credential", t, re.I) for t in tokens[max(0, at - 4): at])
-    names.append(f"key{key}")
-    return [_slot(x) for x in names]
+CONTEXT = ("key", "assigned", "opened", "login")
 
 
-def file_features(text: str, n_candidates: int) -> list[str]:
-    return [f"cands{min(4, n_candidates)}", f"size{min(6, len(str(len(text))))}"]
+def context(flags: np.ndarray) -> np.ndarray:
+    """Per token: is a key word near before it; does it follow one, at once (1) or behind separators (2); is it in quotes
+    that opened there; does it stand between a colon and an at sign without white space."""
+    def before(x: np.ndarray, d: int = 1) -> np.ndarray:
+        return np.concatenate([np.zeros(d, x.dtype), x[:-d]])[: len(x)]
+
+    key, separator, quote, colon, sign, glued = ((flags & f) > 0 for f in (KEY, SEPARATOR, QUOTE, COLON, AT, GLUED))
+    near, behind = np.zeros(len(flags), bool), before(key)
+    for d in range(1, KEY_REACH + 1):
+        near |= before(key, d)
+    at_once, separated = behind.copy(), np.zeros(len(flags), bool)
+    for _ in range(4):
+        behind = before(behind & separator)
+        separated |= behind
+    opened = start = before(quote & (at_once | separated))
+    for _ in range(12):
+        opened = start | before(opened & ~quote)
+    login, ahead = np.zeros(len(flags), bool), np.append((sign & glued)[1:], [False])[: len(flags)]
+    for _ in range(4):
+        login |= ahead
+        ahead = np.append((ahead & glued)[1:], [False])[: len(flags)]
+    follows = before(colon) & glued
+    run = follows.copy()
+    for _ in range(4):
+        run = follows | (before(run) & glued)
+    return np.stack([near, np.where(separated, 2, at_once), opened & ~quote, login & run], 1).astype(np.int64)
+
+
+def window_features(tokens: list[str], file: list[str]) -> list[list[int]]:
+    """Slots of each token (with the white space before it): its own shape, its neighbours' words, its context, the file."""
+    cores = [t.strip() for t in tokens]
+    words = ["<edge>"] * 3 + [word_class(t) for t in cores] + ["<edge>"] * 3
+    near = [_word_slots(words, d).tolist() for d in (0, *NEAR)]
+    around = context(np.array([flags_of(t) for t in tokens], np.int64)).tolist()
+    gaps = [gap(t) for t in tokens] + ["edge"]
+    return [[_slot(x) for x in (*shape_names(t), "gap:" + gaps[i], "next:" + gaps[i + 1], *file, *map("{}{}".format, CONTEXT, around[i]))]
+            + [near[k][i + 3 + d] for k, d in enumerate((0, *NEAR))] for i, t in enumerate(cores)]
+
+
+def file_features(n_chars: int, n_candidates: int) -> list[str]:
+    return [f"cands{min(4, n_candidates)}", f"size{min(6, len(str(n_chars)))}"]
 
 
 class Windows:
-    """Token windows around the candidates of one text; windows that touch are one."""
+    """Tokens of one text and which of them are long and mixed."""
 
     def __init__(self, text: str):
-        found = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-        self.spans = found
-        self.tokens = [text[a:b] for a, b in found]
+        self.spans = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+        self.tokens = [text[a:b] for a, b in self.spans]
         self.cand = [i for i, t in enumerate(self.tokens) if is_candidate(t)]
-        self.file = file_features(text, len(self.cand))
-        self.windows: list[tuple[int, int]] = []
-        for i in self.cand:
-            a, b = max(0, i - REACH), min(len(self.tokens), i + REACH + 1)
-            if self.windows and a <= self.windows[-1][1]:
-                self.windows[-1] = (self.windows[-1][0], b)
-            else:
-                self.windows.append((a, b))
+        self.file = file_features(len(text), len(self.cand))
 
 
 class Crf:
-    """Weights of slots x (O, B, I) and of transitions."""
+    """Weights of slots x (O, B, I) and of transitions. Any token may get any tag."""
 
     def __init__(self, emit: np.ndarray, trans: np.ndarray):
         self.emit, self.trans = emit, trans
-
-    def viterbi(self, tokens: list[str], file: list[str]) -> list[int]:
-        best, back = None, []
-        for i, t in enumerate(tokens):
-            e = self.emit[window_features(tokens, i, file)].sum(0).astype(float)
-            if not is_candidate(t):
-                e[1:] = -1e9
-            if best is None:
-                best = e + [0, 0, -1e9]
+        self._forget()
+
+    def __getstate__(self) -> dict:
+        return {"emit": self.emit, "trans": self.trans}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(state["emit"], state["trans"])
+
+    def _forget(self) -> None:
+        """Rows of the known token types: own weights, weights given to each neighbour; row 0 is the edge of a text."""
+        self.ids: dict[str, int] = {}
+        self.shapes: dict[tuple, np.ndarray] = {}
+        self.own = np.zeros((1, 3), np.float32)
+        self.near = np.stack([self.emit[_word_slots(["<edge>"], d)] for d in NEAR], 1)
+        self.near[:, NEAR.index(1)] += self.emit[_slot("next:edge")]
+        self.flags = np.zeros(1, np.int64)
+
+    def _learn(self, tokens: list[str]) -> None:
+        """Add token types; at most ``KNOWN`` are kept between batches."""
+        cores = [t.strip() for t in tokens]
+        words = [word_class(t) for t in cores]
+        shapes = [shape_names(t) for t in cores]
+        for names in set(shapes) - self.shapes.keys():
+            self.shapes[names] = self.emit[[_slot(x) for x in names]].sum(0)
+        gaps = [("none", "space", "line").index(gap(t)) for t in tokens]
+        own = np.array([self.shapes[x] for x in shapes], np.float32) + self.emit[_word_slots(words, 0)]
+        own += self.emit[[_slot("gap:" + g) for g in ("none", "space", "line")]][gaps]
+        near = np.stack([self.emit[_word_slots(words, d)] for d in NEAR], 1)
+        near[:, NEAR.index(1)] += self.emit[[_slot("next:" + g) for g in ("none", "space", "line")]][gaps]
+        self.ids.update(zip(tokens, range(len(self.own), len(self.own) + len(tokens))))
+        self.own, self.near = np.concatenate([self.own, own]), np.concatenate([self.near, near])
+        self.flags = np.concatenate([self.flags, [flags_of(t) for t in tokens]])
+
+    def tags(self, texts: list[str]) -> list[np.ndarray]:
+        """Best tags of all tokens of each text."""
+        if len(self.ids) > KNOWN:
+            self._forget()
+        pad = [0] * 16  # edges between texts: no text sees another one's tokens
+        found = [GAPPED.findall(t) for t in texts]
+        missing = sorted({t for tokens in found for t in tokens} - self.ids.keys())
+        if missing:
+            self._learn(missing)
+        ids, starts = list(pad), []
+        for tokens in found:
+            starts.append(len(ids))
+            ids += map(self.ids.__getitem__, tokens)
+            ids += pad
+        at = np.array(ids)
+        sizes = np.array([len(f) for f in found])
+        e = self.own[at]
+        for k, d in enumerate(NEAR):
+            if d < 0:
+                e[-d:] += self.near[at[:d], k]
+            else:
+                e[:-d] += self.near[at[d:], k]
+        flags = self.flags[at]
+        around = context(flags)
+        for k, name in enumerate(CONTEXT):
+            e += self.emit[[_slot(f"{name}{v}") for v in range(3)]][around[:, k]]
+        real = np.repeat(np.array(starts), sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        row = np.repeat(np.arange(len(texts)), sizes)
+        cands = np.bincount(row, flags[real] & LONG > 0, len(texts)).astype(int)
+        file = np.array([self.emit[[_slot(x) for x in file_features(len(t), int(c))]].sum(0) for t, c in zip(texts, cands)])
+        e[real] += file[row]
+        edge = np.ones(len(at), bool)
+        edge[real] = False
+        e[edge] = [0, -1e9, -1e9]
+        best = viterbi(e, self.trans)
+        return [best[a: a + n] for a, n in zip(starts, sizes.tolist())]
+
+    def spans_of(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """(start, end) of the model's secrets in each text."""
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for spans, text, tags in zip(out, texts, self.tags(texts)):
+            if not tags.any():
                 continue
-            reach = best[:, None] + self.trans
-            back.append(reach.argmax(0))
-            best = reach.max(0) + e
-        tags = [int(np.argmax(best))]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
-        return tags[::-1]
-
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        w = Windows(text)
-        out: list[tuple[int, int]] = []
-        for a, b in w.windows:
-            for i, tag in zip(range(a, b), self.viterbi(w.tokens[a:b], w.file)):
+            for m, tag in zip(TOKEN.finditer(text), tags.tolist()):
                 if tag == 1:
-                    out.append(w.spans[i])
-                elif tag == 2 and out:
-                    out[-1] = (out[-1][0], w.spans[i][1])
+                    spans.append((m.start(), m.end()))
+                elif tag == 2:
+                    spans[-1] = (spans[-1][0], m.end())
         return out
 
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        return self.spans_of([text])[0]
+
 
 _FORBID = np.array([[0, 0, -1e9], [0, 0, 0], [0, 0, 0]])  # from (O, B, I) to (O, B, I)
 
 
-def fit(sequences: list[tuple[list[list[int]], list[bool], list[int]]], epochs: int = EPOCHS) -> Crf | None:
-    """Maximum likelihood by forward-backward over all windows at once (Adam). A sequence: slots, candidate flags, tags."""
-    tags = {t for _, _, y in sequences for t in y}
-    if 1 not in tags or not any(c and t == 0 for _, cs, y in sequences for c, t in zip(cs, y)):
+def viterbi(e: np.ndarray, trans: np.ndarray, length: int = 64) -> np.ndarray:
+    """Best tags of one sequence that starts and ends with O: all stretches of ``length`` tokens at once, for each tag
+    before them, then the best way through the stretches."""
+    n = -(-len(e) // length)
+    full = np.full((n * length, 3), [0.0, -1e9, -1e9])
+    full[: len(e)] = e
+    full = full.reshape(n, length, 3)
+    score = np.broadcast_to(np.where(np.eye(3) > 0, 0.0, -1e12), (n, 3, 3))  # stretch, tag before it, tag now
+    back = np.zeros((length, n, 3, 3), np.int8)
+    for j in range(length):
+        new = np.empty((n, 3, 3))
+        for to in range(3):
+            ways = [score[..., s] + trans[s, to] for s in range(3)]
+            two = ways[1] > ways[0]
+            best = np.where(two, ways[1], ways[0])
+            three = ways[2] > best
+            back[j, ..., to] = np.where(three, 2, two)
+            new[..., to] = np.where(three, ways[2], best) + full[:, j, to, None]
+        score = new
+    v, came = [0.0, -1e12, -1e12], []
+    for s in score.tolist():
+        ways = [max((v[f] + s[f][t], -f) for f in range(3)) for t in range(3)]
+        came.append([-w[1] for w in ways])
+        top = max(w[0] for w in ways)
+        v = [w[0] - top for w in ways]
+    before, after = np.zeros(n, int), np.zeros(n, int)
+    tag = 0
+    for c in range(n - 1, -1, -1):
+        after[c], before[c] = tag, came[c][tag]
+        tag = came[c][tag]
+    out, every = np.empty((n, length), np.int8), np.arange(n)
+    for j in range(length - 1, -1, -1):
+        out[:, j] = after
+        after = back[j, every, before, after].astype(int)
+    return out.reshape(-1)[: len(e)]
+
+
+def fit(sequences: list[tuple[list[list[int]], list[int]]], epochs: int = EPOCHS) -> Crf | None:
+    """Maximum likelihood by forward-backward over all windows at once (Adam). A sequence: slots of its tokens, tags."""
+    tags = {t for _, y in sequences for t in y}
+    if not {0, 1} <= tags:
         return None
-    n, length = len(sequences), max(len(y) for _, _, y in sequences)
-    width = max(len(f) for s, _, _ in sequences for f in s)
-    slots = np.full((n, length, width), SLOTS)  # the last row of the weights stays 0
-    may, gold, real = np.zeros((n, length), bool), np.zeros((n, length), int), np.zeros((n, length), bool)
-    for i, (s, c, y) in enumerate(sequences):
-        for j, f in enumerate(s):
-            slots[i, j, : len(f)] = f
-        may[i, : len(c)], gold[i, : len(y)], real[i, : len(y)] = c, y, True
-    emit, trans = np.zeros((SLOTS + 1, 3)), np.zeros((3, 3))
+    sequences = sorted(sequences, key=lambda s: -len(s[1]))
+    sizes = np.array([len(y) for _, y in sequences])
+    n, length = len(sequences), int(sizes[0])
+    reach = [int((sizes > j).sum()) for j in range(length)]  # sequences with a token at place j: the first so many
+    width = max(len(f) for s, _ in sequences for f in s)
+    gold, real = np.zeros((n, length), int), np.arange(length) < sizes[:, None]
+    gold[real] = [t for _, y in sequences for t in y]
+    steps = np.bincount((gold[:, :-1] * 3 + gold[:, 1:])[real[:, 1:]], minlength=9).reshape(3, 3)
+    # slots of the real tokens only; those in use are numbered, the last row of the weights stays 0
+    used, flat = np.unique(np.array([f + [SLOTS] * (width - len(f)) for s, _ in sequences for f in s] + [[SLOTS] * width]), return_inverse=True)
+    flat = np.ascontiguousarray(flat.reshape(-1, width)[:-1].T)
+    emit, trans = np.zeros((len(used), 3)), np.zeros((3, 3))
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (emit, trans)]
-    hard = np.where(may[..., None], 0.0, [0.0, -1e9, -1e9])
-    first = np.array([0.0, 0.0, -1e9])
-
-    def lse(x: np.ndarray, axis: int) -> np.ndarray:
-        m = x.max(axis, keepdims=True)
-        return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
-
     for t in range(1, epochs + 1):
-        e = emit[slots].sum(2) + hard
-        a, b = np.zeros((n, length, 3)), np.zeros((n, length, 3))
-        tr = trans + _FORBID
-        a[:, 0] = e[:, 0] + first
+        e = np.zeros((n, length, 3))
+        e[real] = sum(emit.take(k, 0) for k in flat)
+        e = np.exp(np.maximum(e - e.max(2, keepdims=True), -60))  # potentials; each step is scaled to sum 1
+        tr = np.exp(trans + _FORBID)
+        a, b = np.zeros((n, length, 3)), np.ones((n, length, 3))
+        a[:, 0] = e[:, 0] * [1, 1, 0]
         for j in range(1, length):
-            a[:, j] = np.where(real[:, j, None], lse(a[:, j - 1, :, None] + tr, 1) + e[:, j], a[:, j - 1])
+            m = reach[j]
+            step = (a[:m, j - 1] @ tr) * e[:m, j]
+            a[:m, j] = step / step.sum(1, keepdims=True)
         for j in range(length - 2, -1, -1):
-            b[:, j] = np.where(real[:, j + 1, None], lse(tr + (e[:, j + 1] + b[:, j + 1])[:, None, :], 2), 0)
-        z = lse(a[:, -1], 1)
-        p = np.exp(np.minimum(a + b - z[:, None, None], 0)) * real[..., None]
-        err = (p - np.eye(3)[gold]) * real[..., None] / n
-        grad = np.stack([np.bincount(slots.ravel(), np.repeat(err[..., k].ravel(), width), SLOTS + 1) for k in range(3)], 1)
-        gt = np.zeros((3, 3))
+            m = reach[j + 1]
+            step = (e[:m, j + 1] * b[:m, j + 1]) @ tr.T
+            b[:m, j] = step / step.sum(1, keepdims=True)
+        p = (a * b)[real]
+        err = (p / p.sum(1, keepdims=True) - np.eye(3)[gold[real]]) / n
+        grad = np.stack([sum(np.bincount(k, x, len(used)) for k in flat) for x in np.ascontiguousarray(err.T)], 1)
+        gt = -steps.astype(float)
         for j in range(1, length):
-            pair = np.exp(np.minimum(a[:, j - 1, :, None] + tr + (e[:, j] + b[:, j])[:, None, :] - z[:, None, None], 0))
-            gt += (pair * real[:, j, None, None]).sum(0)
-            np.add.at(gt, (gold[real[:, j], j - 1], gold[real[:, j], j]), -1)
+            m = reach[j]
+            left, right = a[:m, j - 1], e[:m, j] * b[:m, j]
+            gt += tr * (left.T @ (right / ((left @ tr) * right).sum(1, keepdims=True)))
         for x, g, (m, v) in zip((emit, trans), (grad + RIDGE * emit, gt / n + RIDGE * trans), moments):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        emit[SLOTS] = 0
-    return Crf(emit[:SLOTS].astype(np.float32), trans + _FORBID)
+        emit[-1] = 0
+    out = np.zeros((SLOTS + 1, 3), np.float32)
+    out[used] = emit
+    return Crf(out[:SLOTS], trans + _FORBID)
 
 
 _ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
               "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789-_")
-
-
-def _other_value(rng: random.Random) -> str:
-    """A value of another common key shape, for training only."""
-    return rng.choice(["", "", "ghp_", "sk-", "xoxb-", "glpat-"]) + "".join(rng.choices(rng.choice(_ALPHABETS), k=rng.choice([20, 24, 32, 40, 48, 64])))
-
-
-def training_sequences(text: str, seed: int) -> list[tuple[list[list[int]], list[bool], list[int]]]:
-    """Windows of one text with weak tags from its base matches; positives also with another value."""
+_LETTERS, _SMALL, _DIGITS, _SIGNS = _ALPHABETS[2][:52], _ALPHABETS[2][26:52], "0123456789", "!@#$%&:~^*"
+_KEYS = ("password", "passwd", "pwd", "pass", "passphrase", "secret", "token", "api_key", "apikey", "access_key", "credential", "auth",
+         "login", "client_secret", "db_password", "auth_token")
+_SEPARATORS = (": ", ":", "=", " = ", " : ", " is ", ": ", " = ")
+
+
+def _draw(rng: random.Random, alphabet: str, low: int, high: int) -> str:
+    return "".join(rng.choices(alphabet, k=rng.randint(low, high)))
+
+
+def _seeded_value(rng: random.Random, words: list[str]) -> str:
+    """A value of another common shape, for training only: long, short, one kind of characters, or of several tokens."""
+    kind = rng.randrange(10)
+    if kind < 2:
+        return rng.choice(["", "", "ghp_", "sk-", "xoxb-", "glpat-"]) + _draw(rng, rng.choice(_ALPHABETS), 20, 64)
+    if kind == 2:  # short and mixed
+        return _draw(rng, _LETTERS, 3, 8) + _draw(rng, _DIGITS, 1, 3) + _draw(rng, _SMALL, 0, 4)
+    if kind == 3:
+        return _draw(rng, _ALPHABETS[2], 6, 15)
+    if kind in (4, 8, 9):  # letters only or digits only
+        return _draw(rng, rng.choice([_LETTERS, _SMALL, _DIGITS]), 6, 32)
+    if kind == 5:  # a passphrase
+        return rng.choice("-_.") .join(rng.choice(words) for _ in range(rng.randint(3, 5)))
+    parts = [_draw(rng, _ALPHABETS[2], 1, 8) for _ in range(rng.randint(2, 5))]  # signs split it
+    return "".join(x + _draw(rng, _SIGNS, 1, 2) for x in parts[:-1]) + parts[-1] + rng.choice(["", "", "!", "$"])
+
+
+def _seeded_secret(rng: random.Random, words: list[str]) -> tuple[str, str, str]:
+    """(text before, secret, text after)."""
+    kind, value = rng.randrange(8), _seeded_value(rng, words)
+    if kind == 0:
+        return f"{rng.choice(['', 'https://', 'postgres://', 'ftp://'])}{rng.choice([*words, 'user', 'root', 'admin'])}:", value.replace("@", "a"), \
+            f"@{rng.choice(['host', 'localhost', 'db', rng.choice(words) + '.example.com'])}"
+    if kind == 1:  # a wrapped key
+        lines = [_draw(rng, _ALPHABETS[3], 64, 64) for _ in range(rng.randint(1, 4))] + [_draw(rng, _ALPHABETS[3], 8, 60) + rng.choice(["", "=", "=="])]
+        name = rng.choice(["RSA ", "EC ", "", "OPENSSH "]) + "PRIVATE KEY"
+        return f"-----BEGIN {name}-----\n", "\n".join(lines), f"\n-----END {name}-----"
+    key, quote = rng.choice(_KEYS), rng.choice(["", "", '"', "'"])
+    if kind == 2:
+        quote, value = rng.choice("\"'"), " ".join(rng.choice(words) for _ in range(rng.randint(3, 5)))
+    if kind == 3:
+        value = "\n".join(_draw(rng, _ALPHABETS[3], 40, 64) for _ in range(rng.randint(2, 4)))
+    return rng.choice([key, key, key.upper(), key.capitalize()]) + rng.choice(_SEPARATORS) + quote, value, quote
+
+
+def _seeded_plain(rng: random.Random, words: list[str]) -> str:
+    """Text without a secret that looks a little like one."""
+    w, v, number = rng.choice(words), rng.choice(words), _draw(rng, _DIGITS, 1, 16)
+    key, quote = rng.choice(_KEYS), rng.choice(["", '"'])
+    if rng.random() < 0.15:
+        return " ".join(rng.choice(words) + rng.choice("!@#$%&*") * 3 for _ in range(6))
+    return rng.choice([f"the {key} of {w} {v}", f"a {key}, {w} {v}", f"{key}s and {w}", f"{w}: {v}", f"{w} = {quote}{v}{quote}", f"{w}={number[:4]}",
+                       f"{number[:2]}:{number[2:4]}", f"{w}.{number[:2]}@mail{number[:1]}.example.com", f"https://{w}.example.com/{v}/{number[:4]}",
+                       f"+{number}", f"{w} {number}", f"{w}{number[:3]} {v}", f"{w}!!! {v}$$$ {w}### {v}&&&", f"{w}$$$\n{v}%%%\n{w}***", f"v{number[:1]}.{number[1:2]}.0", w + v + w + v])
+
+
+def known_secrets(text: str) -> list[tuple[int, int]]:
+    """Merged (start, end) of the values in base matches; a value that signs split goes on behind them."""
+    found = []
+    for m in ASSIGN.finditer(text):
+        if len(m[2]) >= 8:
+            found.append((m.start(2), TAIL.match(text, m.end(2)).end()))
+    found += [(a, b) for a, k, b in base_spans(text) if k]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def tagged(text: str, secrets: list[tuple[int, int]], low: int, high: int, file: list[str]) -> tuple[list[list[int]], list[int]]:
+    """(slots, tags) of the tokens that start in low..high: B on the first token of a secret, I on those that follow."""
+    found = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+    tokens = GAPPED.findall(text)
+    every, slots, tags, last = window_features(tokens, file), [], [], None
+    for i, (a, b) in enumerate(found):
+        of = next((k for k, (s, e) in enumerate(secrets) if s < b and e > a), None)
+        if low <= a < high:
+            slots.append(every[i])
+            tags.append(0 if of is None else 2 if of == last and tags else 1)
+        last = of
+    return slots[:LONGEST], tags[:LONGEST]
+
+
+def training_windows(text: str, seed: int) -> list[tuple[str, list[tuple[int, int]], int, int, list[str]]]:
+    """Windows of one text with the values of its base matches, and seeded versions of them: other secrets, other plain
+    text. As what ``tagged`` takes."""
     rng = random.Random(seed)
-    w, covered = Windows(text), base_spans(text)
+    w, secrets = Windows(text), known_secrets(text)
+    n = len(w.tokens)
+    if not n:
+        return []
+    words = [t for t in w.tokens[:400] if t.isascii() and t.isalpha()] or ["word"]
+    starts = [a for a, _ in w.spans]
+    own = [max(0, bisect.bisect_right(starts, a) - 1) for a, _ in secrets]
+    wrapped = "PRIVATE KEY-----" in text
+    picks = [(i, True) for i in own[:PER_ROW]] + [(i, False) for i in w.cand[:PER_ROW] if i not in own]
+    picks = picks[:PER_ROW] + [(rng.randrange(n), False) for _ in range(PLAIN)]
     out = []
-    for a, b in w.windows[:PER_ROW]:
-        tokens = w.tokens[a:b]
-        tags = [int(is_candidate(t) and any(s < e2 and e > s2 for s2, _, e2 in covered)) for t, (s, e) in zip(tokens, w.spans[a:b])]
-        versions = [(tokens, tags)]
-        for _ in range(2 * any(tags)):
-            other = [_other_value(rng) if tag else t for t, tag in zip(tokens, tags)]
-            versions.append((other, [int(bool(tag) and is_candidate(t)) for t, tag in zip(other, tags)]))
-        for toks, y in versions:
-            out.append(([window_features(toks, i, w.file) for i in range(len(toks))], [is_candidate(t) for t in toks], y))
-    return [s for s in out if len(s[2]) <= 64]
+    for i, positive in picks:
+        low, high = w.spans[max(0, i - REACH)][0], w.spans[min(n - 1, i + REACH)][1]
+        a, b = w.spans[max(0, i - REACH - KEY_REACH)][0], w.spans[min(n - 1, i + REACH + KEY_REACH)][1]
+        if b - a > LONG_WINDOW:
+            continue
+        held = [x for x in secrets if x[0] < b and x[1] > a]
+        around = context(np.array([flags_of(t) for t in GAPPED.findall(text[a:b])], np.int64))
+        if not held and (wrapped or (around[:, 1] == 2).any() or around[:, 3].any()):
+            continue  # may be a secret that no base pattern knows: its tags are not known
+        out.append((text[a:b], [(s - a, e - a) for s, e in held], low - a, high - a, w.file))
+        end = next((e for s, e in secrets if s <= w.spans[i][0] < e), w.spans[i][1])
+        j = bisect.bisect_left(starts, end)
+        left = text[w.spans[max(0, i - 8)][0]: w.spans[max(0, i - 4)][1]]
+        right = text[w.spans[min(n - 1, j + 1)][0]: w.spans[min(n - 1, j + 6)][1]]
+        if len(left) + len(right) > LONG_WINDOW or known_secrets(left) or known_secrets(right):
+            continue
+        for _ in range(SEEDED if positive else 0):
+            before, value, after = _seeded_secret(rng, words)
+            at = len(left) + 1 + len(before)
+            out.append((f"{left} {before}{value}{after} {right}", [(at, at + len(value))], 0, 1 << 30, w.file))
+        for _ in range(SEEDED // 2 if positive else 1):
+            out.append((f"{left} {_seeded_plain(rng, words)} {right}", [], 0, 1 << 30, w.file))
+    return out
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Crf | None:
-    """Fit on the rows with candidates whose id hashes are smallest. Only windows leave a row, never its text."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
-        for batch in batches:
-            raw, bounds = utf8(batch.column(1))
-            _, cand = candidate_rows(raw, bounds)
-            rows = np.flatnonzero(cand).tolist()
-            ids = batch.column(0).to_pylist()
-            # the batch's own smallest hashes are enough: the sample is the smallest of all
-            rows = sorted(rows, key=lambda r: (_rank(ids[r]), r))[:train_rows]
-            found = [(ids[r], _rank(ids[r]), json.dumps(training_sequences(batch.column(1)[r].as_py(), _rank(ids[r])))) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.string()))],
-                                             ["doc_id", "rank", "windows"])
+    """Fit on the rows with base matches or long mixed tokens whose id hashes are smallest, and on a third as many of all
+    rows, chosen in the same way. Only windows leave a row, never its text."""
+
+    def windows(marked: bool, limit: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import heapq
+            import json
+
+            smallest: list[int] = []  # negated: the task's own smallest hashes are enough, the sample is the smallest of all
+            for batch in batches:
+                ranks = [_rank(i) for i in batch.column(0).to_pylist()]
+                rows = range(len(ranks))
+                if marked:
+                    some, cand = candidate_rows(*utf8(batch.column(1)))
+                    rows = np.flatnonzero(some | cand).tolist()
+                found = []
+                for r in sorted(rows, key=lambda r: (ranks[r], r)):
+                    if len(smallest) >= limit and ranks[r] > -smallest[0]:
+                        break
+                    (heapq.heappushpop if len(smallest) >= limit else heapq.heappush)(smallest, -ranks[r])
+                    found.append((batch.column(0)[r].as_py(), ranks[r], json.dumps(training_windows(batch.column(1)[r].as_py(), ranks[r]))))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.string()))],
+                                                 ["doc_id", "rank", "windows"])
+
+        return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, rank long, windows string").orderBy("rank", "doc_id").limit(limit)
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         import json
 
         frame = frame.sort_values(["rank", "doc_id", "windows"])
-        crf = fit([s for x in frame["windows"] for s in json.loads(x)], epochs)
+        crf = fit([s for x in frame["windows"] for w in json.loads(x) if (s := tagged(*w))[1]], epochs)
         if crf is None:
             return pd.DataFrame({"emit": [], "trans": []})
         return pd.DataFrame({"emit": [crf.emit.tobytes()], "trans": [crf.trans.tobytes()]})
 
-    sample = (id_and_text(docs, id_col, text_col).mapInArrow(windows, "doc_id long, rank long, windows string")
-              .orderBy("rank", "doc_id").limit(train_rows))
+    sample = windows(True, train_rows).unionByName(windows(False, max(1, train_rows // 3)))
     found = sample.withColumn("whole", F.lit("all")).groupBy("whole").applyInPandas(one, "emit binary, trans binary").collect()
     if not found:
         return None
@@ -305,20 +579,36 @@ def _rank(doc_id: int | None) -> int:
     return int.from_bytes(hashlib.blake2b(str(doc_id).encode(), digest_size=7).digest(), "little")
 
 
-def spans_of(text: str, crf: Crf | None, base: bool, candidates: bool) -> tuple[list, list]:
-    """(base spans, all spans) as (start, kind number, end); the model adds what no base span touches."""
-    fixed = base_spans(text) if base else []
-    more = []
-    if candidates and crf is not None:
-        starts, ends = [], []  # stretches that base spans cover, merged
-        for a, _, b in fixed:
-            if ends and a <= ends[-1]:
-                ends[-1] = max(ends[-1], b)
-            else:
-                starts.append(a), ends.append(b)
-        # a span is clear if the last stretch that starts before its end is over before its start
-        more = [(a, 3, b) for a, b in crf.spans(text) if not (k := bisect.bisect_left(starts, b)) or ends[k - 1] <= a]
-    return fixed, sorted(fixed + more)
+def outside(spans: list[tuple[int, int]], fixed: list[tuple[int, int, int]], text: str) -> list[tuple[int, int]]:
+    """The parts of sorted spans that no base span covers, without white space at their ends."""
+    starts, ends = [], []  # stretches that base spans cover, merged
+    for a, _, b in fixed:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a), ends.append(b)
+    out = []
+    for a, b in spans:
+        k = bisect.bisect_right(ends, a)  # the first stretch that ends behind a
+        while a < b:
+            stop = min(b, starts[k]) if k < len(starts) else b
+            part = text[a:stop]
+            if part.strip():
+                out.append((a + len(part) - len(part.lstrip()), stop - len(part) + len(part.rstrip())))
+            if k >= len(starts) or starts[k] >= b:
+                break
+            a, k = max(a, ends[k]), k + 1
+    return out
+
+
+def spans_of(texts: list[str], crf: Crf | None, base: list[bool]) -> list[tuple[list, list]]:
+    """Per text: (base spans, all spans) as (start, kind number, end); the model adds what base spans do not cover."""
+    found = crf.spans_of(texts) if crf is not None and texts else [[] for _ in texts]
+    out = []
+    for text, some, model in zip(texts, base, found):
+        fixed = base_spans(text) if some else []
+        out.append((fixed, sorted(fixed + [(a, 3, b) for a, b in outside(model, fixed, text)])))
+    return out
 
 
 def join_spans(spans: list[tuple[int, int, int]]) -> str:
@@ -335,14 +625,9 @@ def scan(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, bounds = utf8(batch.column(1))
-            some, cand = candidate_rows(raw, bounds)
+            some, _ = candidate_rows(raw, bounds)
             rows = []
-            none = hashlib.sha256(b"").hexdigest()
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                if not (some[i] or cand[i]):
-                    rows.append((doc_id, 0, 0, 0, none, "", 0))
-                    continue
-                fixed, every = spans_of(batch.column(1)[i].as_py(), crf, some[i], cand[i])
+            for doc_id, (fixed, every) in zip(batch.column(0).to_pylist(), spans_of(batch.column(1).to_pylist(), crf, some.tolist())):
                 n = [sum(k == j for _, k, _ in every) for j in range(4)]
                 rows.append((doc_id, *n[:3], hashlib.sha256(join_spans(fixed).encode()).hexdigest(), join_spans(every), n[3]))
             if rows:
@@ -365,11 +650,12 @@ def redact(docs: DataFrame, crf: Crf | None, text_col: str = "text", mark: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, bounds = utf8(batch.column(at))
-            some, cand = candidate_rows(raw, bounds)
+            some, _ = candidate_rows(raw, bounds)
             texts = batch.column(at).to_pylist()
-            for i in np.flatnonzero(some | cand).tolist():
+            for i, (_, spans) in enumerate(spans_of([t or "" for t in texts], crf, some.tolist())):
+                if not spans:
+                    continue
                 text = texts[i]
-                _, spans = spans_of(text, crf, some[i], cand[i])
                 out, end = [], 0
                 for a, _, b in spans:
                     if b > end:
