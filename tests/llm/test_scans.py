@@ -200,6 +200,14 @@ def test_html_rules():
         assert H.main_text(odd) == ""
 
 
+def test_html_text_beside_articles():
+    teasers = "".join(f"<article><p>Teaser {i}. {PROSE}</p></article>" for i in range(3))
+    story = [f"Part {i} of it. {PROSE}" for i in range(6)]
+    assert H.main_text(teasers + "<div>" + "".join(f"<p>{p}</p>" for p in story) + "</div>").split("\n")[3:] == story
+    lead = f"<article><p>{PROSE}</p></article><div><p>{story[1]}</p></div><article><p>{story[2]}</p></article>"
+    assert H.main_text(lead) == "\n".join([PROSE, story[1], story[2]])
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, None, None, "z"), (None, "u", "", "z"), (2, "u", f"<article><p>{PROSE}</p></article>", None),
                                    (2, "u", f"<article><p>{PROSE}</p></article>", None)], "page_id long, url string, html string, text string")

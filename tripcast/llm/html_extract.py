@@ -63,7 +63,6 @@ el los las una unos y o pero es son del al que por para con su sus lo como más
 LENGTH_LOW, LENGTH_HIGH = 70, 200  # characters
 STOP_LOW, STOP_HIGH = 0.15, 0.25  # share of words
 MAX_LINKS = 0.5  # share of characters inside links
-ARTICLE_SHARE = 0.2  # article elements decide alone if they hold this share of the page's text
 
 GOOD, BAD, OPEN = 1, 0, None
 
@@ -226,9 +225,6 @@ def second_pass(blocks: list[Block], labels: list[int | None]) -> list[int]:
 
 def main_text(page: str) -> str:
     blocks = blocks_of(page)
-    held = sum(len(b.text) for b in blocks if b.article)
-    if held and held >= ARTICLE_SHARE * sum(len(b.text) for b in blocks):
-        blocks = [b for b in blocks if b.article]
     labels = second_pass(blocks, [first_pass(b) for b in blocks])
     return "\n".join(b.text for b, label in zip(blocks, labels) if label == GOOD)
 
