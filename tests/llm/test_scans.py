@@ -208,6 +208,14 @@ def test_html_text_beside_articles():
     assert H.main_text(lead) == "\n".join([PROSE, story[1], story[2]])
 
 
+def test_html_other_languages_and_wrappers():
+    russian = "Это основной текст страницы, он достаточно длинный, чтобы его сохранить, и в нём нет ссылок на другие страницы."
+    assert H.main_text(f"<div><p>{russian}</p><p>{russian}</p></div><nav>{russian}</nav>") == f"{russian}\n{russian}"
+    for wrapper in ("<form action=x>{}</form>", "<div id=content-with-sidebar>{}</div>", "<div class=search-results>{}</div>", "<form><fieldset>{}</fieldset></form>"):
+        assert H.main_text(wrapper.format(f"<p>{PROSE}</p><p>{PROSE}</p>")) == f"{PROSE}\n{PROSE}"
+        assert H.main_text(f"<p>{PROSE}</p><p>{PROSE}</p>" + wrapper.format(f"<p>{PROSE}</p>")) == f"{PROSE}\n{PROSE}"
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, None, None, "z"), (None, "u", "", "z"), (2, "u", f"<article><p>{PROSE}</p></article>", None),
                                    (2, "u", f"<article><p>{PROSE}</p></article>", None)], "page_id long, url string, html string, text string")

@@ -46,6 +46,7 @@ NESTING = frozenset("""html body div section article main aside nav header foote
 figure details dialog center head noscript template svg math iframe object select button menu blockquote video audio canvas""".split())
 LEFT_OUT = frozenset("""head nav footer aside form noscript template svg math iframe object select button menu dialog fieldset
 video audio canvas""".split())
+SOFT = frozenset(["form", "fieldset"])
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words that mark a class or id as something other than the article.
 MARKERS = frozenset("""ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner
@@ -74,39 +75,42 @@ def _names(value: str) -> Iterator[list[str]]:
             yield parts
 
 
-def left_out(tag: str, attrs: str, in_article: bool) -> bool:
-    """This element never holds the article."""
-    if tag in LEFT_OUT or (tag == "header" and not in_article):
-        return True
+def left_out(tag: str, attrs: str, in_article: bool) -> int:
+    """0: an ordinary element; 1: left out unless it wraps most of the page's text (forms, marker names); 2: left out."""
+    soft = int(tag in SOFT)
+    if (tag in LEFT_OUT and not soft) or (tag == "header" and not in_article):
+        return 2
     if not attrs or tag in ("html", "body", "main", "article"):
-        return False
+        return soft
     for m in ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), next((g for g in m.groups()[1:] if g is not None), "")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return 2
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return 2
         if key == "role" and value.lower() in LEFT_OUT_ROLES:
-            return True
+            return 2
         if key in ("class", "id"):
             for parts in _names(value):
                 if parts[0] in MARKERS or parts[-1] in MARKERS or (not in_article and "header" in (parts[0], parts[-1])):
-                    return True
-    return False
+                    soft = 1
+    return soft
 
 
 class Block:
-    __slots__ = ("text", "links", "article", "heading", "gap")
+    __slots__ = ("text", "links", "article", "heading", "gap", "within")
 
-    def __init__(self, text: str, links: int, article: int, heading: bool, gap: bool):
-        self.text, self.links, self.article, self.heading, self.gap = text, links, article, heading, gap
+    def __init__(self, text: str, links: int, article: int, heading: bool, gap: bool, within: tuple[int, ...] = ()):
+        self.text, self.links, self.article, self.heading, self.gap, self.within = text, links, article, heading, gap, within
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks outside left-out regions. ``article``: number of the article element around it, or 0; ``gap``: a left-out region stands before it."""
+def blocks_of(page: str, wrappers: frozenset[int] | None = frozenset()) -> list[Block]:
+    """Blocks outside left-out regions; elements that start at ``wrappers`` are ordinary ones (None: all that may be, and
+    ``within`` tells which stand around a block). ``article``: number of the article element around it, or 0; ``gap``: a left-out region stands before it."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # nesting element, left out, article
+    stack: list[tuple[str, bool, int, int]] = []  # nesting element, left out, article, wrappers around it
     buffer: list[tuple[str, bool]] = []
+    around: list[int] = []  # starts of the open wrappers
     skip = article = articles = in_link = 0
     heading = gap = False
 
@@ -116,7 +120,7 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(t for t, _ in buffer)).split())
             if text:
                 links = len(" ".join(entities.unescape("".join(t for t, linked in buffer if linked)).split()))
-                out.append(Block(text, links, article, heading, gap))
+                out.append(Block(text, links, article, heading, gap, tuple(around)))
                 gap = False
             buffer.clear()
 
@@ -140,7 +144,7 @@ def blocks_of(page: str) -> list[Block]:
                 close = page.find(">", end.start())
                 at = n if close < 0 else close + 1
             continue
-        if tag in INLINE and not (tag not in VOID and not closing and left_out(tag, attrs, article > 0)):
+        if tag in INLINE and not (tag not in VOID and not closing and left_out(tag, attrs, article > 0) and not (wrappers and m.start() in wrappers)):
             if tag == "a":
                 in_link = 0 if closing else 1
             continue
@@ -154,8 +158,10 @@ def blocks_of(page: str) -> list[Block]:
             heading = not closing
         if tag in VOID:
             continue
-        hidden = not closing and not attrs.endswith("/") and left_out(tag, attrs, article > 0)
-        if not closing and (tag in NESTING or hidden):
+        kind = 0 if closing or attrs.endswith("/") else left_out(tag, attrs, article > 0)
+        wrapper = kind == 1 and (wrappers is None or m.start() in wrappers)
+        hidden = kind > 0 and not wrapper
+        if not closing and (tag in NESTING or kind):
             number = article
             if tag in ("article", "main") and not article and not skip:
                 articles += 1
@@ -163,11 +169,14 @@ def blocks_of(page: str) -> list[Block]:
             if hidden:
                 skip += 1
                 gap = True
-            stack.append((tag, hidden, article))
+            stack.append((tag, hidden, article, len(around)))
+            if wrapper:
+                around.append(m.start())
             article, heading = number, False
-        elif closing and any(t == tag for t, _, _ in stack):
+        elif closing and any(t == tag for t, _, _, _ in stack):
             while True:
-                t, was_hidden, before = stack.pop()
+                t, was_hidden, before, depth = stack.pop()
+                del around[depth:]
                 skip -= was_hidden
                 article, heading = before, False
                 if t == tag:
@@ -176,8 +185,29 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block) -> int | None:
-    """Good, bad or ambiguous, from the block alone."""
+def is_long(b: Block) -> bool:
+    return len(b.text) >= LENGTH_LOW and b.links <= MAX_LINKS * len(b.text)
+
+
+def main_wrappers(page: str) -> frozenset[int]:
+    """Forms and marker-named elements that hold most of the long, link-poor text of the page: the article is in them."""
+    blocks = [b for b in blocks_of(page, None) if is_long(b)]
+    held: dict[int, int] = {}
+    for b in blocks:
+        for w in b.within:
+            held[w] = held.get(w, 0) + len(b.text)
+    total = sum(len(b.text) for b in blocks)
+    return frozenset(w for w, n in held.items() if 2 * n > total)
+
+
+def known_language(blocks: list[Block]) -> bool:
+    """The long, link-poor text has the stop words of a known language, or there is none to tell by."""
+    words = [w for b in blocks if is_long(b) for w in re.findall(r"\w+", b.text.lower())]
+    return not words or sum(w in STOP_WORDS for w in words) >= STOP_LOW * len(words)
+
+
+def first_pass(b: Block, known: bool = True) -> int | None:
+    """Good, bad or ambiguous, from the block alone; by length and links only where the language is not known."""
     n = len(b.text)
     if b.links > MAX_LINKS * n:
         return BAD
@@ -185,6 +215,8 @@ def first_pass(b: Block) -> int | None:
         return OPEN
     if n < LENGTH_LOW:
         return OPEN
+    if not known:
+        return GOOD
     words = re.findall(r"\w+", b.text.lower())
     stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stop >= STOP_HIGH or (stop >= STOP_LOW and n >= LENGTH_HIGH):
@@ -224,8 +256,9 @@ def second_pass(blocks: list[Block], labels: list[int | None]) -> list[int]:
 
 
 def main_text(page: str) -> str:
-    blocks = blocks_of(page)
-    labels = second_pass(blocks, [first_pass(b) for b in blocks])
+    blocks = blocks_of(page, main_wrappers(page))
+    known = known_language(blocks)
+    labels = second_pass(blocks, [first_pass(b, known) for b in blocks])
     return "\n".join(b.text for b, label in zip(blocks, labels) if label == GOOD)
 
 
