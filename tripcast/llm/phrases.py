@@ -15,8 +15,8 @@ shard, whatever the corpus. The last round drops sequences below ``min_count`` w
 all that extends them. Counts of phrase parts come from composing an automaton of
 the parts asked for with the counts of their range.
 
-Before that, two scans count words and then word pairs by 64-bit hash in Spark
-(partial sums before the shuffle). What reaches ``min_count`` sets bits in a filter
+Before that, two scans count words and then word pairs by hash (partial sums before
+the shuffle). What reaches ``min_count`` sets bits in a filter
 of ``FILTER_BITS`` bits, a fixed size at any input. A collision only lets too much
 through, and a phrase can't be more frequent than its words and pairs, so no
 candidate is lost; the automata's counts are exact.
@@ -32,7 +32,7 @@ ignored. Scores are whole numbers of any size (decimals of 38 digits inside).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +51,9 @@ TOP = 2_000
 #: Bits of the filters of frequent words and pairs: 8 MB each, at any input.
 FILTER_BITS = 1 << 26
 _BITMAP = 1 << 15
-#: Frequent words of a shard; automata (and prefix ranges) that one union joins.
+#: Leading bits of a pair's hash that are kept: 32 of them travel with each pair, 6 with each range.
+PAIR_BITS = 38
+#: Frequent words or pairs of a shard; automata (and prefix ranges) that one union joins.
 SHARD_WORDS = 1 << 21
 RANGE_BITS = 6
 FAN_IN = 1 << RANGE_BITS
@@ -89,9 +91,9 @@ class Tokens:
         return tb.Prefix(raw).stretches(bounds[:-1], bounds[1:])
 
     def pairs(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions of pairs of frequent words, their hashes)."""
+        """(positions of pairs of frequent words, their hashes of PAIR_BITS bits)."""
         at = np.flatnonzero(self.follows & hot & np.append(hot[1:], False))
-        return at, tb.mix(self.hash[at] * _PAIR + self.hash[np.minimum(at + 1, len(self.hash) - 1)])
+        return at, tb.mix(self.hash[at] * _PAIR + self.hash[at + 1]) >> np.uint64(64 - PAIR_BITS)
 
 
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -103,15 +105,41 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
 
 
-def _filter(counted: DataFrame, min_count: int) -> Broadcast:
-    """Bits of the hashes that occur often enough: at most FILTER_BITS / 8 bytes reach the driver and each executor."""
+_BLOBS = "prefix long, source long, blob binary"
+
+
+def _packed(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    columns = zip(*rows) if rows else ([], [], [])
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["prefix", "source", "blob"])
+
+
+def _sources(texts: DataFrame, n_words: int) -> int:
+    """How many shards there may be: a shard ends with its partition or with SHARD_WORDS words. Reads no column."""
+    return texts.select(F.spark_partition_id().alias("p")).distinct().count() + n_words // SHARD_WORDS
+
+
+def _rounds(rows: DataFrame, sources: int, joiner: Callable) -> tuple[DataFrame, int]:
+    """(rows, bits): one blob for each prefix of ``bits`` bits. Every round joins ``FAN_IN`` of the ``sources`` of a prefix and
+    cuts the prefixes ``FAN_IN`` times finer, so that a group stays as large as about one source was, at any number of them."""
+    bits = RANGE_BITS
+    while True:
+        last = sources <= FAN_IN
+        bits += 0 if last else RANGE_BITS
+        sources = 1 if last else -(-sources // FAN_IN)
+        grouped = rows.withColumn("source", F.pmod(F.xxhash64("source"), F.lit(sources))).groupBy("prefix", "source")
+        rows = written(grouped.applyInArrow(joiner(last, bits), _BLOBS), "joined")
+        if last:
+            return rows, bits
+
+
+def _filter(frequent: DataFrame) -> Broadcast:
+    """Bits of the hashes ``h``: at most FILTER_BITS / 8 bytes reach the driver and each executor."""
     at = F.pmod(F.col("h"), F.lit(FILTER_BITS))
-    rows = (counted.where(F.col("c") >= min_count).select(F.floor(at / _BITMAP).cast("int").alias("part"), (at % _BITMAP).alias("bit"))
-            .groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
+    rows = (frequent.select(F.floor(at / _BITMAP).cast("int").alias("part"), (at % _BITMAP).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for part, some in rows:
         bits[part * (_BITMAP // 8): (part + 1) * (_BITMAP // 8)] = np.frombuffer(bytes(some), np.uint8)
-    return counted.sparkSession.sparkContext.broadcast(bits)
+    return frequent.sparkSession.sparkContext.broadcast(bits)
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
@@ -127,16 +155,66 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "lang string, h long, c long").groupBy("lang", "h").agg(F.sum("c").alias("c"))
 
 
-def _pair_counts(texts: DataFrame, words: Broadcast) -> DataFrame:
-    """(h, c): occurrences of pairs of frequent words by hash."""
+def _pack_pairs(h: np.ndarray, n: np.ndarray, most: int) -> bytes:
+    """Sorted pair hashes of one range and their counts (no higher than ``most``): byte planes, which compress well."""
+    low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    kind = np.uint8 if most < 256 else np.int64
+    return b"".join([np.array([len(h), int(h[0]) >> 32], np.int64).tobytes(), np.ascontiguousarray(low.view(np.uint8).reshape(-1, 4).T).tobytes(), np.minimum(n, most).astype(kind).tobytes()])
+
+
+def _unpack_pairs(blob: bytes, most: int) -> tuple[np.ndarray, np.ndarray]:
+    n, high = np.frombuffer(blob, np.int64, 2).tolist()
+    low = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n, 16).reshape(4, n).T).view(np.uint32).ravel()
+    counts = np.frombuffer(blob, np.uint8 if most < 256 else np.int64, n, 16 + 4 * n)
+    return low.astype(np.uint64) | np.uint64(high << 32), counts.astype(np.int64)
+
+
+def _pair_rows(h: np.ndarray, n: np.ndarray, source: int, bits: int, most: int) -> pa.Table:
+    """(prefix, source, blob) by the leading ``bits`` of the hashes (sorted)."""
+    prefix = (h >> np.uint64(PAIR_BITS - bits)).astype(np.int64)
+    at = np.flatnonzero(np.diff(prefix, prepend=-1))
+    parts = [(int(prefix[a]), source, _pack_pairs(h[a:b], n[a:b], most)) for a, b in zip(at, np.append(at[1:], len(h)))]
+    return _packed(parts)
+
+
+def _frequent_pairs(texts: DataFrame, words: Broadcast, min_count: int, sources: int) -> DataFrame:
+    """(h): hashes of the pairs of frequent words with at least ``min_count`` occurrences. Sorted hashes of a shard travel
+    by range and meet ``FAN_IN`` shards at a time, as the automata do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if size:
+                yield from _pair_rows(*np.unique(np.concatenate(held), return_counts=True), source, RANGE_BITS, min_count).to_batches()
+
         for batch in batches:
             t = Tokens(batch.column(0), batch.column(1))
-            h, n = np.unique(t.pairs(_in(words.value, t.hash))[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "c"])
+            held.append(t.pairs(_in(words.value, t.hash))[1])
+            size += len(held[-1])
+            if size >= SHARD_WORDS:
+                yield from out()
+                source, held, size = source + 1, [], 0
+        yield from out()
+
+    def joiner(last: bool, bits: int):
+        def join(key: tuple, table: pa.Table) -> pa.Table:
+            h, n = map(np.concatenate, zip(*(_unpack_pairs(x, min_count) for x in table["blob"].to_pylist())))
+            order = np.argsort(h)
+            h, n = h[order], n[order]
+            at = np.flatnonzero(np.diff(h, prepend=h[0] + np.uint64(1)))
+            h, n = h[at], np.add.reduceat(n, at)
+            keep = n >= (min_count if last else 1)
+            return _pair_rows(h[keep], n[keep], key[1].as_py(), bits, min_count)
+
+        return join
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_unpack_pairs(blob, min_count)[0].view(np.int64))], ["h"])
 
-    return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return _rounds(texts.mapInArrow(run, _BLOBS), sources, joiner)[0].select("blob").mapInArrow(listed, "h long")
 
 
 class Shard:
@@ -221,16 +299,8 @@ class Shard:
             yield r, builder.finish()
 
 
-_AUTOMATA = "prefix long, source long, automaton binary"
-
-
-def _packed(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    columns = zip(*rows) if rows else ([], [], [])
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["prefix", "source", "automaton"])
-
-
 def _shards(texts: DataFrame, words: Broadcast, pairs: Broadcast, max_words: int) -> DataFrame:
-    """(prefix, source, automaton): every shard's automata by prefix range."""
+    """(prefix, source, blob): every shard's automata by prefix range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, shard = TaskContext.get().partitionId() << 32, Shard()
@@ -246,48 +316,36 @@ def _shards(texts: DataFrame, words: Broadcast, pairs: Broadcast, max_words: int
                 source, shard = source + 1, Shard()
         yield from out(shard, source)
 
-    return texts.mapInArrow(run, _AUTOMATA)
+    return texts.mapInArrow(run, _BLOBS)
 
 
-def _joiner(least: int, finer: int | None):
-    """Union of one group's automata, cut into ranges of ``finer`` bits (None: the range they have)."""
-
-    def join(key: tuple, table: pa.Table) -> pa.Table:
-        prefix, source = key[0].as_py(), key[1].as_py()
-        builders: dict[int, Builder] = {}
-        for path, weight in union([Automaton(x) for x in table["automaton"].to_pylist()], least):
-            r = prefix if finer is None else range_of(path, finer)
-            if (builder := builders.get(r)) is None:
-                builder = builders[r] = Builder()
-            builder.add(path, weight)
-        return _packed([(r, source, b.finish()) for r, b in sorted(builders.items())])
+def _united(automata: DataFrame, min_count: int, sources: int) -> tuple[DataFrame, int]:
+    """(prefix, blob) of the whole corpus, and the bits of its prefixes."""
 
-    return join
+    def joiner(last: bool, bits: int):
+        def join(key: tuple, table: pa.Table) -> pa.Table:
+            prefix, source = key[0].as_py(), key[1].as_py()
+            builders: dict[int, Builder] = {}
+            for path, weight in union([Automaton(x) for x in table["blob"].to_pylist()], min_count if last else 1):
+                r = prefix if last else range_of(path, bits)
+                if (builder := builders.get(r)) is None:
+                    builder = builders[r] = Builder()
+                builder.add(path, weight)
+            return _packed([(r, source, b.finish()) for r, b in sorted(builders.items())])
 
+        return join
 
-def _united(automata: DataFrame, min_count: int) -> DataFrame:
-    """(prefix, automaton, bits) of the whole corpus: unions of ``FAN_IN`` sources at a time, over ever finer ranges."""
-    bits = RANGE_BITS
-    while True:
-        automata = written(automata, "automata")
-        sources = automata.agg(F.count_distinct("source").alias("n")).first()["n"]
-        last = sources <= FAN_IN
-        grouped = automata.withColumn("source", F.pmod(F.xxhash64("source"), F.lit(1 if last else -(-sources // FAN_IN)))).groupBy("prefix", "source")
-        if last:
-            united = grouped.applyInArrow(_joiner(min_count, None), _AUTOMATA)
-            return written(united.select("prefix", "automaton"), "counts").withColumn("bits", F.lit(bits))
-        bits += RANGE_BITS
-        automata = grouped.applyInArrow(_joiner(1, bits), _AUTOMATA)
+    return _rounds(automata, sources, joiner)
 
 
-def _cuts(counts: DataFrame) -> DataFrame:
+def _cuts(counts: DataFrame, bits: int) -> DataFrame:
     """(lang, phrase, a, k, first, first_prefix, rest, rest_prefix): every cut of every phrase of two words or more."""
     names = ["lang", "phrase", "a", "k", "first", "first_prefix", "rest", "rest_prefix"]
     kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for blob in batch.column(0).to_pylist():
                 rows = []
                 for (lang, *words), a in Automaton(blob).sequences():
                     for k in range(1, len(words)):
@@ -296,7 +354,7 @@ def _cuts(counts: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    found = counts.select("automaton", "bits").mapInArrow(run, "lang binary, phrase binary, a long, k int, first binary, first_prefix long, rest binary, rest_prefix long")
+    found = counts.select("blob").mapInArrow(run, "lang binary, phrase binary, a long, k int, first binary, first_prefix long, rest binary, rest_prefix long")
     return found.withColumns({c: F.col(c).cast("string") for c in ("lang", "phrase", "first", "rest")})
 
 
@@ -311,7 +369,7 @@ def _part_counts(counts: DataFrame, cuts: DataFrame) -> DataFrame:
             builder.add(path, 1)
         if asked.num_rows:
             wanted = Automaton(builder.finish())
-            for blob in counts["automaton"].to_pylist():
+            for blob in counts["blob"].to_pylist():
                 rows += [(path[0].decode(), b" ".join(path[1:]).decode(), f) for path, f in compose(wanted, Automaton(blob))]
         cols = list(zip(*rows)) or [[], [], []]
         return pa.table([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["lang", "part", "f"])
@@ -341,10 +399,11 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min
     texts = _texts(docs, text_col, lang_col)
     words = written(_word_counts(texts), "words")
     totals = words.groupBy("lang").agg(F.sum("c").alias("n"))
-    frequent = _filter(words, min_count)
-    pairs = _filter(_pair_counts(texts, frequent), min_count)
-    counts = _united(_shards(texts, frequent, pairs, max_words), min_count)
-    cuts = _cuts(counts)
+    frequent = _filter(words.where(F.col("c") >= min_count))
+    sources = _sources(texts, words.agg(F.sum("c").alias("n")).first()["n"] or 0)
+    pairs = _filter(_frequent_pairs(texts, frequent, min_count, sources))
+    counts, bits = _united(_shards(texts, frequent, pairs, max_words), min_count, sources)
+    cuts = _cuts(counts, bits)
     parts = written(_part_counts(counts, cuts), "parts")
     left, right = (parts.select("lang", F.col("part").alias(c), F.col("f").alias(f)) for c, f in (("first", "l"), ("rest", "r")))
     cut = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).join(totals, "lang")
