@@ -194,8 +194,8 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             crf = secrets_scan.train(now)
     final = {r["doc_id"]: (r["text"], r["n_chars"]) for r in now.collect()}
     for i, (t, n) in final.items():
-        assert n == len(t) and not secrets_scan.spans_of(t, crf, True, True)[0]
-        if not secrets_scan.spans_of(left[i], crf, True, True)[1]:
+        assert n == len(t) and not secrets_scan.spans_of([t], crf, [True])[0][0]
+        if not secrets_scan.spans_of([left[i]], crf, [True])[0][1]:
             assert t == left[i]
     packed = P.run(spark, SF_SMALL).collect()
     encoder = packing.Encoder()

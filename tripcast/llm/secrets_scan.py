@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -45,7 +45,7 @@ from .common import id_and_text, prepare, utf8
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
+HEX = re.compile(r"[0-9a-f]{32,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+=*|=+|[^\sA-Za-z0-9+/_.=-]")
 GAPPED = re.compile(r"\s?(?:" + TOKEN.pattern + ")")  # a token with the white space before it
 TAIL = re.compile(r"(?:[!@#$%&:~^*?]+[A-Za-z0-9+/_.=-]+)*")  # what goes on behind a base value that a sign ends
@@ -60,7 +60,7 @@ SEEDED = 8  # versions of a window with a secret
 REACH = 6  # tokens on either side of the middle that a window holds
 LONGEST = 40  # tokens of a training window
 LONG_WINDOW = 4_000  # characters of a training window
-KNOWN = 200_000  # token types whose weights a task keeps
+KNOWN = 400_000  # token types whose weights a task keeps
 SLOTS = 1 << 18
 EPOCHS = 60
 RIDGE = 1e-3  # keeps features of single windows small: weak tags are wrong at times; a share of the mean over all windows
@@ -79,7 +79,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base matches, in code points."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 32]
+    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(out)
 
 
@@ -117,9 +117,12 @@ def _slot(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) % SLOTS
 
 
-def _word_slots(words: list[str], place: int) -> np.ndarray:
-    """Slots of words at a place beside a token (0: the token itself)."""
-    h = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+def _word_codes(words: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+
+
+def _word_slots(h: np.ndarray, place: int) -> np.ndarray:
+    """Slots of words (their codes) at a place beside a token (0: the token itself)."""
     return ((h ^ np.uint64(0x9E3779B9 * (place + 8) % (1 << 32))) * np.uint64(0x9E3779B1) % np.uint64(1 << 32) % np.uint64(SLOTS)).astype(np.int64)
 
 
@@ -200,7 +203,8 @@ def window_features(tokens: list[str], file: list[str]) -> list[list[int]]:
     """Slots of each token (with the white space before it): its own shape, its neighbours' words, its context, the file."""
     cores = [t.strip() for t in tokens]
     words = ["<edge>"] * 3 + [word_class(t) for t in cores] + ["<edge>"] * 3
-    near = [_word_slots(words, d).tolist() for d in (0, *NEAR)]
+    codes = _word_codes(words)
+    near = [_word_slots(codes, d).tolist() for d in (0, *NEAR)]
     around = context(np.array([flags_of(t) for t in tokens], np.int64)).tolist()
     gaps = [gap(t) for t in tokens] + ["edge"]
     return [[_slot(x) for x in (*shape_names(t), "gap:" + gaps[i], "next:" + gaps[i + 1], *file, *map("{}{}".format, CONTEXT, around[i]))]
@@ -239,25 +243,28 @@ class Crf:
         self.ids: dict[str, int] = {}
         self.shapes: dict[tuple, np.ndarray] = {}
         self.own = np.zeros((1, 3), np.float32)
-        self.near = np.stack([self.emit[_word_slots(["<edge>"], d)] for d in NEAR], 1)
+        self.near = np.stack([self.emit[_word_slots(_word_codes(["<edge>"]), d)] for d in NEAR], 1)
         self.near[:, NEAR.index(1)] += self.emit[_slot("next:edge")]
         self.flags = np.zeros(1, np.int64)
 
     def _learn(self, tokens: list[str]) -> None:
         """Add token types; at most ``KNOWN`` are kept between batches."""
         cores = [t.strip() for t in tokens]
-        words = [word_class(t) for t in cores]
-        shapes = [shape_names(t) for t in cores]
+        number = {c: i for i, c in enumerate(dict.fromkeys(cores))}  # white space apart, many tokens are the same
+        of = np.fromiter(map(number.__getitem__, cores), np.int64, len(cores))
+        shapes, codes = [shape_names(c) for c in number], _word_codes([word_class(c) for c in number])
         for names in set(shapes) - self.shapes.keys():
             self.shapes[names] = self.emit[[_slot(x) for x in names]].sum(0)
         gaps = [("none", "space", "line").index(gap(t)) for t in tokens]
-        own = np.array([self.shapes[x] for x in shapes], np.float32) + self.emit[_word_slots(words, 0)]
-        own += self.emit[[_slot("gap:" + g) for g in ("none", "space", "line")]][gaps]
-        near = np.stack([self.emit[_word_slots(words, d)] for d in NEAR], 1)
+        own = np.array([self.shapes[x] for x in shapes], np.float32) + self.emit[_word_slots(codes, 0)]
+        own = own[of] + self.emit[[_slot("gap:" + g) for g in ("none", "space", "line")]][gaps]
+        near = np.stack([self.emit[_word_slots(codes, d)] for d in NEAR], 1)[of]
         near[:, NEAR.index(1)] += self.emit[[_slot("next:" + g) for g in ("none", "space", "line")]][gaps]
+        flags = np.fromiter(map(flags_of, number), np.int64, len(number))[of]
+        glued = np.fromiter(map(len, cores), np.int64, len(cores)) == np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.ids.update(zip(tokens, range(len(self.own), len(self.own) + len(tokens))))
         self.own, self.near = np.concatenate([self.own, own]), np.concatenate([self.near, near])
-        self.flags = np.concatenate([self.flags, [flags_of(t) for t in tokens]])
+        self.flags = np.concatenate([self.flags, np.where(glued, flags | GLUED, flags & ~GLUED)])
 
     def tags(self, texts: list[str]) -> list[np.ndarray]:
         """Best tags of all tokens of each text."""
@@ -534,30 +541,40 @@ def training_windows(text: str, seed: int) -> list[tuple[str, list[tuple[int, in
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Crf | None:
     """Fit on the rows with base matches or long mixed tokens whose id hashes are smallest, and on a third as many of all
-    rows, chosen in the same way. Only windows leave a row, never its text."""
-
-    def windows(marked: bool, limit: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import heapq
-            import json
-
-            smallest: list[int] = []  # negated: the task's own smallest hashes are enough, the sample is the smallest of all
-            for batch in batches:
-                ranks = [_rank(i) for i in batch.column(0).to_pylist()]
-                rows = range(len(ranks))
-                if marked:
-                    some, cand = candidate_rows(*utf8(batch.column(1)))
-                    rows = np.flatnonzero(some | cand).tolist()
-                found = []
-                for r in sorted(rows, key=lambda r: (ranks[r], r)):
-                    if len(smallest) >= limit and ranks[r] > -smallest[0]:
-                        break
-                    (heapq.heappushpop if len(smallest) >= limit else heapq.heappush)(smallest, -ranks[r])
-                    found.append((batch.column(0)[r].as_py(), ranks[r], json.dumps(training_windows(batch.column(1)[r].as_py(), ranks[r]))))
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.string()))],
-                                                 ["doc_id", "rank", "windows"])
-
-        return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, rank long, windows string").orderBy("rank", "doc_id").limit(limit)
+    rows, chosen in the same way. Ids are chosen first; only windows of the chosen rows leave them, never a text. Rows
+    without an id are not trained on; of rows that share an id the smallest text is."""
+    limits = {"marked": train_rows, "any": max(1, train_rows // 3)}
+    texts = id_and_text(docs, id_col, text_col).where("doc_id is not null")
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[int, int]] = {kind: {} for kind in limits}  # the task's own smallest hashes are enough
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            ranks = [_rank(i) for i in ids]
+            some, cand = candidate_rows(*utf8(batch.column(1)))
+            for kind, rows in (("marked", np.flatnonzero(some | cand).tolist()), ("any", range(len(ids)))):
+                held[kind].update((ids[r], ranks[r]) for r in rows)
+                if len(held[kind]) > 2 * limits[kind]:
+                    held[kind] = dict(sorted(held[kind].items(), key=lambda x: (x[1], x[0]))[: limits[kind]])
+        rows = [(i, r, kind) for kind, found in held.items() for i, r in found.items()]
+        columns = zip(*rows) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()))], ["doc_id", "rank", "kind"])
+
+    order = Window.partitionBy("kind").orderBy("rank", "doc_id")
+    limit = F.when(F.col("kind") == "any", limits["any"]).otherwise(limits["marked"])
+    # a row of either kind, or both; at most train_rows and a third as many rows, so that a broadcast is bounded
+    picked = (texts.mapInArrow(ranked, "doc_id long, rank long, kind string").distinct()
+              .withColumn("nth", F.row_number().over(order)).where((F.col("nth") <= train_rows) & (F.col("nth") <= limit)).drop("nth"))
+    sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "rank", "kind").agg(F.min("text").alias("text"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
+
+        for batch in batches:
+            found = [json.dumps(training_windows(t, r)) for t, r in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], ["doc_id", "rank", "windows"])
+
+    sample = sample.select("doc_id", "rank", "text").mapInArrow(windows, "doc_id long, rank long, windows string")
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         import json
@@ -568,7 +585,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
             return pd.DataFrame({"emit": [], "trans": []})
         return pd.DataFrame({"emit": [crf.emit.tobytes()], "trans": [crf.trans.tobytes()]})
 
-    sample = windows(True, train_rows).unionByName(windows(False, max(1, train_rows // 3)))
     found = sample.withColumn("whole", F.lit("all")).groupBy("whole").applyInPandas(one, "emit binary, trans binary").collect()
     if not found:
         return None
