@@ -9,6 +9,8 @@ from hypothesis import strategies as st
 
 from llm_cases import awkward, empty, prose
 from tripcast.llm import blocks as bl
+from tripcast.llm import ngram_join as J
+from tripcast.llm import quality as Q
 from tripcast.llm import substring_dedup as W
 from tripcast.llm import suffix_array as A
 from tripcast.llm import suffix_dedup as D
@@ -39,6 +41,41 @@ def test_long_alphabets_end_in_doubling(monkeypatch):
         assert A.induced_order(s, 256).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two words of 2**n letters that polynomials modulo a power of two cannot tell apart if n is 10 or more."""
+    one, two = a, b
+    for _ in range(n):
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_regular_words_have_hashes_of_their_own():
+    for n in range(1, 14):
+        words = [w.encode() for pair in (thue_morse(n), thue_morse(n, "x", "q"), thue_morse(n, "0", "1")) for w in pair]
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([len(w) for w in words])
+        for which in (0, 1):
+            starts = ends - len(words[0])
+            found = tb.Prefix(raw, which).stretches(starts, ends)
+            assert len(set(found.tolist())) == len(words)
+            again = tb.Prefix(np.concatenate([raw[7:], raw]), which).stretches(starts + len(raw) - 7, ends + len(raw) - 7)
+            assert again.tolist() == found.tolist()
+
+
+def test_windows_of_regular_words_stay_apart(spark):
+    """Documents that differ in one long regular word share no window, no shingle and no repeated line."""
+    one, two = thue_morse(11)
+    rest = " ".join(f"word{i}" for i in range(49))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in W.dedup_windows(docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+    single = spark.createDataFrame([(1, one), (2, two), (3, f"{one} b c"), (4, f"{two} b c")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in J.similar_documents(single).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    lines = [f"{one}\n{two}\n{one}{two}", f"p q r s {one} p q r s {two}"]
+    found = {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in Q.score(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), None).collect()}
+    assert found == {0: (0, 0), 1: (0, 0)}
+
+
 def brute_bytes(rows, size=50):
     starts = {}
     for i, t in rows:

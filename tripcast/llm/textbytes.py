@@ -1,12 +1,17 @@
 """Words, lines and rolling hashes over the UTF-8 bytes of a whole batch, as numpy passes.
 
-A hash of a stretch is a polynomial in an odd base modulo 2**64 over seeded
+A hash of a short stretch is a polynomial in an odd base modulo 2**64 over seeded
 values of its elements, mixed at the end; stretches of one batch are compared
-through prefix sums, so any stretch costs two look-ups.
+through prefix sums, so any stretch costs two look-ups. Modulo a power of two some
+long regular stretches (Thue-Morse words) collide under every base; what is longer
+than ``SHORT`` elements is therefore hashed as bytes (BLAKE2b). Up to there, such
+pairs still differ in 29 bits or more before mixing.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _SPACE = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
@@ -21,6 +26,7 @@ LOWER[0x41:0x5B] += 32
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 _VALUES = [np.random.default_rng(7 + i).integers(1, 2**63, 256, dtype=np.uint64) for i in range(2)]
 _powers: dict[tuple[int, bool], np.ndarray] = {}
+SHORT = 128
 
 
 def _inverse(odd: int) -> int:
@@ -52,7 +58,7 @@ class Prefix:
     """Hashes of stretches of a sequence of 64-bit values (or bytes, by their seeded values)."""
 
     def __init__(self, values: np.ndarray, which: int = 0):
-        self.which, n = which, len(values)
+        self.which, self.values, n = which, values, len(values)
         if values.dtype == np.uint8:
             values = _VALUES[which][values]
         elif which:
@@ -62,10 +68,15 @@ class Prefix:
         self.back = powers(n + 1, which, True)
 
     def stretches(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
+        out = mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
+        for i in np.flatnonzero(ends - starts > SHORT).tolist():
+            digest = hashlib.blake2b(self.values[starts[i]: ends[i]].tobytes(), digest_size=8, salt=bytes([self.which]))
+            out[i] = int.from_bytes(digest.digest(), "little")
+        return out
 
     def windows(self, k: int) -> np.ndarray:
-        """Hash of every k consecutive elements, without regard to row bounds."""
+        """Hash of every k (at most SHORT) consecutive elements, without regard to row bounds."""
+        assert k <= SHORT
         m = max(0, len(self.sums) - k)
         return mix((self.sums[k: k + m] - self.sums[:m]) * self.back[:m])
 
