@@ -202,6 +202,12 @@ def feature_importances(spark: SparkSession, model: PipelineModel, data: DataFra
     return df.groupBy("feature").agg(F.sum("importance").alias("importance")).orderBy(F.desc("importance"))
 
 
+def importances(model: PipelineModel, columns: Sequence[str]) -> list[tuple[str, float]]:
+    """(column, importance) of a fitted tree model over plain columns, largest first."""
+    found = zip(columns, model.featureImportances.toArray().tolist())
+    return sorted(found, key=lambda x: (-x[1], x[0]))
+
+
 # MDL9 — probabilities, label and confidence
 def probability_columns(preds: DataFrame, labels: Sequence[str]) -> DataFrame:
     probs = vector_to_array("probability")

@@ -27,6 +27,7 @@ from ..functions import features as FE
 from ..functions import text as TX
 from ..session import ensure_checkpoint_dir, literal_frame
 from ..session import materialize as write_once
+from . import text_index as TI
 from .dashboard import hotel_base
 from .ranking import global_row_number
 
@@ -197,29 +198,18 @@ def _dot(q: str, v: str) -> F.Column:
                       F.lit(0.0))
 
 
-def _substrings(c: str) -> F.Column:
-    """All distinct substrings of a short text, and the empty one."""
-    n = F.length(c)
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(
-        F.sequence(F.lit(1), F.greatest(n - i + 1, F.lit(1))), lambda k: F.substring(F.col(c), i, k))))
-    return F.array_distinct(F.array_append(F.coalesce(every, F.array().cast("array<string>")), F.lit("")))
-
-
 def destination_map(profiles: DataFrame, items: DataFrame, regex: bool = False) -> DataFrame:
     """(_dest, _loc, _cty): the catalogue locations that each distinct destination selects.
 
-    A destination selects a place whose location or country contains it, so the
-    distinct places are listed under each of their substrings and met by an
-    equi-join; the empty destination is a substring of all of them. A regular
-    expression has no such key: that form compares the distinct destinations with
-    the distinct places."""
-    dests = profiles.select("_dest").distinct()
+    A destination selects a place whose location or country contains it (or, as a
+    regular expression, matches in it). Both forms search a trigram index over the
+    distinct names."""
     places = items.select("_loc", "_cty").distinct()
-    if regex:
-        hit = (F.col("_dest") == "") | F.rlike(F.col("_loc"), F.col("_dest")) | F.rlike(F.col("_cty"), F.col("_dest"))
-        return dests.join(places, hit)
-    keys = F.array_union(_substrings("_loc"), _substrings("_cty"))
-    return places.withColumn("_dest", F.explode(keys)).join(dests, "_dest")
+    index = TI.build_index(places.select(F.explode(F.array("_loc", "_cty")).alias("text")))
+    hits = (TI.matching if regex else TI.containing)(index, profiles.select("_dest").distinct(), "_dest")
+    hits = hits.toDF("_dest", "_name")
+    named = places.withColumn("_name", F.explode(F.array_distinct(F.array("_loc", "_cty"))))
+    return named.join(hits, "_name").select("_dest", "_loc", "_cty").distinct()
 
 
 # REC6-10, JOIN6, TOP2, WIN2, WIN3

