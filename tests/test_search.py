@@ -124,3 +124,34 @@ def test_regex_destinations_of_the_recommender(spark):
     places = {r["location"] for r in cat.collect()}
     assert set(got) == {i for i, d in ((1, "nation (1|2)$"), (2, "nation"), (3, "^x")) if any(regex.search(d, p.lower()) for p in places)}
     assert all(regex.search("nation (1|2)$", p.lower()) for p in got.get(1, []))
+
+
+def large_catalogue(spark, n, seed=5):
+    rng = random.Random(seed)
+    styles = ["luxury", "boutique", "business", "budget / backpacker"]
+    rows = []
+    for i in range(n):
+        t = rng.random()
+        rows.append((i, f"hotel {i}", f"nation {rng.randrange(6)}", "Brazil", rng.choice(styles), rng.choice(["coastal", "tropical"]), rng.choice([3, 4, 5]),
+                     round(40 + 900 * t, 2) if i % 50 else 500.0, round(6.5 + 3 * rng.random(), 1), rng.choice(["wifi pool", "wifi spa gym", "bar", "spa"]), "leisure", 1))
+    return spark.createDataFrame(rows, "price_rank int, name string, location string, country string, style string, climate string, star_rating int, "
+                                 "avg_price_per_night double, review_score double, amenities string, travel_type string, bookings long")
+
+
+def test_bounded_top_k_gives_the_same_rows_and_opens_few_hotels(spark):
+    model = R.fit(large_catalogue(spark, 4000))
+    rng = random.Random(6)
+    body = "request_id int, destination string, style string, climate string, travel_type string, amenities array<string>, budget_max double, min_stars int, min_review double"
+    asks = [(i, rng.choice(["nation 1", "nation", "", None, "brazil", "Paris", " NATION 3 "]), rng.choice([None, "luxury", "business"]), rng.choice([None, "coastal"]), None,
+             rng.choice([[], ["wifi", "spa"], None]), rng.choice([None, 0.0, 41.0, 300.0, 555.5, 5000.0]), rng.choice([None, 0, 4, 5]), rng.choice([None, 0.0, 7.05, 9.4, 9.9]))
+            for i in range(60)]
+    requests = spark.createDataFrame(asks, body)
+    for top_n in (1, 5, 40):
+        plain = {tuple(r) for r in R.recommend(model, requests, top_n).collect()}
+        assert {tuple(r) for r in R.recommend(model, requests, top_n, bounded=True).collect()} == plain
+    # one wide-open request: a small part of the catalogue is opened
+    items = R.hotel_blocks(model.items.withColumns({"_loc": F.lower("location"), "_cty": F.lower("country")}))
+    one = spark.createDataFrame([("p", 400.0, 4, 8.0)], "profile string, budget_max double, min_stars int, min_review double")
+    one = one.crossJoin(items.select("_loc", "_cty").distinct()).withColumn("qvec", F.lit(None).cast("map<string,double>"))
+    opened = R.reachable(model, one, items, 5).join(items, ["_loc", "_cty", "_sign", "_cell"]).count()
+    assert 5 <= opened <= 400

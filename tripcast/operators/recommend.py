@@ -212,8 +212,76 @@ def destination_map(profiles: DataFrame, items: DataFrame, regex: bool = False)
     return named.join(hits, "_name").select("_dest", "_loc", "_cty").distinct()
 
 
+#: Cells of the scaled price and review axes that make up a block of hotels.
+PRICE_CELLS, REVIEW_CELLS = 16, 8
+#: Slack of the block bounds: scores are compared after rounding to 9 digits.
+SCORE_EPS = 2e-9
+_BLOCK = ["_loc", "_cty", "_sign", "_cell"]
+
+
+def hotel_blocks(items: DataFrame) -> DataFrame:
+    """``items`` with the columns of their block: place, text vector, stars, price and review cell."""
+    cell = F.concat_ws("|", F.col("star_rating").cast("string"), F.floor(F.col("avg_price_per_night_s") * PRICE_CELLS).cast("string"),
+                       F.floor(F.col("review_score_s") * REVIEW_CELLS).cast("string"))
+    sign = F.md5(F.coalesce(F.to_json(F.array_sort(F.map_entries("vec"))), F.lit("")))
+    return items.withColumns({"_sign": sign, "_cell": F.concat_ws("|", F.lit("c"), cell)})
+
+
+def _ideal(mx: F.Column) -> dict[str, F.Column]:
+    """What a profile would like best; ``mx`` is the highest price among its hotels."""
+    return {
+        "avg_price_per_night": F.least(F.coalesce(F.col("budget_max"), mx), mx),
+        "star_rating": F.coalesce(F.col("min_stars").cast("double"), F.lit(float(DEFAULT_STARS))),
+        "review_score": F.coalesce(F.col("min_review"), F.lit(DEFAULT_REVIEW)),
+    }
+
+
+def reachable(model: FittedRecommender, profiles: DataFrame, items: DataFrame, top_n: int) -> DataFrame:
+    """(profile, block columns, _mx): the blocks that may hold one of a profile's ``top_n`` hotels, and the highest price among
+    all of its hotels.
+
+    ``profiles`` carry the places their destination selects. A block shares its text score and stars; its price and review
+    intervals bound the numeric score from both sides. The blocks whose hotels all pass the filters guarantee ``top_n`` hotels
+    of some lowest score; a block whose highest possible score lies below that is never opened."""
+    cfg, b = model.config, model.bounds
+    spans = {c: [f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max))] for c in
+             ("avg_price_per_night", "review_score", "avg_price_per_night_s", "review_score_s")}
+    blocks = items.groupBy(*_BLOCK).agg(F.count(F.lit(1)).alias("_n"), F.first("vec").alias("vec"), F.first("star_rating").alias("star_rating"),
+                                        F.first("star_rating_s").alias("star_rating_s"), *[x for two in spans.values() for x in two])
+    asked = profiles.join(blocks, ["_loc", "_cty"])
+    stars = _blank("min_stars") | (F.col("star_rating") >= F.col("min_stars"))
+    some = stars & (_blank("budget_max") | (F.col("lo_avg_price_per_night") <= F.col("budget_max"))) & (
+        _blank("min_review") | (F.col("hi_review_score") >= F.col("min_review")))
+    every = (_blank("budget_max") | (F.col("hi_avg_price_per_night") <= F.col("budget_max"))) & (
+        _blank("min_review") | (F.col("lo_review_score") >= F.col("min_review")))
+    asked = asked.where(some).withColumn("_all", F.coalesce(every, F.lit(False)))
+    # the highest price: from blocks that pass as a whole, and from the hotels of those that may hold a higher one
+    per_profile = Window.partitionBy("profile")
+    asked = asked.withColumn("_sure", F.max(F.when(F.col("_all"), F.col("hi_avg_price_per_night"))).over(per_profile))
+    higher = ~F.col("_all") & (F.col("_sure").isNull() | (F.col("hi_avg_price_per_night") > F.col("_sure")))
+    wants = ["profile", "budget_max", "min_stars", "min_review"]
+    opened = (asked.where(higher).select(*wants, *_BLOCK).join(items.select(*_BLOCK, *NUM_COLUMNS), _BLOCK).where(within_bounds())
+              .groupBy("profile").agg(F.max("avg_price_per_night").alias("_seen")))
+    asked = asked.join(opened, "profile", "left").withColumn("_mx", F.greatest("_sure", "_seen")).where("_mx is not null")
+    near = far = F.lit(0.0)
+    ideal = {c: FE.minmax(x, *b[c]) for c, x in _ideal(F.col("_mx")).items()}
+    for c in NUM_COLUMNS:
+        lo, hi = (F.col("star_rating_s"),) * 2 if c == "star_rating" else (F.col(f"lo_{c}_s"), F.col(f"hi_{c}_s"))
+        low, high = F.greatest(lo - ideal[c], ideal[c] - hi, F.lit(0.0)), F.greatest(F.abs(lo - ideal[c]), F.abs(hi - ideal[c]))
+        near, far = near + low * low, far + high * high
+    text = F.lit(cfg.text_weight) * _dot("qvec", "vec")
+    asked = asked.select("profile", *_BLOCK, "_mx", "_all", "_n", (text + F.lit(cfg.num_weight) / (F.sqrt(near) + 1.0)).alias("_most"),
+                         (text + F.lit(cfg.num_weight) / (F.sqrt(far) + 1.0)).alias("_least"))
+    falling = per_profile.orderBy(F.desc("_least"), *_BLOCK).rowsBetween(Window.unboundedPreceding, 0)
+    sure = F.sum(F.when(F.col("_all"), F.col("_n")).otherwise(0)).over(falling)
+    asked = asked.withColumn("_floor", F.max(F.when(F.col("_all") & (sure >= top_n), F.col("_least"))).over(per_profile))
+    return asked.where(F.col("_floor").isNull() | (F.col("_most") >= F.col("_floor") - SCORE_EPS)).select("profile", *_BLOCK, "_mx")
+
+
 # REC6-10, JOIN6, TOP2, WIN2, WIN3
-def recommend(model: FittedRecommender, requests: DataFrame, top_n: int = TOP_N, regex: bool = False) -> DataFrame:
+def recommend(model: FittedRecommender, requests: DataFrame, top_n: int = TOP_N, regex: bool = False, bounded: bool = False) -> DataFrame:
+    """The best hotels of every request. ``bounded`` scores blocks of hotels first and opens only those that may hold a result
+    (large catalogues); the rows are the same."""
     cfg = model.config
     ensure_checkpoint_dir(requests.sparkSession)
     wants = ["_dest", "budget_max", "min_stars", "min_review", "qtext"]
@@ -223,17 +291,18 @@ def recommend(model: FittedRecommender, requests: DataFrame, top_n: int = TOP_N,
     profiles = asked.groupBy("profile").agg(*[F.first(c).alias(c) for c in wants])
     profiles = profiles.join(write_once(text_vectors(requests, model.vocab)), "qtext", "left")
     items = model.items.withColumns({"_loc": F.coalesce(F.lower("location"), F.lit("")), "_cty": F.coalesce(F.lower("country"), F.lit(""))})
-    pairs = (profiles.join(destination_map(profiles, items, regex), "_dest")
-             .join(items, ["_loc", "_cty"]).where(within_bounds()))
-
     per_profile = Window.partitionBy("profile")
-    mx = F.max("avg_price_per_night").over(per_profile)
+    placed = profiles.join(destination_map(profiles, items, regex), "_dest")
+    if bounded:
+        items = hotel_blocks(items)
+        opened = write_once(reachable(model, placed, items, top_n))
+        pairs = profiles.join(opened, "profile").join(items, _BLOCK).where(within_bounds())
+        mx = F.col("_mx")
+    else:
+        pairs = placed.join(items, ["_loc", "_cty"]).where(within_bounds())
+        mx = F.max("avg_price_per_night").over(per_profile)
     b = model.bounds
-    ideal = {
-        "avg_price_per_night": F.least(F.coalesce(F.col("budget_max"), mx), mx),
-        "star_rating": F.coalesce(F.col("min_stars").cast("double"), F.lit(float(DEFAULT_STARS))),
-        "review_score": F.coalesce(F.col("min_review"), F.lit(DEFAULT_REVIEW)),
-    }
+    ideal = _ideal(mx)
     sq = None
     for c in NUM_COLUMNS:
         d = F.col(f"{c}_s") - FE.minmax(ideal[c], *b[c])

@@ -467,6 +467,12 @@ def rec10(spark, d):
     return _recs(spark, d)[0]
 
 
+@query("TOP2_bounded_top_k")
+def top2_bounded(spark, d):
+    """The REC10 rows, from blocks of hotels in order of their score bounds."""
+    return R.recommend(R.fit(_catalogue(spark, d)), FX.hotel_requests(_f(spark, d)), bounded=True)
+
+
 @query("REC11_unknown_destination")
 def rec11(spark, d):
     return R.unknown_destinations(FX.hotel_requests(_f(spark, d)), _catalogue(spark, d))

@@ -444,6 +444,7 @@ recs AS (
   FROM (SELECT *, min(score) OVER (PARTITION BY request_id) AS lo, max(score) OVER (PARTITION BY request_id) AS hi FROM top))
 """
 sql("REC10_recommend", _RECS + "SELECT * FROM recs")
+SQL["TOP2_bounded_top_k"] = SQL["REC10_recommend"]
 sql("PRJ19_PRJ20_display_records", _RECS + """
 SELECT r.request_id, r.rank, r.name AS hotel_name, r.avg_price_per_night AS price_per_night,
        coalesce(r.avg_price_per_night_inr, round_even(r.avg_price_per_night * 83.0, 0)) AS price_per_night_inr,
