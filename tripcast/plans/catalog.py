@@ -18,6 +18,7 @@ from ..functions import features as FE
 from ..functions import text as TX
 from ..operators import dashboard as D
 from ..operators import evaluation as EV
+from ..operators import linear_stats as LS
 from ..operators import ml as ML
 from ..operators import recommend as R
 from ..operators.ranking import global_row_number
@@ -629,6 +630,20 @@ def mdl1(spark, d):
     return _price_rows(ML.fit_model(tr, FLIGHT_COLS, ML.linear_regression()), te)
 
 
+@query("MDL1_merged_statistics")
+def mdl1_merged(spark, d):
+    """Statistics of twelve parts of the training rows are written, read back and added up; the fit must equal that of all rows at once."""
+    tr, te = _flight_frames(spark, d)
+    path = f"{_scratch(spark, 'linear')}/statistics"
+    numeric, levels = ML.FLIGHT_NUMERIC, ML.FLIGHT_CATEGORICAL
+    parts = LS.statistics(tr.withColumn("part", F.pmod(F.xxhash64("travelCode"), F.lit(12))), "part", numeric, levels)
+    LS.refresh(parts, path)
+    merged = LS.solve(LS.merge(spark.read.parquet(path)), numeric, levels)
+    whole = LS.solve(LS.merge(LS.statistics(tr.withColumn("part", F.lit(0)), "part", numeric, levels)), numeric, levels)
+    close = F.abs(F.col("prediction") - F.col("label")) <= PRICE_TOLERANCE
+    return merged.predict(te).select("travelCode", "label", close.alias("within_tolerance"), F.lit(merged == whole).alias("merged_equals_full"))
+
+
 @query("MDL2_forest_regressor")
 def mdl2(spark, d):
     tr, te = _flight_frames(spark, d)

@@ -628,6 +628,7 @@ FROM (SELECT code, trim(coalesce({_FIRST}, '')) AS fn FROM users)
 # ---------------------------------------------------------------- models: what must hold for every row
 for _name in ("MDL1_linear_regression", "MDL2_forest_regressor", "MDL5_gbt_regressor"):
     sql(_name, _FSPLIT + "SELECT travelCode, price AS label, true AS within_tolerance FROM te")
+sql("MDL1_merged_statistics", _FSPLIT + "SELECT travelCode, price AS label, true AS within_tolerance, true AS merged_equals_full FROM te")
 for _name in ("MDL3_logistic_regression", "MDL4_forest_classifier"):
     sql(_name, f"""
 SELECT code, gender AS label, true AS known_label, true AS probabilities_sum_to_one, true AS f1_above_bound
