@@ -41,6 +41,33 @@ def test_license_base_and_labels(spark):
     assert L.license_scan(empty(spark)).count() == 0
 
 
+PLAIN_ENGLISH = [
+    "The book was released under the name of a friend.", "Taxis are licensed under the city council rules.", "This work is licensed under the rules of the guild.",
+    "It is hereby granted to any person that the above notice shall be included.", "You may not use this file in the house without the author.",
+    "Permission to use the pool is hereby granted, with or without a fee.", "Redistribution of wealth and use of land are permitted provided that the following is met.",
+    "This is free and open to the public; anyone is free to copy, sell or use it.", "The terms of the general public are subject to the following conditions.",
+    "He was released into the public domain of the city.", "Version 2 of the license plate law", "by 4 0 points they won under licensed referees"]
+
+
+def test_license_words_of_ordinary_english_get_no_label(spark):
+    notices = {label: text for label, text in L.TEMPLATES}
+    rows = list(enumerate(PLAIN_ENGLISH)) + [(100 + i, f"some words before {text} and some after") for i, text in enumerate(notices.values())]
+    got = {r["doc_id"]: r for r in L.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i]["labels"] for i in range(len(PLAIN_ENGLISH)) if got[i]["labels"]} == {}
+    for i, label in enumerate(notices):
+        assert label in got[100 + i]["labels"].split(","), label
+    gpl = "you can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    only = L.license_scan(spark.createDataFrame([(1, gpl)], "doc_id long, text string")).first()
+    assert "agpl" not in only["labels"].split(",") and "gpl" in only["labels"].split(",")
+
+
+def test_license_precision_on_given_texts_without_a_licence(spark):
+    """Texts of the given tables with none of the licence names in them: no label at all."""
+    rows = duckdb.execute(f"SELECT doc_id, text FROM {TABLE.format('documents')} WHERE NOT regexp_matches(lower(text), 'licen|cc.by|permission|gnu|apache')").fetchall()
+    df = L.license_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(rows) > 500 and df.where("labels <> ''").count() == 0
+
+
 def test_automaton_statistics():
     rng = random.Random(0)
     for _ in range(60):

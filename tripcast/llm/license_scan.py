@@ -4,7 +4,9 @@ The automaton holds every stretch of every template. A file's words stream
 through it; at each word it gives the matching statistic, the longest stretch of
 a template that ends there. Maximal matches are chained per template (in order,
 with small gaps) into spans; a template whose chain covers enough of it labels
-the file. Base phrases are found from the same statistics and always count.
+the file, if the chain also holds the template's marks: its words that the fewest
+labels share (all of up to ``FEW``, else half of them), or a base phrase. Ordinary
+words that many templates share never label a file by themselves. Base phrases are found from the same statistics and always count.
 
 Words outside the templates' vocabulary, and pairs of neighbours that stand in
 no template, end a match; both are found for a whole batch at once, and only
@@ -35,6 +37,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MIN_MATCH = 2  # words of a match that may join a chain
 MAX_GAP = 12  # words between neighbouring matches of a chain
 MIN_COVER = 0.6  # share of a template that a chain must cover to label the file
+FEW = 3
 SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
           "score double, spans string")
 
@@ -116,6 +119,13 @@ class Scanner:
         self.ids = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}), 1)}
         coded = [[self.ids[w] for w in t] for t in texts]
         self.sizes = [len(t) for t in coded[: len(templates)]]
+        self.tokens = coded[: len(templates)]
+        labels_of: dict[int, set[str]] = {}
+        for t, label in zip(self.tokens, self.labels):
+            for w in t:
+                labels_of.setdefault(w, set()).add(label)
+        #: Words of every template that the fewest labels share.
+        self.marks = [{w for w in t if len(labels_of[w]) == min(len(labels_of[x]) for x in t)} for t in self.tokens]
         self.automaton = SuffixAutomaton()
         for number, tokens in enumerate(coded):
             self.automaton.add(number, tokens)
@@ -154,7 +164,8 @@ class Scanner:
         return np.flatnonzero(step == 1), np.flatnonzero(step == -1) + 1
 
     def scan(self, stretches: list[tuple[int, list[int]]]) -> tuple[list[tuple[int, str]], list[tuple[str, int, int, float]]]:
-        """Base places (word, label) and covered spans (label, first word, end, coverage) of one file."""
+        """Base places (word, label) and covered spans (label, first word, end, coverage) that hold their template's marks, or
+        a base phrase of their label, of one file."""
         base, matches = [], {}
         for first, tokens in stretches:
             stats = self.automaton.statistics(tokens)
@@ -169,11 +180,18 @@ class Scanner:
                             matches.setdefault(number, []).append((first + j + 1 - length, end - length, length))
         spans = []
         for number, found in matches.items():
-            spans += self._chains(number, sorted(found))
+            named = [f for f, label in base if label == self.labels[number]]
+            spans += [s for marked, s in self._chains(number, sorted(found)) if marked or any(s[1] <= f < s[2] for f in named)]
         return base, spans
 
-    def _chains(self, number: int, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Best chains of matches that are in order in file and template; overlaps count once."""
+    def marked(self, number: int, chain: list[tuple[int, int, int]]) -> bool:
+        """Does the chain hold enough of its template's marks?"""
+        words = {w for _, t, n in chain for w in self.tokens[number][t: t + n]}
+        marks = self.marks[number]
+        return len(marks & words) >= (len(marks) if len(marks) <= FEW else -(-len(marks) // 2))
+
+    def _chains(self, number: int, found: list[tuple[int, int, int]]) -> list[tuple[bool, tuple[str, int, int, float]]]:
+        """(holds the marks, span) of the best chains of matches that are in order in file and template; overlaps count once."""
         best: list[tuple[int, int]] = []  # (words covered, predecessor)
         reach = self.sizes[number] + MAX_GAP  # no match is longer than its template
         for i, (f, t, n) in enumerate(found):
@@ -198,7 +216,8 @@ class Scanner:
             used.update(chain)
             cover = min(1.0, (best[i][0] - (best[at][0] if at >= 0 else 0)) / self.sizes[number]) if chain else 0
             if cover > 0:
-                spans.append((self.labels[number], found[chain[-1]][0], found[i][0] + found[i][2], cover))
+                span = self.labels[number], found[chain[-1]][0], found[i][0] + found[i][2], cover
+                spans.append((self.marked(number, [found[j] for j in chain]), span))
         return spans
 
 
