@@ -255,3 +255,14 @@ def test_html_pages(spark):
         inner = re.search(r"<article>(.*?)(</article>|\Z)", r[0], re.S)[1]
         blocks = (" ".join(entities.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)[^>]*>", inner))
         assert H.main_text(r[0]) == "\n".join(b for b in blocks if b)
+
+
+def test_html_attribute_names_inside_others_are_no_attributes():
+    text = "The river and the market were quiet, and the old bridge was as it had always been for those who lived by it."
+    for attrs, kind in (('data-hidden="false"', 0), ('aria-label="the hidden gems of Rome"', 0), ("title='class=footer id=nav'", 0), ('data-id="nav"', 0), ('data-role="navigation"', 0),
+                        ('hidden', 2), ('hidden="until-found"', 2), ('x="1" HIDDEN/', 2), ('aria-hidden="true"', 2), ('aria-hidden=false', 0), ("data-x='a' class='sidebar'", 1),
+                        ('style="display: none"', 2), ('data-style="display: none"', 0), ('role=navigation', 2)):
+        assert H.left_out("div", attrs, True) == kind, attrs
+        page = f"<html><body><article><p>{text}</p><div {attrs}><p>{text.upper()}</p></div></article></body></html>"
+        if kind == 0:
+            assert H.main_text(page) == f"{text}\n{text.upper()}", attrs

@@ -35,7 +35,9 @@ MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
     r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>[^"'>]*(?:"[^"]*"[^"'>]*|'[^']*'[^"'>]*)*+))>"""
     r"""|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
+#: One attribute after the other: a name is never looked for inside another name or inside a value.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+TELLING = frozenset("class id role hidden aria-hidden style".split())
 
 RAW = frozenset("script style textarea title xmp noembed noframes".split())  # their content is no markup
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small
@@ -83,7 +85,10 @@ def left_out(tag: str, attrs: str, in_article: bool) -> int:
     if not attrs or tag in ("html", "body", "main", "article"):
         return soft
     for m in ATTRIBUTE.finditer(attrs):
-        key, value = m[1].lower(), next((g for g in m.groups()[1:] if g is not None), "")
+        key = m[1].lower()
+        if key not in TELLING:
+            continue
+        value = next((g for g in m.groups()[1:] if g is not None), "")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return 2
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
