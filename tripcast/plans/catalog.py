@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import features as FE
 from ..functions import text as TX
+from ..operators import cube as CU
 from ..operators import dashboard as D
 from ..operators import evaluation as EV
 from ..operators import linear_stats as LS
@@ -293,6 +294,44 @@ def agg11(spark, d):
     return D.top_routes(_f(spark, d), 10)
 
 
+def _cubes(spark, d):
+    """Flight and hotel cubes, built once and read back."""
+    path = _scratch(spark, "cube")
+    CU.refresh(CU.flight_cube(_f(spark, d)), f"{path}/flights")
+    CU.refresh(CU.hotel_cube(_h(spark, d)), f"{path}/hotels")
+    return CU.load(spark, f"{path}/flights"), CU.load(spark, f"{path}/hotels")
+
+
+@query("AGG1_kpi_from_cube")
+def agg1_cube(spark, d):
+    return CU.kpi_row(*_cubes(spark, d), YEARS)
+
+
+@query("AGG2_AGG11_tabs_from_cube")
+def agg_cube(spark, d):
+    """Every tab but the KPI row as (tab, label, bookings, value), all from one pair of cubes."""
+    f, h = _cubes(spark, d)
+    tabs = {
+        "AGG2": (CU.monthly_price_by_class(f), ["month", "flightType"], None, "avg_price_inr"),
+        "AGG2F": (CU.monthly_price_by_class(f, YEARS, CLASSES), ["month", "flightType"], None, "avg_price_inr"),
+        "AGG3": (CU.monthly_bookings(f, YEARS), ["month"], "bookings", None),
+        "AGG4": (CU.agency_share(f, YEARS, CLASSES), ["agency"], "bookings", "share"),
+        "AGG5": (CU.class_mean_price(f, YEARS), ["flightType"], None, "avg_price_inr"),
+        "AGG6": (CU.hotel_monthly_price(h, YEARS), ["month"], None, "avg_price_inr"),
+        "AGG7": (CU.hotel_bookings(h), ["name"], "bookings", None),
+        "AGG8": (CU.city_mean_price(h), ["city"], None, "avg_price_inr"),
+        "AGG9": (CU.stay_lengths(h), ["days"], "stays", None),
+        "AGG10": (CU.destinations(f), ["to_city"], "bookings", "avg_price_inr"),
+        "AGG11": (CU.top_routes(f, 10), ["route"], "bookings", None),
+    }
+    out = None
+    for tab, (df, label, n, value) in tabs.items():
+        rows = df.select(F.lit(tab).alias("tab"), F.concat_ws("|", *[F.col(c).cast("string") for c in label]).alias("label"),
+                         (F.col(n) if n else F.lit(None)).cast("long").alias("bookings"), (F.col(value) if value else F.lit(None)).cast("double").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("AGG12_demographics")
 def agg12(spark, d):
     return D.demographics(_u(spark, d))

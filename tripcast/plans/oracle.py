@@ -217,6 +217,21 @@ FROM (SELECT from_city, to_city, count(*) AS bookings FROM tflights
       WHERE from_city IS NOT NULL AND to_city IS NOT NULL GROUP BY from_city, to_city)
 ORDER BY bookings DESC, from_city, to_city LIMIT 10
 """)
+SQL["AGG1_kpi_from_cube"] = SQL["AGG1_kpi_row"]
+SQL["AGG2_AGG11_tabs_from_cube"] = " UNION ALL ".join(
+    f"SELECT '{tab}' AS tab, {label} AS label, CAST({n} AS BIGINT) AS bookings, CAST({value} AS DOUBLE) AS value FROM ({SQL[name]})"
+    for tab, name, label, n, value in [
+        ("AGG2", "AGG2_monthly_price_by_class", "concat_ws('|', CAST(month AS DATE), flightType)", "NULL", "avg_price_inr"),
+        ("AGG2F", "AGG2F_monthly_price_filtered", "concat_ws('|', CAST(month AS DATE), flightType)", "NULL", "avg_price_inr"),
+        ("AGG3", "AGG3_monthly_bookings", "CAST(CAST(month AS DATE) AS VARCHAR)", "bookings", "NULL"),
+        ("AGG4", "AGG4_agency_share", "agency", "bookings", "share"),
+        ("AGG5", "AGG5_class_mean_price", "flightType", "NULL", "avg_price_inr"),
+        ("AGG6", "AGG6_hotel_monthly_price", "CAST(CAST(month AS DATE) AS VARCHAR)", "NULL", "avg_price_inr"),
+        ("AGG7", "AGG7_hotel_bookings", "name", "bookings", "NULL"),
+        ("AGG8", "AGG8_city_mean_price", "city", "NULL", "avg_price_inr"),
+        ("AGG9", "AGG9_stay_lengths", "CAST(days AS VARCHAR)", "stays", "NULL"),
+        ("AGG10", "AGG10_JOIN3_destinations", "to_city", "bookings", "avg_price_inr"),
+        ("AGG11", "AGG11_TOP1_top_routes", "route", "bookings", "NULL")])
 sql("AGG12_demographics", f"""
 SELECT age_group, gender, count(*) AS users
 FROM (SELECT {_AGE_BAND} AS age_group, gender FROM users)
