@@ -27,6 +27,7 @@ from ..operators import sampling as S
 from ..operators import similarity as SIM
 from ..operators import text_index as TI
 from ..session import ensure_checkpoint_dir, literal_frame
+from ..sources import colocated as CL
 from ..sources import fixtures as FX
 from ..sources import loaders as L
 from ..sources.schemas import HOTEL_REQUEST
@@ -225,6 +226,21 @@ def join2(spark, d):
     return D.hotels_with_users(_h(spark, d), _u(spark, d))
 
 
+def _stored_with_users(spark, d, view):
+    folder = _scratch(spark, "colocated")
+    return CL.with_users(spark, CL.store(view(spark, d), _u(spark, d), folder, folder.rsplit("/", 1)[1].replace("-", "_")))
+
+
+@query("JOIN1_colocated")
+def join1_colocated(spark, d):
+    return _stored_with_users(spark, d, _f)
+
+
+@query("JOIN2_colocated")
+def join2_colocated(spark, d):
+    return _stored_with_users(spark, d, _h)
+
+
 @query("JOIN4_route_lookup")
 def join4(spark, d):
     f = _f(spark, d)

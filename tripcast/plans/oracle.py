@@ -149,6 +149,8 @@ sql("JOIN2_hotels_users", """
 SELECT h.*, u.company, u.name AS name_user, u.gender, u.age
 FROM thotels h LEFT JOIN users u ON h.userCode = u.code
 """)
+SQL["JOIN1_colocated"] = SQL["JOIN1_flights_users"]
+SQL["JOIN2_colocated"] = SQL["JOIN2_hotels_users"]
 sql("JOIN4_route_lookup", """
 , rm AS (SELECT "from", "to", avg(distance) AS avg_distance, avg("time") AS avg_time
          FROM tflights WHERE "from" IS NOT NULL AND "to" IS NOT NULL GROUP BY "from", "to")
