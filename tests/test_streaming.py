@@ -98,3 +98,42 @@ def test_fallback_answers_valid_requests_only(spark):
     assert set(counts) == {("success", "primary"), ("success", "fallback"), ("rejected", None), ("error", None)}
     assert got.where("status <> 'success' and (price_ok is not null or model_version is not null)").count() == 0
     assert got.where("status = 'success' and not price_ok").count() == 0
+
+
+def _deliver(spark, rows, src):
+    (spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(src))
+
+
+def test_a_request_delivered_twice_is_answered_once(spark, tmp_path):
+    """Within one delivery, in a later micro-batch, after a restart and after a lost commit."""
+    import os
+
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+
+    def run():
+        SC.run_stream(spark, lambda s: SC.route_requests(SC.once(s)).select("source", "request_id", "body", "status"),
+                      spark.createDataFrame([], SCHEMA).schema, src, out, ck)
+        return sorted(map(tuple, spark.read.parquet(out).select("source", "request_id", "body").collect()), key=str)
+
+    first = [(1, "{}", "a"), (1, "{}", "a"), (1, "{}", "b"), (None, "no id", "a"), (None, "no id", "a"), (None, None, "a"), (2, None, None)]
+    _deliver(spark, first, src)
+    want = [("a", 1, "{}"), ("a", None, "no id"), ("a", None, None), ("b", 1, "{}"), (None, 2, None)]
+    assert run() == sorted(want, key=str)
+    _deliver(spark, first + [(3, "{}", "a"), (None, "another", "a")], src)
+    want += [("a", 3, "{}"), ("a", None, "another")]
+    assert run() == sorted(want, key=str)
+    last = max(int(f) for f in os.listdir(f"{ck}/commits") if f.isdigit())
+    os.remove(f"{ck}/commits/.{last}.crc")
+    os.remove(f"{ck}/commits/{last}")  # the micro-batch was written, its commit was not
+    _deliver(spark, [(3, "{}", "a"), (4, "{}", "a")], src)
+    want += [("a", 4, "{}")]
+    assert run() == sorted(want, key=str)
+
+
+def test_once_in_a_batch(spark):
+    rows = [(1, "b", "s"), (1, "a", "s"), (1, "a", "t"), (None, "x", "s"), (None, "x", "s"), (None, None, "s")]
+    got = SC.once(spark.createDataFrame(rows, SCHEMA))
+    assert got.columns == ["request_id", "body", "source"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "a", "s"), (1, "a", "t"), (None, "x", "s"), (None, None, "s")], key=str)
+    assert SC.once(spark.createDataFrame([(None, "x"), (None, "x")], "request_id long, body string")).count() == 1
+    assert SC.once(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -105,7 +105,7 @@ def score_prices(spark, model_dir: str, requests: str, out: str, stream: bool =
     schema = "request_id long, body string"
 
     def transform(df):
-        valid, _ = SC.split_valid(SC.route_requests(df))
+        valid, _ = SC.split_valid(SC.route_requests(SC.once(df)))
         return SC.score_prices(model, valid.select("request_id", "req.*"))
 
     if stream:

@@ -853,6 +853,18 @@ def scr4(spark, d):
     return routed.select("source", "request_id", "status", "message")
 
 
+@query("SCR4_stream_once")
+def scr4_once(spark, d):
+    """The requests are delivered twice, in two files' worth and two runs of the stream; each is answered once."""
+    path = _scratch(spark, "stream")
+    bodies = _request_bodies(spark, d)
+    for _ in range(2):
+        bodies.write.mode("append").parquet(f"{path}/in")
+        SC.run_stream(spark, lambda s: SC.route_requests(SC.once(s)).select("source", "request_id", "status", "message"),
+                      bodies.schema, f"{path}/in", f"{path}/out", f"{path}/progress", fmt="parquet")
+    return spark.read.parquet(f"{path}/out")
+
+
 # What a price is made of in the data (FIXTURES.md): half the distance, the class's base and 0-99.
 CLASS_BASE = {"firstClass": 1500.0, "premium": 700.0, "economic": 280.0}
 

@@ -602,6 +602,7 @@ SELECT source, request_id, ft, ag, fr, dst,
 FROM k)
 """
 sql("SCR4_FLT6_SRC7_request_routing", _ROUTED + "SELECT source, request_id, status, message FROM routed")
+SQL["SCR4_stream_once"] = SQL["SCR4_FLT6_SRC7_request_routing"]
 sql("SCR1_price_scoring", _ROUTED + """
 SELECT source, request_id, CASE WHEN status = 'valid' THEN 'success' ELSE status END AS status, message,
        CASE WHEN status = 'valid' THEN 'USD' END AS currency, CASE WHEN status = 'valid' THEN 'tripcast_v1' END AS model_version,

@@ -139,6 +139,35 @@ def with_fallback(primary: Column, fallback: Column, ok: Column) -> dict[str, Co
             "model_version": F.when(first, MODEL_VERSION).when(second, FALLBACK_VERSION)}
 
 
+# Each request is answered once
+DELIVERY_WINDOW = "24 hours"
+
+
+def request_key(requests: DataFrame, key: str = "request_id", body: str = "body") -> Column:
+    """What makes two deliveries the same request: its id, and the source that gave it; without an id, its text."""
+    own = F.concat(F.lit("id:"), F.col(key).cast("string")) if key in requests.columns else F.lit(None).cast("string")
+    text = F.concat(F.lit("text:"), F.sha2(F.coalesce(body, F.lit("")), 256))
+    origin = [F.coalesce(F.col("source"), F.lit(""))] if "source" in requests.columns else []
+    return F.concat_ws("\n", *origin, F.coalesce(own, text))
+
+
+def once(requests: DataFrame, key: str = "request_id", body: str = "body", window: str = DELIVERY_WINDOW) -> DataFrame:
+    """Drop requests that were delivered before.
+
+    In a stream the keys seen within ``window`` of their arrival are kept as state in the checkpoint, spread over the
+    shuffle partitions by key, so a second delivery is dropped in a later micro-batch and after a restart, too. Time is
+    the arrival of the micro-batch (the same when it runs again), so no request is ever late, and state that is older
+    than the window is dropped. In a batch the delivery with the smallest text stays.
+    """
+    keyed = requests.withColumn("_request", request_key(requests, key, body))
+    if requests.isStreaming:
+        return (keyed.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", window)
+                .dropDuplicatesWithinWatermark(["_request"]).drop("_request", "_arrived"))
+    rest = [c for c in requests.columns if c != body]
+    first = F.min_by(F.struct(*requests.columns), F.struct(F.coalesce(body, F.lit("")), *[F.col(c) for c in rest]))
+    return keyed.groupBy("_request").agg(first.alias("r")).select("r.*")
+
+
 # Streaming wrapper: file source -> the same transform -> file sink
 def run_stream(spark: SparkSession, transform: Callable[[DataFrame], DataFrame], schema: T.StructType,
                source_dir: str, sink_dir: str, checkpoint_dir: str, fmt: str = "json") -> None:
