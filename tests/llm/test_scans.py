@@ -266,3 +266,31 @@ def test_html_attribute_names_inside_others_are_no_attributes():
         page = f"<html><body><article><p>{text}</p><div {attrs}><p>{text.upper()}</p></div></article></body></html>"
         if kind == 0:
             assert H.main_text(page) == f"{text}\n{text.upper()}", attrs
+
+
+def test_html_longer_names_inside_an_article():
+    """A marker beside a word of the story marks nothing inside an article; beside words for page parts it does."""
+    for name, kept in [("social-history", True), ("widget-economics", True), ("the-comment-of-kings", True), ("related-links", False), ("ad-slot-12", False),
+                       ("comments", False), ("user-comments", False), ("shareButtons", False), ("newsletter-signup", False)]:
+        page = f"<html><body><article><p>{PROSE}</p><section class='{name}'><p>{PROSE.upper()}</p></section></article></body></html>"
+        assert H.main_text(page) == (f"{PROSE}\n{PROSE.upper()}" if kept else PROSE), name
+        beside = f"<html><body><article><p>{PROSE}</p><p>{PROSE}</p></article><div class='{name}'><p>{PROSE.upper()}</p></div></body></html>"
+        assert (PROSE.upper() in H.main_text(beside)) == (name == "the-comment-of-kings"), name
+
+
+def test_html_deep_nesting_takes_linear_time():
+    import time
+
+    def seconds(page):
+        start = time.process_time()
+        H.main_text(page)
+        return time.process_time() - start
+
+    def nested(n, attrs=""):
+        return f"<div{attrs}></p></section>text" * n + f"<p>{PROSE}</p>" + "</div>" * n
+
+    seconds(nested(1000))
+    for attrs in ("", " class='nav'"):
+        small, large = seconds(nested(10_000, attrs)), seconds(nested(100_000, attrs))
+        assert large < 25 * small + 0.5
+    assert H.main_text(f"<article>{nested(100_000)}</article>").endswith(PROSE)

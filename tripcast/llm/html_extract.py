@@ -9,6 +9,12 @@ each ambiguous block the label of the nearest decided neighbour; the edges of
 an article element count as good neighbours, page edges and left-out regions as
 bad ones. Good blocks are joined by one newline.
 
+An element whose class or id starts or ends with a marker word (``comments``,
+``ad-slot``) is such a region, too, unless it holds most of the page's text.
+Inside an article element a longer name counts only if all its words are markers
+or words for page parts: ``related-links`` does, ``social-history`` does not. A
+name that is nothing but a marker (``id="discussion"``) always counts.
+
 Inside an article element few stop words leave a block ambiguous instead of bad
 (lists, code, names), so only dense links can drop it.
 
@@ -23,6 +29,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,6 +63,12 @@ cookie cookies consent gdpr notice notices notification alert popup modal overla
 navbar navigation breadcrumb breadcrumbs footer masthead toolbar comment comments disqus reply replies respond discussion share
 sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager tagcloud
 skip""".split())
+#: Words for parts of a page: beside a marker they say nothing about the text.
+PART_WORDS = frozenset("""area article articles author bar block blocks body bottom box button buttons card cards cell col column container content
+count desktop entry fixed float footer form frame full google group head header heading holder icon icons image img inline inner item items label
+large layer left link links list main media mobile module native new news outer page panel pane part post posts primary right row section
+secondary site slot small sticky stories story strip tab tabs teaser text thread title tools top unit user users video view website wide wrap
+wrapper zone""".split())
 STATE_WORDS = frozenset("has with no is without js".split())  # "with-sidebar" says what the page has, not what this is
 STOP_WORDS = frozenset("""the a an and or but if of to in on at by for from with as is are was were be been being this that these those it its
 he she they we you i not no do does did have has had will would can could may there here their his her our your which who what when
@@ -97,7 +110,10 @@ def left_out(tag: str, attrs: str, in_article: bool) -> int:
             return 2
         if key in ("class", "id"):
             for parts in _names(value):
-                if parts[0] in MARKERS or parts[-1] in MARKERS or (not in_article and "header" in (parts[0], parts[-1])):
+                marked = parts[0] in MARKERS or parts[-1] in MARKERS
+                if marked and in_article:
+                    marked = all(p in MARKERS or p in PART_WORDS or p.isdigit() or len(p) < 3 for p in parts)
+                if marked or (not in_article and "header" in (parts[0], parts[-1])):
                     soft = 1
     return soft
 
@@ -105,18 +121,19 @@ def left_out(tag: str, attrs: str, in_article: bool) -> int:
 class Block:
     __slots__ = ("text", "links", "article", "heading", "gap", "within")
 
-    def __init__(self, text: str, links: int, article: int, heading: bool, gap: bool, within: tuple[int, ...] = ()):
+    def __init__(self, text: str, links: int, article: int, heading: bool, gap: bool, within: int = -1):
         self.text, self.links, self.article, self.heading, self.gap, self.within = text, links, article, heading, gap, within
 
 
-def blocks_of(page: str, wrappers: frozenset[int] | None = frozenset()) -> list[Block]:
-    """Blocks outside left-out regions; elements that start at ``wrappers`` are ordinary ones (None: all that may be, and
-    ``within`` tells which stand around a block). ``article``: number of the article element around it, or 0; ``gap``: a left-out region stands before it."""
+def blocks_of(page: str, wrappers: frozenset[int] | None = frozenset(), parents: dict[int, int] | None = None) -> list[Block]:
+    """Blocks outside left-out regions; elements that start at ``wrappers`` are ordinary ones (None: all that may be;
+    ``within`` is the innermost around a block, -1 for none, and ``parents`` gets the next one around each). ``article``: number of the article element around it, or 0; ``gap``: a left-out region stands before it."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, int]] = []  # nesting element, left out, article, wrappers around it
+    stack: list[tuple[str, bool, int, int]] = []  # nesting element, left out, article and wrapper around it
+    opened: Counter[str] = Counter()  # elements of the stack by name
     buffer: list[tuple[str, bool]] = []
-    around: list[int] = []  # starts of the open wrappers
     skip = article = articles = in_link = 0
+    around = -1  # start of the innermost open wrapper
     heading = gap = False
 
     def flush() -> None:
@@ -125,7 +142,7 @@ def blocks_of(page: str, wrappers: frozenset[int] | None = frozenset()) -> list[
             text = " ".join(entities.unescape("".join(t for t, _ in buffer)).split())
             if text:
                 links = len(" ".join(entities.unescape("".join(t for t, linked in buffer if linked)).split()))
-                out.append(Block(text, links, article, heading, gap, tuple(around)))
+                out.append(Block(text, links, article, heading, gap, around))
                 gap = False
             buffer.clear()
 
@@ -174,14 +191,17 @@ def blocks_of(page: str, wrappers: frozenset[int] | None = frozenset()) -> list[
             if hidden:
                 skip += 1
                 gap = True
-            stack.append((tag, hidden, article, len(around)))
+            stack.append((tag, hidden, article, around))
+            opened[tag] += 1
             if wrapper:
-                around.append(m.start())
+                if parents is not None:
+                    parents[m.start()] = around
+                around = m.start()
             article, heading = number, False
-        elif closing and any(t == tag for t, _, _, _ in stack):
+        elif closing and opened[tag]:
             while True:
-                t, was_hidden, before, depth = stack.pop()
-                del around[depth:]
+                t, was_hidden, before, around = stack.pop()
+                opened[t] -= 1
                 skip -= was_hidden
                 article, heading = before, False
                 if t == tag:
@@ -196,11 +216,14 @@ def is_long(b: Block) -> bool:
 
 def main_wrappers(page: str) -> frozenset[int]:
     """Forms and marker-named elements that hold most of the long, link-poor text of the page: the article is in them."""
-    blocks = [b for b in blocks_of(page, None) if is_long(b)]
-    held: dict[int, int] = {}
+    parents: dict[int, int] = {}
+    blocks = [b for b in blocks_of(page, None, parents) if is_long(b)]
+    held: Counter[int] = Counter()
     for b in blocks:
-        for w in b.within:
-            held[w] = held.get(w, 0) + len(b.text)
+        held[b.within] += len(b.text)
+    for w in sorted(parents, reverse=True):  # what an element holds, the one around it holds, too
+        held[parents[w]] += held[w]
+    held.pop(-1, None)
     total = sum(len(b.text) for b in blocks)
     return frozenset(w for w, n in held.items() if 2 * n > total)
 
