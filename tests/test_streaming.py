@@ -134,6 +134,6 @@ def test_once_in_a_batch(spark):
     rows = [(1, "b", "s"), (1, "a", "s"), (1, "a", "t"), (None, "x", "s"), (None, "x", "s"), (None, None, "s")]
     got = SC.once(spark.createDataFrame(rows, SCHEMA))
     assert got.columns == ["request_id", "body", "source"]
-    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "a", "s"), (1, "a", "t"), (None, "x", "s"), (None, None, "s")], key=str)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "a", "s"), (1, "b", "s"), (1, "a", "t"), (None, "x", "s"), (None, None, "s")], key=str)
     assert SC.once(spark.createDataFrame([(None, "x"), (None, "x")], "request_id long, body string")).count() == 1
     assert SC.once(spark.createDataFrame([], SCHEMA)).count() == 0

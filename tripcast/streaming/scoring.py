@@ -144,11 +144,12 @@ DELIVERY_WINDOW = "24 hours"
 
 
 def request_key(requests: DataFrame, key: str = "request_id", body: str = "body") -> Column:
-    """What makes two deliveries the same request: its id, and the source that gave it; without an id, its text."""
+    """What makes two deliveries the same request: its id, its text and the source that gave it. Requests that share
+    an id but not the text are different ones."""
     own = F.concat(F.lit("id:"), F.col(key).cast("string")) if key in requests.columns else F.lit(None).cast("string")
-    text = F.concat(F.lit("text:"), F.sha2(F.coalesce(body, F.lit("")), 256))
+    text = F.sha2(F.coalesce(body, F.lit("")), 256)
     origin = [F.coalesce(F.col("source"), F.lit(""))] if "source" in requests.columns else []
-    return F.concat_ws("\n", *origin, F.coalesce(own, text))
+    return F.concat_ws("\n", *origin, F.coalesce(own, F.lit("")), text)
 
 
 def once(requests: DataFrame, key: str = "request_id", body: str = "body", window: str = DELIVERY_WINDOW) -> DataFrame:
@@ -157,7 +158,7 @@ def once(requests: DataFrame, key: str = "request_id", body: str = "body", windo
     In a stream the keys seen within ``window`` of their arrival are kept as state in the checkpoint, spread over the
     shuffle partitions by key, so a second delivery is dropped in a later micro-batch and after a restart, too. Time is
     the arrival of the micro-batch (the same when it runs again), so no request is ever late, and state that is older
-    than the window is dropped. In a batch the delivery with the smallest text stays.
+    than the window is dropped. In a batch the delivery whose other columns are smallest stays.
     """
     keyed = requests.withColumn("_request", request_key(requests, key, body))
     if requests.isStreaming:
