@@ -166,3 +166,19 @@ def test_regex_destination_mode(spark):
     regex = R.recommend(model, reqs, regex=True)    # as a pattern it matches exactly NATION 1
     assert literal.count() == 0
     assert {r["location"] for r in regex.collect()} == {"NATION 1"}
+
+
+def test_requests_are_derived_once(spark):
+    """Whatever stands behind the requests is computed once, however often the scoring uses them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(x):
+        seen.add(1)
+        return x
+
+    _, model, _ = _run(spark)
+    plain = _requests(spark)
+    got = R.recommend(model, plain.withColumn("budget_max", watched("budget_max")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, R.recommend(model, plain).collect()))
+    assert seen.value == plain.count()

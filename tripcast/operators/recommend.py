@@ -27,6 +27,7 @@ from ..functions import features as FE
 from ..functions import text as TX
 from ..session import ensure_checkpoint_dir, literal_frame
 from ..session import materialize as write_once
+from ..session import write_table
 from . import text_index as TI
 from .dashboard import hotel_base
 from .ranking import global_row_number
@@ -171,7 +172,12 @@ def text_vectors(requests: DataFrame, vocab: DataFrame) -> DataFrame:
     *distinct* query text. Many requests share a text, so the tokenizer runs
     once per text; the vocabulary (<= max_features rows) is the broadcast side
     and the norm window is bounded by the terms of one text."""
-    texts = requests.select(query_text().alias("qtext")).distinct()
+    return vectors_of(requests.select(query_text().alias("qtext")), vocab)
+
+
+def vectors_of(texts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``text_vectors`` of the column ``qtext``."""
+    texts = texts.select("qtext").distinct()
     toks = texts.select("qtext", F.explode(TX.tokens("qtext")).alias("term"))
     tf = (toks.join(F.broadcast(vocab.select("term", "idf")), "term").groupBy("qtext", "term", "idf")
           .agg(F.count(F.lit(1)).alias("tf")))
@@ -286,10 +292,11 @@ def recommend(model: FittedRecommender, requests: DataFrame, top_n: int = TOP_N,
     ensure_checkpoint_dir(requests.sparkSession)
     wants = ["_dest", "budget_max", "min_stars", "min_review", "qtext"]
     asked = requests.withColumns({"_dest": F.coalesce(F.lower(F.trim(F.col("destination"))), F.lit("")), "qtext": query_text()})
-    asked = asked.withColumn("profile", F.md5(F.to_json(F.struct(*wants))))
+    # written once: the bookings behind the requests are read, and profiles hashed, in one scan instead of one for each use
+    asked = write_table(asked.select("request_id", F.md5(F.to_json(F.struct(*wants))).alias("profile"), *wants))
     # requests that ask for the same thing are scored once
-    profiles = asked.groupBy("profile").agg(*[F.first(c).alias(c) for c in wants])
-    profiles = profiles.join(write_once(text_vectors(requests, model.vocab)), "qtext", "left")
+    profiles = write_table(asked.select("profile", *wants).distinct())
+    profiles = profiles.join(write_once(vectors_of(profiles, model.vocab)), "qtext", "left")
     items = model.items.withColumns({"_loc": F.coalesce(F.lower("location"), F.lit("")), "_cty": F.coalesce(F.lower("country"), F.lit(""))})
     per_profile = Window.partitionBy("profile")
     placed = profiles.join(destination_map(profiles, items, regex), "_dest")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +98,15 @@ def materialize(df: DataFrame) -> DataFrame:
         cached.unpersist()
 
 
+def write_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as parquet under the checkpoint folder and read it back: later reads take only the
+    columns they need, and the planner knows the table's size."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{app_id(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def literal_frame(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     """A small fixed table built from literals inside the JVM (no Python RDD,
     so no Python workers are started to read it)."""
