@@ -143,3 +143,23 @@ def test_minimum_training_rows(spark):
     with pytest.raises(ValueError):
         ML.require_rows(small, ML.MIN_ROWS_NAME_FOREST, "test")
     ML.require_rows(spark.range(0, 51), ML.MIN_ROWS_NAME_FOREST, "test")
+
+
+def test_training_partitions_follow_rows_and_trees():
+    assert ML.train_partitions(0) == ML.train_partitions(720_000) == ML.TRAIN_PARTITIONS
+    assert ML.train_partitions(7_200_000) == 29 and ML.train_partitions(43_200_000) == 173
+    assert ML.train_partitions(720_000, ML.forest_classifier().getNumTrees()) == 29
+
+
+def test_boosted_trees_read_their_training_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(600, numPartitions=2).select(F.col("id").alias("k"), watched((F.col("id") % 7).cast("double")).alias("label"))
+    rows = ML.VectorAssembler(inputCols=["k"], outputCol=ML.FEATURES_COL).transform(rows)
+    model = ML.fit_dealt(rows, "k", ML.gbt_regressor().setMaxIter(3))
+    assert seen.value == 600 and model.getNumTrees == 3

@@ -37,10 +37,14 @@ from . import evaluation as EV
 from . import sampling as S
 
 FEATURES_COL = "features"
-# Partitions of a training frame. Tree learners draw their row samples per partition, so the number
-# is part of the model: it is a parameter, not taken from files, cores or row counts. Raise it with
-# the training data (rows are dealt by key, so partitions stay even).
+# Partitions of a training frame. Tree learners draw their row samples per partition, so the number is
+# part of the model: it follows from the number of training rows and trees alone, not from files or
+# cores. TRAIN_PARTITIONS is the least; beyond it a partition holds PARTITION_WORK rows times trees, so
+# a task's work stays the same as the data grows (rows are dealt by key, so partitions stay even).
 TRAIN_PARTITIONS = 8
+PARTITION_WORK = 12_500_000
+# A learner that is no forest is dealt like one of this many trees.
+DEFAULT_TREES = 50
 # A trace of ridge: all one-hot levels plus an intercept are linearly dependent, so the plain normal
 # equations are singular. It moves R2 by less than 1e-10.
 RIDGE = 1e-6
@@ -146,23 +150,33 @@ def user_features(users: DataFrame) -> DataFrame:
     return users.select("code", "company", *[v.alias(k) for k, v in f.items()], "age", F.col("gender").alias("label"))
 
 
-def dealt(train: DataFrame, key: str, partitions: int = TRAIN_PARTITIONS) -> DataFrame:
-    """The rows by key hash in a fixed number of sorted partitions: equal data gives an equal model on any
-    cluster and after any retry."""
-    return train.repartition(partitions, key).sortWithinPartitions(key)
+def train_partitions(n_rows: int, trees: int = DEFAULT_TREES) -> int:
+    """Partitions of ``n_rows`` training rows for a learner of ``trees`` trees."""
+    return max(TRAIN_PARTITIONS, -(-n_rows * trees // PARTITION_WORK))
 
 
-def fit_model(train: DataFrame, cols: Sequence[str], estimator, head: Sequence = (), key: str = "travelCode") -> PipelineModel:
-    """Fit preprocessing + estimator. The training frame is persisted for the
-    duration of the fit (statistics and iterative learners make many passes);
-    a lost executor only means recomputing its blocks from lineage."""
-    train = dealt(train, key).persist(StorageLevel.MEMORY_AND_DISK)
+def dealt(train: DataFrame, key: str, estimator=None) -> DataFrame:
+    """The rows by key hash in sorted partitions whose number follows from the data and the learner: equal data
+    gives an equal model on any cluster and after any retry."""
+    trees = estimator.getNumTrees() if hasattr(estimator, "getNumTrees") else DEFAULT_TREES
+    return train.repartition(train_partitions(train.count(), trees), key).sortWithinPartitions(key)
+
+
+def fit_dealt(train: DataFrame, key: str, estimator, pipeline=None):
+    """Fit ``pipeline`` (or the bare estimator) on the dealt rows. They are persisted for the duration of the fit, as
+    learners read them several times; a lost executor only means recomputing its blocks from lineage."""
+    train = dealt(train, key, estimator).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(stages=list(head) + build_preprocessor(train, cols) + [estimator]).fit(train)
+        return (pipeline or (lambda rows: estimator))(train).fit(train)
     finally:
         train.unpersist()
 
 
+def fit_model(train: DataFrame, cols: Sequence[str], estimator, head: Sequence = (), key: str = "travelCode") -> PipelineModel:
+    """Fit preprocessing + estimator."""
+    return fit_dealt(train, key, estimator, lambda rows: Pipeline(stages=list(head) + build_preprocessor(rows, cols) + [estimator]))
+
+
 # EVA5 — train, evaluate, log
 def train_regressor(train: DataFrame, test: DataFrame, estimator, cols: Sequence[str]) -> tuple[PipelineModel, dict]:
     model = fit_model(train, cols, estimator)

@@ -749,7 +749,7 @@ def _fit_gbt(spark, d):
     flag = S.hash_split_flag("travelCode")
     tr = f.where(~flag)
     ML.require_rows(tr, ML.MIN_ROWS_GBT, "the gradient-boosted price model")
-    return ML.gbt_regressor().fit(ML.dealt(tr, "travelCode")), encoders, f.where(flag)
+    return ML.fit_dealt(tr, "travelCode", ML.gbt_regressor()), encoders, f.where(flag)
 
 
 @query("MDL5_gbt_regressor")
@@ -791,7 +791,8 @@ def _gender_forest(spark, d):
     ML.require_rows(u, ML.MIN_ROWS_NAME_FOREST, "the name-code gender forest")
     idx = ML.StringIndexer(inputCol="gender", outputCol="label_idx", stringOrderType="alphabetAsc")
     rf = ML.forest_classifier(weight=None, trees=150, depth=8, min_leaf=1)
-    model = ML.Pipeline(stages=[idx, ML.VectorAssembler(inputCols=cols, outputCol=ML.FEATURES_COL), rf]).fit(ML.dealt(u, "code"))
+    stages = [idx, ML.VectorAssembler(inputCols=cols, outputCol=ML.FEATURES_COL), rf]
+    model = ML.fit_dealt(u, "code", rf, lambda rows: ML.Pipeline(stages=stages))
     labels = model.stages[0].labels
     scored = ML.probability_columns(model.transform(u), labels)
     scored = ML.IndexToString(inputCol="prediction", outputCol="predicted_gender", labels=labels).transform(scored)
