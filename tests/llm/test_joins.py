@@ -211,3 +211,13 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
         stage(spark, now, SF_SMALL).write.parquet(str(tmp_path / str(k)))
         now = spark.read.parquet(str(tmp_path / str(k)))
     assert now.count() == 0 and "corpus_pipeline" in sys.modules
+
+
+def test_stars_need_no_contraction(spark, monkeypatch):
+    """Edges that are stars already are the components; others are contracted until they are."""
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8)], "a long, b long")
+    assert sorted(map(tuple, components(chain).collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)]
+    monkeypatch.setattr("tripcast.llm.components._star", lambda *a: 1 / 0)
+    stars = spark.createDataFrame([(1, 2), (3, 1), (9, 8), (5, 5)], "a long, b long")
+    assert sorted(map(tuple, components(stars).collect())) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
+    assert components(stars.where("a = 0")).count() == 0
