@@ -268,3 +268,18 @@ def test_cuts_place_every_row_in_bounded_tiles():
 def test_mining_queries_read_whole_tables(spark):
     n = duckdb.execute(f"SELECT count(*) FROM '{SF_SMALL}/documents.parquet'").fetchone()[0]
     assert queries.op11_toxicity(spark, SF_SMALL).count() == n
+
+
+def test_longer_phrases_need_frequent_triples():
+    """N-grams of three words and more leave a shard only if their triples may be frequent."""
+    t = P.Tokens(pa.array(["a b c a b c x a b"], pa.large_string()), pa.array(["en"]))
+    none, every = np.zeros(P.FILTER_BITS // 8, np.uint8), np.full(P.FILTER_BITS // 8, 255, np.uint8)
+    of_abc = none.copy()
+    h = t.triples(*t.pairs(np.ones(len(t.hash), bool)), every)[1][:1]
+    at = int(h[0] % np.uint64(P.FILTER_BITS))
+    of_abc[at >> 3] |= np.uint8(1 << (at & 7))
+    for triples, third in ((none, 0), (of_abc, 2), (every, 7)):
+        shard = P.Shard()
+        shard.add(t, every, every, triples)
+        levels = shard.levels(3)[2]
+        assert int(levels[1][2].sum()) == 8 and int(levels[2][2].sum()) == third

@@ -15,10 +15,10 @@ shard, whatever the corpus. The last round drops sequences below ``min_count`` w
 all that extends them. Counts of phrase parts come from composing an automaton of
 the parts asked for with the counts of their range.
 
-Before that, two scans count words and then word pairs by hash (partial sums before
-the shuffle). What reaches ``min_count`` sets bits in a filter
+Before that, three scans count words, then pairs of frequent words, then triples of
+frequent pairs by hash (partial sums before the shuffle). What reaches ``min_count`` sets bits in a filter
 of ``FILTER_BITS`` bits, a fixed size at any input. A collision only lets too much
-through, and a phrase can't be more frequent than its words and pairs, so no
+through, and a phrase can't be more frequent than its words, pairs and triples, so no
 candidate is lost; the automata's counts are exact.
 
 Skew: a frequent prefix is one path per shard automaton, however often it occurs.
@@ -48,10 +48,10 @@ from .count_automaton import Automaton, Builder, compose, label_code, prefix_has
 MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2_000
-#: Bits of the filters of frequent words and pairs: 8 MB each, at any input.
+#: Bits of the filters of frequent words, pairs and triples: 8 MB each, at any input.
 FILTER_BITS = 1 << 26
 _BITMAP = 1 << 15
-#: Leading bits of a pair's hash that are kept: 32 of them travel with each pair, 6 with each range.
+#: Leading bits of a pair's or triple's hash that are kept: 32 of them travel with each pair, 6 with each range.
 PAIR_BITS = 38
 #: Frequent words or pairs of a shard; automata (and prefix ranges) that one union joins.
 SHARD_WORDS = 1 << 21
@@ -95,6 +95,14 @@ class Tokens:
         at = np.flatnonzero(self.follows & hot & np.append(hot[1:], False))
         return at, tb.mix(self.hash[at] * _PAIR + self.hash[at + 1]) >> np.uint64(64 - PAIR_BITS)
 
+    def triples(self, at: np.ndarray, h: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of triples whose two pairs are frequent, their hashes of PAIR_BITS bits); ``at`` and ``h`` are the pairs."""
+        linked = np.zeros(len(self.hash) + 1, bool)
+        linked[at[_in(pairs, h)]] = True
+        at = np.flatnonzero(linked[:-1] & linked[1:])
+        h = tb.mix(self.hash[at] * _PAIR + self.hash[at + 1])
+        return at, tb.mix(h * _PAIR + self.hash[at + 2]) >> np.uint64(64 - PAIR_BITS)
+
 
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = (h % np.uint64(FILTER_BITS)).astype(np.int64)
@@ -177,9 +185,9 @@ def _pair_rows(h: np.ndarray, n: np.ndarray, source: int, bits: int, most: int)
     return _packed(parts)
 
 
-def _frequent_pairs(texts: DataFrame, words: Broadcast, min_count: int, sources: int) -> DataFrame:
-    """(h): hashes of the pairs of frequent words with at least ``min_count`` occurrences. Sorted hashes of a shard travel
-    by range and meet ``FAN_IN`` shards at a time, as the automata do."""
+def _frequent_pairs(texts: DataFrame, words: Broadcast, min_count: int, sources: int, pairs: Broadcast | None = None) -> DataFrame:
+    """(h): hashes of the pairs of frequent words (with ``pairs``: of the triples of frequent pairs) with at least ``min_count``
+    occurrences. Sorted hashes of a shard travel by range and meet ``FAN_IN`` shards at a time, as the automata do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -190,7 +198,8 @@ def _frequent_pairs(texts: DataFrame, words: Broadcast, min_count: int, sources:
 
         for batch in batches:
             t = Tokens(batch.column(0), batch.column(1))
-            held.append(t.pairs(_in(words.value, t.hash))[1])
+            found = t.pairs(_in(words.value, t.hash))
+            held.append((found if pairs is None else t.triples(*found, pairs.value))[1])
             size += len(held[-1])
             if size >= SHARD_WORDS:
                 yield from out()
@@ -218,7 +227,8 @@ def _frequent_pairs(texts: DataFrame, words: Broadcast, min_count: int, sources:
 
 
 class Shard:
-    """Frequent words of some batches, with links to the next word where the pair is frequent."""
+    """Frequent words of some batches, with links to the next word where the pair is frequent, and to the one after it where
+    the triple is."""
 
     def __init__(self):
         self.words: dict[bytes, int] = {}
@@ -226,16 +236,19 @@ class Shard:
         self.parts: list[tuple] = []
         self.size = 0
 
-    def add(self, t: Tokens, words: np.ndarray, pairs: np.ndarray) -> None:
+    def add(self, t: Tokens, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray | None = None) -> None:
         hot = _in(words, t.hash)
         at, h = t.pairs(hot)
-        linked = np.zeros(len(hot), bool)
+        linked, longer = np.zeros(len(hot), bool), np.zeros(len(hot), bool)
         linked[at[_in(pairs, h)]] = True
+        if triples is not None:
+            at, h = t.triples(at, h, pairs)
+            longer[at[_in(triples, h)]] = True
         keep = np.flatnonzero(hot)
         used, place = np.unique(t.word[keep], return_inverse=True)
         number = np.array([self.words.setdefault(w, len(self.words)) for w in t.words.take(pa.array(used)).to_pylist()], np.int64)
         lang = np.array([self.langs.setdefault(x.encode(), len(self.langs)) for x in t.langs], np.int64)
-        self.parts.append((number[place] if len(keep) else np.zeros(0, np.int64), lang[t.lang[keep]] if len(keep) else np.zeros(0, np.int64), linked[keep]))
+        self.parts.append((number[place] if len(keep) else np.zeros(0, np.int64), lang[t.lang[keep]] if len(keep) else np.zeros(0, np.int64), linked[keep], longer[keep]))
         self.size += len(keep)
 
     def levels(self, max_words: int) -> tuple[list[bytes], list[bytes], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -246,11 +259,11 @@ class Shard:
         of_word[[self.words[x] for x in words]] = np.arange(len(words))
         word = of_word[np.concatenate([p[0] for p in self.parts])]
         code = of_lang[np.concatenate([p[1] for p in self.parts])]
-        linked = np.concatenate([p[2] for p in self.parts])
+        linked, longer = (np.concatenate([p[i] for p in self.parts]) for i in (2, 3))
         at, levels, v = np.arange(len(word)), [], max(1, len(words))
         for k in range(max_words):
             if k:
-                more = linked[at + k - 1]
+                more = linked[at] if k == 1 else longer[at + k - 2]
                 at, code = at[more], code[more]
             key, code, n = np.unique(code * v + word[at + k], return_inverse=True, return_counts=True)
             levels.append((key // v, key % v, n))
@@ -299,7 +312,7 @@ class Shard:
             yield r, builder.finish()
 
 
-def _shards(texts: DataFrame, words: Broadcast, pairs: Broadcast, max_words: int) -> DataFrame:
+def _shards(texts: DataFrame, words: Broadcast, pairs: Broadcast, triples: Broadcast | None, max_words: int) -> DataFrame:
     """(prefix, source, blob): every shard's automata by prefix range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +323,7 @@ def _shards(texts: DataFrame, words: Broadcast, pairs: Broadcast, max_words: int
                 yield from _packed([(r, source, blob)]).to_batches()
 
         for batch in batches:
-            shard.add(Tokens(batch.column(0), batch.column(1)), words.value, pairs.value)
+            shard.add(Tokens(batch.column(0), batch.column(1)), words.value, pairs.value, triples.value if triples else None)
             if shard.size >= SHARD_WORDS:
                 yield from out(shard, source)
                 source, shard = source + 1, Shard()
@@ -402,7 +415,8 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min
     frequent = _filter(words.where(F.col("c") >= min_count))
     sources = _sources(texts, words.agg(F.sum("c").alias("n")).first()["n"] or 0)
     pairs = _filter(_frequent_pairs(texts, frequent, min_count, sources))
-    counts, bits = _united(_shards(texts, frequent, pairs, max_words), min_count, sources)
+    triples = _filter(_frequent_pairs(texts, frequent, min_count, sources, pairs)) if max_words > 2 else None
+    counts, bits = _united(_shards(texts, frequent, pairs, triples, max_words), min_count, sources)
     cuts = _cuts(counts, bits)
     parts = written(_part_counts(counts, cuts), "parts")
     left, right = (parts.select("lang", F.col("part").alias(c), F.col("f").alias(f)) for c, f in (("first", "l"), ("rest", "r")))
