@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -294,3 +295,20 @@ def test_html_deep_nesting_takes_linear_time():
         small, large = seconds(nested(10_000, attrs)), seconds(nested(100_000, attrs))
         assert large < 25 * small + 0.5
     assert H.main_text(f"<article>{nested(100_000)}</article>").endswith(PROSE)
+
+
+def test_the_fit_holds_a_few_hundred_bytes_a_token():
+    """The executor's memory in the fit follows the tokens, not their slots as Python numbers or places without a token."""
+    rng = random.Random(5)
+    windows = []
+    for k in range(3_000):
+        n = 40 if k % 10 == 0 else rng.randint(4, 16)
+        windows.append(([[rng.randrange(1_000) for _ in range(21)] for _ in range(n)], [int(k % 2 == 0 and i == 2) for i in range(n)]))
+    tokens = sum(len(y) for _, y in windows)
+    tracemalloc.start()
+    try:
+        assert S.fit(windows, epochs=2) is not None
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 450 * tokens + 8 * 4 * S.SLOTS, peak / tokens

@@ -31,7 +31,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -360,51 +360,83 @@ def viterbi(e: np.ndarray, trans: np.ndarray, length: int = 64) -> np.ndarray:
     return out.reshape(-1)[: len(e)]
 
 
-def fit(sequences: list[tuple[list[list[int]], list[int]]], epochs: int = EPOCHS) -> Crf | None:
-    """Maximum likelihood by forward-backward over all windows at once (Adam). A sequence: slots of its tokens, tags."""
-    tags = {t for _, y in sequences for t in y}
-    if not {0, 1} <= tags:
+def _slot_rows(slots: list[list[int]]) -> np.ndarray:
+    """The slots of a window's tokens, a row each, filled up with ``SLOTS``."""
+    out = np.full((len(slots), max(map(len, slots))), SLOTS, np.int32)
+    for row, found in zip(out, slots):
+        row[: len(found)] = found
+    return out
+
+
+def fit(sequences: Iterable[tuple[list[list[int]], list[int]]], epochs: int = EPOCHS) -> Crf | None:
+    """Maximum likelihood by forward-backward over all windows at once (Adam). A sequence: slots of its tokens, tags.
+
+    Memory follows the tokens, about 300 bytes each: sequences are taken one at a time and kept as 4-byte slots and
+    1-byte tags; potentials and messages are held for real tokens only, those of a place in the sequence together."""
+    held = sorted(((_slot_rows(s), np.array(y, np.int8)) for s, y in sequences), key=lambda s: -len(s[1]))
+    tags = np.concatenate([y for _, y in held]) if held else np.zeros(0, np.int8)
+    if not {0, 1} <= set(np.unique(tags).tolist()):
         return None
-    sequences = sorted(sequences, key=lambda s: -len(s[1]))
-    sizes = np.array([len(y) for _, y in sequences])
-    n, length = len(sequences), int(sizes[0])
-    reach = [int((sizes > j).sum()) for j in range(length)]  # sequences with a token at place j: the first so many
-    width = max(len(f) for s, _ in sequences for f in s)
-    gold, real = np.zeros((n, length), int), np.arange(length) < sizes[:, None]
-    gold[real] = [t for _, y in sequences for t in y]
-    steps = np.bincount((gold[:, :-1] * 3 + gold[:, 1:])[real[:, 1:]], minlength=9).reshape(3, 3)
+    sizes = np.array([len(y) for _, y in held])
+    n, length, width = len(held), int(sizes[0]), max(s.shape[1] for s, _ in held)
+    flat, end = np.full((width, len(tags)), SLOTS, np.int32), 0
+    for s, y in held:
+        flat[: s.shape[1], end: end + len(y)] = s.T
+        end += len(y)
+    del held
     # slots of the real tokens only; those in use are numbered, the last row of the weights stays 0
-    used, flat = np.unique(np.array([f + [SLOTS] * (width - len(f)) for s, _ in sequences for f in s] + [[SLOTS] * width]), return_inverse=True)
-    flat = np.ascontiguousarray(flat.reshape(-1, width)[:-1].T)
+    number = np.zeros(SLOTS + 1, np.int32)
+    number[SLOTS] = 1
+    for k in flat:
+        number[k] = 1
+    used = np.flatnonzero(number)
+    number[used] = np.arange(len(used))
+    for k in flat:
+        k[:] = number[k]
+    reach = [int((sizes > j).sum()) for j in range(length)]  # sequences with a token at place j: the first so many
+    place = np.arange(len(tags)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.concatenate([[0], np.cumsum(reach)])  # tokens by place, then sequence: where each place begins
+    to = at[place] + np.repeat(np.arange(n), sizes)
+    steps = np.bincount((tags[:-1].astype(int) * 3 + tags[1:])[place[1:] > 0], minlength=9).reshape(3, 3)
+    del place
     emit, trans = np.zeros((len(used), 3)), np.zeros((3, 3))
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (emit, trans)]
+    e, a, b = (np.empty((len(tags), 3)) for _ in range(3))
     for t in range(1, epochs + 1):
-        e = np.zeros((n, length, 3))
-        e[real] = sum(emit.take(k, 0) for k in flat)
-        e = np.exp(np.maximum(e - e.max(2, keepdims=True), -60))  # potentials; each step is scaled to sum 1
+        x = emit.take(flat[0], 0)
+        for k in flat[1:]:
+            x += emit.take(k, 0)
+        x -= x.max(1, keepdims=True)
+        e[to] = np.exp(np.maximum(x, -60, out=x), out=x)  # potentials; each step is scaled to sum 1
         tr = np.exp(trans + _FORBID)
-        a, b = np.zeros((n, length, 3)), np.ones((n, length, 3))
-        a[:, 0] = e[:, 0] * [1, 1, 0]
+        a[:n] = e[:n] * [1, 1, 0]
         for j in range(1, length):
             m = reach[j]
-            step = (a[:m, j - 1] @ tr) * e[:m, j]
-            a[:m, j] = step / step.sum(1, keepdims=True)
+            step = (a[at[j - 1]: at[j - 1] + m] @ tr) * e[at[j]: at[j + 1]]
+            a[at[j]: at[j + 1]] = step / step.sum(1, keepdims=True)
+        b[:] = 1
         for j in range(length - 2, -1, -1):
             m = reach[j + 1]
-            step = (e[:m, j + 1] * b[:m, j + 1]) @ tr.T
-            b[:m, j] = step / step.sum(1, keepdims=True)
-        p = (a * b)[real]
-        err = (p / p.sum(1, keepdims=True) - np.eye(3)[gold[real]]) / n
-        grad = np.stack([sum(np.bincount(k, x, len(used)) for k in flat) for x in np.ascontiguousarray(err.T)], 1)
+            step = (e[at[j + 1]: at[j + 2]] * b[at[j + 1]: at[j + 2]]) @ tr.T
+            b[at[j]: at[j] + m] = step / step.sum(1, keepdims=True)
         gt = -steps.astype(float)
         for j in range(1, length):
-            m = reach[j]
-            left, right = a[:m, j - 1], e[:m, j] * b[:m, j]
+            left, right = a[at[j - 1]: at[j - 1] + reach[j]], e[at[j]: at[j + 1]] * b[at[j]: at[j + 1]]
             gt += tr * (left.T @ (right / ((left @ tr) * right).sum(1, keepdims=True)))
-        for x, g, (m, v) in zip((emit, trans), (grad + RIDGE * emit, gt / n + RIDGE * trans), moments):
+        np.multiply(a, b, out=a)
+        np.take(a, to, 0, out=x)
+        x /= x.sum(1, keepdims=True)
+        x[np.arange(len(tags)), tags] -= 1
+        x /= n
+        grad = np.zeros_like(emit)
+        for c in range(3):
+            err = np.ascontiguousarray(x[:, c])
+            for k in flat:
+                grad[:, c] += np.bincount(k, err, len(used))
+        for w, g, (m, v) in zip((emit, trans), (grad + RIDGE * emit, gt / n + RIDGE * trans), moments):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            x -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         emit[-1] = 0
     out = np.zeros((SLOTS + 1, 3), np.float32)
     out[used] = emit
@@ -580,7 +612,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         import json
 
         frame = frame.sort_values(["rank", "doc_id", "windows"])
-        crf = fit([s for x in frame["windows"] for w in json.loads(x) if (s := tagged(*w))[1]], epochs)
+        crf = fit((s for x in frame["windows"] for w in json.loads(x) if (s := tagged(*w))[1]), epochs)
         if crf is None:
             return pd.DataFrame({"emit": [], "trans": []})
         return pd.DataFrame({"emit": [crf.emit.tobytes()], "trans": [crf.trans.tobytes()]})
