@@ -3,6 +3,7 @@
 import random
 import re
 import sys
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -221,3 +222,22 @@ def test_stars_need_no_contraction(spark, monkeypatch):
     stars = spark.createDataFrame([(1, 2), (3, 1), (9, 8), (5, 5)], "a long, b long")
     assert sorted(map(tuple, components(stars).collect())) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
     assert components(stars.where("a = 0")).count() == 0
+
+
+def test_windows_take_a_bounded_part_of_a_batch(monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij ", k=9)) for _ in range(4_000)]
+    texts = [" ".join(rng.choices(words, k=330)) for _ in range(800)] + ["", "x" * 700_000, None]
+    items = D.Items([(i, texts[7 * i][200:420]) for i in range(60)])
+    raw, bounds = utf8(pa.array(texts))
+    norm, at_bounds, at = D.normalise(raw, bounds)
+    tracemalloc.start()
+    got = items.windows(norm, at_bounds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(norm)
+    for size in (1, 1 << 40):
+        monkeypatch.setattr(D, "SCAN_BYTES", size)
+        monkeypatch.setattr(D, "GATHER_BYTES", size)
+        assert all(np.array_equal(a, b) for a, b in zip(got, items.windows(norm, at_bounds)))
+        assert {(7 * i, i) for i in range(60)} <= set(items.leaks(norm, at_bounds))

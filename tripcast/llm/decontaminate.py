@@ -50,6 +50,8 @@ SAMPLES = 24  # repetitions of bit sampling on each walk
 COORDINATES = 5  # sampled symbols of a repetition
 ITEM_BYTES = 4 << 20
 SLICE = 8_192  # windows embedded at a time
+SCAN_BYTES = 1 << 19  # text whose pieces are looked up at once (one document may exceed it alone)
+GATHER_BYTES = 1 << 18  # text of windows cut out at once
 SEED = 11
 SCHEMA = "doc_id long, item_id long, edits long, max_edits long, start long, end long"
 
@@ -70,8 +72,8 @@ def normalise(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     # capital letters of Latin-1 (all but the multiplication sign) are C3 80 .. C3 9E, small ones 32 higher
     capital = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
     out[1:][capital] += 32
-    at = np.flatnonzero(keep)
-    return out[at], np.searchsorted(at, bounds), at
+    at = np.flatnonzero(keep).astype(np.int32 if len(raw) < 1 << 31 else np.int64)
+    return out[keep], np.searchsorted(at, bounds), at
 
 
 def plain(text: str | None) -> bytes:
@@ -192,7 +194,16 @@ class Items:
         return out
 
     def windows(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, start byte, item) of the windows around intact pieces, each once."""
+        """(row, start byte, item) of the windows around intact pieces, each once. Rows are taken ``SCAN_BYTES`` at a time."""
+        found, a = [(np.zeros(0, np.int64),) * 3], 0
+        while a < len(bounds) - 1:
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + SCAN_BYTES, "right")) - 1)
+            row, start, item = self._windows(raw[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a])
+            found.append((row + a, start + bounds[a], item))
+            a = b
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def _windows(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hits = []
         for shift in range(PIECE):
             m = (len(raw) - shift) // PIECE
@@ -290,9 +301,13 @@ class Items:
         """As ``signatures``, with symbols outside the row read as 0."""
         n = len(row)
         width = int(self.size[item].max(initial=0))
-        at = start[:, None] + np.arange(width)
-        inside = (at >= bounds[row][:, None]) & (at < bounds[row + 1][:, None])
-        block = np.where(inside, raw[np.clip(at, 0, max(0, len(raw) - 1))], 0).astype(np.uint8)
+        block = np.zeros((n, width), np.uint8)
+        step = max(1, GATHER_BYTES // max(1, width))
+        for a in range(0, n, step):
+            part = row[a: a + step]
+            at = start[a: a + step, None] + np.arange(width)
+            inside = (at >= bounds[part][:, None]) & (at < bounds[part + 1][:, None])
+            block[a: a + step][inside] = raw[at[inside]]
         return self.signatures(block.ravel(), np.arange(n) * width, item)
 
 
