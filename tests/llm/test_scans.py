@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from conftest import SF_SMALL
 from llm_cases import awkward, empty, prose
@@ -15,6 +16,7 @@ from tripcast.llm import html_extract as H
 from tripcast.llm import license_scan as L
 from tripcast.llm import quality as Q
 from tripcast.llm import secrets_scan as S
+from tripcast.llm.common import utf8
 
 TABLE = "'/root/testdata/sf0.01/{}.parquet'"
 
@@ -312,3 +314,41 @@ def test_the_fit_holds_a_few_hundred_bytes_a_token():
     finally:
         tracemalloc.stop()
     assert peak < 450 * tokens + 8 * 4 * S.SLOTS, peak / tokens
+
+
+def test_secret_paths_are_searched_only_where_a_tag_may_be(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n in (2, 17, 64, 900):
+        for shift in (0, 1, 3, 6):
+            e, trans = rng.normal(size=(n, 3)) * 2 - [0, shift, shift], rng.normal(size=(3, 3)) + S._FORBID
+            e[[0, -1], 1:] = -1e9
+            assert S.best_tags(e, trans).tolist() == S.viterbi(e, trans).tolist()
+    seen, plain = [], S.viterbi
+    monkeypatch.setattr(S, "viterbi", lambda e, trans: seen.append(len(e)) or plain(e, trans))
+    emit = np.zeros((S.SLOTS, 3), np.float32)
+    emit[S._slot("alpha")] = [4, -4, -4]
+    emit[S._word_slots(S._word_codes(["<long>"]), 0)] = [-4, 4, 4]
+    crf = S.Crf(emit, S._FORBID.copy())
+    text = "some words " * 5_000 + "k3yk3yk3yk3yk3yk3yk3y " + "some words " * 5_000
+    assert crf.spans_of(["", text, "a b"]) == [[], [(55_000, 55_021)], []]
+    assert sum(seen) < 100
+
+
+def test_secret_token_types_at_once():
+    rng = random.Random(5)
+    tokens = ["".join(rng.choices("abzABZ019+/_.-=é²٣'\":@ïſK", k=rng.randint(1, 24))) for _ in range(3_000)]
+    tokens += ["is", "IS", "password", "my_Token=", "auth", "12", "==", "'", "x" * 70 + "1" * 9]
+    words, flags = S.classes_and_flags(tokens)
+    assert words == list(map(S.word_class, tokens)) and flags == list(map(S.flags_of, tokens))
+    for t in tokens:
+        names = S.shape_names(t)
+        if len(t) < S.MIN_LENGTH and t.isalpha():
+            assert names == (f"len{len(t) // 4}", f"mix{t.islower()}{t.isupper()}", "alpha")
+            continue
+        head = t[:64]
+        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(head, head[1:]))
+        shape = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "0", head)))
+        assert names[1] == f"dig{10 * sum(map(str.isdigit, t)) // len(t)}" and names[3] == f"turn{min(9, 20 * turns // len(head))}"
+        assert names[2] == f"mix{any(map(str.islower, t))}{any(map(str.isupper, t))}{any(map(str.isdigit, t))}" and names[-1] == "shape:" + shape[:8]
+    raw, bounds = utf8(pa.array(["a" * 16 + "1", "a1" * 7, "", "1" * 20 + " " + "b" * 20, "x=" + "a1" * 8, "a1" * 8]))
+    assert S.candidate_rows(raw, bounds)[1].tolist() == [True, False, False, False, True, True]

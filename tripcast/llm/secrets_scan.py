@@ -28,6 +28,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -61,6 +62,8 @@ REACH = 6  # tokens on either side of the middle that a window holds
 LONGEST = 40  # tokens of a training window
 LONG_WINDOW = 4_000  # characters of a training window
 KNOWN = 400_000  # token types whose weights a task keeps
+PAD = 16  # edges between two texts
+STRETCH = 1 << 16  # tokens whose weights for their neighbours are held at once
 SLOTS = 1 << 18
 EPOCHS = 60
 RIDGE = 1e-3  # keeps features of single windows small: weak tags are wrong at times; a share of the mean over all windows
@@ -83,12 +86,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidate_rows(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that may hold a base match, rows with a long mixed token to train on), as masks."""
-    n = len(bounds) - 1
-    some, cand = np.zeros(n, bool), np.zeros(n, bool)
+def base_rows(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Mask of the rows that may hold a base match."""
+    some = np.zeros(len(bounds) - 1, bool)
     if len(raw) == 0:
-        return some, cand
+        return some
     low = tb.LOWER[raw].tobytes()
     for word, where in [(w, low) for w in _WORDS] + [(b"AKIA", raw.tobytes())]:
         at = where.find(word)
@@ -98,12 +100,22 @@ def candidate_rows(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
             at = where.find(word, int(bounds[row + 1]))
     starts, ends, _ = tb.word_spans(raw, bounds, _HEXCHAR)
     some[np.searchsorted(bounds, starts[ends - starts >= 32], "right") - 1] = True
+    return some
+
+
+def candidate_rows(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that may hold a base match, rows with a long mixed token to train on), as masks."""
+    some, cand = base_rows(raw, bounds), np.zeros(len(bounds) - 1, bool)
+    if len(raw) == 0:
+        return some, cand
     starts, ends, _ = tb.word_spans(raw, bounds, _KEY)
     long = ends - starts >= MIN_LENGTH
     starts, ends = starts[long], ends[long]
-    digits, letters = (np.concatenate([[0], np.cumsum(t[raw], dtype=np.int64)]) for t in (_DIGIT, _LETTER))
-    good = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
-    cand[np.searchsorted(bounds, starts[good], "right") - 1] = True
+    if len(starts):
+        at = np.stack([starts, ends], 1).ravel()
+        at = at[:-1] if at[-1] == len(raw) else at
+        good = np.logical_and(*(np.logical_or.reduceat(t[raw], at)[::2] for t in (_DIGIT, _LETTER)))
+        cand[np.searchsorted(bounds, starts[good], "right") - 1] = True
     return some, cand
 
 
@@ -137,18 +149,30 @@ def word_class(token: str) -> str:
     return token.lower()
 
 
+_CLASSES = str.maketrans({**dict.fromkeys("0123456789", "0"), **dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "a"),
+                          **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A")})
+_RUN = re.compile("0+|a+|A+|[^0aA]", re.S)
+_HEXED = re.compile(r"[0-9a-fA-F]+")
+_ALPHA = {(n, lower, upper): (f"len{n}", f"mix{lower}{upper}", "alpha") for n in range(-(-MIN_LENGTH // 4)) for lower in (False, True)
+          for upper in (False, True)}
+
+
 def shape_names(token: str) -> tuple[str, ...]:
     n = len(token)
     if n < MIN_LENGTH and token.isalpha():
-        return (f"len{n // 4}", f"mix{token.islower()}{token.isupper()}", "alpha")
-    digits, lower, upper = (sum(map(f, token)) for f in (str.isdigit, str.islower, str.isupper))
-    head = token[:64]
-    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(head, head[1:]))
-    shape = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "0", head)))
+        return _ALPHA[n // 4, token.islower(), token.isupper()]
+    head, classes = token[:64], token.translate(_CLASSES)
+    runs = "".join([x[0] for x in _RUN.findall(classes[:64])])
+    if token.isascii():
+        digits, lower, upper = map(classes.count, "0aA")
+        turns = 2 * runs.count("0") - (runs[0] == "0") - (runs[-1] == "0")
+    else:
+        digits, lower, upper = (sum(map(f, token)) for f in (str.isdigit, str.islower, str.isupper))
+        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(head, head[1:]))
     return (f"len{min(n, 40) // 4}", f"dig{10 * digits // n}", f"mix{bool(lower)}{bool(upper)}{bool(digits)}", f"turn{min(9, 20 * turns // len(head))}",
             f"kinds{min(9, 10 * len(set(head)) // len(head))}", f"dots{min(3, token.count('.'))}",
             f"seps{min(4, token.count('-') + token.count('_') + token.count('/'))}",
-            "hex" if re.fullmatch(r"[0-9a-fA-F]+", token) else "nohex", "shape:" + shape[:8])
+            "hex" if _HEXED.fullmatch(token) else "nohex", "shape:" + runs[:8])
 
 
 NEAR = (-3, -2, -1, 1, 2)  # neighbours whose words count
@@ -168,6 +192,22 @@ def flags_of(token: str) -> int:
     return out + QUOTE * (core in "\"'`") + SEPARATOR * (core in (":", "=", "is", ">") or core in "\"'`" or core.strip("=") == "") + AT * (core == "@")
 
 
+def classes_and_flags(cores: list[str]) -> tuple[list[str], list[int]]:
+    """``word_class`` and ``flags_of`` of tokens without white space; key words are looked for in all of them at once."""
+    ends = np.cumsum(np.fromiter(map(len, cores), np.int64, len(cores)) + 1)
+    key = np.zeros(len(cores), bool)
+    key[np.searchsorted(ends, [m.start() for m in KEY_WORD.finditer("\n".join(cores))], "right")] = True
+    words, flags = [], []
+    for core, k in zip(cores, key.tolist()):
+        if core.isalpha() and len(core) < MIN_LENGTH:
+            words.append("<key>" if k else core.lower())
+            flags.append(GLUED | SEPARATOR * (core == "is") | KEY * k)
+        else:
+            words.append(word_class(core))
+            flags.append(flags_of(core))
+    return words, flags
+
+
 CONTEXT = ("key", "assigned", "opened", "login")
 
 
@@ -241,7 +281,8 @@ class Crf:
     def _forget(self) -> None:
         """Rows of the known token types: own weights, weights given to each neighbour; row 0 is the edge of a text."""
         self.ids: dict[str, int] = {}
-        self.shapes: dict[tuple, np.ndarray] = {}
+        self.shapes: dict[tuple, int] = {}
+        self.shape_rows: list[np.ndarray] = []
         self.own = np.zeros((1, 3), np.float32)
         self.near = np.stack([self.emit[_word_slots(_word_codes(["<edge>"]), d)] for d in NEAR], 1)
         self.near[:, NEAR.index(1)] += self.emit[_slot("next:edge")]
@@ -252,15 +293,18 @@ class Crf:
         cores = [t.strip() for t in tokens]
         number = {c: i for i, c in enumerate(dict.fromkeys(cores))}  # white space apart, many tokens are the same
         of = np.fromiter(map(number.__getitem__, cores), np.int64, len(cores))
-        shapes, codes = [shape_names(c) for c in number], _word_codes([word_class(c) for c in number])
+        shapes = [shape_names(c) for c in number]
+        words, flags = classes_and_flags(list(number))
+        codes = _word_codes(words)
         for names in set(shapes) - self.shapes.keys():
-            self.shapes[names] = self.emit[[_slot(x) for x in names]].sum(0)
+            self.shapes[names] = len(self.shape_rows)
+            self.shape_rows.append(self.emit[[_slot(x) for x in names]].sum(0))
         gaps = [("none", "space", "line").index(gap(t)) for t in tokens]
-        own = np.array([self.shapes[x] for x in shapes], np.float32) + self.emit[_word_slots(codes, 0)]
+        own = np.array(self.shape_rows, np.float32)[list(map(self.shapes.__getitem__, shapes))] + self.emit[_word_slots(codes, 0)]
         own = own[of] + self.emit[[_slot("gap:" + g) for g in ("none", "space", "line")]][gaps]
         near = np.stack([self.emit[_word_slots(codes, d)] for d in NEAR], 1)[of]
         near[:, NEAR.index(1)] += self.emit[[_slot("next:" + g) for g in ("none", "space", "line")]][gaps]
-        flags = np.fromiter(map(flags_of, number), np.int64, len(number))[of]
+        flags = np.array(flags, np.int64)[of]
         glued = np.fromiter(map(len, cores), np.int64, len(cores)) == np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.ids.update(zip(tokens, range(len(self.own), len(self.own) + len(tokens))))
         self.own, self.near = np.concatenate([self.own, own]), np.concatenate([self.near, near])
@@ -270,38 +314,40 @@ class Crf:
         """Best tags of all tokens of each text."""
         if len(self.ids) > KNOWN:
             self._forget()
-        pad = [0] * 16  # edges between texts: no text sees another one's tokens
         found = [GAPPED.findall(t) for t in texts]
-        missing = sorted({t for tokens in found for t in tokens} - self.ids.keys())
-        if missing:
-            self._learn(missing)
-        ids, starts = list(pad), []
-        for tokens in found:
-            starts.append(len(ids))
-            ids += map(self.ids.__getitem__, tokens)
-            ids += pad
-        at = np.array(ids)
         sizes = np.array([len(f) for f in found])
-        e = self.own[at]
-        for k, d in enumerate(NEAR):
-            if d < 0:
-                e[-d:] += self.near[at[:d], k]
-            else:
-                e[:-d] += self.near[at[d:], k]
-        flags = self.flags[at]
+        flat = list(itertools.chain.from_iterable(found))
+        del found
+        ids = np.fromiter(map(self.ids.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(ids < 0)
+        if len(new):
+            missing = list(map(flat.__getitem__, new.tolist()))
+            self._learn(list(dict.fromkeys(missing)))
+            ids[new] = list(map(self.ids.__getitem__, missing))
+        del flat
+        # edges between texts: no text sees another one's tokens
+        starts = PAD * np.arange(1, len(texts) + 1) + np.cumsum(sizes) - sizes
+        edge = np.ones(len(ids) + PAD * (len(texts) + 1), bool)
+        for a, n in zip(starts.tolist(), sizes.tolist()):
+            edge[a: a + n] = False
+        at = np.zeros(len(edge), np.int64)
+        at[~edge] = ids
+        e = self.own.take(at, 0)
+        for a in range(0, len(at), STRETCH):  # what each token gives to its neighbours, read once
+            given = self.near.take(at[a: a + STRETCH], 0)
+            for k, d in enumerate(NEAR):
+                low, high = max(0, a - d), min(len(at), a + len(given) - d)
+                e[low:high] += given[low + d - a: high + d - a, k]
+        flags = self.flags.take(at)
         around = context(flags)
         for k, name in enumerate(CONTEXT):
-            e += self.emit[[_slot(f"{name}{v}") for v in range(3)]][around[:, k]]
-        real = np.repeat(np.array(starts), sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        row = np.repeat(np.arange(len(texts)), sizes)
-        cands = np.bincount(row, flags[real] & LONG > 0, len(texts)).astype(int)
-        file = np.array([self.emit[[_slot(x) for x in file_features(len(t), int(c))]].sum(0) for t, c in zip(texts, cands)])
-        e[real] += file[row]
-        edge = np.ones(len(at), bool)
-        edge[real] = False
+            e += self.emit[[_slot(f"{name}{v}") for v in range(3)]].take(around[:, k], 0)
+        for a, n, text in zip(starts.tolist(), sizes.tolist(), texts):
+            cands = int(np.count_nonzero(flags[a: a + n] & LONG))
+            e[a: a + n] += self.emit[[_slot(x) for x in file_features(len(text), cands)]].sum(0)
         e[edge] = [0, -1e9, -1e9]
-        best = viterbi(e, self.trans)
-        return [best[a: a + n] for a, n in zip(starts, sizes.tolist())]
+        best = best_tags(e, self.trans)
+        return [best[a: a + n] for a, n in zip(starts.tolist(), sizes.tolist())]
 
     def spans_of(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """(start, end) of the model's secrets in each text."""
@@ -323,6 +369,31 @@ class Crf:
 _FORBID = np.array([[0, 0, -1e9], [0, 0, 0], [0, 0, 0]])  # from (O, B, I) to (O, B, I)
 
 
+def doubtful(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Mask of the tokens that may get B or I in the best tags of a sequence. A run of such tags is in them only if it scores
+    no less than O in its place, so a token counts if some stretch around it reaches that with the best weights it could get."""
+    inside = trans[1:, 1:].max() - trans[0, 0]  # between two tokens of a run, against O
+    ends = trans[0, 1:].max() + trans[1:, 0].max() - 2 * trans[0, 0]  # before and behind it
+    gain = np.maximum(e[:, 1], e[:, 2]).astype(float) - e[:, 0] + inside
+    total = np.cumsum(np.maximum(gain, -1e3))
+    best = np.maximum.accumulate(total[::-1])[::-1] - np.minimum.accumulate(np.append(0.0, total[:-1]))
+    return best + ends - inside > -1e-3
+
+
+def best_tags(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """As ``viterbi``: the tokens that are O in any case are left out, one O stands for all between two others."""
+    out = np.zeros(len(e), np.int8)
+    some = doubtful(e, trans)
+    if not some.any():
+        return out
+    kept = some.copy()
+    kept[:-1] |= some[1:]
+    part = np.concatenate([e[kept], np.zeros((1, 3), e.dtype)])
+    part[~np.append(some[kept], False)] = [0, -1e9, -1e9]
+    out[kept] = viterbi(part, trans)[:-1]
+    return out
+
+
 def viterbi(e: np.ndarray, trans: np.ndarray, length: int = 64) -> np.ndarray:
     """Best tags of one sequence that starts and ends with O: all stretches of ``length`` tokens at once, for each tag
     before them, then the best way through the stretches."""
@@ -673,7 +744,7 @@ def scan(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, bounds = utf8(batch.column(1))
-            some, _ = candidate_rows(raw, bounds)
+            some = base_rows(raw, bounds)
             rows = []
             for doc_id, (fixed, every) in zip(batch.column(0).to_pylist(), spans_of(batch.column(1).to_pylist(), crf, some.tolist())):
                 n = [sum(k == j for _, k, _ in every) for j in range(4)]
@@ -698,7 +769,7 @@ def redact(docs: DataFrame, crf: Crf | None, text_col: str = "text", mark: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, bounds = utf8(batch.column(at))
-            some, _ = candidate_rows(raw, bounds)
+            some = base_rows(raw, bounds)
             texts = batch.column(at).to_pylist()
             for i, (_, spans) in enumerate(spans_of([t or "" for t in texts], crf, some.tolist())):
                 if not spans:
