@@ -151,6 +151,34 @@ def test_training_partitions_follow_rows_and_trees():
     assert ML.train_partitions(720_000, ML.forest_classifier().getNumTrees()) == 29
 
 
+def test_forests_read_like_rows_next_to_each_other(spark, monkeypatch):
+    rows = [(None if i % 50 == 0 else i % 180, None if i % 7 == 0 else "cab"[i % 3], float(i % 5), float(i)) for i in range(400)]
+    train = spark.createDataFrame(rows, "k int, c string, x double, label double")
+    seen = []
+
+    def in_order(est, cols):
+        with_place = ML.dealt(train, "k", est, cols).select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
+        got = with_place.orderBy("i").collect()
+        assert sorted(r["label"] for r in got) == [float(i) for i in range(400)]
+        parts = {p: [r for r in got if r["p"] == p] for p in {r["p"] for r in got}}
+        seen.append({r["label"]: r["p"] for r in got})
+        return lambda *by: all(v == sorted(v) for v in ([tuple((r[c] is not None, r[c] or 0) if c != "c" else (r[c] is not None, r[c] or "") for c in by)
+                                                        for r in part] for part in parts.values()))
+
+    forest = in_order(ML.forest_regressor(trees=3), ["c", "x"])
+    assert forest("c", "x", "k") and not forest("k")
+    other = in_order(ML.linear_regression(), ["c", "x"])
+    assert other("k") and not other("c", "x")
+    assert seen[0] == seen[1]  # rows are dealt by the key in both
+
+    asked = []
+    real = ML.dealt
+    monkeypatch.setattr(ML, "dealt", lambda t, key, est, cols: asked.append(list(cols)) or real(t, key, est, cols))
+    ML.fit_model(train, ["c", "x"], ML.forest_regressor(trees=2, depth=2), key="k")
+    Q._gender_forest(spark, SF_SMALL)
+    assert asked == [["c", "x"], ["age", "company_enc", "name_length", "first_letter_enc", "last_letter_enc"]]
+
+
 def test_boosted_trees_read_their_training_rows_once(spark):
     seen = spark.sparkContext.accumulator(0)
 

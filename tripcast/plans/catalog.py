@@ -792,7 +792,7 @@ def _gender_forest(spark, d):
     idx = ML.StringIndexer(inputCol="gender", outputCol="label_idx", stringOrderType="alphabetAsc")
     rf = ML.forest_classifier(weight=None, trees=150, depth=8, min_leaf=1)
     stages = [idx, ML.VectorAssembler(inputCols=cols, outputCol=ML.FEATURES_COL), rf]
-    model = ML.fit_dealt(u, "code", rf, lambda rows: ML.Pipeline(stages=stages))
+    model = ML.fit_dealt(u, "code", rf, lambda rows: ML.Pipeline(stages=stages), cols)
     labels = model.stages[0].labels
     scored = ML.probability_columns(model.transform(u), labels)
     scored = ML.IndexToString(inputCol="prediction", outputCol="predicted_gender", labels=labels).transform(scored)
