@@ -47,7 +47,7 @@ def train_regression(spark, sf_dir: str, out: str, trees: int = 50) -> dict:
     runs = f"{out}/runs"
     models = {}
     for name, est in [("LinearRegression", ML.linear_regression()), ("RandomForest", ML.forest_regressor(trees=trees))]:
-        model, m = ML.train_regressor(tr, te, est, Q.FLIGHT_COLS)
+        model, m = ML.train_regressor(tr, te, est, Q.FLIGHT_COLS, ML.FLIGHT_ORDER)
         ML.log_run(spark, runs, "flight_price", name, ML.model_params(model), m)
         models[name] = model
     best = ML.best_run(spark.read.parquet(runs).where(F.col("experiment") == "flight_price"),

@@ -702,7 +702,7 @@ def mdl1_merged(spark, d):
 @query("MDL2_forest_regressor")
 def mdl2(spark, d):
     tr, te = _flight_frames(spark, d)
-    return _price_rows(ML.fit_model(tr, FLIGHT_COLS, ML.forest_regressor()), te)
+    return _price_rows(ML.fit_model(tr, FLIGHT_COLS, ML.forest_regressor(), order=ML.FLIGHT_ORDER), te)
 
 
 def _user_frames(spark, d):
@@ -818,7 +818,7 @@ def eva3(spark, d):
     root = _scratch(spark, "runs")
     results = {}
     for name, est in [("LinearRegression", ML.linear_regression()), ("RandomForest", ML.forest_regressor())]:
-        model, m = ML.train_regressor(tr, te, est, FLIGHT_COLS)
+        model, m = ML.train_regressor(tr, te, est, FLIGHT_COLS, ML.FLIGHT_ORDER)
         ML.log_run(spark, f"{root}/runs", "flight_price", name, ML.model_params(model), m)
         results[name] = model
     runs = spark.read.parquet(f"{root}/runs")
